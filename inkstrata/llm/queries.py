@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, sharding
+from . import leaks, neardup, pieces, quality, secrets, sharding
 from .common import table
 
 
@@ -28,5 +28,19 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(secrets.digest(s, [0, 1, 2]), 256).alias("base_sha256"), secrets.digest(s).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_quality_resampling, op3_secret_scan)}
+def op4_sentencepiece_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "lossless", "piece_ids")
+
+
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = leaks.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), words=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_quality_resampling, op3_secret_scan, op4_sentencepiece_sample, op6_benchmark_leaks, op9_near_duplicates)}
 SQL: dict[str, str] = {}
