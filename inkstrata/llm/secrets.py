@@ -181,9 +181,11 @@ def scan(docs: DataFrame, column: str = "spans", rules=RULES) -> DataFrame:
     found = cut(spans(docs, rules)).select(F.col("rid").alias(rid), F.col("body").alias(body), F.col("spans").alias(own))
     free = [r for r in rules if not trigram_query(r.regex, r.letters)]
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
-    base = docs.withColumns({rid: row_id(docs), body: F.xxhash64(text)})
+    # Scanned below the join, so that the text itself is shuffled only if the caller asks for it.
+    plain = fresh(docs, "_plain")
+    base = docs.withColumns({rid: row_id(docs), body: F.xxhash64(text), plain: F.concat(none, *[_scan(text, r) for r in free])})
     joined = base.join(found, [rid, body], "left")
-    every = F.array_sort(F.concat(F.coalesce(F.col(own), none), *[_scan(text, r) for r in free]))
+    every = F.array_sort(F.concat(F.coalesce(F.col(own), none), F.col(plain)))
     return joined.withColumn(own, every).select(*[F.col(f"`{c}`") for c in docs.columns], own)
 
 
