@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, leaks, neardup, pieces, quality, secrets, sharding
+from . import hnsw, langid, leaks, licenses, neardup, pieces, quality, secrets, sharding
 from .common import table
 
 
@@ -53,5 +53,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_quality_resampling, op3_secret_scan, op4_sentencepiece_sample, op6_benchmark_leaks, op7_hnsw_neighbours, op8_language_cross_parsing, op9_near_duplicates)}
+def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("body")
+
+
+QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_quality_resampling, op3_secret_scan, op4_sentencepiece_sample, op6_benchmark_leaks, op7_hnsw_neighbours, op8_language_cross_parsing, op9_near_duplicates, op10_license_windows)}
 SQL: dict[str, str] = {}
