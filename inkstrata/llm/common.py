@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -34,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files of steps whose results have been cut off from them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

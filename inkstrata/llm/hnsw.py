@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHARD = 16_384
-M = 16
-WIDE = 48
-EF = 192
+M = 32
+WIDE = 64
+EF = 96
+#: Nodes of a beam that one step opens.
+EXPAND = 4
 BLOCK = 1024
 
 
@@ -102,31 +104,38 @@ class Graph:
     def _beam(q: np.ndarray, x: np.ndarray, links: np.ndarray, start: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         n, low = len(q), np.float32(-np.inf)
         at, sims = np.full((n, ef), -1, np.int64), np.full((n, ef), low, np.float32)
-        seen = np.zeros((n, len(x)), bool)
+        # The step and place at which a node was first met; of several in one step, one stays.
+        seen = np.full((n, len(x)), -1, np.int32)
         at[:, : start.shape[1]] = start
         rows, cols = np.nonzero(start >= 0)
-        seen[rows, start[rows, cols]] = True
+        seen[rows, start[rows, cols]] = 0
         sims[rows, cols] = np.einsum("ij,ij->i", q[rows], x[start[rows, cols]])
         done = at < 0
         live = np.arange(n)
-        while len(live):
-            best = np.argmax(np.where(done[live], low, sims[live]), axis=1)
-            open_ = ~done[live, best]
-            live, best = live[open_], best[open_]
+        wide = min(EXPAND, ef)
+        while True:
+            ahead = np.where(done[live], low, sims[live])
+            best = np.argpartition(-ahead, wide - 1, axis=1)[:, :wide] if ef > wide else np.repeat(np.arange(ef)[None, :], len(live), axis=0)
+            open_ = ~np.take_along_axis(done[live], best, 1)
+            some = open_.any(axis=1)
+            live, best, open_ = live[some], best[some], open_[some]
             if not len(live):
                 break
-            done[live, best] = True
-            near = links[at[live, best]]
-            fresh = (near >= 0) & ~seen[live[:, None], near]
-            r, c = np.nonzero(fresh)
-            seen[live[r], near[r, c]] = True
+            done[live[:, None], best] = True
+            near = np.where(open_[:, :, None], links[np.maximum(at[live[:, None], best], 0)], -1).reshape(len(live), -1)
+            r, c = np.nonzero((near >= 0) & (seen[live[:, None], near] < 0))
+            node = near[r, c]
+            seen[live[r], node] = c
+            one = seen[live[r], node] == c
+            r, c, node = r[one], c[one], node[one]
             value = np.full(near.shape, low, np.float32)
-            value[r, c] = np.einsum("ij,ij->i", q[live[r]], x[near[r, c]])
+            value[r, c] = np.einsum("ij,ij->i", q[live[r]], x[node])
             every = np.concatenate((sims[live], value), axis=1)
-            names = np.concatenate((at[live], np.where(fresh, near, -1)), axis=1)
-            closed = np.concatenate((done[live], ~fresh), axis=1)
+            names = np.concatenate((at[live], near), axis=1)
+            closed = np.concatenate((done[live], value == low), axis=1)
             top = np.argpartition(-every, ef - 1, axis=1)[:, :ef]
             at[live], sims[live], done[live] = (np.take_along_axis(z, top, 1) for z in (names, every, closed))
+            at[live] = np.where(sims[live] == low, -1, at[live])
         return at, sims
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, leaks, licenses, neardup, pieces, quality, secrets, sharding
+from . import hnsw, langid, leaks, licenses, neardup, pieces, quality, secrets, sharding, suffixes
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op4_sentencepiece_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "lossless", "piece_ids")
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffixes.removed(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = leaks.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
@@ -57,5 +62,5 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("body")
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_quality_resampling, op3_secret_scan, op4_sentencepiece_sample, op6_benchmark_leaks, op7_hnsw_neighbours, op8_language_cross_parsing, op9_near_duplicates, op10_license_windows)}
+QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_quality_resampling, op3_secret_scan, op4_sentencepiece_sample, op5_suffix_repeats, op6_benchmark_leaks, op7_hnsw_neighbours, op8_language_cross_parsing, op9_near_duplicates, op10_license_windows)}
 SQL: dict[str, str] = {}
