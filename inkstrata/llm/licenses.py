@@ -2,12 +2,12 @@
 
 Each template has a window length of WIDE times its words (rounded up, so that templates share lengths), and windows start every
 half length, so an occurrence lies in one window whole. A window that holds 0.8 of a template's shingles has a Jaccard
-similarity with it of at least 0.8 t / (w + 0.2 t) for t template and w window shingles; BANDS is chosen so that
-all BANDS one-row bands miss such a window with a probability under MISS. Retrieved templates are verified by the exact share
+similarity with it of at least 0.8 t / (w + 0.2 t) for t template and w window shingles; their number is chosen so that
+all one-row bands of that length miss such a window with a probability under MISS. Retrieved templates are verified by the exact share
 of their shingles that the window holds.
 
-Texts that hold no guard word are passed over without loss: of each template, guard words stand in more than a fifth of
-the shingles, so 0.8 of the shingles can't be there without one.
+Texts and windows that hold no guard word are passed over without loss: of each template, guard words stand in more than a
+fifth of the shingles, so 0.8 of the shingles can't be there without one.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ TEMPLATES = {
 }
 WORDS = 5
 PERCENT = 80
-WIDE = 2.5
+WIDE = 2
 MISS = 1e-7
 
 
@@ -45,10 +45,10 @@ def words_of(text: str) -> list[str]:
 
 
 def window_words(n: int) -> int:
-    """The window length of a template of n words: WIDE times n, rounded up on a scale of 1.5 ** k * 16."""
-    size = 16
+    """The window length of a template of n words: WIDE times n, rounded up on a scale of 1.25 ** k * 10."""
+    size = 10
     while size < WIDE * n:
-        size = math.ceil(size * 1.5 / 2) * 2
+        size = math.ceil(size * 1.25 / 2) * 2
     return size
 
 
@@ -64,9 +64,10 @@ def guards(words: list[str], size: int = WORDS, percent: int = PERCENT) -> list[
     return out
 
 
-def bands(windows: dict[str, int], templates: dict[str, list[str]]) -> int:
-    """One-row bands needed for the least similar window that must be found."""
-    least = min(0.8 * t / (w + 0.2 * t) for name, words in templates.items() for t, w in [(max(1, len(words) - WORDS + 1), windows[name] - WORDS + 1)])
+def bands(window: int, sizes: list[int]) -> int:
+    """One-row bands needed for the least similar window of `window` words with one of the templates of `sizes` words."""
+    shingles = [max(1, n - WORDS + 1) for n in sizes]
+    least = min(math.ceil(0.8 * t) / (window - WORDS + 1 + t - math.ceil(0.8 * t)) for t in shingles)
     return math.ceil(math.log(MISS) / math.log(1 - least))
 
 
@@ -86,6 +87,13 @@ def _rehashed(hashes: Column, i: int) -> Column:
     return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(i)))
 
 
+def _starts(words: Column, wanted: Column, size: int, step: int) -> Column:
+    """For each wanted word, the starts of the windows that hold it."""
+    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(wanted, w), i)), lambda i: i.isNotNull())
+    first = lambda p: F.greatest(F.lit(0), F.ceil((p - (size - 1)) / step)).cast("int")
+    return F.transform(places, lambda p: F.transform(F.sequence(first(p), F.floor(p / step).cast("int")), lambda k: k * step))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, body, license, shared, containment, start_word): the best window of each template found in docs(doc_id, text).
 
@@ -98,10 +106,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     if any(len(w) < WORDS for w in known.values()):
         raise ValueError(f"templates need {WORDS} words")
     window = {name: window_words(len(w)) for name, w in known.items()}
-    n = bands(window, known)
-    # The templates' own signatures: a table of as many rows as templates, computed by the same expressions.
-    rows = spark.createDataFrame([(name, window[name], w) for name, w in sorted(known.items())], "license string, size int, words array<string>")
-    own = rows.withColumn("h", F.array_distinct(shingle_hashes(F.col("words")))).withColumn("m", minima(F.col("h"), n)).select("license", "size", "h", "m").collect()
+    by_size = {size: sorted(name for name in known if window[name] == size) for size in sorted(set(window.values()))}
+    # The templates' own signatures: as many rows as templates, computed by the same expressions.
+    own = {}
+    for size, names in by_size.items():
+        n = bands(size, [len(known[x]) for x in names])
+        rows = spark.createDataFrame([(x, known[x]) for x in names], "license string, words array<string>")
+        own[size] = n, rows.withColumn("h", F.array_distinct(shingle_hashes(F.col("words")))).withColumn("m", minima(F.col("h"), n)).select("license", "h", "m").orderBy("license").collect()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     low = fresh(docs, "_low")
     words = sorted({g for w in known.values() for g in guards(w)})
@@ -109,14 +120,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     for g in words:
         held = held | F.contains(F.col(low), F.lit(g))
     near = docs.select(F.col("doc_id"), F.xxhash64(text).alias("body"), F.lower(text).alias(low)).where(held)
-    near = near.select("doc_id", "body", shingle_hashes(F.array_remove(F.split(F.col(low), "[^a-z0-9]+"), "")).alias("s")).where(F.size("s") > 0).dropDuplicates(["doc_id", "body"])
+    split = F.array_remove(F.split(F.col(low), "[^a-z0-9]+"), "")
+    near = near.select("doc_id", "body", split.alias("words")).where(F.size("words") >= WORDS).dropDuplicates(["doc_id", "body"])
+    near = near.withColumn("s", shingle_hashes(F.col("words")))
     out = None
-    for size in sorted(set(window.values())):
+    for size, names in by_size.items():
         step, span = size // 2, size - WORDS + 1
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("s") - 1), F.lit(step))
-        part = near.select("doc_id", "body", "s", F.explode(starts).alias("at")).select("doc_id", "body", "at", F.slice("s", F.col("at") + 1, span).alias("w"))
+        n, here = own[size]
+        wanted = F.array(*[F.lit(g) for g in sorted({g for x in names for g in guards(known[x])})])
+        part = near.select("doc_id", "body", "s", F.explode(F.array_distinct(F.flatten(_starts(F.col("words"), wanted, size, step)))).alias("at"))
+        part = part.where(F.col("at") < F.size("s")).select("doc_id", "body", "at", F.slice("s", F.col("at") + 1, span).alias("w"))
         part = part.withColumn("m", minima(F.col("w"), n))
-        here = [r for r in own if r["size"] == size]
         found = []
         for r in here:
             t = F.array(*[F.lit(h) for h in r["h"]])
