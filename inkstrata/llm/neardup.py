@@ -7,9 +7,12 @@ ROWS registers propose pairs; a pair's similarity is first estimated jointly fro
 registers by maximum likelihood, and pairs that can't be near (by more than five standard errors) go; the rest
 are verified on their full sets.
 
-Pairs within a band's bucket are not all emitted: first each node is paired with its bucket's least node; after joining
-what that links, only buckets that still hold several components get pairs, and only across components. So
-every proposed pair is either decided or inside one component already, and a large group of copies costs a star.
+Pairs within a band's bucket are not all emitted. Each node is paired with its bucket's centre c, the member that shares
+most buckets, and linked ones are joined. Buckets that then still hold several components get more pairs, across components:
+of a link x, y at least one end, say x, is not linked to c. Let G be what a set has outside c. Either x and y share a
+shingle of G, which an equi-join finds; or they share at most min(|x & c|, |y & c|) shingles, which bounds the sizes of
+y that x can be near to, and an equi-join on sizes finds those. In a group of near copies of c both are few, so every link is
+decided or inside one component already, while the group costs about a star.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import GOLDEN, buffers, chunks, cut, mix, prefix_hash, span_hash, words_of
+from .common import GOLDEN, buffers, chunks, cut, mix, prefix_hash, span_hash, tidy, words_of
 from .graph import components
 
 BANDS, ROWS = 24, 4
@@ -172,6 +175,26 @@ def setter(words: int):
     return as_set
 
 
+def difference(s1, s2):
+    """Of a centre's set and another: the shingles in common, and those of the other outside the centre."""
+
+    @F.arrow_udf("struct<common: bigint, outside: array<bigint>>")
+    def differ(s1: pa.Array, s2: pa.Array) -> pa.Array:
+        common_, parts = np.zeros(len(s1), np.int64), []
+        for i, (x, y) in enumerate(zip(s1, s2, strict=True)):
+            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            at = np.searchsorted(a, b)
+            at[at == len(a)] = 0
+            same = a[at] == b
+            common_[i] = same.sum()
+            parts.append(b[~same].view(np.int64))
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+        return pa.StructArray.from_arrays([pa.array(common_), lists], ["common", "outside"])
+
+    return differ(s1, s2)
+
+
 def linker(percent: int):
     @F.arrow_udf("boolean")
     def linked(s1: pa.Array, s2: pa.Array) -> pa.Array:
@@ -187,20 +210,55 @@ def linker(percent: int):
     return linked
 
 
-def _decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _decided(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs(a, b) of nodes whose full sets are near."""
     a = nodes.select(F.col("node").alias("a"), F.col("regs").alias("r1"), F.col("n").alias("n1"))
     b = nodes.select(F.col("node").alias("b"), F.col("regs").alias("r2"), F.col("n").alias("n2"))
     # Sizes alone rule a pair out when the smaller set is under the share of the larger one.
     sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    near = cut(sized.where(similarity("r1", "r2", "n1", "n2") >= percent / 100 - MARGIN).select("a", "b"))
-    ids = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi")
-    sets = cut(texts.select("node", setter(words)("text").alias("s")))
+    near = sized.where(similarity("r1", "r2", "n1", "n2") >= percent / 100 - MARGIN).select("a", "b")
     full = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
     return cut(full.where(linker(percent)("s1", "s2")).select("a", "b").distinct())
 
 
+def _crowd(nodes: DataFrame) -> DataFrame:
+    """(key, node, centre) of buckets with two nodes or more; the centre shares most buckets, ties to the least."""
+    members = nodes.select("node", F.explode(band_keys("regs")).alias("key")).distinct()
+    sizes = cut(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    members = cut(members.join(sizes, "key"))
+    scores = cut(members.groupBy("node").agg(F.sum("c").alias("score")))
+    best = F.max(F.struct("score", (-F.col("node")).alias("minus")))
+    centres = cut(members.join(scores, "node").groupBy("key").agg(best.alias("x")).select("key", (-F.col("x.minus")).alias("centre"), F.col("x.score").alias("score")))
+    return cut(members.join(centres, "key").select("key", "node", "centre", "score"))
+
+
+def _across(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs(a, b) of different components that can still be near, from buckets that hold several components."""
+    held = crowd.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = cut(held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("key"))
+    # A node's home is the best of its centres. Members of a bucket with one home are compared there, once for all buckets;
+    # only buckets with several homes are compared around their own centre too.
+    homes = crowd.groupBy("node").agg(F.max(F.struct("score", (-F.col("centre")).alias("minus"))).alias("x")).select("node", (-F.col("x.minus")).alias("home"))
+    held = cut(held.join(mixed, "key").join(homes, "node").select("key", "node", "centre", "home", "component"))
+    several = held.groupBy("key").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x <> y").select("key")
+    own = found.select(F.col("node").alias("centre"), F.col("component").alias("of_centre"))
+    around = held.select(F.col("home").alias("centre"), "node", "component").union(held.join(several, "key").select("centre", "node", "component"))
+    spokes = around.distinct().join(own, "centre", "left").withColumn("of_centre", F.coalesce("of_centre", "centre"))
+    both = spokes.join(sets.select(F.col("node").alias("centre"), F.col("s").alias("s1")), "centre").join(sets.select("node", F.col("s").alias("s2")), "node")
+    both = both.withColumn("d", difference("s1", "s2")).withColumn("n", F.floor(F.length("s2") / 8))
+    # most: the largest set that this one can be near to when they share nothing outside the centre.
+    most = F.floor(F.col("d.common") * (100 + percent) / percent) - F.col("n")
+    spokes = cut(both.select("centre", "node", "component", (F.col("component") != F.col("of_centre")).alias("open"), "n", F.col("d.outside").alias("outside"), most.alias("most")))
+    x = spokes.where("open").select("centre", F.col("node").alias("p"), F.col("component").alias("cp"), F.col("n").alias("np"), F.col("most").alias("mp"), F.col("outside").alias("op"))
+    y = spokes.select("centre", F.col("node").alias("q"), F.col("component").alias("cq"), F.col("n").alias("nq"), F.col("most").alias("mq"), F.col("outside").alias("oq"))
+    near = (F.col("cp") != F.col("cq")) & (100 * F.least("np", "nq") >= percent * F.greatest("np", "nq"))
+    shared = x.withColumn("g", F.explode("op")).drop("op").join(y.withColumn("g", F.explode("oq")).drop("oq"), ["centre", "g"]).where(near)
+    low, high = F.ceil(F.col("np") * percent / 100), F.least("mp", F.floor(F.col("np") * 100 / percent))
+    sized = x.where(low <= high).withColumn("size", F.explode(F.sequence(low, high))).drop("op").join(y.withColumn("size", F.col("nq")).drop("oq"), ["centre", "size"]).where(near & (F.col("np") <= F.col("mq")))
+    ends = F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")
+    return shared.select(*ends).union(sized.select(*ends)).distinct()
+
+
 def groups(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of docs(doc_id, text).
 
@@ -214,21 +272,16 @@ def groups(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame
     rows = cut(rows.select("doc_id", "s.n", "s.f1", "s.f2", "s.regs"))
     nodes = rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("regs").alias("regs"))
     nodes = cut(nodes)
-    members = nodes.select("node", F.explode(band_keys("regs")).alias("key"))
-    centres = cut(members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("key", "centre"))
-    crowd = cut(members.join(centres, "key"))
-    star = crowd.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = _decided(star, nodes, docs, words, percent)
-    found = cut(components(links))
-    held = crowd.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "node", "component")
-    mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("key", "x")
-    held = cut(held.join(mixed, "key"))
-    # Within the component of the least label nothing is open, so one side of each pair is outside it.
-    left = held.where("component <> x").select("key", F.col("node").alias("p"), F.col("component").alias("cp"), "x")
-    right = held.select("key", F.col("node").alias("q"), F.col("component").alias("cq"))
-    cross = left.join(right, "key").where("cp <> cq and (cq = x or p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti")
-    more = _decided(cross, nodes, docs, words, percent)
+    crowd = _crowd(nodes)
+    ids = crowd.select("node").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi")
+    sets = cut(texts.select("node", setter(words)("text").alias("s")).where(F.length("s") > 0))
+    tidy(docs.sparkSession)
+    star = crowd.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    links = _decided(star, nodes, sets, percent)
+    linked = cut(components(links))
+    tidy(docs.sparkSession)
+    more = _decided(_across(crowd, linked, sets, percent), nodes, sets, percent)
     final = components(links.union(more))
     moved = cut(nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")).where("copies > 1 or component <> node").select("n", "f1", "f2", "component"))
     out = rows.select("doc_id", "n", "f1", "f2").join(moved, ["n", "f1", "f2"], "left")
