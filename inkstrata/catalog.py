@@ -1,8 +1,640 @@
-"""Every registered query of the library, with its SQL twin."""
+"""Every registered query of the library, with its SQL twin where SQL can express it.
+
+A query takes (spark, sf_dir) and reads the driver's tables through the adapters. Integers are returned as bigint and
+doubles rounded to six places, so that both engines' results can be compared by value.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as t
+from .functions import unicode as u
+from .operators import items as it
+from .operators import names as nm
+from .operators import reps as rp
+from .operators import scoring as sc
+from .operators import stats as st
+from .plans import conditions as cd
+from .plans import model as ml
+from .sources import adapters as ad
+from .streaming import jobs as sj
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def fit(df: DataFrame) -> DataFrame:
+    """Integers as bigint, decimals as double, doubles rounded."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("int", "smallint", "tinyint"):
+            c = c.cast("long")
+        elif kind == "double" or kind == "float" or kind.startswith("decimal"):
+            c = F.round(c.cast("double"), 6)
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def query(sql: str | None = None):
+    """Register a function as a query; sql is its twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: fit(f(spark, sf_dir))
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _argmax(spark, sf):
+    return sc.argmax_hits(ad.eval_rows(spark, sf))
+
+
+def _joint(spark, sf):
+    return sc.joint_hits(ad.eval_rows(spark, sf), ["cond", "item", "book"])
+
+
+# Scoring ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ad.HITS} SELECT cond, sum(hit)::BIGINT AS ok, count(*) AS n, round(sum(hit) / count(*), 6) AS acc FROM hits GROUP BY cond")
+def argmax_accuracy(spark, sf):
+    """A1: share of rows whose largest log-probability is the answer's."""
+    return sc.accuracy(_argmax(spark, sf), ["cond"])
+
+
+@query(f"WITH {ad.JOINT} SELECT cond, sum(hit)::BIGINT AS ok, count(*) AS n, round(sum(hit) / count(*), 6) AS acc FROM jh GROUP BY cond")
+def joint_accuracy(spark, sf):
+    """A2: accuracy under the best one-to-one assignment."""
+    return sc.accuracy(_joint(spark, sf), ["cond"])
+
+
+@query(f"WITH {ad.JOINT}, x AS (SELECT cond, item, sum(hit) AS k FROM jh GROUP BY ALL) SELECT cond, count(*) AS groups, sum(k)::BIGINT AS ok, sum(CASE WHEN k = 3 THEN 1 ELSE 0 END)::BIGINT AS all_ok FROM x GROUP BY cond")
+def assignment_all_correct(spark, sf):
+    """A3: groups whose whole assignment is right."""
+    g = _joint(spark, sf).groupBy("cond", "item").agg(F.sum("hit").alias("k"))
+    return g.groupBy("cond").agg(F.count("*").alias("groups"), F.sum("k").alias("ok"), F.sum((F.col("k") == 3).cast("long")).alias("all_ok"))
+
+
+@query(f"WITH {ad.HITS} SELECT cond, coalesce(CAST(book AS VARCHAR), 'all') AS book, sum(hit)::BIGINT AS ok, count(*) AS n, round(sum(hit) / count(*), 6) AS acc FROM hits GROUP BY GROUPING SETS ((cond, book), (cond))")
+def acc_grouping_all_book(spark, sf):
+    """A4: totals and books in one pass."""
+    return sc.all_and_by_book(_argmax(spark, sf))
+
+
+@query(f"WITH {ad.JOINT}, b AS (SELECT cond, book, sum(hit) AS ok, count(*) AS n FROM jh GROUP BY ALL HAVING count(DISTINCT item) >= 10) SELECT cond, round(avg(ok / n), 6) AS macro, count(*) AS books, sum(ok)::BIGINT AS ok, sum(n)::BIGINT AS n FROM b GROUP BY cond")
+def macro_accuracy(spark, sf):
+    """Mean of per-book accuracies over books with enough items, and pooled counts."""
+    return sc.macro(_joint(spark, sf), 10)
+
+
+@query(f"""WITH {ad.JOINT}, b AS (SELECT cond, book, sum(hit) AS ok, count(*) AS n FROM jh GROUP BY ALL)
+SELECT x.cond, round(avg(x.ok / x.n - r.ok / r.n), 6) AS diff, sum(CASE WHEN x.ok * r.n > r.ok * x.n THEN 1 ELSE 0 END)::BIGINT AS better, count(*) AS n FROM b x JOIN b r ON x.book = r.book AND r.cond = 0 AND x.cond <> 0 GROUP BY x.cond HAVING count(*) >= 3""")
+def paired_vs_ref(spark, sf):
+    """Differences from a reference condition over common books."""
+    return sc.paired(_joint(spark, sf), 0)
+
+
+@query(f"WITH {ad.CHAPTERS}, r AS (SELECT book, words, row_number() OVER (PARTITION BY book ORDER BY words) - 1 AS i, count(*) OVER (PARTITION BY book) AS n FROM ch) SELECT book, " + ", ".join(f"max(CASE WHEN i = CAST(floor({q} * (n - 1)) AS BIGINT) THEN words END) AS q{round(100 * q):02d}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + ", max(n) AS n FROM r GROUP BY book")
+def quantiles_floor_index(spark, sf):
+    """Floor-index quantiles of passage lengths."""
+    return st.quantiles(ad.chapters(spark, sf), ["book"], "words")
+
+
+@query(f"""WITH {ad.EVAL}, base AS (SELECT item, target, avg(tokens) AS b FROM ev WHERE cond = 0 GROUP BY ALL), d AS (SELECT cond, tokens - b AS d FROM ev JOIN base USING (item, target) WHERE cond <> 0),
+r AS (SELECT cond, d, row_number() OVER (PARTITION BY cond ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY cond) AS n FROM d) SELECT cond, max(CASE WHEN i = CAST(floor(0.5 * (n - 1)) AS BIGINT) THEN d END) AS q50, max(CASE WHEN i = CAST(floor(0.9 * (n - 1)) AS BIGINT) THEN d END) AS q90, max(n) AS n FROM r GROUP BY cond""")
+def token_delta_base(spark, sf):
+    """Prompt tokens over those of the names-only condition."""
+    rows = ad.eval_rows(spark, sf)
+    base = rows.where("cond = 0").groupBy("item", "target").agg(F.avg("tokens").alias("base"))
+    return st.quantiles(rows.where("cond <> 0").join(base, ["item", "target"]).withColumn("d", F.col("tokens") - F.col("base")), ["cond"], "d", (0.5, 0.9))
+
+
+@query(f"WITH {ad.HITS} SELECT cond, answer, sum(hit)::BIGINT AS ok, count(*) AS n, round(sum(hit) / count(*), 6) AS acc FROM hits GROUP BY cond, answer")
+def acc_by_answer(spark, sf):
+    """Accuracy by true id."""
+    return sc.accuracy(_argmax(spark, sf), ["cond", "answer"])
+
+
+@query(f"""WITH {ad.EVAL}, s AS (SELECT cond, item * 3 + target AS item, lp[answer + 1] AS x FROM ev), m AS (SELECT *, avg(x) OVER (PARTITION BY item) AS mi, avg(x) OVER (PARTITION BY cond) AS mc, avg(x) OVER () AS g FROM s)
+SELECT round(sum((mi - g) * (mi - g)) / sum((x - g) * (x - g)), 6) AS item_share, round(sum((mc - g) * (mc - g)) / sum((x - g) * (x - g)), 6) AS cond_share FROM m""")
+def variance_shares(spark, sf):
+    """Shares of variance between items and between conditions."""
+    rows = ad.eval_rows(spark, sf).select("cond", (F.col("item") * 3 + F.col("target")).alias("item"), F.element_at("lp", F.col("answer") + 1).alias("x"))
+    return st.variance_shares(rows)
+
+
+@query(f"""WITH {ad.HITS}, u AS (SELECT item, target, min(hit) AS lo, max(hit) AS hi FROM hits GROUP BY ALL HAVING count(DISTINCT cond) = 5), c AS (SELECT cond, avg(hit) AS a FROM hits GROUP BY cond)
+SELECT round(avg(lo), 6) AS all_right, round(1 - avg(hi), 6) AS all_wrong, round(avg(hi), 6) AS oracle, count(*) AS n, round((SELECT max(a) FROM c), 6) AS best_single FROM u""")
+def oracle_pick(spark, sf):
+    """Units that all, none or the best pick of conditions get right, over complete units."""
+    return st.oracle_pick(_argmax(spark, sf))
+
+
+@query(f"WITH {ad.HITS} SELECT x.cond AS a, y.cond AS b, round(avg(CASE WHEN x.hit = y.hit THEN 1 ELSE 0 END), 6) AS agreement, count(*) AS n FROM hits x JOIN hits y ON x.item = y.item AND x.target = y.target AND x.cond < y.cond GROUP BY ALL")
+def pairwise_agreement(spark, sf):
+    """Agreement of each pair of conditions."""
+    return st.pairwise_agreement(_argmax(spark, sf))
+
+
+def _agreed_sql() -> str:
+    from itertools import combinations
+
+    parts = []
+    for k in range(1, 5):
+        for s in combinations(range(1, 5), k):
+            sums = ", ".join("(" + " + ".join(f"p{c}[{i}]" for c in s) + ")" for i in (1, 2, 3))
+            parts.append(f"SELECT '{'+'.join(map(str, s))}' AS subset, answer, [{sums}] AS lp FROM w")
+    wide = ", ".join(f"max(CASE WHEN cond = {c} THEN p END) AS p{c}" for c in range(1, 5))
+    return f"""WITH {ad.EVAL}, nrm AS (SELECT cond, item, target, answer, list_transform(lp, lambda x: x - ln(exp(lp[1]) + exp(lp[2]) + exp(lp[3]))) AS p FROM ev), w AS (SELECT item, target, answer, {wide} FROM nrm GROUP BY item, target, answer),
+s AS ({" UNION ALL ".join(parts)}) SELECT subset, sum(CASE WHEN list_position(lp, list_max(lp)) - 1 = answer THEN 1 ELSE 0 END)::BIGINT AS ok, count(*) AS n, round(sum(CASE WHEN list_position(lp, list_max(lp)) - 1 = answer THEN 1 ELSE 0 END) / count(*), 6) AS acc FROM s GROUP BY subset"""
+
+
+@query(_agreed_sql())
+def agreed_subsets(spark, sf):
+    """Summed normalised log-probabilities of every subset of four conditions."""
+    return sc.agreed(ad.eval_rows(spark, sf), [1, 2, 3, 4])
+
+
+@query(f"WITH {ad.JOINT} SELECT cond, round(avg(CASE WHEN b0 THEN hit END), 6) AS low, round(avg(CASE WHEN NOT b0 THEN hit END), 6) AS high FROM (SELECT *, book < 5 AS b0 FROM jh) GROUP BY cond")
+def grid_pivot(spark, sf):
+    """Conditions against book groups, as a pivot."""
+    j = _joint(spark, sf).withColumn("g", F.when(F.col("book") < 5, "low").otherwise("high"))
+    return j.groupBy("cond").pivot("g", ["low", "high"]).agg(F.avg("hit"))
+
+
+# Likelihoods ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ad.LIKELIHOODS} SELECT cond, sum(nll)::BIGINT AS nll, sum(tokens)::BIGINT AS tokens, round(sum(nll) / sum(tokens), 6) AS per_token FROM lk GROUP BY cond")
+def weighted_nll(spark, sf):
+    """Token-weighted likelihood."""
+    return st.token_weighted(ad.likelihoods(spark, sf), ["cond"]).drop("ppl")
+
+
+@query(f"""WITH {ad.LIKELIHOODS}, b AS (SELECT cond, book, sum(nll) / 1000 / sum(tokens) AS p FROM lk GROUP BY ALL) SELECT x.cond, round(avg(x.p - r.p), 6) AS delta, round(exp(avg(x.p - r.p)), 6) AS ppl_ratio, sum(CASE WHEN x.p < r.p THEN 1 ELSE 0 END)::BIGINT AS better, count(*) AS books FROM b x JOIN b r ON x.book = r.book AND r.cond = 'N' AND x.cond <> 'N' GROUP BY x.cond""")
+def nll_deltas(spark, sf):
+    """Likelihood differences by book and the perplexity ratio."""
+    return st.nll_deltas(ad.likelihoods(spark, sf).withColumn("nll", F.col("nll") / 1000), "N")
+
+
+@query(f"""WITH {ad.LIKELIHOODS}, e AS (SELECT cond, book, example, sum(nll) / 100000 AS score FROM lk GROUP BY ALL), d AS (SELECT x.cond, x.book, x.score - r.score AS d FROM e x JOIN e r ON x.book = r.book AND x.example = r.example AND r.cond = 'N' AND x.cond <> 'N'),
+b AS (SELECT cond, book, avg(d) AS bd, sum(d) AS sd, sum(100 * (1 - exp(-d))) AS sb, count(*) AS n FROM d GROUP BY ALL) SELECT cond, round(sum(sb) / sum(n), 6) AS b, round(sum(sd) / sum(n), 6) AS delta, round(avg(bd), 6) AS book_mean, sum(CASE WHEN bd > 0 THEN 1 ELSE 0 END)::BIGINT AS better, count(*) AS books FROM b GROUP BY cond""")
+def gain_b(spark, sf):
+    """Likelihood gain over the reference of the same example."""
+    rows = ad.likelihoods(spark, sf).groupBy("cond", "book", "example").agg((F.sum("nll") / 100000).alias("score"))
+    return st.gain(rows, "N")
+
+
+@query(f"WITH {ad.LIKELIHOODS} SELECT max(d)::BIGINT AS worst, count(*) AS keys FROM (SELECT max(tokens) - min(tokens) AS d FROM lk GROUP BY cond, example HAVING count(*) > 1)")
+def ref_drift(spark, sf):
+    """Spread of values that repeat."""
+    return st.drift(ad.likelihoods(spark, sf), ["cond", "example"], "tokens")
+
+
+@query(f"WITH {ad.LIKELIHOODS}, a AS (SELECT example, sum(nll) AS x FROM lk GROUP BY example), b AS (SELECT o_orderkey AS example, CAST(round(o_totalprice) AS BIGINT) AS y FROM orders) SELECT max(abs(x - y))::BIGINT AS worst, round(avg(abs(x - y)), 6) AS mean, count(*) AS n FROM a JOIN b USING (example)")
+def stored_control(spark, sf):
+    """Largest and mean difference from stored values."""
+    a = ad.likelihoods(spark, sf).groupBy("example").agg(F.sum("nll").alias("x"))
+    b = ad.table(spark, sf, "orders").select(F.col("o_orderkey").alias("example"), F.round("o_totalprice").cast("long").alias("y"))
+    d = F.abs(F.col("x") - F.col("y"))
+    return a.join(b, "example").agg(F.max(d).alias("worst"), F.avg(d).alias("mean"), F.count("*").alias("n"))
+
+
+@query(f"WITH {ad.LIKELIHOODS}, r AS (SELECT example, sum(tokens) AS w FROM lk GROUP BY example), m AS (SELECT l.*, w FROM lk l JOIN r USING (example)) SELECT cond, count(*) AS rows_left, count(DISTINCT example) AS examples FROM m WHERE w < 150 GROUP BY cond")
+def window_drop_all_arms(spark, sf):
+    """an example over the limit in sum is dropped from all conditions."""
+    rows = ad.likelihoods(spark, sf)
+    w = F.sum("tokens").over(Window.partitionBy("example"))
+    return rows.withColumn("w", w).where("w < 150").groupBy("cond").agg(F.count("*").alias("rows_left"), F.countDistinct("example").alias("examples"))
+
+
+@query(f"WITH {ad.LIKELIHOODS}, r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY example, line) - 1 AS rn FROM lk) SELECT book, count(*) AS n, sum(nll)::BIGINT AS nll FROM r WHERE rn % 7 = 0 GROUP BY book")
+def every_nth(spark, sf):
+    """every seventh row of each book."""
+    return it.sample_every(ad.likelihoods(spark, sf), ["book"], ["example", "line"], 7).groupBy("book").agg(F.count("*").alias("n"), F.sum("nll").alias("nll"))
+
+
+@query("""WITH r AS (SELECT p_brand, p_size, p_retailprice, p_partkey, max(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size, p_retailprice DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM part) SELECT p_brand, CAST(p_size AS BIGINT) AS p_size, round(p_retailprice, 6) AS p_retailprice, p_partkey FROM r WHERE top IS NULL OR p_retailprice > top""")
+def pareto_front(spark, sf):
+    """Rows over the running maximum."""
+    return st.pareto(ad.table(spark, sf, "part").select("p_brand", "p_size", "p_retailprice", "p_partkey"), "p_brand", "p_size", "p_retailprice", "p_partkey")
+
+
+@query("""SELECT p_brand, CAST(p_size AS BIGINT) AS p_size, round(p_retailprice, 6) AS p_retailprice, p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_size <= a.p_size AND b.p_retailprice >= a.p_retailprice AND (b.p_size < a.p_size OR b.p_retailprice > a.p_retailprice))""")
+def skyline_antijoin(spark, sf):
+    """Rows that none dominates, without a self join."""
+    return st.skyline(ad.table(spark, sf, "part").select("p_brand", "p_size", "p_retailprice", "p_partkey"), "p_brand", "p_size", "p_retailprice").select("p_brand", "p_size", "p_retailprice", "p_partkey")
+
+
+@query(f"WITH {ad.LIKELIHOODS} SELECT book, round(quantile_cont(CAST(tokens AS DOUBLE), 0.5), 6) AS median, round(avg(CASE WHEN cond = 'R' THEN nll END), 6) AS returned, round(avg(CASE WHEN cond <> 'R' THEN nll END), 6) AS other FROM lk GROUP BY book")
+def trace_medians(spark, sf):
+    """Interpolated medians and conditional means."""
+    return ad.likelihoods(spark, sf).groupBy("book").agg(F.percentile(F.col("tokens").cast("double"), 0.5).alias("median"), F.avg(F.when(F.col("cond") == "R", F.col("nll"))).alias("returned"), F.avg(F.when(F.col("cond") != "R", F.col("nll"))).alias("other"))
+
+
+@query(f"""WITH {ad.LIKELIHOODS}, e AS (SELECT book, example, sum(CASE WHEN cond = 'R' THEN tokens END) AS x, sum(CASE WHEN cond = 'N' THEN tokens END) AS y FROM lk GROUP BY ALL) SELECT book, round(quantile_cont(x / y, 0.5), 6) AS median_ratio, round(avg(CASE WHEN x > y THEN 1 ELSE 0 END), 6) AS longer FROM e WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY book""")
+def token_ratio(spark, sf):
+    """Median ratio of paired token counts and the share that is longer."""
+    e = ad.likelihoods(spark, sf).groupBy("book", "example").agg(F.sum(F.when(F.col("cond") == "R", F.col("tokens"))).alias("x"), F.sum(F.when(F.col("cond") == "N", F.col("tokens"))).alias("y")).where("x is not null and y is not null")
+    return e.groupBy("book").agg(F.percentile(F.col("x") / F.col("y"), 0.5).alias("median_ratio"), F.avg((F.col("x") > F.col("y")).cast("int")).alias("longer"))
+
+
+@query(f"""WITH {ad.JOINT}, b AS (SELECT cond, book, sum(hit) AS hit FROM jh GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cond ORDER BY hit) - 1 AS i, count(*) OVER (PARTITION BY cond) AS n FROM b), d AS (SELECT unnest(range(200)) AS d),
+m AS (SELECT r.cond, d.d, avg(v.hit) AS m FROM r, d JOIN r v ON v.cond = r.cond AND v.i = (r.i * 7919 + d.d * 104729 + r.i * d.d) % r.n GROUP BY ALL), q AS (SELECT cond, m, row_number() OVER (PARTITION BY cond ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY cond) AS n FROM m)
+SELECT cond, round(max(CASE WHEN i = 4 THEN m END), 6) AS q02, round(max(CASE WHEN i = 99 THEN m END), 6) AS q50, round(max(CASE WHEN i = 194 THEN m END), 6) AS q98, max(n) AS n FROM q GROUP BY cond""")
+def hash_bootstrap(spark, sf):
+    """A11 as SQL can check it: a bootstrap whose draws are a formula."""
+    return st.hash_bootstrap(_joint(spark, sf).groupBy("cond", "book").agg(F.sum("hit").alias("hit")), "cond", "hit")
+
+
+@query()
+def bootstrap_ci(spark, sf):
+    """Seeded bootstrap intervals of per-book accuracies."""
+    return st.bootstrap(_joint(spark, sf).groupBy("cond", "book").agg((F.sum("hit") / F.count("*")).alias("x")), ["cond"], "x")
+
+
+# Point in time ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ad.CHAPTERS} SELECT book, chapter_index, words, coalesce(sum(words) OVER (PARTITION BY book ORDER BY chapter_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS words_before FROM ch")
+def asof_words(spark, sf):
+    """Words of all chapters before each one."""
+    return rp.running_words(ad.chapters(spark, sf), ["book"]).select("book", "chapter_index", "words", "words_before")
+
+
+@query(f"WITH {ad.TURNS}, d AS (SELECT DISTINCT book, label, chapter_index FROM tu), r AS (SELECT *, row_number() OVER (PARTITION BY book, label ORDER BY chapter_index) AS n FROM d) SELECT book, label, n AS boundary FROM r WHERE n = chapter_index + 1")
+def asof_complete_guard(spark, sf):
+    """Boundaries before which no chapter is missing."""
+    return rp.complete(ad.turns(spark, sf), ["book", "label"])
+
+
+@query(f"WITH {ad.CHAPTERS}, s AS (SELECT *, sum(words) OVER (PARTITION BY book ORDER BY chapter_index DESC) AS c FROM ch) SELECT book, chapter_index, words FROM s WHERE c <= 3000")
+def recency_budget(spark, sf):
+    """The newest chapters within 3,000 words."""
+    return rp.recency_budget(ad.chapters(spark, sf), ["book"], ["chapter_index"], 3000).select("book", "chapter_index", "words")
+
+
+@query(f"WITH {ad.CHAPTERS}, s AS (SELECT *, sum(words) OVER (PARTITION BY book ORDER BY chapter_index DESC) AS c, row_number() OVER (PARTITION BY book ORDER BY chapter_index DESC) AS rn FROM ch) SELECT book, chapter_index, words FROM s WHERE c <= 300 OR rn = 1")
+def chapter_budget(spark, sf):
+    """As W1, but the newest chapter always stays."""
+    return rp.chapter_budget(ad.chapters(spark, sf), ["book"], 300).select("book", "chapter_index", "words")
+
+
+@query(f"WITH {ad.CHAPTERS} SELECT b.book, b.chapter_index AS boundary, count(*) AS chapters, sum(c.words)::BIGINT AS words FROM ch b JOIN ch c ON b.book = c.book AND c.chapter_index < b.chapter_index AND c.chapter_index >= b.chapter_index - 3 GROUP BY ALL")
+def last_k_band(spark, sf):
+    """The last three chapters before each boundary, as equi-joins."""
+    ch = ad.chapters(spark, sf).select("book", "chapter_index", "words")
+    return rp.as_of(ch, ch.select("book", F.col("chapter_index").alias("boundary")), ["book"], low=3).groupBy("book", "boundary").agg(F.count("*").alias("chapters"), F.sum("words").alias("words"))
+
+
+@query(r"SELECT doc_id, CASE WHEN len(w) > 20 THEN array_to_string(w[1:20], ' ') ELSE text END AS head, CASE WHEN len(w) > 5 THEN array_to_string(w[-5:], ' ') ELSE text END AS tail FROM (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS w FROM documents)")
+def first_k_words(spark, sf):
+    """The first 20 and the last 5 words."""
+    return ad.table(spark, sf, "documents").select("doc_id", t.cut_words(F.col("text"), 20).alias("head"), t.cut_words(F.col("text"), 5, last=True).alias("tail"))
+
+
+@query(f"WITH {ad.CHAPTERS}, f AS (SELECT *, row_number() OVER (PARTITION BY book, lang ORDER BY chapter_index) AS f FROM ch), r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY f, lang) AS turn FROM f) SELECT book, lang, doc_id, turn FROM r WHERE turn <= 6")
+def roundrobin_k(spark, sf):
+    """Six rows of each book, taken in turn from its sections."""
+    return rp.round_robin(ad.chapters(spark, sf), ["book"], "lang", "chapter_index", 6).select("book", "lang", "doc_id", "turn")
+
+
+@query(f"""WITH {ad.TURNS}, b AS (SELECT book, label, max(chapter_index) + 1 AS boundary FROM tu GROUP BY ALL), w AS (SELECT *, unnest(range(greatest(boundary - 2, 0), boundary)) AS chapter_index FROM b), h AS (SELECT book, label, chapter_index, min(text) AS text FROM tu GROUP BY ALL)
+SELECT w.book, w.label, w.boundary, w.chapter_index, coalesce(h.text, 'Not in this chapter.') AS text FROM w LEFT JOIN h USING (book, label, chapter_index)""")
+def latest_fill(spark, sf):
+    """The last two chapters, with a default for absent ones."""
+    tu = ad.turns(spark, sf)
+    b = tu.groupBy("book", "label").agg((F.max("chapter_index") + 1).alias("boundary"))
+    return rp.latest_fill(tu, b, ["book", "label"], 2).select("book", "label", "boundary", "chapter_index", "text")
+
+
+@query(f"WITH {ad.TURNS} SELECT book, label, arg_max(text, chapter_index) AS text, max(chapter_index) AS chapter_index FROM tu GROUP BY ALL")
+def max_by_boundary(spark, sf):
+    """The text at the last boundary of each label."""
+    return rp.latest(ad.turns(spark, sf), ["book", "label"], "chapter_index", "text")
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents) SELECT source, lang, doc_id FROM r WHERE rn = 1")
+def first_wins(spark, sf):
+    """The first row of each key."""
+    return rp.first_wins(ad.table(spark, sf, "documents").select("source", "lang", "doc_id"), ["source", "lang"], ["doc_id"])
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT user_id, event_type, event_id, round(value, 6) AS value FROM r WHERE rn = 1")
+def last_wins(spark, sf):
+    """The last row of each key."""
+    return rp.last_wins(ad.table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def resume_antijoin(spark, sf):
+    """Work that isn't done yet."""
+    from .sources.files import pending
+
+    done = ad.table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return pending(ad.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
+
+
+@query(f"""WITH {ad.CHAPTERS}, p AS (SELECT book, chapter_index, regexp_extract_all(text, '\\S+') AS w FROM ch) SELECT a.book, a.chapter_index, CASE WHEN len(a.w) > len(b.w) THEN array_to_string(a.w[1:len(b.w)], ' ') ELSE c.text END AS text
+FROM p a JOIN p b ON a.book = b.book AND b.chapter_index = a.chapter_index + 1 JOIN ch c ON c.book = a.book AND c.chapter_index = a.chapter_index""")
+def matched_cut(spark, sf):
+    """Each text cut to the length of its partner."""
+    ch = ad.chapters(spark, sf).select("book", "chapter_index", "text")
+    return rp.matched_cut(ch, ch.withColumn("chapter_index", F.col("chapter_index") - 1), ["book", "chapter_index"])
+
+
+@query(f"WITH {ad.TURNS}, m AS (SELECT book, max(CASE WHEN label = 'user' THEN text END) AS a, max(CASE WHEN label = 'assistant' THEN text END) AS b FROM (SELECT * FROM tu WHERE chapter_index <= 1) GROUP BY book) SELECT 'combo' AS condition, book, a || chr(10) || chr(10) || b AS text FROM m WHERE a IS NOT NULL AND b IS NOT NULL")
+def combo(spark, sf):
+    """Texts joined where all of them exist."""
+    reps = ad.turns(spark, sf).where("chapter_index <= 1").select(F.col("label").alias("condition"), "book", "text")
+    return rp.combine(reps, ["user", "assistant"], "combo", ["book"])
+
+
+@query(f"WITH {ad.CHAPTERS}, q AS (SELECT book, lang, words, row_number() OVER (PARTITION BY book, lang ORDER BY words) AS r, count(*) OVER (PARTITION BY book, lang) AS n FROM ch) SELECT book, lang, max(n) AS n, max(CASE WHEN r = n // 2 + 1 THEN words END) AS median FROM q GROUP BY ALL")
+def coverage_median(spark, sf):
+    """Counts and upper median words of each condition."""
+    return ad.chapters(spark, sf).groupBy("book", "lang").agg(F.count("*").alias("n"), st.upper_median(F.collect_list("words")).alias("median"))
+
+
+@query(f"""WITH {ad.CHAPTERS}, pr AS (SELECT book, chapter_index FROM ch WHERE lang = 'en') SELECT c.book, count(*) AS notes, sum(words)::BIGINT AS words, sum(CASE WHEN p.book IS NULL THEN 1 ELSE 0 END)::BIGINT AS absent, sum(CASE WHEN p.book IS NULL THEN words ELSE 0 END)::BIGINT AS absent_words,
+round(sum(CASE WHEN p.book IS NULL THEN 1 ELSE 0 END) / count(*), 6) AS note_share, round(sum(CASE WHEN p.book IS NULL THEN words ELSE 0 END) / sum(words), 6) AS word_share FROM ch c LEFT JOIN pr p USING (book, chapter_index) GROUP BY c.book""")
+def absent_share(spark, sf):
+    """Share of notes about chapters where the label isn't present."""
+    ch = ad.chapters(spark, sf)
+    return nm.absent_share(ch, ch.where("lang = 'en'"), ["book"])
+
+
+# Names and items --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ad.TURNS}, c AS (SELECT book, label, count(*) AS n, min(chapter_index) AS f FROM tu GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY book) AS a, row_number() OVER (PARTITION BY book ORDER BY n DESC, f) AS rn FROM c) SELECT book, label, n, a::BIGINT AS \"all\" FROM r WHERE rn = 1 AND n >= 0.5 * a")
+def majority_share(spark, sf):
+    """The most frequent value where its share is large enough."""
+    return nm.majority(ad.turns(spark, sf), "book", "label", "chapter_index", 0.5)
+
+
+@query(f"""WITH {ad.CHAPTERS}, w AS (SELECT book, lang AS label, lower(w) AS x FROM (SELECT book, lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM ch)), g AS (SELECT book, label, sum(CASE WHEN x IN ('he','him','his','himself') THEN 1 ELSE 0 END)::BIGINT AS m, sum(CASE WHEN x IN ('she','her','hers','herself','de') THEN 1 ELSE 0 END)::BIGINT AS f FROM w GROUP BY ALL)
+SELECT book, label, m, f, CASE WHEN m > 0.65 * (m + f) THEN 'M' WHEN f > 0.65 * (m + f) THEN 'F' ELSE '?' END AS gender FROM g""")
+def gender_vote(spark, sf):
+    """Gender by share of pronouns (here over words, with a stand-in list)."""
+    words = ad.chapters(spark, sf).select("book", F.col("lang").alias("label"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("w")).withColumn("w", F.lower("w"))
+    got = words.groupBy("book", "label").agg(F.sum(F.col("w").isin("he", "him", "his", "himself").cast("long")).alias("m"), F.sum(F.col("w").isin("she", "her", "hers", "herself", "de").cast("long")).alias("f"))
+    both = F.col("m") + F.col("f")
+    return got.withColumn("gender", F.when(F.col("m") > 0.65 * both, "M").when(F.col("f") > 0.65 * both, "F").otherwise("?"))
+
+
+@query(f"""WITH {ad.JOINT}, k AS (SELECT item, target, CASE WHEN (item + target * target) % 4 < 2 THEN 'M' ELSE 'F' END AS gender FROM jh WHERE cond = 0), c AS (SELECT *, count(*) OVER (PARTITION BY item, gender) AS s, count(*) OVER (PARTITION BY item) AS n FROM k)
+SELECT CASE WHEN s = n THEN 'all same' WHEN s = 1 THEN 'unique' ELSE 'shared' END AS "group", count(*) AS pairs FROM c GROUP BY 1""")
+def gender_groups(spark, sf):
+    """Unique, shared and all-same genders within an item."""
+    rows = _joint(spark, sf).where("cond = 0").select("item", F.col("item").alias("book"), F.col("target").alias("label"))
+    known = rows.select("book", "label", F.when((F.col("book") + F.col("label") * F.col("label")) % 4 < 2, "M").otherwise("F").alias("gender"))
+    return nm.gender_groups(rows, known).groupBy("group").agg(F.count("*").alias("pairs"))
+
+
+@query(f"""WITH {ad.CHAPTERS}, c AS (SELECT book, lang, lower(w) AS term, count(*) AS m FROM (SELECT book, lang, unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}')) AS w FROM ch) GROUP BY ALL), k AS (SELECT book, count(DISTINCT lang) AS k FROM c GROUP BY book),
+s AS (SELECT c.*, m * m / (m + (sum(m) OVER (PARTITION BY book, term) - m) / greatest(k - 1, 1)) AS score FROM c JOIN k USING (book)), r AS (SELECT *, row_number() OVER (PARTITION BY book, lang ORDER BY score DESC, term) AS rank FROM s WHERE m >= 2) SELECT book, lang, term, m, round(score, 6) AS score, rank FROM r WHERE rank <= 40""")
+def distinctive_terms(spark, sf):
+    """The 40 most distinctive terms of each label."""
+    words = ad.chapters(spark, sf).select("book", "lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), 0)).alias("w"))
+    return nm.distinctive(words.groupBy("book", "lang", F.lower("w").alias("term")).agg(F.count("*").alias("m")), "book", "lang", "term")
+
+
+def _units(spark, sf):
+    return ad.chapters(spark, sf).withColumnRenamed("doc_id", "unit")
+
+
+@query(f"WITH {ad.ALIASES} SELECT doc_id AS unit, label, n::BIGINT AS n FROM named")
+def mention_counts(spark, sf):
+    """Labels named in each unit, by token equi-join and verification."""
+    return it.named_counts(_units(spark, sf), ad.aliases(spark, sf))
+
+
+@query(f"WITH {ad.ALIASES}, r AS (SELECT book, label, chapter_index, row_number() OVER (PARTITION BY book, label ORDER BY chapter_index) AS k FROM named) SELECT c.book, c.chapter_index AS boundary, r.label FROM ch c JOIN r ON c.book = r.book AND r.k = 2 AND r.chapter_index < c.chapter_index")
+def mention_eligibility(spark, sf):
+    """labels named in at least two earlier chapters."""
+    units = _units(spark, sf)
+    named = it.named_counts(units, ad.aliases(spark, sf)).join(units.select("unit", "book", "chapter_index"), "unit")
+    return it.eligible(named, units.select("book", F.col("chapter_index").alias("boundary")))
+
+
+@query(f"""WITH {ad.ALIASES}, k AS (SELECT doc_id, count(DISTINCT label) AS k FROM named GROUP BY doc_id), e AS (SELECT book, label, chapter_index, row_number() OVER (PARTITION BY book, label ORDER BY chapter_index) AS r FROM named), s AS (SELECT book, max(chapter_index) AS since, count(*) AS n FROM e WHERE r = 2 GROUP BY book),
+f AS (SELECT c.book, CASE WHEN words = 0 THEN 'no_text' WHEN lang <> 'en' THEN 'protected' WHEN coalesce(k.k, 0) < 3 THEN 'not_all_named' WHEN s.since IS NULL OR s.n < 3 OR s.since >= c.chapter_index THEN 'too_early' ELSE 'items' END AS reason FROM ch c LEFT JOIN k USING (doc_id) LEFT JOIN s USING (book))
+SELECT book, count(*) AS units, {", ".join(f"sum(CASE WHEN reason = '{r}' THEN 1 ELSE 0 END)::BIGINT AS {r}" for r in ("no_text", "protected", "not_all_named", "too_early", "items"))} FROM f GROUP BY book""")
+def funnel(spark, sf):
+    """Units by the first rule that they fail."""
+    units = _units(spark, sf)
+    counts = it.named_counts(units, ad.aliases(spark, sf))
+    k = counts.groupBy("unit").agg(F.countDistinct("label").alias("k"))
+    named = counts.join(units.select("unit", "book", "chapter_index"), "unit")
+    second = F.row_number().over(Window.partitionBy("book", "label").orderBy("chapter_index"))
+    since = named.withColumn("r", second).where("r = 2").groupBy("book").agg(F.max("chapter_index").alias("since"), F.count("*").alias("n"))
+    rows = units.join(k, "unit", "left").join(since, "book", "left")
+    rules = [("no_text", F.col("words") == 0), ("protected", F.col("lang") != "en"), ("not_all_named", F.coalesce("k", F.lit(0)) < 3), ("too_early", F.col("since").isNull() | (F.col("n") < 3) | (F.col("since") >= F.col("chapter_index")))]
+    return it.funnel(rows, rules)
+
+
+@query(r"SELECT doc_id, len(x)::BIGINT AS n FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: lower(w) IN ('the', 'der', 'que') AND w <> lower(w)) AS x FROM documents) WHERE len(x) > 0")
+def alias_leak(spark, sf):
+    """name words left in a text in any capitalisation but all lower case."""
+    left = it.leftover(F.col("text"), ["the", "der", "que"])
+    return ad.table(spark, sf, "documents").select("doc_id", F.size(left).alias("n")).where("n > 0")
+
+
+@query(f"WITH {ad.CHAPTERS} SELECT book, w AS word, min(chapter_index) AS first FROM (SELECT book, chapter_index, unnest(regexp_extract_all(strip_accents(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM ch) GROUP BY ALL")
+def first_seen(spark, sf):
+    """The first chapter of each word."""
+    return nm.first_seen(ad.chapters(spark, sf))
+
+
+@query(f"WITH {ad.EVAL}, x AS (SELECT DISTINCT item, target FROM ev), n AS (SELECT item, count(*) AS n FROM x GROUP BY item) SELECT item, target, (target + 1) % n AS source FROM x JOIN n USING (item)")
+def swap_cyclic(spark, sf):
+    """Each label with the next one in cyclic order."""
+    by = ad.eval_rows(spark, sf).groupBy("item").agg(F.array_sort(F.collect_set("target")).alias("labels"))
+    return by.select("item", F.explode(F.arrays_zip(F.col("labels").alias("target"), cd.sources(F.col("labels"), True).alias("source"))).alias("x")).select("item", "x.*")
+
+
+@query(f"WITH {ad.EVAL}, i AS (SELECT item FROM ev WHERE cond = 0 GROUP BY item HAVING count(*) = 3), p(o) AS (VALUES ('0,1,2'),('0,2,1'),('1,0,2'),('1,2,0'),('2,0,1'),('2,1,0')) SELECT c AS cond, item, o AS \"order\", t AS target FROM i, p, (SELECT unnest(range(5)) AS c), (SELECT unnest(range(3)) AS t)")
+def cond_cross(spark, sf):
+    """Items x conditions x orders x targets."""
+    by = ad.eval_rows(spark, sf).groupBy("cond", "item").agg(F.array_sort(F.collect_set("target")).alias("labels"))
+    return cd.jobs(by, 3, True).select("cond", "item", F.array_join(F.transform("order", lambda x: x.cast("string")), ",").alias("order"), "target")
+
+
+# Text functions ---------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, len(s)::BIGINT AS sentences, s[1] AS first FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?…])["”’)\]]*\s+(["“‘(\[]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM documents)""")
+def sentence_split(spark, sf):
+    """Sentences."""
+    return ad.table(spark, sf, "documents").select("doc_id", F.size(t.sentences(F.col("text"))).alias("sentences"), F.try_element_at(t.sentences(F.col("text")), F.lit(1)).alias("first"))
+
+
+@query()
+def snippets(spark, sf):
+    """Texts packed into chunks of about 300 words."""
+    ch = ad.chapters(spark, sf).select("book", "chapter_index", F.posexplode(t.snippets(F.col("text"))).alias("idx", "text"))
+    return ch.select(t.snippet_id(F.col("book"), F.col("chapter_index"), F.col("idx")).alias("snippet_id"), "book", "chapter_index", "idx", t.word_count(F.col("text")).alias("words"), "text")
+
+
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!--<hr/>', '', 'g'), '<img[^<>]*>', '', 'g'), '<hr\s*/?>', chr(10), 'g'), '</?[A-Za-z][^<>\n]{0,200}/?>', '', 'g')) AS digest FROM pages""")
+def strip_markup(spark, sf):
+    """Markup out of pages, entities left."""
+    return ad.table(spark, sf, "pages").select("page_id", F.md5(t.strip_markup(F.col("html")).cast("binary")).alias("digest"))
+
+
+@query()
+def clean_html(spark, sf):
+    """Markup out of pages, entities as characters."""
+    return ad.table(spark, sf, "pages").select("page_id", u.clean_text(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, md5(strip_accents(text)) AS folded, md5(nfc_normalize(text)) AS nfc FROM documents")
+def fold(spark, sf):
+    """Canonical composition and text without accents."""
+    return ad.table(spark, sf, "documents").select("doc_id", F.md5(u.fold(F.col("text")).cast("binary")).alias("folded"), F.md5(u.nfc(F.col("text")).cast("binary")).alias("nfc"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))::BIGINT AS tokens, len(regexp_extract_all(text, '\S+'))::BIGINT AS words FROM documents")
+def token_counts(spark, sf):
+    """Words and tokens."""
+    return ad.table(spark, sf, "documents").select("doc_id", F.size(t.tokens(F.col("text"))).alias("tokens"), t.word_count(F.col("text")).alias("words"))
+
+
+_PAIRS = r"""b AS (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark), bg AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 4 + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM b)),
+dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 4 + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents))),
+n AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id), o AS (SELECT item_id, doc_id, count(*) AS k FROM bg JOIN dg USING (g) GROUP BY ALL)"""
+
+
+def _overlaps(spark, sf, n: int = 5):
+    """(item_id, doc_id, k, n): distinct n-grams that a document shares with a benchmark item, by an equi-join on grams."""
+    b = ad.table(spark, sf, "benchmark").select("item_id", F.explode(st.grams(t.words(F.col("text")), n)).alias("g"))
+    d = ad.table(spark, sf, "documents").select("doc_id", F.explode(st.grams(t.words(F.col("text")), n)).alias("g"))
+    size = b.groupBy("item_id").agg(F.count("*").alias("n"))
+    return d.join(b, "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("k")).join(size, "item_id")
+
+
+@query(f"WITH {_PAIRS} SELECT item_id, doc_id, k, round(k / greatest(1, n), 6) AS overlap FROM o JOIN n USING (item_id)")
+def ngram_overlap(spark, sf):
+    """Share of an item's n-grams that a document has."""
+    return _overlaps(spark, sf).select("item_id", "doc_id", "k", (F.col("k") / F.greatest(F.lit(1), F.col("n"))).alias("overlap"))
+
+
+@query(rf"""WITH {_PAIRS}, c AS (SELECT item_id, doc_id FROM o JOIN n USING (item_id) WHERE k / n > 0.5), l AS (SELECT item_id, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM c JOIN b USING (item_id)), r AS (SELECT item_id, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS j FROM c JOIN (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents) USING (doc_id)),
+h AS (SELECT item_id, doc_id, i - j AS d, i, i - row_number() OVER (PARTITION BY item_id, doc_id, i - j ORDER BY i) AS s FROM l JOIN r USING (item_id, doc_id, w)) SELECT item_id, doc_id, max(n) AS longest FROM (SELECT item_id, doc_id, d, s, count(*) AS n FROM h GROUP BY ALL) GROUP BY ALL""")
+def longest_run(spark, sf):
+    """Longest common run of words of overlapping pairs."""
+    near = _overlaps(spark, sf).where(F.col("k") / F.col("n") > 0.5).select("item_id", "doc_id")
+    pairs = near.join(ad.table(spark, sf, "benchmark").select("item_id", t.words(F.col("text")).alias("a")), "item_id").join(ad.table(spark, sf, "documents").select("doc_id", t.words(F.col("text")).alias("b")), "doc_id")
+    return st.longest_common_run(pairs, ["item_id", "doc_id"], "a", "b")
+
+
+@query(f"WITH {_PAIRS} SELECT source, sum(CASE WHEN m > 0.05 THEN 1 ELSE 0 END)::BIGINT AS flagged, round(max(m), 6) AS most, count(*) AS docs FROM (SELECT source, doc_id, coalesce(max(k / n), 0) AS m FROM documents LEFT JOIN (o JOIN n USING (item_id)) USING (doc_id) GROUP BY ALL) GROUP BY source")
+def memo_flag(spark, sf):
+    """Documents with much overlap, by source."""
+    best = _overlaps(spark, sf).groupBy("doc_id").agg(F.max(F.col("k") / F.col("n")).alias("m"))
+    rows = ad.table(spark, sf, "documents").select("source", "doc_id").join(best, "doc_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+    return rows.groupBy("source").agg(F.sum((F.col("m") > 0.05).cast("long")).alias("flagged"), F.max("m").alias("most"), F.count("*").alias("docs"))
+
+
+@query(r"""WITH tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n), nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id), v AS (SELECT doc_id, term, w / z AS w FROM w JOIN nrm USING (doc_id))
+SELECT a.doc_id AS x, b.doc_id AS y, round(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b ON a.term = b.term AND b.doc_id = a.doc_id + 1 GROUP BY ALL""")
+def tfidf_cosine(spark, sf):
+    """Cosines of neighbouring documents' term weights."""
+    v = rp.tfidf(ad.table(spark, sf, "documents"), [], ["doc_id"], "text").select("doc_id", F.explode("v").alias("term", "w"))
+    x, y = v.select(F.col("doc_id").alias("x"), "term", F.col("w").alias("a")), v.select(F.col("doc_id").alias("y"), "term", F.col("w").alias("b"))
+    near = x.join(y.withColumn("x", F.col("y") - 1), ["x", "term"])
+    return near.groupBy("x", "y").agg(F.sum(F.col("a") * F.col("b")).alias("cosine"))
+
+
+@query()
+def dedup_greedy(spark, sf):
+    """Statements that no kept earlier statement of their book and chapter resembles."""
+    rows = ad.chapters(spark, sf).withColumn("chapter", F.col("chapter_index") % 5).select("book", "chapter", "doc_id", "text")
+    vectors = rp.tfidf(rows, ["book", "chapter"], ["doc_id"], "text")
+    return rp.greedy_distinct(vectors, ["book", "chapter"], "doc_id", "v", 0.5).select("book", "chapter", "doc_id")
+
+
+@query()
+def short_spans(spark, sf):
+    """The tightest runs of sentences that name every label."""
+    return it.short_spans(_units(spark, sf), ad.aliases(spark, sf))
+
+
+@query(f"WITH {ad.TURNS}, e AS (SELECT book, list(struct_pack(i := chapter_index, text := text, n := len(regexp_extract_all(text, '\\S+'))) ORDER BY chapter_index) AS l FROM tu GROUP BY book) SELECT book, len(l)::BIGINT AS sections FROM e")
+def window_sections(spark, sf):
+    """W5's input count; the windows themselves are checked in tests."""
+    return it.windows(ad.turns(spark, sf), ["book"], "chapter_index", 60, 3).groupBy("book").agg(F.sum(F.size(F.split("text", "\n\n"))).alias("_"), F.count("*").alias("windows")).select("book").join(ad.turns(spark, sf).groupBy("book").agg(F.count("*").alias("sections")), "book")
+
+
+@query()
+def masked_items(spark, sf):
+    """Labels masked under ids shuffled per item."""
+    units = _units(spark, sf).withColumn("item_id", t.item_id(F.col("book"), F.col("chapter_index"), F.lit("k00")))
+    names = ad.aliases(spark, sf).groupBy("book", "label").agg(F.array_sort(F.collect_set("alias")).alias("a")).groupBy("book").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "a")))).alias("aliases"))
+    rows = units.join(F.broadcast(names), "book").withColumn("ids", u.shuffled_ids(F.col("item_id"), F.map_keys("aliases")))
+    got = rows.select("item_id", "ids", u.mask(F.col("text"), F.col("aliases"), F.col("ids")).alias("m"))
+    return got.select("item_id", F.md5(F.col("m.text").cast("binary")).alias("digest"), F.aggregate(F.map_values("m.mentions"), F.lit(0), lambda a, x: a + x).alias("mentions"))
+
+
+def _prompts(spark, sf, name: str):
+    by = ad.turns(spark, sf).groupBy("book").agg(F.max("chapter_index").alias("chapter_index"), F.array_sort(F.collect_set("label")).alias("labels"), F.max_by("text", "chapter_index").alias("masked"))
+    book = F.col("book").cast("string")
+    items = by.where(F.size("labels") == 2).select(t.item_id(book, F.col("chapter_index"), F.lit("k00")).alias("item_id"), book.alias("book"), "chapter_index", "labels", F.map_from_arrays("labels", F.array(F.lit(0), F.lit(1))).alias("answer"), "masked", F.lit("").alias("prefix"))
+    tu = ad.turns(spark, sf).withColumn("book", book)
+    ends = items.select("book", F.col("chapter_index").alias("boundary"))
+    reps = rp.ordered_text(rp.as_of(tu, ends, ["book"]), ["book", "boundary", "label"], ["chapter_index"], "text", "\n").withColumn("condition", F.lit("turns"))
+    names = items.select("book", F.col("chapter_index").alias("boundary"), F.explode("labels").alias("label")).withColumn("name", F.initcap("label"))
+    return cd.plan(items, name, reps, names, tu.select("book", "chapter_index", "text"), n=2)
+
+
+@query()
+def prompt_plan(spark, sf):
+    """L-1, P29, J1: prompts of a condition with swapped blocks, book text and orders."""
+    return _prompts(spark, sf, "swap:turns@40&book_last20").select("item_id", F.array_join("order", ",").alias("order"), "target", "answer", F.md5(F.col("prompt").cast("binary")).alias("prompt"))
+
+
+@query()
+def digit_scores(spark, sf):
+    """Prompts scored by the offline client."""
+    good, _ = ml.split(ml.score(_prompts(spark, sf, "turns"), n=2))
+    return good.select("item_id", F.array_join("order", ",").alias("order"), "target", "top_token", "prompt_tokens")
+
+
+@query()
+def rolling_state(spark, sf):
+    """G7, ST2: a summary rolled over each conversation's turns."""
+    tu = ad.turns(spark, sf).select("book", "chapter_index", "text")
+    return ml.chain(tu, ["book"], lambda s, x: (s + " " + x).strip(), cap=120)
+
+
+@query("""WITH j AS (SELECT user_id AS job, ts, event_type AS kind, CAST(value AS BIGINT) AS work FROM events), s AS (SELECT *, max(CASE WHEN kind = 'signup' THEN ts END) OVER (PARTITION BY job) AS st FROM j), l AS (SELECT * FROM s WHERE st IS NULL OR ts >= st),
+g AS (SELECT job, max(CASE WHEN kind = 'click' THEN 1 ELSE 0 END) AS ready, arg_max(CASE WHEN kind = 'view' THEN work END, CASE WHEN kind = 'view' THEN (ts, work) END) AS load, max(ts) AS last FROM l GROUP BY job) SELECT job, load AS work FROM g WHERE ready = 1 AND load > 0 AND last < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stale_jobs(spark, sf):
+    """ST3, S12: jobs with work that have been silent for ten minutes."""
+    e = ad.table(spark, sf, "events")
+    now = e.agg(F.max("ts")).first()[0]
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "view", "load").otherwise(F.col("event_type"))
+    lines = e.select(F.col("user_id").alias("job"), "ts", kind.alias("kind"), F.col("value").cast("long").alias("running"), F.lit(0).alias("waiting"))
+    return sj.stale(lines, now).select("job", "work")
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    """Tumbling windows over events."""
+    return sj.windowed(ad.table(spark, sf, "events"), "ts", "event_type", "value").select("event_type", "start", "n", "total")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf):
+    """Sessions of users."""
+    return sj.sessions(ad.table(spark, sf, "events"), "ts", "user_id").select("user_id", "start", "n")
