@@ -216,10 +216,10 @@ def window_drop_all_arms(spark, sf):
     return rows.withColumn("w", w).where("w < 150").groupBy("cond").agg(F.count("*").alias("rows_left"), F.countDistinct("example").alias("examples"))
 
 
-@query(f"WITH {ad.LIKELIHOODS}, r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY example, line) - 1 AS rn FROM lk) SELECT book, count(*) AS n, sum(nll)::BIGINT AS nll FROM r WHERE rn % 7 = 0 GROUP BY book")
+@query(f"WITH {ad.LIKELIHOODS}, r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY example, line, nll, tokens, cond) - 1 AS rn FROM lk) SELECT book, count(*) AS n, sum(nll)::BIGINT AS nll FROM r WHERE rn % 7 = 0 GROUP BY book")
 def every_nth(spark, sf):
     """every seventh row of each book."""
-    return it.sample_every(ad.likelihoods(spark, sf), ["book"], ["example", "line"], 7).groupBy("book").agg(F.count("*").alias("n"), F.sum("nll").alias("nll"))
+    return it.sample_every(ad.likelihoods(spark, sf), ["book"], ["example", "line", "nll", "tokens", "cond"], 7).groupBy("book").agg(F.count("*").alias("n"), F.sum("nll").alias("nll"))
 
 
 @query("""WITH r AS (SELECT p_brand, p_size, p_retailprice, p_partkey, max(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size, p_retailprice DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM part) SELECT p_brand, CAST(p_size AS BIGINT) AS p_size, round(p_retailprice, 6) AS p_retailprice, p_partkey FROM r WHERE top IS NULL OR p_retailprice > top""")
@@ -617,14 +617,14 @@ def rolling_state(spark, sf):
     return ml.chain(tu, ["book"], lambda s, x: (s + " " + x).strip(), cap=120)
 
 
-@query("""WITH j AS (SELECT user_id AS job, ts, event_type AS kind, CAST(value AS BIGINT) AS work FROM events), s AS (SELECT *, max(CASE WHEN kind = 'signup' THEN ts END) OVER (PARTITION BY job) AS st FROM j), l AS (SELECT * FROM s WHERE st IS NULL OR ts >= st),
+@query("""WITH j AS (SELECT user_id AS job, ts, event_type AS kind, CAST(floor(value) AS BIGINT) AS work FROM events), s AS (SELECT *, max(CASE WHEN kind = 'signup' THEN ts END) OVER (PARTITION BY job) AS st FROM j), l AS (SELECT * FROM s WHERE st IS NULL OR ts >= st),
 g AS (SELECT job, max(CASE WHEN kind = 'click' THEN 1 ELSE 0 END) AS ready, arg_max(CASE WHEN kind = 'view' THEN work END, CASE WHEN kind = 'view' THEN (ts, work) END) AS load, max(ts) AS last FROM l GROUP BY job) SELECT job, load AS work FROM g WHERE ready = 1 AND load > 0 AND last < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stale_jobs(spark, sf):
     """ST3, S12: jobs with work that have been silent for ten minutes."""
     e = ad.table(spark, sf, "events")
     now = e.agg(F.max("ts")).first()[0]
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "view", "load").otherwise(F.col("event_type"))
-    lines = e.select(F.col("user_id").alias("job"), "ts", kind.alias("kind"), F.col("value").cast("long").alias("running"), F.lit(0).alias("waiting"))
+    lines = e.select(F.col("user_id").alias("job"), "ts", kind.alias("kind"), F.floor("value").cast("long").alias("running"), F.lit(0).alias("waiting"))
     return sj.stale(lines, now).select("job", "work")
 
 

@@ -22,6 +22,11 @@ FEMALE = r"(?i)\b(she|her|hers|herself)\b"
 SPACE = r"(?U)\s+"
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once, also where f uses it inside a lambda over other elements."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def flat(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.regexp_replace(F.regexp_replace(text, SPACE, " "), "^ | $", "")
@@ -119,11 +124,18 @@ def nest_headings(text: Column) -> Column:
 
 def section_map(text: Column) -> Column:
     """Markdown '## head' sections as a map from head to body; of equal heads the last one stays."""
-    parts = F.filter(F.split(text, r"(?m)^(?=## )"), lambda s: s.startswith("## "))
-    heads = F.transform(parts, lambda s: F.trim(F.regexp_extract(s, r"^## ([^\n]*)", 1)))
-    bodies = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"^## [^\n]*\n?", "")))
-    last = F.filter(F.transform(heads, lambda h, i: F.when(F.array_position(F.reverse(heads), h) == F.size(heads) - i, i)), lambda i: i.isNotNull())
-    return F.map_from_arrays(F.transform(last, lambda i: F.get(heads, i)), F.transform(last, lambda i: F.get(bodies, i)))
+
+    def as_map(parts: Column) -> Column:
+        heads = F.transform(parts, lambda s: F.trim(F.regexp_extract(s, r"^## ([^\n]*)", 1)))
+        bodies = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"^## [^\n]*\n?", "")))
+        return bound(F.arrays_zip(heads.alias("h"), bodies.alias("b")), last_of)
+
+    def last_of(pairs: Column) -> Column:
+        later = lambda i: F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda p: p["h"])
+        kept = F.filter(F.transform(pairs, lambda p, i: F.when(~F.array_contains(later(i), p["h"]), p)), lambda p: p.isNotNull())
+        return F.map_from_entries(kept)
+
+    return bound(F.filter(F.split(text, r"(?m)^(?=## )"), lambda s: s.startswith("## ")), as_map)
 
 
 def drop_section(text: Column, head: str) -> Column:
@@ -146,10 +158,13 @@ def tokens(text: Column) -> Column:
 
 def mask_windows(text: Column, near: int = 30) -> Column:
     """For each mask, its id and the words within `near` tokens on either side, as array<struct<id, context>>."""
-    w = F.regexp_extract_all(text, F.lit(r"(?U)\[CHAR \d\]|\w+"), 0)
-    marks = F.filter(F.transform(w, lambda t, i: F.when(t.startswith("[CHAR "), F.struct(F.substring(t, 7, 1).cast("int").alias("id"), i.alias("at")))), lambda x: x.isNotNull())
-    around = lambda m: F.filter(F.slice(w, F.greatest(m["at"] - near, F.lit(0)) + 1, F.least(m["at"], F.lit(near)) + near + 1), lambda t: ~t.startswith("[CHAR "))
-    return F.transform(marks, lambda m: F.struct(m["id"].alias("id"), F.array_join(around(m), " ").alias("context")))
+
+    def windows(w: Column) -> Column:
+        marks = F.filter(F.transform(w, lambda t, i: F.when(t.startswith("[CHAR "), F.struct(F.substring(t, 7, 1).cast("int").alias("id"), i.alias("at")))), lambda x: x.isNotNull())
+        around = lambda m: F.filter(F.slice(w, F.greatest(m["at"] - near, F.lit(0)) + 1, F.least(m["at"], F.lit(near)) + near + 1), lambda t: ~t.startswith("[CHAR "))
+        return F.transform(marks, lambda m: F.struct(m["id"].alias("id"), F.array_join(around(m), " ").alias("context")))
+
+    return bound(F.regexp_extract_all(text, F.lit(r"(?U)\[CHAR \d\]|\w+"), 0), windows)
 
 
 def verbatim_form(text: Column) -> Column:

@@ -3,8 +3,6 @@
 All are Arrow-batched scalar UDFs; the plain functions beside them can be used and tested without Spark.
 """
 
-from __future__ import annotations
-
 import html
 import random
 import re
@@ -21,26 +19,32 @@ def _each(kind: str, f):
     """A pandas UDF that applies f to the values of its columns; a null in any of them gives null."""
 
     def make(*cols: Column) -> Column:
-        def run(*series: pd.Series) -> pd.Series:
-            return pd.Series([None if any(v is None for v in row) else f(*row) for row in zip(*series, strict=True)], dtype=object)
-
+        def run(*series: pd.Series):
+            out = [None if any(v is None for v in row) else f(*row) for row in zip(*series, strict=True)]
+            if not kind.startswith("struct"):
+                return pd.Series(out, dtype=object)
+            names = [part.split(":")[0].strip() for part in kind[7:-1].split(", ") if ":" in part]
+            return pd.DataFrame({n: pd.Series([None if o is None else o[n] for o in out], dtype=object) for n in names})
+
+        # The annotation tells Spark whether a UDF returns a column or a struct's columns.
+        result = pd.DataFrame if kind.startswith("struct") else pd.Series
         if len(cols) == 1:
 
             @F.pandas_udf(kind)
-            def one(a: pd.Series) -> pd.Series:
+            def one(a: pd.Series) -> result:
                 return run(a)
 
             return one(*cols)
         if len(cols) == 2:
 
             @F.pandas_udf(kind)
-            def two(a: pd.Series, b: pd.Series) -> pd.Series:
+            def two(a: pd.Series, b: pd.Series) -> result:
                 return run(a, b)
 
             return two(*cols)
 
         @F.pandas_udf(kind)
-        def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        def three(a: pd.Series, b: pd.Series, c: pd.Series) -> result:
             return run(a, b, c)
 
         return three(*cols)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 
 def floor_quantile(values: Column, q: float) -> Column:
     """sorted[int(q * (n - 1))] of an array column."""
@@ -130,9 +132,12 @@ def gram_overlap(words_a: Column, words_b: Column, n: int) -> Column:
 
 def grams(words: Column, n: int) -> Column:
     """Distinct word n-grams of an array of words."""
-    last = F.size(words) - (n - 1)
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))
+    def runs(w: Column) -> Column:
+        last = F.size(w) - (n - 1)
+        at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+    return bound(words, runs)
 
 
 def longest_common_run(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
