@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -248,13 +248,24 @@ def _across(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     both = both.withColumn("d", difference("s1", "s2")).withColumn("n", F.floor(F.length("s2") / 8))
     # most: the largest set that this one can be near to when they share nothing outside the centre.
     most = F.floor(F.col("d.common") * (100 + percent) / percent) - F.col("n")
-    spokes = cut(both.select("centre", "node", "component", (F.col("component") != F.col("of_centre")).alias("open"), "n", F.col("d.outside").alias("outside"), most.alias("most")))
+    spokes = cut(both.select("centre", "node", "component", (F.col("component") != F.col("of_centre")).alias("open"), "n", F.col("d.common").alias("common"), F.col("d.outside").alias("outside"), most.alias("most")))
     x = spokes.where("open").select("centre", F.col("node").alias("p"), F.col("component").alias("cp"), F.col("n").alias("np"), F.col("most").alias("mp"), F.col("outside").alias("op"))
     y = spokes.select("centre", F.col("node").alias("q"), F.col("component").alias("cq"), F.col("n").alias("nq"), F.col("most").alias("mq"), F.col("outside").alias("oq"))
     near = (F.col("cp") != F.col("cq")) & (100 * F.least("np", "nq") >= percent * F.greatest("np", "nq"))
-    shared = x.withColumn("g", F.explode("op")).drop("op").join(y.withColumn("g", F.explode("oq")).drop("oq"), ["centre", "g"]).where(near)
+    # A near pair shares at least `need` shingles outside the centre, so prefixes of these sets in order of rarity must meet.
+    least = spokes.groupBy("centre").agg(F.min("n").alias("least"))
+    low_n = F.greatest(F.ceil(F.col("n") * percent / 100), F.col("least"))
+    need = F.ceil((F.col("n") + low_n) * percent / (100 + percent)) - F.col("common")
+    grams = spokes.join(least, "centre").select("centre", "node", (F.size("outside") + 1 - F.greatest(need, F.lit(1))).alias("prefix"), F.explode("outside").alias("g"))
+    times = grams.groupBy("centre", "g").agg(F.count("*").alias("times"))
+    nth = F.row_number().over(Window.partitionBy("centre", "node").orderBy("times", "g"))
+    grams = cut(grams.join(times, ["centre", "g"]).withColumn("nth", nth).where("nth <= prefix and times > 1").select("centre", "node", "g"))
+    x, y = x.drop("op"), y.drop("oq")
+    left = grams.withColumnRenamed("node", "p").join(x, ["centre", "p"])
+    right = grams.withColumnRenamed("node", "q").join(y, ["centre", "q"])
+    shared = left.join(right, ["centre", "g"]).where(near)
     low, high = F.ceil(F.col("np") * percent / 100), F.least("mp", F.floor(F.col("np") * 100 / percent))
-    sized = x.where(low <= high).withColumn("size", F.explode(F.sequence(low, high))).drop("op").join(y.withColumn("size", F.col("nq")).drop("oq"), ["centre", "size"]).where(near & (F.col("np") <= F.col("mq")))
+    sized = x.where(low <= high).withColumn("size", F.explode(F.sequence(low, high))).join(y.withColumn("size", F.col("nq")), ["centre", "size"]).where(near & (F.col("np") <= F.col("mq")))
     ends = F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")
     return shared.select(*ends).union(sized.select(*ends)).distinct()
 
