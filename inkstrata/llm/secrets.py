@@ -114,7 +114,9 @@ def _pieces(text: Column, rule: Rule) -> Column:
 def _scan(text: Column, rule: Rule) -> Column:
     """_pieces, but only for a text in which a long enough match can be."""
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
-    quick = rule.regex[:-1] + "{" + str(rule.least) + "}" if rule.regex.endswith("]+") and rule.value == 0 else rule.regex
+    # A literal head and one class: a match is long enough if so many characters of the class follow the head.
+    plain = re.fullmatch(r"(\w*)(\[[^\]]+\])\+", rule.regex)
+    quick = f"{plain[1]}{plain[2]}{{{rule.least - len(plain[1])}}}" if plain and rule.least > len(plain[1]) else rule.regex
     return F.when(F.regexp_like(text, F.lit(quick)), _pieces(text, rule)).otherwise(none)
 
 
