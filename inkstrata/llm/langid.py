@@ -28,7 +28,10 @@ SYMBOLS = 96
 
 
 def build(codes: np.ndarray, symbols: int) -> np.ndarray:
-    """The suffix automaton of a sequence of symbols, as a flat table: next state, or ~(state after the root) on a miss."""
+    """The suffix automaton of a sequence of symbols, as a flat table: next state, or ~(state after the root) on a miss.
+
+    The last state is where a parse starts and where an unseen symbol leads: every symbol starts a phrase there.
+    """
     link, longest, moves = [-1], [0], [{}]
     last = 0
     for c in codes.tolist():
@@ -54,10 +57,10 @@ def build(codes: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    table = np.full((len(link), symbols), -1, np.int32)
+    table = np.empty((len(link) + 1, symbols), np.int32)
     root = moves[0]
     for c in range(symbols):
-        table[:, c] = ~root.get(c, 0)
+        table[:, c] = ~root.get(c, len(link))
     for s, m in enumerate(moves):
         for c, t in m.items():
             table[s, c] = t
@@ -100,8 +103,8 @@ class Parser:
         for t in range(most):
             padded[t, : live[t]] = codes[first[: live[t]] + t]
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(first), np.int32)
-            count = np.ones(len(first), np.int32)
+            state = np.full(len(first), len(table) - self.symbols, np.int32)
+            count = np.zeros(len(first), np.int32)
             for t in range(most):
                 n = live[t]
                 # States are kept multiplied by the number of symbols.
