@@ -8,7 +8,8 @@ case kept), hashed into BUCKETS. The raw model counts every feature of every doc
 a bounded sample of rows labelled good (SAMPLE rows, the smallest by hash). Each model is mixed with SMOOTH of the uniform one,
 so rare buckets are neutral. The log weight is divided by its mean and by the square root of its length: less its
 expectation under the target model, over sqrt(features), so that length neither helps nor harms.
-k is the number of documents whose weight is at least CUT; Gumbel noise of scale NOISE then decides close calls.
+k is the number of documents whose weight is at least a cut that parts the sample's good rows from the others best, each
+half of the sample being scored by a model of the other half; Gumbel noise of scale NOISE then decides close calls.
 """
 
 from __future__ import annotations
@@ -137,13 +138,22 @@ class Resampler:
                 .where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
         # At most `sample` rows of two small columns: safe to broadcast.
         known = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(rows), "doc_id"))
-        target = counts(known.where("good"))
+        # Each half of the sample is scored by a model of the other half, so that the cut fits texts the model hasn't seen.
+        half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
+        parts = [counts(known.where(F.col("good") & half)), counts(known.where(F.col("good") & ~half))]
+        target = parts[0] + parts[1]
         if not target.sum():
             return None
         raw = counts(docs)
+        good, bad = [], []
+        for own, other in ((half, parts[1]), (~half, parts[0])):
+            if other.sum():
+                held = known.where(own).select("good", scorer(*weights(other, raw), 0.0)("doc_id", "text").alias("s")).select("good", "s.weight").toPandas()
+                good.append(held.weight[held.good].to_numpy())
+                bad.append(held.weight[~held.good].to_numpy())
         ratio, mean = weights(target, raw)
-        scored = known.select("good", scorer(ratio, mean, 0.0)("doc_id", "text").alias("s")).select("good", "s.weight").toPandas()
-        return cls(ratio, mean, best_cut(scored.weight[scored.good].to_numpy(), scored.weight[~scored.good].to_numpy()))
+        good, bad = (np.concatenate(x) if x else np.zeros(0) for x in (good, bad))
+        return cls(ratio, mean, best_cut(good, bad) if len(good) else -np.inf)
 
     def scored(self, docs: DataFrame, column: str = "_s") -> DataFrame:
         key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
