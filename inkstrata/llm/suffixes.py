@@ -134,7 +134,17 @@ def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(np.append(starts, n))
     deep = rows[:, SHALLOW:]
     wide = width - SHALLOW
-    many = sizes > 1
+    # Two strings need no trie.
+    pair = starts[sizes == 2]
+    if len(pair):
+        x, y = deep[order[pair]], deep[order[pair + 1]]
+        unequal = x != y
+        at = np.where(unequal.any(axis=1), np.argmax(unequal, axis=1), wide)
+        place = np.minimum(at, wide - 1)
+        swap = x[np.arange(len(pair)), place] > y[np.arange(len(pair)), place]
+        order[pair[swap]], order[pair[swap] + 1] = order[pair[swap] + 1], order[pair[swap]]
+        lcp[pair + 1] = SHALLOW + at
+    many = sizes > 2
     for a, size in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
         part = order[a : a + size]
         raw = deep[part].tobytes()
@@ -252,13 +262,23 @@ def lister(buckets: int):
                 name, at, (hs, ids_, bodies_, known) = _split(bucket, h[pick], ids[pick], bodies[pick], local[which[pick]].astype(np.int8))
                 for b, a, z in zip(name.tolist(), at[:-1], at[1:], strict=True):
                     x = np.lexsort((bodies_[a:z], ids_[a:z]))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((b, pa.int32()), (hs[a:z][x].tobytes(), pa.binary()), (ids_[a:z][x].tobytes(), pa.binary()), (bodies_[a:z][x].tobytes(), pa.binary()), (known[a:z][x].tobytes(), pa.binary()))], ["bucket", "h", "ids", "bodies", "known"])
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((b, pa.int32()), *[(_packed(v[a:z][x]), pa.binary()) for v in (hs, ids_, bodies_, known)])], ["bucket", "h", "ids", "bodies", "known"])
 
     return run, "bucket int, h binary, ids binary, bodies binary, known binary"
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """The bytes of an array, compressed, after their number."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: pa.Buffer, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"), codec="zstd"), kind)
+
+
 def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    parts = [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
+    parts = [_unpacked(x.as_buffer(), kind) for x in table[name] if x.is_valid]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
@@ -291,11 +311,12 @@ def _by_row(ids: np.ndarray, bodies: np.ndarray, values: np.ndarray) -> pa.Table
 
 
 def looker(buckets: int):
-    """Pass 2: intervals that the batch itself covers (bucket -1), and one entry per distinct surrounding for the buckets."""
+    """Pass 2: intervals that the batch itself covers, in buckets of their own that the batch chooses, and one entry per
+    distinct surrounding for the minimisers' buckets."""
     span = REACH - 1 + LENGTH
 
     def run(batches):
-        for batch in batches:
+        for number, batch in enumerate(batches):
             body, offsets, _ = buffers(batch.column("text"))
             wanted = batch.column("x")
             parts = []
@@ -315,28 +336,31 @@ def looker(buckets: int):
                 low, high = np.maximum(place - REACH + 1, at[row]), np.minimum(place + LENGTH, at[row + 1])
                 before, after = place - low, high - place
                 f = span_hash(prefix, low, high) ^ mix((before * 256 + after).astype(np.uint64))
-                # Places past a row's end get a number per entry later; here they are 0.
-                spot = low[:, None] + np.arange(span)
-                context = np.where(spot < high[:, None], text[np.minimum(spot, len(text) - 1)], 0).astype(np.uint8)
-                parts.append((h, f, row + i, place - at[row], before, after, context))
+                parts.append((h, f, row + i, place - at[row], before, after))
             if not parts:
                 continue
-            h, f, row, place, before, after, context = (np.concatenate([p[k] for p in parts]) for k in range(7))
+            h, f, row, place, before, after = (np.concatenate([p[k] for p in parts]) for k in range(6))
             ids, bodies = _rows(batch, row)
             order = np.lexsort((place, bodies, ids, f, h))
-            h, f, row, place, before, after, context, ids, bodies = (a[order] for a in (h, f, row, place, before, after, context, ids, bodies))
+            h, f, row, place, before, after, ids, bodies = (a[order] for a in (h, f, row, place, before, after, ids, bodies))
             head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (f[1:] != f[:-1]))))
             which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
             done = ids > ids[head][which]
             got = _intervals(ids[done], bodies[done], place[done] - before[done], place[done] + after[done])
+            seed = int(mix(np.array([bodies[0] + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
             empty = pa.array([None] * len(got), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), -1, np.int32)), *[c.combine_chunks() for c in got.columns], *[empty] * 5], ["bucket", "doc_id", "body", "x", "h", "f", "ids", "bodies", "rest"])
+            if len(got):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), buckets + seed, np.int32)), *[c.combine_chunks() for c in got.columns], *[empty] * 5], ["bucket", "doc_id", "body", "x", "h", "f", "ids", "bodies", "rest"])
             left = np.flatnonzero(~done)
             bucket = (h[left] % np.uint64(buckets)).astype(np.int64)
-            rest = np.concatenate((np.stack((place, before, after), 1)[left].astype(np.int32).view(np.uint8), context[left]), axis=1)
+            # Only entries carry their surroundings; places past a row's end are 0 here and get a number of their own later.
+            spot = (offsets[row[left]] + place[left] - before[left])[:, None] + np.arange(span)
+            size = (before + after)[left][:, None]
+            context = np.where(np.arange(span) < size, body[np.minimum(spot, len(body) - 1)], 0).astype(np.uint8)
+            rest = np.concatenate((np.stack((place, before, after), 1)[left].astype(np.int32).view(np.uint8), context), axis=1)
             name, at, (hs, fs, ids_, bodies_, rest) = _split(bucket, h[left], f[left], ids[left], bodies[left], rest)
             for b, a, z in zip(name.tolist(), at[:-1], at[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((b, pa.int32()), (None, pa.int64()), (None, pa.int64()), (None, pa.binary()), *[(v[a:z].tobytes(), pa.binary()) for v in (hs, fs, ids_, bodies_, rest)])], ["bucket", "doc_id", "body", "x", "h", "f", "ids", "bodies", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((b, pa.int32()), (None, pa.int64()), (None, pa.int64()), (None, pa.binary()), *[(_packed(v[a:z]), pa.binary()) for v in (hs, fs, ids_, bodies_, rest)])], ["bucket", "doc_id", "body", "x", "h", "f", "ids", "bodies", "rest"])
 
     return run, "bucket int, doc_id bigint, body bigint, x binary, h binary, f binary, ids binary, bodies binary, rest binary"
 
@@ -350,11 +374,13 @@ def _intervals(ids: np.ndarray, bodies: np.ndarray, start: np.ndarray, end: np.n
     return _by_row(keys[row, 0], keys[row, 1], np.stack((start, end), 1).astype(np.int32))
 
 
-def resolver():
-    """A bucket's entries to intervals by row."""
+def resolver(buckets: int):
+    """A bucket's entries to intervals by row; intervals that came as such pass through."""
     span = REACH - 1 + LENGTH
 
     def run(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() >= buckets:
+            return table.select(["doc_id", "body", "x"])
         h, f, ids, bodies = (_joined(table, c, k) for c, k in (("h", np.uint64), ("f", np.uint64), ("ids", np.int64), ("bodies", np.int64)))
         rest = _joined(table, "rest", np.uint8).reshape(len(h), -1)
         place, before, after = np.ascontiguousarray(rest[:, :12]).view(np.int32).astype(np.int64).T
@@ -404,12 +430,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     tidy(spark)
     shared = shared.groupBy("doc_id", "body").agg(F.collect_list("x").alias("x"))
     run, kind = looker(buckets)
-    looked = cut(rows.join(shared, ["doc_id", "body"]).select("doc_id", "body", "text", "x").mapInArrow(run, kind))
-    tidy(spark)
-    run, kind = resolver()
-    entries = looked.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, kind)
-    found = cut(entries.union(looked.where("bucket < 0").select("doc_id", "body", "x")))
-    del looked, entries, shared
+    looked = rows.join(shared, ["doc_id", "body"]).select("doc_id", "body", "text", "x").mapInArrow(run, kind)
+    run, kind = resolver(buckets)
+    found = cut(looked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, kind))
+    del looked, shared
     tidy(spark)
     return found.groupBy("doc_id", "body").agg(F.collect_list("x").alias("x"))
 
