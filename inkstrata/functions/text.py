@@ -27,6 +27,11 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def flat(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.regexp_replace(F.regexp_replace(text, SPACE, " "), "^ | $", "")
@@ -50,7 +55,7 @@ def cut_words(text: Column, k: int, last: bool = False) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of the flattened text; closing quotes at a boundary go with the boundary."""
-    return F.filter(F.split(flat(text), SENTENCE_END), lambda s: F.trim(s) != "")
+    return F.filter(F.split(flat(text), SENTENCE_END), lambda s: strip(s) != "")
 
 
 def first_sentences(text: Column, n: int = 1) -> Column:
@@ -114,7 +119,7 @@ def clean_notes(text: Column) -> Column:
 
 
 def drop_filler(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, FILLER, ""))
+    return strip(F.regexp_replace(text, FILLER, ""))
 
 
 def nest_headings(text: Column) -> Column:
@@ -126,8 +131,8 @@ def section_map(text: Column) -> Column:
     """Markdown '## head' sections as a map from head to body; of equal heads the last one stays."""
 
     def as_map(parts: Column) -> Column:
-        heads = F.transform(parts, lambda s: F.trim(F.regexp_extract(s, r"^## ([^\n]*)", 1)))
-        bodies = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"^## [^\n]*\n?", "")))
+        heads = F.transform(parts, lambda s: strip(F.regexp_extract(s, r"^## ([^\n]*)", 1)))
+        bodies = F.transform(parts, lambda s: strip(F.regexp_replace(s, r"^## [^\n]*\n?", "")))
         return bound(F.arrays_zip(heads.alias("h"), bodies.alias("b")), last_of)
 
     def last_of(pairs: Column) -> Column:
@@ -141,12 +146,12 @@ def section_map(text: Column) -> Column:
 def drop_section(text: Column, head: str) -> Column:
     """The text without the sections whose heading starts with `head`, in any case."""
     pattern = r"(?i)^#+\s*" + head
-    return F.array_join(F.filter(F.split(text, r"(?m)^(?=#+ )"), lambda s: ~F.regexp_like(F.trim(s), F.lit(pattern))), "")
+    return F.array_join(F.filter(F.split(text, r"(?m)^(?=#+ )"), lambda s: ~F.regexp_like(strip(s), F.lit(pattern))), "")
 
 
 def name_subject(text: Column, name: Column) -> Column:
     """A leading She or He becomes the name, Her or His its possessive."""
-    bare = F.trim(F.regexp_replace(F.element_at(F.split(name, " / "), 1), r"\s*\(.*?\)|\s*“.*?”", ""))
+    bare = strip(F.regexp_replace(F.element_at(F.split(name, " / "), 1), r"\s*\(.*?\)|\s*“.*?”", ""))
     safe = F.regexp_replace(bare, r"([\\$])", r"\\$1")
     return F.regexp_replace(F.regexp_replace(text, F.lit(r"^(?:She|He)\b"), safe), F.lit(r"^(?:Her|His)\b"), F.concat(safe, F.lit("’s")))
 
@@ -174,7 +179,7 @@ def verbatim_form(text: Column) -> Column:
 
 def json_text(reply: Column) -> Column:
     """The JSON object of a reply: without code fences, or else from the first brace to the last."""
-    bare = F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*|\s*```$", "")
+    bare = F.regexp_replace(strip(reply), r"^```(?:json)?\s*|\s*```$", "")
     inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     return F.when(F.try_parse_json(bare).isNotNull(), bare).when(F.try_parse_json(inner).isNotNull(), inner)
 
@@ -257,10 +262,10 @@ HEADING = r"^\s*((CHAPTER|Chapter|PART|Part|PROLOGUE|Prologue|EPILOGUE|Epilogue|
 def strip_heading(text: Column, header: Column) -> Column:
     """The text without its header and leading heading lines; null where the header is all there is."""
     head = F.coalesce(header, F.lit(""))
-    named = F.trim(head) != ""
+    named = strip(head) != ""
     rest = F.when(named & F.startswith(text, head), F.substr(text, F.length(head) + 1)).otherwise(text)
     bare = F.regexp_replace(rest, "^(?:" + HEADING[1:] + ")+", "")
-    return F.when(named & (F.trim(text) == F.trim(head)), None).otherwise(F.trim(strip_markup(bare)))
+    return F.when(named & (strip(text) == strip(head)), None).otherwise(strip(strip_markup(bare)))
 
 
 def java_quote(text: str) -> str:

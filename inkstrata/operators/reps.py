@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cut_words, word_count
+from ..functions.text import cut_words, strip, word_count
 
 
 def as_of(rows: DataFrame, boundaries: DataFrame, keys: list[str], low: int | None = None, skip: int = 0) -> DataFrame:
@@ -104,8 +104,8 @@ def render_sections(rows: DataFrame, keys: list[str], sections: list[str], defau
 
 def render_archive(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Rows(head_no, head, chapter, text) as an archive sheet; heads stay if they are sections or have blocks."""
-    block = F.concat(F.lit("<snippet "), F.col("chapter").cast("string"), F.lit(">\n"), F.trim("text"))
-    body = F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("chapter", block.alias("t")))))
+    block = F.concat(F.lit("<snippet "), F.col("chapter").cast("string"), F.lit(">\n"), strip(F.col("text")))
+    body = F.array_sort(F.collect_list(F.when(strip(F.col("text")) != "", F.struct("chapter", block.alias("t")))))
     heads = blocks.groupBy(*keys, "head_no", "head").agg(body.alias("b")).where((F.size("b") > 0) | F.col("head").startswith("## "))
     heads = heads.withColumn("p", F.concat(F.col("head"), F.when(F.size("b") > 0, F.concat(F.lit("\n\n"), F.array_join(F.col("b.t"), "\n"))).otherwise("")))
     return ordered_text(heads.select(*keys, "head_no", F.col("p").alias("text")), keys, ["head_no"], "text", "\n\n")
@@ -126,7 +126,7 @@ def archive_layout(notes: DataFrame, boundaries: DataFrame, keys: list[str], lay
     by_q = ordered_text(full, [*group, "s_no", "section", "q_no", "question"], ["chapter_index"], "text", "")
     by_q = by_q.withColumn("text", F.concat(F.lit("Question: "), "question", F.lit("\n\n"), "text"))
     by_s = ordered_text(by_q, [*group, "s_no", "section"], ["q_no"], "text", "\n").withColumn("text", F.concat(F.lit("## "), "section", F.lit("\n\n"), "text"))
-    return ordered_text(by_s, group, ["s_no"], "text", "-" * 100 + "\n").withColumn("text", F.trim("text"))
+    return ordered_text(by_s, group, ["s_no"], "text", "-" * 100 + "\n").withColumn("text", strip(F.col("text")))
 
 
 def combine(reps: DataFrame, conds: list[str], name: str, keys: list[str]) -> DataFrame:

@@ -143,9 +143,9 @@ def grams(words: Column, n: int) -> Column:
 def longest_common_run(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Length of the longest run of words that two word arrays share: equal words meet in an equi-join, and runs are
     islands on the diagonals (a place less b place)."""
-    left = pairs.select(*keys, F.posexplode(a).alias("i", "w"))
-    right = pairs.select(*keys, F.posexplode(b).alias("j", "w"))
-    hits = left.join(right, [*keys, "w"]).select(*keys, (F.col("i") - F.col("j")).alias("d"), "i")
-    w = Window.partitionBy(*keys, "d").orderBy("i")
-    runs = hits.withColumn("island", F.col("i") - F.row_number().over(w)).groupBy(*keys, "d", "island").agg(F.count("*").alias("run"))
-    return runs.groupBy(*keys).agg(F.max("run").alias("longest"))
+    left = pairs.select(*keys, F.posexplode(a).alias("_i", "_w"))
+    right = pairs.select(*keys, F.posexplode(b).alias("_j", "_w"))
+    hits = left.join(right, [*keys, "_w"]).select(*keys, (F.col("_i") - F.col("_j")).alias("_d"), "_i")
+    w = Window.partitionBy(*keys, "_d").orderBy("_i")
+    runs = hits.withColumn("_island", F.col("_i") - F.row_number().over(w)).groupBy(*keys, "_d", "_island").agg(F.count("*").alias("_run"))
+    return runs.groupBy(*keys).agg(F.max("_run").alias("longest"))

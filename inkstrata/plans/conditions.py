@@ -15,7 +15,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cut_words
+from ..functions.text import cut_words, strip
 
 # Prompt texts.
 INTRO = {
@@ -151,7 +151,7 @@ def jobs(items: DataFrame, n: int, shown: bool, most: int | None = 6, rotations:
 def prompt(n: int, head: Column | None = None, book: Column | None = None, shown: bool = True, recent: Column | None = None, pre: Column | None = None) -> Column:
     """The prompt of a job row with names map<label, name>, order, target, masked, and blocks map<label, text> if shown."""
     named = F.transform("order", lambda x: F.concat(F.lit("- "), F.element_at("names", x)))
-    texts = F.transform("order", lambda x: F.concat(F.lit("## "), F.element_at("names", x), F.lit("\n\n"), F.trim(F.element_at("blocks", x)))) if shown else None
+    texts = F.transform("order", lambda x: F.concat(F.lit("## "), F.element_at("names", x), F.lit("\n\n"), strip(F.element_at("blocks", x)))) if shown else None
     parts = [F.lit(INTRO[n])]
     if book is not None:
         parts.append(F.concat(F.lit("# "), F.lit("The novel so far") if head is None else head, F.lit("\n\n"), book))
