@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, buffers, chunks, fresh, mix, prefix_hash, ranges, span_hash
+from .common import GOLDEN, buffers, chunks, fresh, mix, prefix_hash, ranges, small_batches, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 #: Pieces weigh (rank + 2) ** -THETA: larger values bring the sample nearer to the single best path.
 THETA = 1.5
 #: Units are sampled in chunks of so many bytes of text.
-SAMPLE_BYTES = 3 << 20
+SAMPLE_BYTES = 2 << 20
 
 
 class Vocabulary:
@@ -81,7 +81,6 @@ class Vocabulary:
             while self.key[at]:
                 at = (at + 1) % (1 << self.bits)
             self.key[at], self.id[at], self.weight[at] = h, i, w
-        self.weight_of = np.append(self.weight, 0.0)  # slot -1: no piece
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, or -1."""
@@ -122,36 +121,44 @@ def code_points(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _lattice(v: Vocabulary, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward filtering of units (first, length into codes): per character and piece length, the cumulative posterior
-    of the piece that ends there, and its slot. Weights are rescaled at each position, so long units don't underflow."""
+    of the piece that ends there, and its id. Weights are rescaled at each position, so long units don't underflow."""
     n, wide = len(codes), v.longest
     prefix = prefix_hash(v.values[codes])
     place = np.arange(n) - np.repeat(first, length)  # position in its unit
-    slot = np.full((n, wide), -1, np.int32)
+    piece = np.full((n, wide), -1, np.int16 if len(v.lengths) < 1 << 15 else np.int32)
+    edge = np.zeros((n, wide), np.float32)
+    reach = np.zeros(n, np.int8)
     ends = np.arange(n)
     for size in range(1, wide + 1):
         at = ends[place[ends] >= size - 1]
         if not len(at):
             break
-        slot[at, size - 1] = v.find(span_hash(prefix, at - size + 1, at + 1))
+        slot = v.find(span_hash(prefix, at - size + 1, at + 1))
+        found = np.flatnonzero(slot >= 0)
+        piece[at[found], size - 1] = v.id[slot[found]]
+        edge[at[found], size - 1] = v.weight[slot[found]]
+        reach[at[found]] = size
         ends = at
-    cumulative = np.zeros((n, wide), np.float32)
-    # alpha is kept relative to the position before: back[u, k] = alpha(p - k) / alpha(p - 1).
-    back = np.zeros((len(first), wide))
-    back[:, 0] = 1.0
-    order = np.argsort(-length, kind="stable")
-    back = back[order]
-    tops, starts = length[order], first[order]
-    for p in range(int(tops[0]) if len(tops) else 0):
-        live = int(np.searchsorted(-tops, -p, side="left"))  # units longer than p
-        at = starts[:live] + p
-        mass = np.cumsum(v.weight_of[slot[at]] * back[:live], axis=1)
-        total = mass[:, -1:]
-        cumulative[at] = mass / total
-        shifted = np.empty_like(back[:live])
-        shifted[:, 0] = 1.0
-        shifted[:, 1:] = back[:live, :-1] / total
-        back = shifted
-    return cumulative, slot
+    # Columns beyond a unit's longest piece stay 1: no number reaches them.
+    cumulative = np.ones((n, wide), np.float32)
+    longest = np.maximum.reduceat(reach, first) if len(first) else reach
+    done = 0
+    for width in (4, 6, 8, wide):
+        mine = np.flatnonzero((longest > done) & (longest <= width))
+        done = width
+        order = mine[np.argsort(-length[mine], kind="stable")]
+        tops, starts = length[order], first[order]
+        # alpha is kept relative to the position before: back[u, k] = alpha(p - 1 - k) / alpha(p - 1).
+        back = np.zeros((len(order), width))
+        back[:, 0] = 1.0
+        for p in range(int(tops[0]) if len(tops) else 0):
+            live = int(np.searchsorted(-tops, -p, side="left"))  # units longer than p
+            at = starts[:live] + p
+            mass = np.cumsum(edge[at, :width] * back[:live], axis=1)
+            total = mass[:, -1:]
+            cumulative[at, :width] = mass / total
+            back = np.concatenate((np.ones((live, 1)), back[:live, :-1] / total), axis=1)
+    return cumulative, piece
 
 
 def _sample(v: Vocabulary, codes: np.ndarray, row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +183,7 @@ def _sample(v: Vocabulary, codes: np.ndarray, row: np.ndarray, keys: np.ndarray)
     u_length = length[one]
     u_first = np.concatenate(([0], np.cumsum(u_length)))[:-1]
     flat = codes[np.repeat(first[one], u_length) + ranges(u_length)]
-    cumulative, slot = _lattice(v, flat, u_first, u_length)
+    cumulative, piece = _lattice(v, flat, u_first, u_length)
     # Position of a unit in its row seeds it, so chunks of rows don't matter.
     row_start = np.maximum.accumulate(np.where(new_row, np.arange(len(codes)), 0))
     seed = mix(keys[row[first]] + (first - row_start[first]).astype(np.uint64) * GOLDEN)
@@ -188,8 +195,8 @@ def _sample(v: Vocabulary, codes: np.ndarray, row: np.ndarray, keys: np.ndarray)
         # Rounding can leave the last sum a hair under u; the longest edge of that end is then meant.
         over = np.flatnonzero(size >= v.longest)
         if len(over):
-            size[over] = v.longest - 1 - np.argmax(slot[at[over]][:, ::-1] >= 0, axis=1)
-        out[target + left - 1] = v.id[slot[at, size]]
+            size[over] = v.longest - 1 - np.argmax(piece[at[over]][:, ::-1] >= 0, axis=1)
+        out[target + left - 1] = piece[at, size]
         left = left - size - 1
         on = left > 0
         left, base, target, seed, step = left[on], base[on], target[on], seed[on], step + 1
@@ -271,6 +278,7 @@ def encode(docs: DataFrame, path: str = MODEL, theta: float = THETA) -> DataFram
     a null doc_id is replaced by a hash of the text. Very long texts are one chunk each. Other columns are carried;
     clashing names get more underscores. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     ids, ok, s = fresh(docs, "piece_ids"), fresh(docs, "lossless"), fresh(docs, "_encoded")
     out = docs.withColumn(s, encoder(path, theta)(row_key(docs), F.col("text").cast("string")))
     return out.withColumns({ids: F.col(s)["ids"], ok: F.col(s)["lossless"]}).drop(s)
