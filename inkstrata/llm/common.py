@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+#: Rows in a batch that goes to a Python worker, where the session has Spark's default of 10,000: texts are long.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers and of the buffers beside them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def tidy(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of steps whose results have been cut off from them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove shuffle files of steps whose results have been cut off from them.
+
+    Its cleaner acts on what the driver's collector finds; a first pass only frees what Python had held.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def partitions(spark: SparkSession) -> int:

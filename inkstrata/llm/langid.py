@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, fresh
+from .common import buffers, chunks, fresh, small_batches
 from .pieces import code_points
 
 #: Characters of sample per language, rows that a sample is drawn from, and characters taken of one row.
@@ -172,6 +172,7 @@ def identify(docs: DataFrame, known: Column) -> DataFrame:
     first. Rows are judged by their text alone, so repeated rows agree; whole texts are parsed. An empty table gives an
     empty result. Extra columns are carried; clashing names get more underscores.
     """
+    small_batches(docs.sparkSession)
     lang, score, s = fresh(docs, "lang_pred"), fresh(docs, "score"), fresh(docs, "_found")
     parser = learn(docs, known)
     if parser is None:

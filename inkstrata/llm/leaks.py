@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, buffers, chunks, fresh, ranges
+from .common import GOLDEN, buffers, chunks, fresh, ranges, small_batches
 
 Q = 8
 #: Edits allowed per character of an item.
@@ -237,6 +237,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataF
     judged on its own, so repeated rows get equal matches; equal items are all reported. Extra columns are carried; a
     clashing name gets more underscores.
     """
+    small_batches(docs.sparkSession)
     own = fresh(docs, column)
     found: Column = F.array().cast(RESULT)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import GOLDEN, buffers, chunks, cut, mix, prefix_hash, span_hash, tidy, words_of
+from .common import GOLDEN, buffers, chunks, cut, mix, prefix_hash, small_batches, span_hash, tidy, words_of
 from .graph import components
 
 BANDS, ROWS = 24, 4
@@ -279,6 +279,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame
     are one document, which has the links of each of its texts. A row without doc_id takes no part: component_id null, kept
     false. An empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sketcher(words)(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("s"))
     rows = cut(rows.select("doc_id", "s.n", "s.f1", "s.f2", "s.regs"))
     nodes = rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("regs").alias("regs"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import buffers, chunks, cut, fresh, mix, power_table, prefix_hash, span_hash
+from .common import buffers, chunks, cut, fresh, mix, power_table, prefix_hash, small_batches, span_hash
 
 BUCKETS = 1 << 16
 SAMPLE = 20_000
@@ -177,6 +177,7 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     their noise, so repeated rows stand or fall together; ties at the threshold are all kept. Without a good labelled row
     everything is kept with weight 0. An empty table gives an empty result. Extra columns are carried along.
     """
+    small_batches(docs.sparkSession)
     names = [fresh(docs, c) for c in ("_features", "_log_weight", "_draw")]
     model = Resampler.fit(docs, labels, sample)
     if model is None:

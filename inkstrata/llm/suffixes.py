@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import buffers, chunks, cut, mix, prefix_hash, ranges, span_hash, tidy
+from .common import buffers, chunks, cut, mix, prefix_hash, ranges, small_batches, span_hash, tidy
 
 LENGTH = 50
 GRAM = 16
@@ -34,6 +34,8 @@ REACH = LENGTH - GRAM + 1
 SHALLOW = 24
 #: Runs up to this length are compared pair by pair.
 PAIRWISE = 24
+#: Text bytes that a worker lists or looks at together.
+BATCH_BYTES = 8 << 20
 #: Text bytes per bucket.
 BUCKET_BYTES = 24 << 20
 
@@ -218,6 +220,21 @@ def unite(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return row[first], start[first], np.append(top[first[1:] - 1], top[-1]) - row[first] * big
 
 
+def _portions(batches):
+    """The rows of the batches in numbered batches of about BATCH_BYTES of text."""
+    number, waiting, size = 0, [], 0
+    for batch in batches:
+        _, offsets, _ = buffers(batch.column("text"))
+        for i, j in chunks(offsets, BATCH_BYTES):
+            waiting.append(batch.slice(i, j - i))
+            size += int(offsets[j] - offsets[i])
+            if size >= BATCH_BYTES // 2:
+                yield number, pa.concat_batches(waiting)
+                number, waiting, size = number + 1, [], 0
+    if waiting:
+        yield number, pa.concat_batches(waiting)
+
+
 def _rows(batch: pa.RecordBatch, doc: np.ndarray):
     return np.asarray(batch.column("doc_id")).astype(np.int64)[doc], np.asarray(batch.column("body")).astype(np.int64)[doc]
 
@@ -235,7 +252,7 @@ def lister(buckets: int):
     in buckets of their own, which the batch alone chooses."""
 
     def run(batches):
-        for number, batch in enumerate(batches):
+        for number, batch in _portions(batches):
             body, offsets, _ = buffers(batch.column("text"))
             hashes, docs = [], []
             for i, j in chunks(offsets):
@@ -316,7 +333,7 @@ def looker(buckets: int):
     span = REACH - 1 + LENGTH
 
     def run(batches):
-        for number, batch in enumerate(batches):
+        for number, batch in _portions(batches):
             body, offsets, _ = buffers(batch.column("text"))
             wanted = batch.column("x")
             parts = []
@@ -354,9 +371,12 @@ def looker(buckets: int):
             left = np.flatnonzero(~done)
             bucket = (h[left] % np.uint64(buckets)).astype(np.int64)
             # Only entries carry their surroundings; places past a row's end are 0 here and get a number of their own later.
-            spot = (offsets[row[left]] + place[left] - before[left])[:, None] + np.arange(span)
-            size = (before + after)[left][:, None]
-            context = np.where(np.arange(span) < size, body[np.minimum(spot, len(body) - 1)], 0).astype(np.uint8)
+            context = np.zeros((len(left), span), np.uint8)
+            for i in range(0, len(left), 20_000):
+                some = left[i : i + 20_000]
+                spot = (offsets[row[some]] + place[some] - before[some])[:, None] + np.arange(span)
+                inside = np.arange(span) < (before + after)[some][:, None]
+                context[i : i + 20_000][inside] = body[spot[inside]]
             rest = np.concatenate((np.stack((place, before, after), 1)[left].astype(np.int32).view(np.uint8), context), axis=1)
             name, at, (hs, fs, ids_, bodies_, rest) = _split(bucket, h[left], f[left], ids[left], bodies[left], rest)
             for b, a, z in zip(name.tolist(), at[:-1], at[1:], strict=True):
@@ -394,12 +414,13 @@ def resolver(buckets: int):
         group = np.cumsum(new_h)[head]
         open_ = head[np.bincount(group)[group] > 1]
         # Bytes as numbers, with a number of its own for each place past a row's ends.
-        spot = before[open_][:, None] - 1 - np.arange(REACH - 1)
-        own = 256 + np.arange(len(open_))[:, None]
+        ahead = before[open_].astype(np.int32)[:, None]
+        spot = ahead - 1 - np.arange(REACH - 1, dtype=np.int32)
+        own = (256 + np.arange(len(open_), dtype=np.int32))[:, None]
         rows = np.arange(len(open_))[:, None]
         inner = context[open_]
         left = np.where(spot >= 0, inner[rows, np.maximum(spot, 0)], own)
-        spot = before[open_][:, None] + np.arange(LENGTH)
+        spot = ahead + np.arange(LENGTH, dtype=np.int32)
         right_ok = np.arange(LENGTH) < after[open_][:, None]
         right = np.where(right_ok, inner[rows, np.minimum(spot, span - 1)], own)
         entry, a, z = resolve(left, right, ids[open_])
@@ -417,6 +438,7 @@ def resolver(buckets: int):
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, body, x) of rows(doc_id, text) with something to remove; x is an array of packed (start, end) byte pairs."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), text.alias("text")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
