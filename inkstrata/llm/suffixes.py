@@ -35,7 +35,7 @@ SHALLOW = 24
 #: Runs up to this length are compared pair by pair.
 PAIRWISE = 24
 #: Text bytes that a worker lists or looks at together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 #: Text bytes per bucket.
 BUCKET_BYTES = 24 << 20
 
@@ -236,7 +236,12 @@ def _portions(batches):
 
 
 def _rows(batch: pa.RecordBatch, doc: np.ndarray):
-    return np.asarray(batch.column("doc_id")).astype(np.int64)[doc], np.asarray(batch.column("body")).astype(np.int64)[doc]
+    return np.asarray(batch.column("doc_id")).astype(np.int64)[doc], np.asarray(batch.column("body")).astype(np.int32)[doc]
+
+
+def _names(ids: np.ndarray, bodies: np.ndarray) -> np.ndarray:
+    """One number per (id, body)."""
+    return mix(ids.view(np.uint64) ^ mix(bodies.astype(np.int64).view(np.uint64) + common.GOLDEN))
 
 
 def _split(bucket: np.ndarray, *arrays):
@@ -274,7 +279,7 @@ def lister(buckets: int):
             local = low != high
             for through in (False, True):
                 pick = np.flatnonzero(local[which]) if through else head
-                seed = int(mix(np.array([bodies[0] + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+                seed = int(mix(np.array([int(bodies[0]) + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
                 bucket = np.full(len(pick), buckets + seed) if through else (h[pick] % np.uint64(buckets)).astype(np.int64)
                 name, at, (hs, ids_, bodies_, known) = _split(bucket, h[pick], ids[pick], bodies[pick], local[which[pick]].astype(np.int8))
                 for b, a, z in zip(name.tolist(), at[:-1], at[1:], strict=True):
@@ -303,7 +308,7 @@ def sharer(buckets: int):
     """The shared minimisers of a bucket, by row: a hash is shared if it has entries of two documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, ids, bodies = (_joined(table, c, k) for c, k in (("h", np.uint64), ("ids", np.int64), ("bodies", np.int64)))
+        h, ids, bodies = (_joined(table, c, k) for c, k in (("h", np.uint64), ("ids", np.int64), ("bodies", np.int32)))
         if table["bucket"][0].as_py() < buckets:
             order = np.argsort(h, kind="stable")
             h, ids, bodies = h[order], ids[order], bodies[order]
@@ -314,7 +319,7 @@ def sharer(buckets: int):
             h, ids, bodies = h[keep], ids[keep], bodies[keep]
         return _by_row(ids, bodies, h)
 
-    return run, "doc_id bigint, body bigint, x binary"
+    return run, "doc_id bigint, body int, x binary"
 
 
 def _by_row(ids: np.ndarray, bodies: np.ndarray, values: np.ndarray) -> pa.Table:
@@ -364,10 +369,10 @@ def looker(buckets: int):
             which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
             done = ids > ids[head][which]
             got = _intervals(ids[done], bodies[done], place[done] - before[done], place[done] + after[done])
-            seed = int(mix(np.array([bodies[0] + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+            seed = int(mix(np.array([int(bodies[0]) + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
             empty = pa.array([None] * len(got), pa.binary())
             if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), buckets + seed, np.int32)), *[c.combine_chunks() for c in got.columns], *[empty] * 5], ["bucket", "doc_id", "body", "x", "h", "f", "ids", "bodies", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), buckets + seed, np.int32)), *[c.combine_chunks() for c in got.columns], *[empty] * 3], ["bucket", "doc_id", "body", "x", "ids", "bodies", "rest"])
             left = np.flatnonzero(~done)
             bucket = (h[left] % np.uint64(buckets)).astype(np.int64)
             # Only entries carry their surroundings; places past a row's end are 0 here and get a number of their own later.
@@ -377,21 +382,34 @@ def looker(buckets: int):
                 spot = (offsets[row[some]] + place[some] - before[some])[:, None] + np.arange(span)
                 inside = np.arange(span) < (before + after)[some][:, None]
                 context[i : i + 20_000][inside] = body[spot[inside]]
-            rest = np.concatenate((np.stack((place, before, after), 1)[left].astype(np.int32).view(np.uint8), context), axis=1)
-            name, at, (hs, fs, ids_, bodies_, rest) = _split(bucket, h[left], f[left], ids[left], bodies[left], rest)
+            rest = np.concatenate((place[left].astype(np.int32)[:, None].view(np.uint8), np.stack((before, after), 1)[left].astype(np.uint8), context), axis=1)
+            name, at, (ids_, bodies_, rest) = _split(bucket, ids[left], bodies[left], rest)
             for b, a, z in zip(name.tolist(), at[:-1], at[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((b, pa.int32()), (None, pa.int64()), (None, pa.int64()), (None, pa.binary()), *[(_packed(v[a:z]), pa.binary()) for v in (hs, fs, ids_, bodies_, rest)])], ["bucket", "doc_id", "body", "x", "h", "f", "ids", "bodies", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((b, pa.int32()), (None, pa.int64()), (None, pa.int32()), (None, pa.binary()), *[(_packed(v[a:z]), pa.binary()) for v in (ids_, bodies_, rest)])], ["bucket", "doc_id", "body", "x", "ids", "bodies", "rest"])
 
-    return run, "bucket int, doc_id bigint, body bigint, x binary, h binary, f binary, ids binary, bodies binary, rest binary"
+    return run, "bucket int, doc_id bigint, body int, x binary, ids binary, bodies binary, rest binary"
 
 
 def _intervals(ids: np.ndarray, bodies: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
     """United intervals by row, as pairs of int32."""
     if not len(ids):
-        return _by_row(ids.astype(np.int64), bodies.astype(np.int64), np.zeros((0, 2), np.int32))
-    keys, which = np.unique(np.stack((ids, bodies), 1), axis=0, return_inverse=True)
-    row, start, end = unite(which.reshape(-1).astype(np.int64), start.astype(np.int64), end.astype(np.int64))
-    return _by_row(keys[row, 0], keys[row, 1], np.stack((start, end), 1).astype(np.int32))
+        return _by_row(ids.astype(np.int64), bodies.astype(np.int32), np.zeros((0, 2), np.int32))
+    _, one, which = np.unique(_names(ids, bodies), return_index=True, return_inverse=True)
+    row, start, end = unite(which.astype(np.int64), start.astype(np.int64), end.astype(np.int64))
+    return _by_row(ids[one[row]], bodies[one[row]], np.stack((start, end), 1).astype(np.int32))
+
+
+def _hashes(context: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of entries' minimisers and of their whole surroundings."""
+    rows = np.arange(len(context))[:, None]
+    gram = np.ascontiguousarray(context[rows, before[:, None] + np.arange(GRAM)]).view(np.uint64)
+    h = mix(gram[:, 0] ^ mix(gram[:, 1] + common.GOLDEN))
+    wide = np.zeros((len(context), -(-context.shape[1] // 8) * 8), np.uint8)
+    wide[:, : context.shape[1]] = context
+    f = mix((before * 256 + after).astype(np.uint64))
+    for word in wide.view(np.uint64).T:
+        f = mix(f ^ word) * common.GOLDEN
+    return h, f
 
 
 def resolver(buckets: int):
@@ -401,10 +419,11 @@ def resolver(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() >= buckets:
             return table.select(["doc_id", "body", "x"])
-        h, f, ids, bodies = (_joined(table, c, k) for c, k in (("h", np.uint64), ("f", np.uint64), ("ids", np.int64), ("bodies", np.int64)))
-        rest = _joined(table, "rest", np.uint8).reshape(len(h), -1)
-        place, before, after = np.ascontiguousarray(rest[:, :12]).view(np.int32).astype(np.int64).T
-        context = rest[:, 12:]
+        ids, bodies = _joined(table, "ids", np.int64), _joined(table, "bodies", np.int32)
+        rest = _joined(table, "rest", np.uint8).reshape(len(ids), -1)
+        place, (before, after) = np.ascontiguousarray(rest[:, :4]).view(np.int32).astype(np.int64)[:, 0], rest[:, 4:6].astype(np.int64).T
+        context = np.ascontiguousarray(rest[:, 6:])
+        h, f = _hashes(context, before, after)
         order = np.lexsort((place, bodies, ids, f, h))
         h, f, ids, bodies, place, before, after, context = (a[order] for a in (h, f, ids, bodies, place, before, after, context))
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
@@ -433,7 +452,12 @@ def resolver(buckets: int):
         at, a, z = at[mine], a[mine], z[mine]
         return _intervals(np.concatenate((ids[done], ids[at])), np.concatenate((bodies[done], bodies[at])), np.concatenate(((place - before)[done], place[at] - a)), np.concatenate(((place + after)[done], place[at] + z)))
 
-    return run, "doc_id bigint, body bigint, x binary"
+    return run, "doc_id bigint, body int, x binary"
+
+
+def body_of(text):
+    """A number that tells rows of one doc_id apart."""
+    return (F.coalesce(F.crc32(text.cast("binary")), F.lit(0)) - (1 << 31)).cast("int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -441,21 +465,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), text.alias("text")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body_of(text).alias("body"), text.alias("text")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(common.partitions(spark), int(total // BUCKET_BYTES) + 1)
     run, kind = lister(buckets)
     listed = rows.mapInArrow(run, kind).repartition(buckets, "bucket")
     run, kind = sharer(buckets)
-    shared = cut(listed.groupBy("bucket").applyInArrow(run, kind))
-    del listed
-    tidy(spark)
-    shared = shared.groupBy("doc_id", "body").agg(F.collect_list("x").alias("x"))
+    shared = listed.groupBy("bucket").applyInArrow(run, kind).groupBy("doc_id", "body").agg(F.collect_list("x").alias("x"))
     run, kind = looker(buckets)
     looked = rows.join(shared, ["doc_id", "body"]).select("doc_id", "body", "text", "x").mapInArrow(run, kind)
     run, kind = resolver(buckets)
     found = cut(looked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, kind))
-    del looked, shared
+    del listed, shared, looked
     tidy(spark)
     return found.groupBy("doc_id", "body").agg(F.collect_list("x").alias("x"))
 
@@ -497,6 +518,6 @@ def removed(docs: DataFrame) -> DataFrame:
     """
     found = repeats(docs)
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body_of(text).alias("body"), F.coalesce(text, F.lit("")).alias("text"))
     got = rows.join(found, ["doc_id", "body"], "left").select("doc_id", remover()("text", "x").alias("r"))
     return got.select("doc_id", "r.*")
