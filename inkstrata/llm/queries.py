@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, leaks, licenses, neardup, pieces, quality, secrets, sharding, suffixes
+from . import hnsw, langid, leaks, licenses, neardup, pieces, quality, secrets, sharding, sql, suffixes
 from .common import table
 
 
@@ -63,4 +63,4 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_quality_resampling, op3_secret_scan, op4_sentencepiece_sample, op5_suffix_repeats, op6_benchmark_leaks, op7_hnsw_neighbours, op8_language_cross_parsing, op9_near_duplicates, op10_license_windows)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_secret_scan": sql.secret_scan(), "op9_near_duplicates": sql.near_duplicates()}
