@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from .functions import text as t
 from .functions import unicode as u
 from .operators import items as it
+from .operators import lexical as lx
 from .operators import names as nm
 from .operators import reps as rp
 from .operators import scoring as sc
 from .operators import stats as st
 from .plans import conditions as cd
+from .plans import generate as gn
 from .plans import model as ml
 from .sources import adapters as ad
 from .streaming import jobs as sj
@@ -638,3 +640,102 @@ def event_windows(spark, sf):
 def event_sessions(spark, sf):
     """Sessions of users."""
     return sj.sessions(ad.table(spark, sf, "events"), "ts", "user_id").select("user_id", "start", "n")
+
+
+# Lexical selections and generation ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ad.LIKELIHOODS}, t AS (SELECT count(DISTINCT book) AS a FROM lk), e AS (SELECT line FROM lk GROUP BY line HAVING count(DISTINCT book) >= 0.5 * (SELECT a FROM t)) SELECT line::BIGINT AS line, count(*) AS n FROM lk WHERE line IN (SELECT line FROM e) GROUP BY line")
+def covering_rows(spark, sf):
+    """F16: rows of keys that cover half of the books."""
+    return lx.covering(ad.likelihoods(spark, sf), "line").groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ad.LIKELIHOODS} SELECT book, count(*) AS n FROM lk WHERE example NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY book")
+def excluded_sections(spark, sf):
+    """rows without those of excluded examples."""
+    from .sources.files import pending
+
+    out = ad.table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("example"))
+    return pending(ad.likelihoods(spark, sf), out, ["example"]).groupBy("book").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ad.LIKELIHOODS} SELECT cond, round(exp(-avg(-nll / 1000)), 6) AS ppl, count(*) AS n FROM lk GROUP BY cond")
+def mean_perplexity(spark, sf):
+    """Perplexity of mean log-probabilities."""
+    return lx.perplexity(ad.likelihoods(spark, sf).withColumn("score", -F.col("nll") / 1000), ["cond"])
+
+
+@query(f"WITH {ad.TURNS} SELECT book, max(chapter_index) AS last FROM tu GROUP BY book")
+def last_needed(spark, sf):
+    """The last chapter needed of each book."""
+    return lx.last_needed(ad.turns(spark, sf).select("book", (F.col("chapter_index") + 1).alias("boundary")))
+
+
+@query(f"WITH {ad.CHAPTERS}, n AS (SELECT * FROM (SELECT book, chapter_index, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM ch) WHERE regexp_full_match(name, '[A-Z][a-z]{{5,}}')) SELECT book, name, 'word' AS kind, count(*) AS n, min(chapter_index) AS first, count(DISTINCT chapter_index) AS chapters FROM n GROUP BY ALL")
+def entity_counts(spark, sf):
+    """Counts, first chapter and chapters of names."""
+    words = F.filter(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), 0), lambda w: F.regexp_like(w, F.lit("^[A-Z][a-z]{5,}$")))
+    found = ad.chapters(spark, sf).select("book", "chapter_index", F.explode(words).alias("name"), F.lit("word").alias("kind"))
+    return nm.entity_counts(found)
+
+
+@query(f"WITH {ad.TURNS} SELECT book, CASE label WHEN 'user' THEN 'person' WHEN 'assistant' THEN 'helper' ELSE label END AS label, count(*) AS n FROM tu GROUP BY ALL")
+def repaired_labels(spark, sf):
+    """Labels by their present names."""
+    return lx.repaired(ad.turns(spark, sf), "label", {"user": "person", "assistant": "helper"}).groupBy("book", "label").agg(F.count("*").alias("n"))
+
+
+@query("WITH p AS (SELECT DISTINCT source AS plot FROM documents), c AS (SELECT DISTINCT lang AS chars FROM documents) SELECT plot, chars, plot || '|' || chars AS condition FROM p, c")
+def condition_grid(spark, sf):
+    """Plot slots with character slots."""
+    d = ad.table(spark, sf, "documents")
+    return cd.grid(d.select(F.col("source").alias("condition")), d.select(F.col("lang").alias("condition")))
+
+
+@query("SELECT list_reduce(list_sort(list_distinct(list(lang))), lambda a, b: a || ',' || b) AS langs, source FROM documents GROUP BY source")
+def distinct_in_order(spark, sf):
+    """Distinct values of each source."""
+    return ad.table(spark, sf, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
+
+
+@query(r"SELECT event_id, regexp_extract(props, '\"([a-z_]+)\":', 1) AS key FROM events")
+def log_fields(spark, sf):
+    """Fields of log lines by regex."""
+    return ad.table(spark, sf, "events").select("event_id", F.regexp_extract("props", r'"([a-z_]+)":', 1).alias("key"))
+
+
+@query()
+def lexical_matcher(spark, sf):
+    """Masks matched to texts by the words around them."""
+    ch = ad.chapters(spark, sf).where("chapter_index < 9 and words > 12").withColumn("item", F.concat_ws("-", "book", (F.floor(F.col("chapter_index") / 3)).cast("string"))).withColumn("target", (F.col("chapter_index") % 3).cast("int"))
+    head = F.array_join(F.slice(t.words(F.col("text")), 1, 8), " ")
+    masked = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", head.alias("h")))), lambda x: F.concat(F.lit("[CHAR "), x["target"].cast("string"), F.lit("] "), x["h"])), " " + "x " * 40)
+    items = ch.groupBy("item").agg(masked.alias("masked"), F.array_sort(F.collect_list(F.struct("target", F.col("doc_id").cast("string").alias("label")))).alias("l")).where(F.size("l") == 3)
+    items = items.select("item", "masked", F.col("l.label").alias("labels"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("answer"))
+    return lx.match_masks(items, ch.select("item", F.col("doc_id").cast("string").alias("label"), "text"), near=8)
+
+
+@query()
+def generated_claims(spark, sf):
+    """Claims of each turn by the offline client, the best-rated ones rendered by section."""
+    work = ad.turns(spark, sf).select("book", "chapter_index", F.col("label").alias("name"), "text")
+    good, _ = gn.run(gn.STAGES["claims"], work, gn.extractor)
+    rows = good.select("book", "chapter_index", F.posexplode("claims").alias("i", "c")).where("c.rating >= 4").select("book", (F.col("chapter_index") * 100 + F.col("i")).alias("pos"), F.col("c.category").alias("section"), "c.text")
+    return rp.render_sections(rows, ["book"], ["Physical", "Dialogue", "History", "Knowledge", "Goals", "Relationships"])
+
+
+@query()
+def generated_notes(spark, sf):
+    """First sentences of chapter notes by the offline client."""
+    work = ad.turns(spark, sf).select("book", "chapter_index", F.col("label").alias("name"), "text")
+    good, _ = gn.run(gn.STAGES["notes"], work, gn.extractor)
+    return good.select("book", "chapter_index", F.explode("answers").alias("q", "text")).where("text <> ''").select("book", "chapter_index", "q", t.first_sentences(F.col("text")).alias("text"))
+
+
+@query()
+def verbatim_quotes(spark, sf):
+    """Quotes that stand in the source."""
+    work = ad.turns(spark, sf).select("book", "chapter_index", F.col("label").alias("name"), "text")
+    good, _ = gn.run(gn.STAGES["quotes"], work, gn.extractor)
+    return good.select("book", "chapter_index", F.explode("quotes").alias("quote"))
