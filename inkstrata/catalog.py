@@ -563,7 +563,7 @@ def dedup_greedy(spark, sf):
     """Statements that no kept earlier statement of their book and chapter resembles."""
     rows = ad.chapters(spark, sf).withColumn("chapter", F.col("chapter_index") % 5).select("book", "chapter", "doc_id", "text")
     vectors = rp.tfidf(rows, ["book", "chapter"], ["doc_id"], "text")
-    return rp.greedy_distinct(vectors, ["book", "chapter"], "doc_id", "v", 0.5).select("book", "chapter", "doc_id")
+    return rp.greedy_distinct(vectors, ["book", "chapter"], "doc_id", "v", 0.8).select("book", "chapter", "doc_id")
 
 
 @query()

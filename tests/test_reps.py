@@ -225,3 +225,17 @@ def test_stale_jobs(spark):
     df = spark.createDataFrame(pd.DataFrame(data, columns=["job", "ts", "kind", "running", "waiting"]))
     assert [r.job for r in jobs.stale(df, t(20)).collect()] == ["a"]
     assert jobs.stale(df, t(11)).count() == 0
+
+
+def test_greedy_duplicates_equal_the_loop(spark):
+    rng = random.Random(8)
+    docs = [(k, i, " ".join(rng.choice("ab cd ef gh ij kl mn".split()) for _ in range(rng.randint(3, 9)))) for k in "xy" for i in range(40)]
+    v = reps.tfidf(rows(spark, docs, "k string, i int, text string"), ["k"], ["i"], "text")
+    vec = {(r.k, r.i): r.v for r in v.collect()}
+    for threshold in (0.6, 0.9):
+        got = {(r.k, r.i) for r in reps.greedy_distinct(v, ["k"], "i", "v", threshold).collect()}
+        want = set()
+        for k, i, _ in docs:
+            if all(sum(w * vec[k, j].get(t, 0) for t, w in vec[k, i].items()) < threshold for kk, j in want if kk == k):
+                want.add((k, i))
+        assert got == want
