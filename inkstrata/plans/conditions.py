@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cut_words, strip
+from ..functions.unicode import exchange
 
 # Prompt texts.
 INTRO = {
@@ -23,6 +24,9 @@ INTRO = {
     2: "Below is information about two characters from a novel, followed by a passage from a later part of the same novel. In the passage, each of these characters' names has been replaced with an ID: [CHAR 0] or [CHAR 1]. Each ID stands for exactly one of the two characters.",
 }
 DIGITS = {3: "0, 1 or 2", 2: "0 or 1"}
+STORY_NAMES = ("book", "plot_", "ncp_", "si-")
+HEADS = {"book": "The novel so far", "plot": "Summary of the novel so far", "parts": "The story so far, chapter by chapter", "next": "Synopsis of this chapter", "story": "Story information"}
+SYNOPSES, LAST_TWO, SUMMARY, NEXT = "## Synopses of the chapters so far", "## The last two chapters", "## Plot summary so far", "## Synopsis of the next chapter"
 # End of fixed values.
 
 BOOK_TEXT = re.compile(r"book(?:_(?P<kind>last|noprev)(?P<k>\d+)|_(?P<prev>prevonly)|_ch(?P<ch>\d+)(?P<p>p?)|_(?P<prefix>prefix))?$")
@@ -57,7 +61,7 @@ class Condition:
 
 
 def is_story(name: str) -> bool:
-    return name.startswith(("book", "plot_", "ncp_", "si-"))
+    return name.startswith(STORY_NAMES)
 
 
 def parse(name: str) -> Condition:
@@ -114,12 +118,63 @@ def book_text(items: DataFrame, chapters: DataFrame, spec: BookText) -> DataFram
     return got.select("item_id", "text")
 
 
+def story_text(items: DataFrame, name: str, chapters: DataFrame | None = None, plots: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """(item_id, head, text) of a story condition; items whose text is missing are left out.
+
+    plots(condition, book, boundary, text) are plot summaries, parts(book, chapter_index, plot, raw, next) a story's given parts.
+    """
+    base, _, tail = ("", "", "") if name.startswith("si-") else name.partition("@")
+    last = int(tail.removeprefix("last")) if tail else None
+    cut = lambda c: cut_words(c, last, last=True) if last else c
+
+    def plot(of: str) -> DataFrame:
+        got = plots.where(F.col("condition") == of).select("book", F.col("boundary").alias("chapter_index"), "text")
+        return items.select("item_id", "book", "chapter_index").join(got, ["book", "chapter_index"]).select("item_id", "text")
+
+    def given(expr: Column) -> DataFrame:
+        return items.select("item_id", "book", "chapter_index").join(parts, ["book", "chapter_index"]).select("item_id", expr.alias("text"))
+
+    def titled(head: str, c: Column) -> Column:
+        return F.concat(F.lit(head + "\n\n"), c)
+
+    if name.startswith("book"):
+        got, head = book_text(items, chapters, parse_book(name)), HEADS["book"]
+    elif name.startswith("plot_"):
+        got, head = plot(base).withColumn("text", cut(F.col("text"))), HEADS["plot"]
+    elif name.startswith("ncp_"):
+        both = F.concat_ws("\n\n", titled(SYNOPSES, F.col("plot")), titled(LAST_TWO, F.col("raw")))
+        kinds = {"ncp_plot": (cut(F.col("plot")), "parts"), "ncp_next": (F.col("next"), "next"), "ncp_story": (both, "story"), "ncp_storynext": (F.concat_ws("\n\n", both, titled(NEXT, F.col("next"))), "story")}
+        if base not in kinds:
+            raise ValueError(f"not a story condition: {name!r}")
+        got, head = given(kinds[base][0]), HEADS[kinds[base][1]]
+    else:
+        first, _, recent = name.removeprefix("si-").rpartition("-")
+        first, _, tail = first.partition("@")
+        last = int(tail.removeprefix("last")) if tail else None
+        texts = []
+        if first != "none":
+            own = given(F.col("plot")) if first == "ncp" else plot(first)
+            texts.append(own.withColumn("text", titled(SYNOPSES if first == "ncp" else SUMMARY, cut(F.col("text")))))
+        if recent == "ch2":
+            texts.append(given(titled(LAST_TWO, F.col("raw"))))
+        elif recent.startswith("last"):
+            n = int(recent[4:])
+            texts.append(book_text(items, chapters, BookText(last=n)).withColumn("text", titled(f"## The last {n:,} words before this chapter", F.col("text"))))
+        elif recent != "none":
+            raise ValueError(f"not a story condition: {name!r}")
+        got, head = items.select("item_id", F.lit("").alias("text")), HEADS["story"]
+        for t in texts:
+            both = F.filter(F.array("text", "_more"), lambda x: x != "")
+            got = got.join(t.withColumnRenamed("text", "_more"), "item_id").select("item_id", F.array_join(both, "\n\n").alias("text"))
+    return got.where("text is not null").select("item_id", F.lit(head).alias("head"), "text")
+
+
 def sources(labels: Column, swap: bool) -> Column:
     """Whose block each label gets: its own, or the next label's in cyclic order."""
     return F.transform(labels, lambda x, i: F.get(labels, (i + 1) % F.size(labels)) if swap else x)
 
 
-def blocks(items: DataFrame, cond: Condition, reps: DataFrame, item_reps: DataFrame | None = None) -> DataFrame:
+def blocks(items: DataFrame, cond: Condition, reps: DataFrame, item_reps: DataFrame | None = None, names: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """(item_id, blocks map<label, text>) of items whose labels all have a text; item-level texts win over boundary-level ones.
 
     items(item_id, book, chapter_index, labels); an item without some text is left out, never shown as having no information.
@@ -131,6 +186,12 @@ def blocks(items: DataFrame, cond: Condition, reps: DataFrame, item_reps: DataFr
     if item_reps is not None:
         own = item_reps.where(F.col("condition") == cond.base).select("item_id", F.col("label").alias("source"), F.col("text").alias("own"))
         pairs = pairs.join(own, ["item_id", "source"], "left").withColumn("text", F.coalesce("own", "text")).drop("own")
+    if cond.rename:
+        # After a swap by name, the two characters' names change places in the text.
+        also = aliases.groupBy("book", "label").agg(F.array_sort(F.collect_set("alias")).alias("forms")).join(names, ["book", "label"])
+        also = also.select("book", "boundary", "label", F.struct("forms", "name").alias("who"))
+        pairs = pairs.join(also.withColumnRenamed("who", "to"), ["book", "boundary", "label"]).join(also.withColumnsRenamed({"label": "source", "who": "from"}), ["book", "boundary", "source"])
+        pairs = pairs.withColumn("text", exchange(F.col("text"), F.col("from"), F.col("to")))
     if cond.words:
         pairs = pairs.withColumn("text", cut_words(F.col("text"), cond.words))
     return pairs.where("text is not null").groupBy("item_id", "n").agg(F.map_from_entries(F.collect_list(F.struct("label", "text"))).alias("blocks")).where(F.size("blocks") == F.col("n")).select("item_id", "blocks")
@@ -165,17 +226,12 @@ def prompt(n: int, head: Column | None = None, book: Column | None = None, shown
     return F.concat_ws("\n\n", *parts)
 
 
-def swap_names(blocks: Column, sources: Column, labels: Column) -> Column:
-    """Which label each block's text is about, for a rename after a swap."""
-    return F.map_from_arrays(labels, sources)
-
-
 def grid(plots: DataFrame, characters: DataFrame) -> DataFrame:
     """Every plot slot with every character slot, named '<plot>|<characters>'; both are short lists of conditions."""
     return plots.select(F.col("condition").alias("plot")).distinct().crossJoin(F.broadcast(characters.select(F.col("condition").alias("chars")).distinct())).withColumn("condition", F.concat_ws("|", "plot", "chars"))
 
 
-def plan(items: DataFrame, name: str, reps: DataFrame, names: DataFrame, chapters: DataFrame | None = None, item_reps: DataFrame | None = None, n: int = 3, most: int = 6, rotations: bool = False) -> DataFrame:
+def plan(items: DataFrame, name: str, reps: DataFrame, names: DataFrame, chapters: DataFrame | None = None, item_reps: DataFrame | None = None, n: int = 3, most: int = 6, rotations: bool = False, plots: DataFrame | None = None, parts: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Prompts of a condition: (item_id, book, chapter_index, order, target, answer, condition, prompt), prefixes adjacent.
 
     items(item_id, book, chapter_index, labels, answer, masked, prefix), names(book, boundary, label, name).
@@ -184,15 +240,15 @@ def plan(items: DataFrame, name: str, reps: DataFrame, names: DataFrame, chapter
     by = names.groupBy("book", F.col("boundary").alias("chapter_index")).agg(F.map_from_entries(F.collect_list(F.struct("label", "name"))).alias("names"))
     rows = items.join(by, ["book", "chapter_index"])
     if cond.blocks:
-        rows = rows.join(blocks(items, cond, reps, item_reps), "item_id")
+        rows = rows.join(blocks(items, cond, reps, item_reps, names, aliases), "item_id")
     texts = {}
     for place, story in (("book_text", cond.before or (cond.base if is_story(cond.base) else None)), ("recent", cond.after)):
         if story is not None:
-            got = book_text(items, chapters, parse_book(story)).withColumnRenamed("text", place)
+            got = story_text(items, story, chapters, plots, parts).withColumnsRenamed({"text": place, "head": f"{place}_head"})
             rows = rows.join(got, "item_id")
             texts[place] = F.col(place)
     rows = jobs(rows, n, cond.blocks, most, rotations)
-    text = prompt(n, book=texts.get("book_text"), shown=cond.blocks, recent=texts.get("recent"), pre=F.col("prefix") if cond.pre else None)
+    text = prompt(n, F.col("book_text_head") if "book_text" in texts else None, texts.get("book_text"), shown=cond.blocks, recent=texts.get("recent"), pre=F.col("prefix") if cond.pre else None)
     out = rows.select("item_id", "book", "chapter_index", "order", "target", F.element_at("answer", F.col("target")).alias("answer"), F.lit(name).alias("condition"), text.alias("prompt"))
     return prefix_sorted(out)
 

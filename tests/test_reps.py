@@ -137,7 +137,8 @@ def planned(spark, name, n=3):
     rp = rows(spark, [("v2", "b", 2, x, f"about {x}") for x in labels] + [("gap", "b", 2, "Ana", "x")], "condition string, book string, boundary int, label string, text string")
     nm = rows(spark, [("b", 2, x, x.upper()) for x in labels], "book string, boundary int, label string, name string")
     ch = rows(spark, [("b", i, f"chapter {i}") for i in range(4)], "book string, chapter_index int, text string")
-    return cd.plan(it, name, rp, nm, ch, n=n)
+    al = rows(spark, [("b", x, x) for x in labels], "book string, label string, alias string")
+    return cd.plan(it, name, rp, nm, ch, n=n, aliases=al)
 
 
 def test_plans(spark):
@@ -145,6 +146,8 @@ def test_plans(spark):
     text = planned(spark, "swap:v2&book+pre").where("target = 'Bo'").orderBy("prompt").first().prompt
     assert "# The novel so far\n\nchapter 0\n\nchapter 1\n\n# Character information" in text and "## ANA\n\nabout Bo" in text and "# This chapter up to the passage\n\nso far" in text
     assert text.endswith("Which ID in the passage is BO? Answer with only the digit 0, 1 or 2.")
+    named = planned(spark, "swapname:v2").where("target = 'Bo'").first().prompt
+    assert "## ANA\n\nabout ANA" in named and "## CY\n\nabout CY" in named
     assert "- ANA\n- BO\n- CY" in planned(spark, "noinfo").first().prompt
 
 
@@ -239,3 +242,17 @@ def test_greedy_duplicates_equal_the_loop(spark):
             if all(sum(w * vec[k, j].get(t, 0) for t, w in vec[k, i].items()) < threshold for kk, j in want if kk == k):
                 want.add((k, i))
         assert got == want
+
+
+@pytest.mark.parametrize(("name", "want"), [
+    ("book_last2", "chapter 1"), ("plot_a_5@last2", "c d"), ("ncp_plot", "syn"), ("ncp_next", "nxt"), ("ncp_story", "## Synopses of the chapters so far\n\nsyn\n\n## The last two chapters\n\nraw"),
+    ("si-plot_a_5@last1-ch2", "## Plot summary so far\n\nd\n\n## The last two chapters\n\nraw"), ("si-none-last1", "## The last 1 words before this chapter\n\n1"), ("si-ncp-none", "## Synopses of the chapters so far\n\nsyn"),
+])
+def test_story_texts(spark, name, want):
+    it = rows(spark, [("i", "b", 2, "pre")], "item_id string, book string, chapter_index int, prefix string")
+    ch = rows(spark, [("b", i, f"chapter {i}") for i in range(3)], "book string, chapter_index int, text string")
+    plots = rows(spark, [("plot_a_5", "b", 2, "a b c d")], "condition string, book string, boundary int, text string")
+    parts = rows(spark, [("b", 2, "syn", "raw", "nxt")], "book string, chapter_index int, plot string, raw string, next string")
+    got = cd.story_text(it, name, ch, plots, parts).collect()
+    assert len(got) == 1 and got[0].text == want
+    assert cd.story_text(it, "plot_missing", ch, plots, parts).count() == 0
