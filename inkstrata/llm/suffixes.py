@@ -304,8 +304,34 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+PARTS, ROWS = "part int, ids binary, bodies binary, x binary", "doc_id bigint, body int, x binary"
+
+
+def _by_part(ids: np.ndarray, bodies: np.ndarray, values: np.ndarray, parts: int) -> pa.Table:
+    """Values on their way to their rows: one line for each part of the rows, packed."""
+    name, at, (ids, bodies, values) = _split((_names(ids, bodies) % np.uint64(parts)).astype(np.int64), ids, bodies, values)
+    lines = [(b, *[_packed(v[a:z]) for v in (ids, bodies, values)]) for b, a, z in zip(name.tolist(), at[:-1], at[1:], strict=True)]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array([x[k] for x in lines], kind) for k, kind in enumerate(kinds)], ["part", "ids", "bodies", "x"])
+
+
+def _arrived(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _joined(table, "ids", np.int64), _joined(table, "bodies", np.int32), _joined(table, "x", kind)
+
+
+def hashes_of_rows(table: pa.Table) -> pa.Table:
+    """A part's hashes, by row."""
+    return _by_row(*_arrived(table, np.uint64))
+
+
+def intervals_of_rows(table: pa.Table) -> pa.Table:
+    """A part's intervals, united by row."""
+    ids, bodies, x = _arrived(table, np.int32)
+    return _by_row(*_intervals(ids, bodies, *x.reshape(-1, 2).astype(np.int64).T))
+
+
 def sharer(buckets: int):
-    """The shared minimisers of a bucket, by row: a hash is shared if it has entries of two documents."""
+    """The shared minimisers of a bucket, by parts of the rows: a hash is shared if it has entries of two documents."""
 
     def run(table: pa.Table) -> pa.Table:
         h, ids, bodies = (_joined(table, c, k) for c, k in (("h", np.uint64), ("ids", np.int64), ("bodies", np.int32)))
@@ -317,9 +343,9 @@ def sharer(buckets: int):
             which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
             keep = (np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head))[which] & (known == 0)
             h, ids, bodies = h[keep], ids[keep], bodies[keep]
-        return _by_row(ids, bodies, h)
+        return _by_part(ids, bodies, h, buckets)
 
-    return run, "doc_id bigint, body int, x binary"
+    return run, PARTS
 
 
 def _by_row(ids: np.ndarray, bodies: np.ndarray, values: np.ndarray) -> pa.Table:
@@ -345,11 +371,13 @@ def looker(buckets: int):
             for i, j in chunks(offsets):
                 text, at = body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 place, row, h, prefix = anchors(text, at)
-                lists = [np.frombuffer(b.as_buffer(), np.uint64) for k in range(i, j) for b in (wanted[k].values or [])]
-                owner = np.array([k - i for k in range(i, j) for _ in (wanted[k].values or [])], np.int64)
-                if not lists or not len(place):
+                lists = [np.frombuffer(wanted[k].as_buffer(), np.uint64) for k in range(i, j)]
+                if not len(place):
+                    continue
+                owner = np.repeat(np.arange(j - i), [len(x) for x in lists])
+                mine = np.unique(mix(np.concatenate(lists)) ^ mix(owner.astype(np.uint64) + common.GOLDEN))
+                if not len(mine):
                     continue
-                mine = np.unique(mix(np.concatenate(lists)) ^ mix(np.repeat(owner, [len(x) for x in lists]).astype(np.uint64) + common.GOLDEN))
                 own = mix(h) ^ mix(row.astype(np.uint64) + common.GOLDEN)
                 found = np.searchsorted(mine, own)
                 found[found == len(mine)] = 0
@@ -368,11 +396,11 @@ def looker(buckets: int):
             head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (f[1:] != f[:-1]))))
             which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
             done = ids > ids[head][which]
-            got = _intervals(ids[done], bodies[done], place[done] - before[done], place[done] + after[done])
-            seed = int(mix(np.array([int(bodies[0]) + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
-            empty = pa.array([None] * len(got), pa.binary())
-            if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), buckets + seed, np.int32)), *[c.combine_chunks() for c in got.columns], *[empty] * 3], ["bucket", "doc_id", "body", "x", "ids", "bodies", "rest"])
+            lines = ["bucket", "ids", "bodies", "rest"]
+            if done.any():
+                got = _intervals(ids[done], bodies[done], place[done] - before[done], place[done] + after[done])
+                seed = int(mix(np.array([int(bodies[0]) + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([buckets + seed], pa.int32()), *[pa.array([_packed(v)], pa.binary()) for v in got]], lines)
             left = np.flatnonzero(~done)
             bucket = (h[left] % np.uint64(buckets)).astype(np.int64)
             # Only entries carry their surroundings; places past a row's end are 0 here and get a number of their own later.
@@ -385,18 +413,16 @@ def looker(buckets: int):
             rest = np.concatenate((place[left].astype(np.int32)[:, None].view(np.uint8), np.stack((before, after), 1)[left].astype(np.uint8), context), axis=1)
             name, at, (ids_, bodies_, rest) = _split(bucket, ids[left], bodies[left], rest)
             for b, a, z in zip(name.tolist(), at[:-1], at[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((b, pa.int32()), (None, pa.int64()), (None, pa.int32()), (None, pa.binary()), *[(_packed(v[a:z]), pa.binary()) for v in (ids_, bodies_, rest)])], ["bucket", "doc_id", "body", "x", "ids", "bodies", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([_packed(v[a:z])], pa.binary()) for v in (ids_, bodies_, rest)]], lines)
 
-    return run, "bucket int, doc_id bigint, body int, x binary, ids binary, bodies binary, rest binary"
+    return run, "bucket int, ids binary, bodies binary, rest binary"
 
 
-def _intervals(ids: np.ndarray, bodies: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    """United intervals by row, as pairs of int32."""
-    if not len(ids):
-        return _by_row(ids.astype(np.int64), bodies.astype(np.int32), np.zeros((0, 2), np.int32))
+def _intervals(ids: np.ndarray, bodies: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals united by row: ids, bodies and pairs of int32."""
     _, one, which = np.unique(_names(ids, bodies), return_index=True, return_inverse=True)
     row, start, end = unite(which.astype(np.int64), start.astype(np.int64), end.astype(np.int64))
-    return _by_row(ids[one[row]], bodies[one[row]], np.stack((start, end), 1).astype(np.int32))
+    return ids[one[row]], bodies[one[row]], np.stack((start, end), 1).astype(np.int32)
 
 
 def _hashes(context: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -418,7 +444,8 @@ def resolver(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() >= buckets:
-            return table.select(["doc_id", "body", "x"])
+            ids, bodies = _joined(table, "ids", np.int64), _joined(table, "bodies", np.int32)
+            return _by_part(ids, bodies, _joined(table, "rest", np.int32).reshape(-1, 2), buckets)
         ids, bodies = _joined(table, "ids", np.int64), _joined(table, "bodies", np.int32)
         rest = _joined(table, "rest", np.uint8).reshape(len(ids), -1)
         place, (before, after) = np.ascontiguousarray(rest[:, :4]).view(np.int32).astype(np.int64)[:, 0], rest[:, 4:6].astype(np.int64).T
@@ -450,9 +477,10 @@ def resolver(buckets: int):
         a, z = np.repeat(a, size), np.repeat(z, size)
         mine = ~done[at]
         at, a, z = at[mine], a[mine], z[mine]
-        return _intervals(np.concatenate((ids[done], ids[at])), np.concatenate((bodies[done], bodies[at])), np.concatenate(((place - before)[done], place[at] - a)), np.concatenate(((place + after)[done], place[at] + z)))
+        got = _intervals(np.concatenate((ids[done], ids[at])), np.concatenate((bodies[done], bodies[at])), np.concatenate(((place - before)[done], place[at] - a)), np.concatenate(((place + after)[done], place[at] + z)))
+        return _by_part(*got, buckets)
 
-    return run, "doc_id bigint, body int, x binary"
+    return run, PARTS
 
 
 def body_of(text):
@@ -461,7 +489,7 @@ def body_of(text):
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, x) of rows(doc_id, text) with something to remove; x is an array of packed (start, end) byte pairs."""
+    """(doc_id, body, x) of rows(doc_id, text) with something to remove; x holds (start, end) byte pairs of int32."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -471,14 +499,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     run, kind = lister(buckets)
     listed = rows.mapInArrow(run, kind).repartition(buckets, "bucket")
     run, kind = sharer(buckets)
-    shared = listed.groupBy("bucket").applyInArrow(run, kind).groupBy("doc_id", "body").agg(F.collect_list("x").alias("x"))
+    shared = listed.groupBy("bucket").applyInArrow(run, kind).repartition(buckets, "part").groupBy("part").applyInArrow(hashes_of_rows, ROWS)
     run, kind = looker(buckets)
     looked = rows.join(shared, ["doc_id", "body"]).select("doc_id", "body", "text", "x").mapInArrow(run, kind)
     run, kind = resolver(buckets)
-    found = cut(looked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, kind))
-    del listed, shared, looked
+    covered = looked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, kind)
+    found = cut(covered.repartition(buckets, "part").groupBy("part").applyInArrow(intervals_of_rows, ROWS))
+    del listed, shared, looked, covered
     tidy(spark)
-    return found.groupBy("doc_id", "body").agg(F.collect_list("x").alias("x"))
+    return found
 
 
 def remover():
@@ -490,9 +519,8 @@ def remover():
         n_removed, sha, starts, counts, ends = np.zeros(len(text), np.int64), [], [], np.zeros(len(text), np.int64), []
         for i in range(len(text)):
             raw = body[offsets[i] : offsets[i + 1]]
-            if x[i].is_valid and len(x[i].values):
-                pairs = np.frombuffer(b"".join(b.as_py() for b in x[i].values), np.int32).reshape(-1, 2).astype(np.int64)
-                _, a, z = unite(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+            if x[i].is_valid:
+                a, z = np.frombuffer(x[i].as_buffer(), np.int32).reshape(-1, 2).astype(np.int64).T
                 keep = np.ones(len(raw), bool)
                 for s, e in zip(a.tolist(), z.tolist(), strict=True):
                     keep[s:e] = False
