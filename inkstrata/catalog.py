@@ -21,6 +21,7 @@ from .operators import scoring as sc
 from .operators import stats as st
 from .plans import conditions as cd
 from .plans import generate as gn
+from .plans import likelihood as lh
 from .plans import model as ml
 from .sources import adapters as ad
 from .streaming import jobs as sj
@@ -739,3 +740,13 @@ def verbatim_quotes(spark, sf):
     work = ad.turns(spark, sf).select("book", "chapter_index", F.col("label").alias("name"), "text")
     good, _ = gn.run(gn.STAGES["quotes"], work, gn.extractor)
     return good.select("book", "chapter_index", F.explode("quotes").alias("quote"))
+
+
+@query()
+def passage_nll(spark, sf):
+    """Likelihood of each turn after the one before it, by the offline echo client."""
+    tu = ad.turns(spark, sf).select("book", "chapter_index", F.col("text").alias("passage"))
+    before = tu.select("book", (F.col("chapter_index") + 1).alias("chapter_index"), F.col("passage").alias("story"))
+    work = tu.join(before, ["book", "chapter_index"], "left").withColumn("context", lh.contexts("story", None, F.coalesce("story", F.lit("")), 50))
+    good, _ = ml.split(lh.passages(work))
+    return good.select("book", "chapter_index", "nll", "tokens")
