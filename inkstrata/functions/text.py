@@ -106,10 +106,9 @@ def name_seen(name: Column, text: Column) -> Column:
 
 def alias_pattern(aliases: list[str]) -> str:
     """A Java regex of whole aliases, each also in upper case, the longest first."""
-    import unicodedata
+    from .unicode import alias_forms
 
-    forms = {v for a in aliases for v in (unicodedata.normalize("NFC", a), unicodedata.normalize("NFC", a).upper())}
-    return r"(?U)(?<![\w’'])(" + "|".join(r"\Q" + a + r"\E" for a in sorted(forms, key=lambda a: (-len(a), a))) + r")(?!\w)"
+    return r"(?U)(?<![\w’'])(" + "|".join(map(java_quote, alias_forms(aliases))) + r")(?!\w)"
 
 
 def clean_notes(text: Column) -> Column:

@@ -117,9 +117,15 @@ def replace_spans(text: str, spans: list[tuple[int, int, str, str]]) -> tuple[st
     return "".join([*out, text[at:]]), used
 
 
+def alias_forms(aliases) -> list[str]:
+    """Composed aliases and their capitals, longest first."""
+    composed = [unicodedata.normalize("NFC", a) for a in aliases]
+    return sorted({*composed, *map(str.upper, composed)}, key=lambda form: (-len(form), form))
+
+
 def alias_regex(aliases) -> re.Pattern:
-    forms = {v for a in aliases for v in (unicodedata.normalize("NFC", a), unicodedata.normalize("NFC", a).upper())}
-    return re.compile(r"(?<![\w’'])(?:" + "|".join(re.escape(f) for f in sorted(forms, key=lambda f: (-len(f), f))) + r")(?!\w)")
+    """Any alias as whole words; a quote before it doesn't count as a boundary."""
+    return re.compile("(?<![\\w’'])(?:%s)(?!\\w)" % "|".join(map(re.escape, alias_forms(aliases))))
 
 
 _REGEXES: dict[tuple[str, ...], re.Pattern] = {}

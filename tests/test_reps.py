@@ -27,12 +27,7 @@ def test_budgets(spark):
     for _ in range(5):
         w = [rng.randint(0, 30) for _ in range(20)]
         df = rows(spark, [("a", i, x) for i, x in enumerate(w)], "book string, chapter_index int, words int")
-        want, n = [], 0
-        for i in range(19, -1, -1):
-            if n + w[i] > 120:
-                break
-            want.append(i)
-            n += w[i]
+        want = [i for i in range(20) if sum(w[i:]) <= 120]
         assert {r.chapter_index for r in reps.recency_budget(df, ["book"], ["chapter_index"], 120).collect()} == set(want)
 
 
@@ -85,13 +80,12 @@ def test_windows_equal_the_loop(spark):
     rng = random.Random(4)
     secs = [" ".join(["w"] * rng.randint(1, 60)) for _ in range(30)]
     got = items.windows(rows(spark, [("a", i, s) for i, s in enumerate(secs)], "k string, o int, text string"), ["k"], "o", 50, 3)
-    want, i = [], 0
-    while i < len(secs):
-        win = []
-        while i < len(secs) and len(win) < 3 and (not win or len(" ".join(win).split()) < 50):
-            win.append(secs[i])
-            i += 1
-        want.append("\n\n".join(win))
+    size = [len(x.split()) for x in secs]
+    cuts = [0]
+    for i in range(1, len(secs)):
+        if i - cuts[-1] == 3 or sum(size[cuts[-1] : i]) >= 50:
+            cuts.append(i)
+    want = ["\n\n".join(secs[a:b]) for a, b in zip(cuts, [*cuts[1:], len(secs)], strict=True)]
     assert [r.text for r in got.orderBy("k", "pos" if "pos" in got.columns else got.columns[1]).collect()] == want
 
 

@@ -11,27 +11,24 @@ from pyspark.sql import functions as F
 from inkstrata.functions import text as t
 from inkstrata.functions import unicode as u
 
-SENT = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+(?=[\"“‘(\[]?[A-Z0-9])")
-
-
 def value(spark, x, f, kind="string"):
     return spark.createDataFrame([(x,)], f"x {kind}").select(f(F.col("x"))).first()[0]
 
 
 def packed(text, target):
-    sents = [s for s in SENT.split(" ".join(text.split())) if s.strip()]
-    out, now, n = [], [], 0
-    for s in sents:
-        now.append(s)
-        n += len(s.split())
-        if n >= target:
-            out.append(" ".join(now))
-            now, n = [], 0
-    if now and out and n < target // 3:
-        out[-1] += " " + " ".join(now)
-    elif now:
-        out.append(" ".join(now))
-    return out
+    """Chunk ends are the sentences at which the words since the last end reach the target."""
+    sentences = [x for x in re.split(t.SENTENCE_END, " ".join(text.split())) if x.strip()]
+    ends, since = [0], 0
+    for k, size in enumerate((len(x.split()) for x in sentences), 1):
+        since += size
+        if since >= target:
+            ends.append(k)
+            since = 0
+    if since:
+        if len(ends) > 1 and since < target // 3:
+            ends.pop()
+        ends.append(len(sentences))
+    return [" ".join(sentences[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def test_snippets_equal_the_loop(spark):
