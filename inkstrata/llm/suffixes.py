@@ -499,13 +499,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     run, kind = lister(buckets)
     listed = rows.mapInArrow(run, kind).repartition(buckets, "bucket")
     run, kind = sharer(buckets)
-    shared = listed.groupBy("bucket").applyInArrow(run, kind).repartition(buckets, "part").groupBy("part").applyInArrow(hashes_of_rows, ROWS)
+    # A row per document; what was listed can go once this is written.
+    shared = cut(listed.groupBy("bucket").applyInArrow(run, kind).repartition(buckets, "part").groupBy("part").applyInArrow(hashes_of_rows, ROWS))
+    del listed
+    tidy(spark)
     run, kind = looker(buckets)
     looked = rows.join(shared, ["doc_id", "body"]).select("doc_id", "body", "text", "x").mapInArrow(run, kind)
     run, kind = resolver(buckets)
     covered = looked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, kind)
     found = cut(covered.repartition(buckets, "part").groupBy("part").applyInArrow(intervals_of_rows, ROWS))
-    del listed, shared, looked, covered
+    del shared, looked, covered
     tidy(spark)
     return found
 
