@@ -50,10 +50,12 @@ def small_batches(spark: SparkSession) -> None:
 def tidy(spark: SparkSession) -> None:
     """Let Spark remove shuffle files of steps whose results have been cut off from them.
 
-    Its cleaner acts on what the driver's collector finds; a first pass only frees what Python had held.
+    Its cleaner acts on what the driver's collector finds, and that only once Python's handles are gone: these are let go by
+    a thread that looks about once a second.
     """
-    for _ in range(3):
-        gc.collect()
+    gc.collect()
+    time.sleep(1.3)
+    for _ in range(2):
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
 
