@@ -216,7 +216,8 @@ def _decided(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     b = nodes.select(F.col("node").alias("b"), F.col("regs").alias("r2"), F.col("n").alias("n2"))
     # Sizes alone rule a pair out when the smaller set is under the share of the larger one.
     sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    near = sized.where(similarity("r1", "r2", "n1", "n2") >= percent / 100 - MARGIN).select("a", "b")
+    # Written in between: else one task could hold the workers of both functions.
+    near = cut(sized.where(similarity("r1", "r2", "n1", "n2") >= percent / 100 - MARGIN).select("a", "b"))
     full = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
     return cut(full.where(linker(percent)("s1", "s2")).select("a", "b").distinct())
 
