@@ -708,10 +708,9 @@ def log_fields(spark, sf):
 
 @query()
 def lexical_matcher(spark, sf):
-    """Masks matched to texts by the words around them."""
-    ch = ad.chapters(spark, sf).where("chapter_index < 9 and words > 12").withColumn("item", F.concat_ws("-", "book", (F.floor(F.col("chapter_index") / 3)).cast("string"))).withColumn("target", (F.col("chapter_index") % 3).cast("int"))
-    head = F.array_join(F.slice(t.words(F.col("text")), 1, 8), " ")
-    masked = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", head.alias("h")))), lambda x: F.concat(F.lit("[CHAR "), x["target"].cast("string"), F.lit("] "), x["h"])), " " + "x " * 40)
+    """Masks matched to texts by the words around them; each three documents of a source in a row are an item."""
+    ch = ad.chapters(spark, sf).withColumn("item", F.concat_ws("-", "book", F.floor(F.col("chapter_index") / 3).cast("string"))).withColumn("target", (F.col("chapter_index") % 3).cast("int")).withColumn("text", F.coalesce("text", F.lit("")))
+    masked = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "text"))), lambda x: F.concat(F.lit("[CHAR "), x["target"].cast("string"), F.lit("] "), x["text"])), " " + "x " * 40)
     items = ch.groupBy("item").agg(masked.alias("masked"), F.array_sort(F.collect_list(F.struct("target", F.col("doc_id").cast("string").alias("label")))).alias("l")).where(F.size("l") == 3)
     items = items.select("item", "masked", F.col("l.label").alias("labels"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("answer"))
     return lx.match_masks(items, ch.select("item", F.col("doc_id").cast("string").alias("label"), "text"), near=8)

@@ -24,7 +24,8 @@ def match_masks(items: DataFrame, reps: DataFrame, n: int = 3, near: int = 30) -
     pairs = side("t", "target").join(side("m", "id"), "item").select("item", "target", "id", cosine(F.col("v_target"), F.col("v_id")).alias("s"))
     by = pairs.groupBy("item", "target").agg(F.map_from_entries(F.collect_list(F.struct("id", "s"))).alias("s"))
     lp = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("s", i), F.lit(0.0)))
-    rows = by.join(labels.select("item", "target", F.get("answer", F.col("target")).alias("answer")), ["item", "target"]).select("item", "target", lp.alias("lp"), "answer")
+    # A text or mask without terms has no vector: its similarities are 0, and its item stays.
+    rows = labels.select("item", "target", F.get("answer", F.col("target")).alias("answer")).join(by, ["item", "target"], "left").select("item", "target", lp.alias("lp"), "answer")
     return joint_hits(rows, ["item"], n)
 
 
