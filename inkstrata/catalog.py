@@ -575,8 +575,16 @@ def short_spans(spark, sf):
 
 @query(f"WITH {ad.TURNS}, e AS (SELECT book, list(struct_pack(i := chapter_index, text := text, n := len(regexp_extract_all(text, '\\S+'))) ORDER BY chapter_index) AS l FROM tu GROUP BY book) SELECT book, len(l)::BIGINT AS sections FROM e")
 def window_sections(spark, sf):
-    """W5's input count; the windows themselves are checked in tests."""
-    return it.windows(ad.turns(spark, sf), ["book"], "chapter_index", 60, 3).groupBy("book").agg(F.sum(F.size(F.split("text", "\n\n"))).alias("_"), F.count("*").alias("windows")).select("book").join(ad.turns(spark, sf).groupBy("book").agg(F.count("*").alias("sections")), "book")
+    """Sections that stand in each book's windows: as many as its turns, or a window lost or doubled one."""
+    return it.windows(ad.turns(spark, sf), ["book"], "chapter_index", 60, 3).groupBy("book").agg(F.sum("sections").alias("sections"))
+
+
+@query(f"""WITH RECURSIVE {ad.TURNS}, s AS (SELECT book, text, len(regexp_extract_all(text, '\\S+')) AS n, row_number() OVER (PARTITION BY book ORDER BY chapter_index, text) AS i FROM tu),
+f AS (SELECT book, i, text, n, 0 AS k, 1 AS m, n AS c FROM s WHERE i = 1 UNION ALL SELECT s.book, s.i, s.text, s.n, CASE WHEN m >= 3 OR c >= 60 THEN k + 1 ELSE k END, CASE WHEN m >= 3 OR c >= 60 THEN 1 ELSE m + 1 END, CASE WHEN m >= 3 OR c >= 60 THEN s.n ELSE c + s.n END FROM f JOIN s ON s.book = f.book AND s.i = f.i + 1)
+SELECT book, k::BIGINT AS k, count(*) AS sections, sum(n)::BIGINT AS words, md5(string_agg(text, chr(10) || chr(10) ORDER BY i)) AS digest FROM f GROUP BY book, k""")
+def section_windows(spark, sf):
+    """Windows of three turns at most, ended at 60 words."""
+    return it.windows(ad.turns(spark, sf), ["book"], "chapter_index", 60, 3).select("book", "k", "sections", "words", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query()

@@ -28,3 +28,27 @@ def test_every_triple_of_a_source_is_matched(spark, tables):
     got = catalog.QUERIES["lexical_matcher"](spark, tables(documents=documents(texts))).collect()
     assert sorted((r.item, r.target) for r in got) == sorted([(f"a-{i}", t) for i in range(10) for t in range(3)] + [("b-0", t) for t in range(3)])
     assert all(r.hit == 1 for r in got)
+
+
+def test_windows_are_returned_whole(spark, tables):
+    texts = {b: [" ".join([f"w{b}"] * ((7 * i * i + 5 * b) % 70 + 1)) for i in range(n)] for b, n in ((1, 1), (2, 9), (3, 40))}
+    sf = tables(conversations=([(b, i, "user", x) for b, xs in texts.items() for i, x in reversed(list(enumerate(xs)))], "conv_id long, turn int, role string, text string"))
+    want = set()
+    for b, xs in texts.items():
+        left, k = list(xs), 0
+        while left:
+            now = [left.pop(0)]
+            while left and len(now) < 3 and sum(len(x.split()) for x in now) < 60:
+                now.append(left.pop(0))
+            want.add((b, k, len(now), sum(len(x.split()) for x in now), hashlib.md5("\n\n".join(now).encode()).hexdigest()))
+            k += 1
+    got = catalog.QUERIES["section_windows"](spark, sf).collect()
+    assert len(got) == len(want) and {(r.book, r.k, r.sections, r.words, r.digest) for r in got} == want
+
+
+def test_a_lost_section_shows_in_the_count(spark, tables, monkeypatch):
+    sf = tables(conversations=([(1, i, "user", "a b") for i in range(8)], "conv_id long, turn int, role string, text string"))
+    assert [r.sections for r in catalog.QUERIES["window_sections"](spark, sf).collect()] == [8]
+    whole = catalog.it.windows
+    monkeypatch.setattr(catalog.it, "windows", lambda *args: whole(*args).where("k > 0"))
+    assert [r.sections for r in catalog.QUERIES["window_sections"](spark, sf).collect()] == [5]
