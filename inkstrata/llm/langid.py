@@ -5,8 +5,9 @@ from left to right into the longest phrases that occur in that language's sample
 explains the text better. Phrases are normalised as code lengths: phrases * log2(sample length) / characters.
 
 The sample of a language is PIECES lines' worth of text from its labelled rows with the smallest hashes, SAMPLE characters at
-most. Automata are flat transition tables over the sample's letters; a miss is stored as the complement of the state that
-follows from the root, so one lookup advances a parse. Phrases don't cross the bounds of BLOCK characters, which lets all
+most. Automata are flat transition tables over the samples' most frequent characters; a miss is stored as the complement of the
+state that follows from the root, so one lookup advances a parse. Transitions by all other characters are few (at most three a
+character of sample) and stand in a sorted list of (state, character). Phrases don't cross the bounds of BLOCK characters, which lets all
 blocks of all rows advance side by side.
 """
 
@@ -23,14 +24,16 @@ from .pieces import code_points
 #: Characters of sample per language, rows that a sample is drawn from, and characters taken of one row.
 SAMPLE, ROWS, PER_ROW = 40_000, 400, 400
 BLOCK = 256
-#: Languages are learned up to this number of symbols; rarer ones count as unseen.
+#: Symbols with a column in the flat tables; rarer ones are looked up in the sorted lists. This bounds memory, not the alphabet.
 SYMBOLS = 96
 
 
-def build(codes: np.ndarray, symbols: int) -> np.ndarray:
-    """The suffix automaton of a sequence of symbols, as a flat table: next state, or ~(state after the root) on a miss.
+def build(codes: np.ndarray, symbols: int, size: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The suffix automaton of a sequence of symbols below `size`: a flat table of those below `symbols`, and the others' list.
 
-    The last state is where a parse starts and where an unseen symbol leads: every symbol starts a phrase there.
+    The table has the next state, or ~(state after the root) on a miss. The list has sorted keys state * size + symbol, their next
+    states, and the state after the root by symbol. States are multiplied by `symbols`. The last state is where a parse starts and
+    where an unseen symbol leads: every symbol starts a phrase there.
     """
     link, longest, moves = [-1], [0], [{}]
     last = 0
@@ -61,10 +64,17 @@ def build(codes: np.ndarray, symbols: int) -> np.ndarray:
     root = moves[0]
     for c in range(symbols):
         table[:, c] = ~root.get(c, len(link))
+    rare = []
     for s, m in enumerate(moves):
         for c, t in m.items():
-            table[s, c] = t
-    return table.reshape(-1) * symbols + np.where(table.reshape(-1) < 0, symbols - 1, 0).astype(np.int32)
+            if c < symbols:
+                table[s, c] = t
+            else:
+                rare.append((s * symbols * size + c, t * symbols))
+    rare.sort()
+    after = np.array([root.get(c, len(link)) * symbols for c in range(size)], np.int32)
+    keys, to = np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32)
+    return table.reshape(-1) * symbols + np.where(table.reshape(-1) < 0, symbols - 1, 0).astype(np.int32), (keys, to, after)
 
 
 class Parser:
@@ -76,22 +86,37 @@ class Parser:
         for x in samples.values():
             for c in x:
                 count[c] = count.get(c, 0) + 1
-        alphabet = sorted(sorted(count, key=lambda c: (-count[c], c))[: SYMBOLS - 1])
-        self.symbols = len(alphabet) + 1
+        ranked = sorted(count, key=lambda c: (-count[c], c))
+        alphabet = sorted(ranked[: SYMBOLS - 1]) + sorted(ranked[SYMBOLS - 1 :])
+        self.symbols, self.size = min(len(alphabet) + 1, SYMBOLS), len(alphabet) + 1
         self.points = np.array([ord(c) for c in alphabet], np.uint32)
         code = {c: i for i, c in enumerate(alphabet, 1)}
-        self.tables, self.bits = [], []
+        self.tables, self.rare, self.bits = [], [], []
         for lang in self.langs:
-            # An unseen character parts the sample, so no phrase spans it: symbol 0 has no transition.
-            codes = np.array([code.get(c, 0) for c in samples[lang]], np.int64)
-            self.tables.append(build(codes[codes > 0], self.symbols))
-            self.bits.append(np.log2(max(len(codes), 2)))
+            # Every character of a sample has a code, so nothing is cut out of it.
+            table, rare = build(np.array([code[c] for c in samples[lang]], np.int64), self.symbols, self.size)
+            self.tables.append(table)
+            self.rare.append(rare)
+            self.bits.append(np.log2(max(len(samples[lang]), 2)))
 
     def code(self) -> np.ndarray:
-        lookup = np.zeros(0x110000, np.uint8)
-        lookup[self.points] = np.arange(1, len(self.points) + 1)
+        lookup = np.zeros(0x110000, np.uint8 if self.size <= 256 else np.int32)
+        lookup[self.points] = np.arange(1, self.size)
         return lookup
 
+    def _moved(self, k: int, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """What the table would have for symbols that have no column."""
+        keys, to, after = self.rare[k]
+        got = ~after[c]
+        # A symbol of the sample follows from the root; any other one misses everywhere.
+        held = np.flatnonzero(after[c] != len(self.tables[k]) - self.symbols)
+        if len(held):
+            key = state[held].astype(np.int64) * self.size + c[held]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            found = keys[at] == key
+            got[held[found]] = to[at[found]]
+        return got
+
     def phrases(self, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
         """languages x blocks: phrases of each block (first, length into codes)."""
         order = np.argsort(-length, kind="stable")
@@ -99,9 +124,13 @@ class Parser:
         out = np.zeros((len(self.langs), len(first)), np.int32)
         most = int(length[0]) if len(length) else 0
         live = np.searchsorted(-length, -np.arange(most), side="left")  # blocks longer than t
-        padded = np.zeros((most, len(first)), np.uint8)
+        padded = np.zeros((most, len(first)), codes.dtype)
         for t in range(most):
             padded[t, : live[t]] = codes[first[: live[t]] + t]
+        far = [np.flatnonzero(x >= self.symbols) for x in padded] if self.size > self.symbols else []
+        rare = [x[at] for x, at in zip(padded, far, strict=False)]
+        for x, at in zip(padded, far, strict=False):
+            x[at] = 0
         for k, table in enumerate(self.tables):
             state = np.full(len(first), len(table) - self.symbols, np.int32)
             count = np.zeros(len(first), np.int32)
@@ -109,6 +138,8 @@ class Parser:
                 n = live[t]
                 # States are kept multiplied by the number of symbols.
                 got = table[state[:n] + padded[t, :n]]
+                if far and len(far[t]):
+                    got[far[t]] = self._moved(k, state[far[t]], rare[t])
                 sign = got >> 31
                 count[:n] -= sign
                 state[:n] = got ^ sign

@@ -391,6 +391,31 @@ def test_phrases_equal_brute_force():
             assert got[:, 0].tolist() == [brute_phrases(text, samples[x]) for x in parser.langs]
 
 
+def test_phrases_of_large_alphabets_equal_brute_force():
+    rng = random.Random(29)
+    han, kana = [chr(0x4E00 + i) for i in range(400)], [chr(0x3041 + i) for i in range(80)]
+    draw = lambda x, n: "".join(rng.choice(x) for _ in range(n))
+    many = [draw(han, 3) for _ in range(150)]
+    samples = {"ja": draw([*kana, *han[:50]], 600), "latin": words(rng, 300), "zh": draw(many, 300) + "\U0002070e" * 3}
+    parser = langid.Parser(samples)
+    code = parser.code()
+    texts = [draw(many, 40), draw(han, 60), draw(kana, 30), draw([*many, *kana, "karo "], 50), "\U0002070e" * 5 + "?" + many[0], *[samples[x][50:90] for x in samples]]
+    codes = code[np.array([ord(c) for x in texts for c in x], np.int64)]
+    size = np.array([len(x) for x in texts])
+    got = parser.phrases(codes, np.cumsum(size) - size, size)
+    assert got.T.tolist() == [[brute_phrases(text, samples[x]) for x in parser.langs] for text in texts]
+
+
+def test_rare_characters_tell_languages_apart(spark):
+    rng = random.Random(30)
+    common, han = [chr(0x3041 + i) for i in range(95)], [chr(0x4E00 + i) for i in range(60)]
+    sets = {"a": "".join(han[:30]), "b": "".join(han[30:])}
+    known = [(i, "".join(rng.choice(common) for _ in range(300)) + sets[lang], lang) for i, lang in enumerate("ab" * 20)]
+    docs = spark.createDataFrame([*known, (100, sets["a"], "?"), (101, sets["b"], "?")], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, F.col("doc_id") < 100).collect()}
+    assert (got[100].lang_pred, got[101].lang_pred) == ("a", "b") and min(got[100].score, got[101].score) > 0.5
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(23)
     sets = {"aa": "ka ro mi ten".split(), "bb": "schl ung ver tz".split(), "cc": "eau oix ment que".split()}
