@@ -356,11 +356,20 @@ def matched_cut(spark, sf):
 
 @query(f"WITH {ad.TURNS}, m AS (SELECT book, max(CASE WHEN label = 'user' THEN text END) AS a, max(CASE WHEN label = 'assistant' THEN text END) AS b FROM (SELECT * FROM tu WHERE chapter_index <= 1) GROUP BY book) SELECT 'combo' AS condition, book, a || chr(10) || chr(10) || b AS text FROM m WHERE a IS NOT NULL AND b IS NOT NULL")
 def combo(spark, sf):
-    """Texts joined where all of them exist."""
+    """The first exchange of each conversation only; combo_exchanges is U5 and J15 over all of them."""
     reps = ad.turns(spark, sf).where("chapter_index <= 1").select(F.col("label").alias("condition"), "book", "text")
     return rp.combine(reps, ["user", "assistant"], "combo", ["book"])
 
 
+@query(f"""WITH {ad.TURNS}, e AS (SELECT book, label, text, row_number() OVER (PARTITION BY book, label ORDER BY chapter_index, text) - 1 AS exchange FROM tu), m AS (SELECT book, exchange, max(CASE WHEN label = 'user' THEN text END) AS a, max(CASE WHEN label = 'assistant' THEN text END) AS b FROM e GROUP BY ALL)
+SELECT 'combo' AS condition, book, exchange, a || chr(10) || chr(10) || b AS text FROM m WHERE a IS NOT NULL AND b IS NOT NULL""")
+def combo_exchanges(spark, sf):
+    """Texts joined where all of them exist; an exchange is the n-th turn of each role."""
+    n = F.row_number().over(Window.partitionBy("book", "label").orderBy("chapter_index", "text")) - 1
+    reps = ad.turns(spark, sf).select(F.col("label").alias("condition"), "book", n.alias("exchange"), "text")
+    return rp.combine(reps, ["user", "assistant"], "combo", ["book", "exchange"])
+
+
 @query(f"WITH {ad.CHAPTERS}, q AS (SELECT book, lang, words, row_number() OVER (PARTITION BY book, lang ORDER BY words) AS r, count(*) OVER (PARTITION BY book, lang) AS n FROM ch) SELECT book, lang, max(n) AS n, max(CASE WHEN r = n // 2 + 1 THEN words END) AS median FROM q GROUP BY ALL")
 def coverage_median(spark, sf):
     """Counts and upper median words of each condition."""

@@ -52,3 +52,14 @@ def test_a_lost_section_shows_in_the_count(spark, tables, monkeypatch):
     whole = catalog.it.windows
     monkeypatch.setattr(catalog.it, "windows", lambda *args: whole(*args).where("k > 0"))
     assert [r.sections for r in catalog.QUERIES["window_sections"](spark, sf).collect()] == [5]
+
+
+def test_all_exchanges_are_combined(spark, tables):
+    roles = {1: ["system", *["user", "assistant"] * 20], 2: ["user", "assistant", "user"], 3: ["assistant", "user"], 4: ["user"]}
+    sf = tables(conversations=([(b, i, r, f"{r} {b} {i}") for b, x in roles.items() for i, r in enumerate(x)], "conv_id long, turn int, role string, text string"))
+    want = set()
+    for b, x in roles.items():
+        by = {r: [f"{r} {b} {i}" for i, y in enumerate(x) if y == r] for r in ("user", "assistant")}
+        want |= {(b, k, f"{u}\n\n{a}") for k, (u, a) in enumerate(zip(by["user"], by["assistant"], strict=False))}
+    got = catalog.QUERIES["combo_exchanges"](spark, sf).collect()
+    assert len(got) == len(want) == 22 and {(r.book, r.exchange, r.text) for r in got} == want
