@@ -561,13 +561,22 @@ def memo_flag(spark, sf):
 w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n), nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id), v AS (SELECT doc_id, term, w / z AS w FROM w JOIN nrm USING (doc_id))
 SELECT a.doc_id AS x, b.doc_id AS y, round(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b ON a.term = b.term AND b.doc_id = a.doc_id + 1 GROUP BY ALL""")
 def tfidf_cosine(spark, sf):
-    """Cosines of neighbouring documents' term weights."""
+    """Cosines of neighbouring documents' term weights."""
     v = rp.tfidf(ad.table(spark, sf, "documents"), [], ["doc_id"], "text").select("doc_id", F.explode("v").alias("term", "w"))
     x, y = v.select(F.col("doc_id").alias("x"), "term", F.col("w").alias("a")), v.select(F.col("doc_id").alias("y"), "term", F.col("w").alias("b"))
     near = x.join(y.withColumn("x", F.col("y") - 1), ["x", "term"])
     return near.groupBy("x", "y").agg(F.sum(F.col("a") * F.col("b")).alias("cosine"))
 
 
+@query(r"""WITH tk AS (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT source, doc_id, term, count(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+w AS (SELECT source, doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (source, term) JOIN n USING (source)), nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id), v AS (SELECT source, doc_id, term, w / z AS w FROM w JOIN nrm USING (doc_id))
+SELECT a.source AS book, a.doc_id AS x, b.doc_id AS y, round(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b ON a.source = b.source AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.8""")
+def similar_documents(spark, sf):
+    """All pairs of a source's documents with a cosine of at least 0.8."""
+    rows = ad.table(spark, sf, "documents").select(F.col("source").alias("book"), "doc_id", "text")
+    return rp.similar_pairs(rp.tfidf(rows, ["book"], ["doc_id"], "text"), ["book"], "doc_id", "v", 0.8)
+
+
 @query()
 def dedup_greedy(spark, sf):
     """Statements that no kept earlier statement of their book and chapter resembles."""

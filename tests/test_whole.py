@@ -1,10 +1,12 @@
 """Queries over whole inputs: nothing is left out by place, id or size."""
 
 import hashlib
+import random
 
 import pytest
 
 from inkstrata import catalog
+from inkstrata.operators import reps
 
 
 @pytest.fixture
@@ -63,3 +65,23 @@ def test_all_exchanges_are_combined(spark, tables):
         want |= {(b, k, f"{u}\n\n{a}") for k, (u, a) in enumerate(zip(by["user"], by["assistant"], strict=False))}
     got = catalog.QUERIES["combo_exchanges"](spark, sf).collect()
     assert len(got) == len(want) == 22 and {(r.book, r.exchange, r.text) for r in got} == want
+
+
+def test_similar_documents_need_not_be_neighbours(spark, tables):
+    same = "the quick brown fox jumps over the lazy dog again"
+    texts = [("a", same), ("a", "something else entirely here"), ("b", same), ("a", "other words stand there"), ("a", same + " today"), ("a", ""), ("b", "nothing alike")]
+    got = catalog.QUERIES["similar_documents"](spark, tables(documents=documents(texts))).collect()
+    assert [(r.book, r.x, r.y) for r in got] == [("a", 0, 4)] and 0.8 <= got[0].cosine < 1
+
+
+def test_similar_pairs_equal_the_loop(spark):
+    rng = random.Random(12)
+    pool = [f"t{min(rng.randrange(60), rng.randrange(60))}" for _ in range(300)]
+    docs = [(k, i, " ".join(rng.choice(pool) for _ in range(rng.randint(3, 25)))) for k in "xy" for i in range(0, 180, 3)]
+    docs += [(k, i + 1, t + " t0 t1" * (i % 3)) for k, i, t in docs[::4]]
+    v = reps.tfidf(spark.createDataFrame(docs, "k string, i int, text string"), ["k"], ["i"], "text").localCheckpoint()
+    vec = {(r.k, r.i): r.v for r in v.collect()}
+    for threshold in (0.3, 0.6, 0.9):
+        got = {(r.k, r.x, r.y): r.cosine for r in reps.similar_pairs(v, ["k"], "i", "v", threshold).collect()}
+        want = {(k, i, j): s for k, i in vec for kk, j in vec if k == kk and i < j and (s := sum(w * vec[k, j].get(t, 0) for t, w in vec[k, i].items())) >= threshold}
+        assert len(want) > 10 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
