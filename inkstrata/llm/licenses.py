@@ -94,11 +94,37 @@ def _starts(words: Column, wanted: Column, size: int, step: int) -> Column:
     return F.transform(places, lambda p: F.transform(F.sequence(first(p), F.floor(p / step).cast("int")), lambda k: k * step))
 
 
+def _occurrences(places: Column, total: Column, span: Column) -> Column:
+    """array<struct<start, shared>>: non-overlapping occurrences, from left to right, each with PERCENT of a template's shingles.
+
+    places are struct<p, k, lone> in order: a shingle of the template at p, its number k from 1, and whether the template holds
+    it once. Shingles gather within `span` places, each at its last place, until there are enough; a shingle that comes again
+    then starts the next occurrence, together with those before it that stand where that one's start should be.
+    """
+    enough = lambda c: F.size(c) * 100 >= total * PERCENT
+
+    def step(acc: Column, x: Column) -> Column:
+        now = acc["now"]
+        here = F.exists(now, lambda c: c["k"] == x["k"])
+        ends = enough(now) & ((here & x["lone"]) | (x["p"] - F.get(now, F.lit(0))["p"] >= span))
+        ours = lambda c: (c["p"] > x["p"] - x["k"]) & (c["k"] < x["k"])
+        rest = F.filter(now, lambda c: ~ours(c))
+        done = F.when(enough(rest), rest).otherwise(now)
+        one = F.array(F.struct(F.get(done, F.lit(0))["p"].alias("start"), F.size(done).alias("shared")))
+        begun = F.when(enough(rest), F.concat(F.filter(now, ours), F.array(x))).otherwise(F.array(x))
+        kept = F.concat(F.filter(now, lambda c: (c["k"] != x["k"]) & (c["p"] > x["p"] - span)), F.array(x))
+        return F.struct(F.when(ends, begun).when(enough(now) & here, now).otherwise(kept).alias("now"), F.when(ends, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.array().cast("array<struct<p: int, k: int, lone: boolean>>").alias("now"), F.array().cast("array<struct<start: int, shared: int>>").alias("out"))
+    last = lambda now: F.when(enough(now), F.array(F.struct(F.get(now, F.lit(0))["p"].alias("start"), F.size(now).alias("shared")))).otherwise(F.array().cast("array<struct<start: int, shared: int>>"))
+    return F.aggregate(places, start, step, lambda acc: F.concat(acc["out"], last(acc["now"])))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, body, license, shared, containment, start_word): the best window of each template found in docs(doc_id, text).
+    """(doc_id, body, license, shared, containment, start_word): every occurrence of each template found in docs(doc_id, text).
 
-    body is a hash of the text, which tells rows of one doc_id apart; equal rows give one result. start_word is the place of
-    that window's first shared shingle (ties: the first window), in words from 0. Null, empty and short texts match nothing; a
+    body is a hash of the text, which tells rows of one doc_id apart; equal rows give one result. Occurrences of one template
+    don't overlap; start_word is the place of one's first shared shingle, in words from 0. Null, empty and short texts match nothing; a
     template of under WORDS words can't match and is refused. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -135,10 +161,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         for r in here:
             t = F.array(*[F.lit(h) for h in r["h"]])
             hit = F.exists(F.zip_with("m", F.array(*[F.lit(x) for x in r["m"]]), lambda a, b: a == b), lambda e: e)
-            found.append(F.when(hit, F.struct(F.lit(r["license"]).alias("license"), F.size(F.array_intersect(F.col("w"), t)).alias("shared"), F.lit(len(r["h"])).alias("total"), t.alias("t"))))
+            runs = [tuple(known[r["license"]][i : i + WORDS]) for i in range(len(known[r["license"]]) - WORDS + 1)]
+            lone = F.array(*[F.lit(runs.count(x) == 1) for x in dict.fromkeys(runs)])
+            found.append(F.when(hit, F.struct(F.lit(r["license"]).alias("license"), F.size(F.array_intersect(F.col("w"), t)).alias("shared"), F.lit(len(r["h"])).alias("total"), t.alias("t"), lone.alias("lone"))))
         part = part.select("doc_id", "body", "at", "w", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).where(F.col("x.shared") * 100 >= F.col("x.total") * PERCENT)
-        first = F.array_position(F.transform("w", lambda h: F.array_contains(F.col("x.t"), h)), True) - 1 + F.col("at")
-        part = part.select("doc_id", "body", "x.license", "x.shared", "x.total", first.cast("int").alias("start_word"))
+        k = F.transform("w", lambda h, i: F.struct((F.col("at") + i).cast("int").alias("p"), F.array_position(F.col("x.t"), h).cast("int").alias("k")))
+        places = F.transform(F.filter(k, lambda y: y["k"] > 0), lambda y: F.struct(y["p"], y["k"], F.element_at(F.col("x.lone"), y["k"]).alias("lone")))
+        part = part.select("doc_id", "body", "x.license", "x.total", F.lit(span).alias("span"), places.alias("places"))
         out = part if out is None else out.unionByName(part)
-    best = out.groupBy("doc_id", "body", "license").agg(F.max(F.struct("shared", (-F.col("start_word")).alias("minus"), "total")).alias("b"))
-    return best.select("doc_id", "body", "license", F.col("b.shared").alias("shared"), (F.col("b.shared") / F.col("b.total")).alias("containment"), (-F.col("b.minus")).alias("start_word"))
+    all_ = out.groupBy("doc_id", "body", "license", "total", "span").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    each = all_.select("doc_id", "body", "license", "total", F.explode(_occurrences(F.col("places"), F.col("total"), F.col("span"))).alias("o"))
+    return each.select("doc_id", "body", "license", "o.shared", (F.col("o.shared") / F.col("total")).alias("containment"), F.col("o.start").alias("start_word"))

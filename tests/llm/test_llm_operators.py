@@ -527,6 +527,26 @@ def test_license_templates_are_found_and_verified(spark):
     assert licenses.scan(df.union(df)).count() == len(got)
 
 
+def test_every_occurrence_of_a_license_is_found(spark):
+    rng = random.Random(41)
+    filler, rows, want = (lambda n: [w + "q" for w in words(rng, n).split()]), [], set()
+    names = ["mit", "isc", "mit-line", "gpl-3.0-line"]
+    for i in range(24):
+        name = names[i % 4]
+        notice = licenses.words_of(licenses.TEMPLATES[name])
+        text = filler(rng.randint(0, 30))
+        for k in range(1 + i % 5):
+            text += notice[3:9] if i % 3 == 1 and name != "mit-line" else []
+            want.add((i, name, len(text), max(1, len(notice) - 4)))
+            text += notice + filler(rng.choice([0, 1, 40, 300]) if k else 0)
+        rows.append((i, " ".join(text)))
+    cut = licenses.words_of(licenses.TEMPLATES["isc"])
+    rows.append((90, " ".join(cut[:-1] + cut[1:] + ["then"] + cut)))
+    want |= {(90, "isc", 0, len(cut) - 5), (90, "isc", len(cut) - 1, len(cut) - 5), (90, "isc", 2 * len(cut) - 1, len(cut) - 4)}
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.license, r.start_word, r.shared) for r in got} == want and len(got) == len(want)
+
+
 def test_bands_keep_their_promise():
     sizes = [len(licenses.words_of(t)) for t in licenses.TEMPLATES.values()]
     for n in sizes:
