@@ -273,12 +273,15 @@ def lister(buckets: int):
             one = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
             h, doc = h[one], doc[one]
             ids, bodies = _rows(batch, doc)
-            head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            begins = np.concatenate(([True], h[1:] != h[:-1]))
+            head = np.flatnonzero(begins)
             which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
             low, high = np.minimum.reduceat(ids, head), np.maximum.reduceat(ids, head)
             local = low != high
+            # Rows of one doc_id don't share by themselves, so each body of a hash waits for what other batches have.
+            other = np.concatenate(([True], (ids[1:] != ids[:-1]) | (bodies[1:] != bodies[:-1])))
             for through in (False, True):
-                pick = np.flatnonzero(local[which]) if through else head
+                pick = np.flatnonzero(local[which]) if through else np.flatnonzero(begins | other & ~local[which])
                 seed = int(mix(np.array([int(bodies[0]) + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
                 bucket = np.full(len(pick), buckets + seed) if through else (h[pick] % np.uint64(buckets)).astype(np.int64)
                 name, at, (hs, ids_, bodies_, known) = _split(bucket, h[pick], ids[pick], bodies[pick], local[which[pick]].astype(np.int8))

@@ -269,6 +269,20 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, pairwise):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_rows_of_one_id_in_one_batch_are_all_told(spark):
+    rng = random.Random(13)
+    shared = words(rng, 30)
+    rows = [(7, words(rng, 20) + shared), (7, shared + words(rng, 25)), (3, words(rng, 15) + shared + words(rng, 5)), (4, words(rng, 30))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id bigint, text string")
+    assert [r.p for r in df.select(F.spark_partition_id().alias("p")).collect()] == [0, 0, 1, 1]
+    want = {k: sorted(v) for k, v in brute_removed(rows).items()}
+    assert all(n for _, n, *_ in want[7])
+    got = defaultdict(list)
+    for r in suffixes.removed(df).collect():
+        got[r.doc_id].append((r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_removal_from_empty_tables(spark):
     assert suffixes.removed(frame(spark, [])).count() == 0
     assert suffixes.removed(frame(spark, [None, "short"])).agg(F.sum("n_removed")).first()[0] == 0
