@@ -100,16 +100,8 @@ def solve(rows: DataFrame, shards: int) -> tuple[int, list[int]]:
         width = max(trie.leaves[k][1] for k in split)
         group = [k for k in split if trie.leaves[k][1] == width][:512]
         more = max(1, min(width, ROUND_BITS - (len(group) - 1).bit_length()))
-        runs: list[list[int]] = []
-        for k in group:
-            first = trie.leaves[k][0]
-            if runs and runs[-1][1] == first:
-                runs[-1][1] = first + (1 << width)
-            else:
-                runs.append([first, first + (1 << width)])
-        where = F.lit(False)
-        for a, b in runs:
-            where = where | ((F.col("key") >= a) & (F.col("key") < b))
+        # All leaves of a round are equally wide, so their rows are told by one prefix: a flat set, however many leaves there are.
+        where = F.shiftright("key", width).isin([trie.leaves[k][0] >> width for k in group])
         fine = _sums(rows, BITS - width + more, where)
         gone = set(group)
         trie.set([x for k, x in enumerate(trie.leaves) if k not in gone] + fine)

@@ -66,6 +66,22 @@ def test_shards_are_the_least_contiguous_ones(spark, monkeypatch, bits):
     assert all(int(v) == zlib.crc32(texts[i].encode()) for i, v in crc.items()) and len(crc) == len(texts) - 2
 
 
+def test_capacity_of_many_open_leaves(spark, monkeypatch):
+    """A trie of few bits over many shards keeps hundreds of leaves open in a round."""
+    asked = []
+    sums = sharding._sums
+    monkeypatch.setattr(sharding, "_sums", lambda rows, bits, where: asked.append(where) or sums(rows, bits, where))
+    monkeypatch.setattr(sharding.Trie, "open", lambda self, low, high, shards, own=sharding.Trie.open: own(self, low, high, shards) and [k for k, x in enumerate(self.leaves) if x[4] > 1])
+    rows = spark.range(12_000).select(F.shiftright(F.xxhash64("id"), 4).bitwiseAND((1 << 60) - 1).alias("key"), (F.col("id") % 97 + 1).alias("size"))
+    capacity, firsts = sharding.solve(rows, 16)
+    got = sorted((r.key, r["size"]) for r in rows.collect())
+    assert capacity == least_capacity([s for _, s in got], 16) and len(asked) > 1
+    loads = Counter()
+    for k, s in got:
+        loads[sum(k >= f for f in firsts)] += s
+    assert max(loads.values()) == capacity
+
+
 def test_shards_of_odd_tables(spark):
     assert sharding.shard(frame(spark, [])).count() == 0
     rows = frame(spark, ODD + ["same text here"], [*range(len(ODD)), 6]).withColumn("key", F.lit(1)).withColumn("size", F.lit("x"))
