@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> None:
-    """Set the checkpoint folder: the cluster's spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
+    """Set the checkpoint folder: the one that spark.checkpoint.dir names. Where that is unset, a session in one process (tests) gets a
+    folder of its own, and a cluster is refused: its machines have no folder in common that could be guessed."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkstrata-checkpoint-"))
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="inkstrata-checkpoint-")
+    spark.sparkContext.setCheckpointDir(named)
+
+
+#: Spark's own switch: a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there: no lineage, no recomputation, nothing lost with an executor."""
-    shared(df.sparkSession)
-    return df.checkpoint(True)
+    """Write df to the shared folder and go on from there: no lineage, no recomputation, nothing lost with an executor. What was
+    shuffled for it is removed once it is written."""
+    spark = df.sparkSession
+    shared(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(True)  # a plan of its own, made under the setting
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 #: Rows in a batch that goes to a Python worker, where the session has Spark's default of 10,000: texts are long.
@@ -47,19 +64,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of steps whose results have been cut off from them.
-
-    Its cleaner acts on what the driver's collector finds, and that only once Python's handles are gone: these are let go by
-    a thread that looks about once a second.
-    """
-    gc.collect()
-    time.sleep(1.3)
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import GOLDEN, buffers, chunks, cut, mix, prefix_hash, small_batches, span_hash, tidy, words_of
+from .common import GOLDEN, buffers, chunks, cut, mix, prefix_hash, small_batches, span_hash, words_of
 from .graph import components
 
 BANDS, ROWS = 24, 4
@@ -289,11 +289,9 @@ def groups(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame
     ids = crowd.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi")
     sets = cut(texts.select("node", setter(words)("text").alias("s")).where(F.length("s") > 0))
-    tidy(docs.sparkSession)
     star = crowd.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = _decided(star, nodes, sets, percent)
     linked = cut(components(links))
-    tidy(docs.sparkSession)
     more = _decided(_across(crowd, linked, sets, percent), nodes, sets, percent)
     final = components(links.union(more))
     moved = cut(nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")).where("copies > 1 or component <> node").select("n", "f1", "f2", "component"))

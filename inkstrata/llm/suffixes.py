@@ -5,12 +5,16 @@ in a sparse suffix array: of all suffixes only those that start at a minimiser a
 a minimiser that its bytes alone decide, so equal windows meet at equal minimisers.
 
 1. Each batch of rows lists its minimisers, one entry per hash, to the hash's bucket; buckets return those that occur in
-   other documents. Entries of a hash are one per batch, however many rows hold it.
+   other documents. Entries of a hash are one per batch, however many rows hold it, with the number of documents. Hashes of more than
+   `hot` documents are collected: at most a document's minimisers / `hot`, and `hot` grows with the input so that they are 2^22 at most.
 2. Rows look at the surroundings of these minimisers. In a batch, equal surroundings beyond the first document's are covered at
    once; one entry per distinct surrounding goes to its bucket, with its bytes. There, equal ones beyond the first document's are
    covered as well. The first ones of differing surroundings are suffix-sorted: multikey quicksort over 8-byte symbols to a
    shallow depth, then blind tries for groups that still agree. Runs of the array that share the minimiser are
    compared through the LCP array to the right and directly to the left; what adds up to LENGTH is covered.
+   A hot hash would bring the surroundings of a common line in all its documents to one bucket. Each window of which it is the
+   minimiser is sent by a hash of its own instead, once per batch: windows inside the line are as many entries as there are
+   batches, and those that run over its edge go to as many buckets as there are continuations.
 3. Intervals are united per row.
 """
 
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import buffers, chunks, cut, mix, prefix_hash, ranges, small_batches, span_hash, tidy
+from .common import buffers, chunks, cut, mix, prefix_hash, ranges, small_batches, span_hash
 
 LENGTH = 50
 GRAM = 16
@@ -35,9 +39,13 @@ SHALLOW = 24
 #: Runs up to this length are compared pair by pair.
 PAIRWISE = 24
 #: Text bytes that a worker lists or looks at together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Text bytes per bucket.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
+#: Entries that a bucket resolves at once, unless one hash has more; no hash has more than a hot one's documents and places.
+SLICE = 1 << 15
+#: A hash in more documents than this, or than minimisers / 2^HOT_BITS, is hot.
+HOT, HOT_BITS = 4096, 22
 
 
 def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -49,13 +57,13 @@ def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(out[: len(out) - (n - done)], out[n - done :]) if done < n else out
 
 
-def anchors(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, row, hash) of minimisers of all windows inside rows, and the prefix hash of body."""
+def anchors(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, row, hash) of minimisers of all windows inside rows, the prefix hash of body, and each window's hash (0: outside)."""
     prefix = prefix_hash(common.BYTE_VALUES[body])
     n = len(body) - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < REACH:
-        return none, none, np.zeros(0, np.uint64), prefix
+        return none, none, np.zeros(0, np.uint64), prefix, np.zeros(0, np.uint64)
     at = np.arange(n)
     h = span_hash(prefix, at, at + GRAM) | np.uint64(1)
     least = _slide(h, REACH, np.minimum)
@@ -64,7 +72,7 @@ def anchors(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     asked = np.where(at[: len(least)] + LENGTH <= offsets[row + 1], least, np.uint64(0))
     padded = np.concatenate((np.zeros(REACH - 1, np.uint64), asked, np.zeros(REACH - 1, np.uint64)))
     place = np.flatnonzero(h == _slide(padded, REACH, np.maximum)[:n])
-    return place, np.searchsorted(offsets, place, side="right") - 1, h[place], prefix
+    return place, np.searchsorted(offsets, place, side="right") - 1, h[place], prefix, asked
 
 
 def _blind(strings: list[int], width: int) -> tuple[list[int], list[int]]:
@@ -156,19 +164,24 @@ def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def resolve(left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def resolve(context: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entry, bytes to the left, bytes to the right) covered by smaller documents, around the minimisers of entries.
 
-    left holds the REACH - 1 bytes before, nearest first, right the LENGTH bytes from the minimiser; bytes past a row's
-    ends are told apart by the caller (they're numbered per entry, so they never agree).
+    context holds each entry's `before` bytes up to its minimiser and the `after` bytes from there on, in a row, and zeros behind.
     """
-    order, lcp = deep_shallow(right[:, :LENGTH].astype(np.uint8)) if len(doc) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.int64),) * 3
+    if not len(doc):
+        return none
+    rows = np.arange(len(doc))[:, None]
+    right = context[rows, np.minimum(before[:, None] + np.arange(LENGTH), context.shape[1] - 1)]
+    right[np.arange(LENGTH) >= after[:, None]] = 0
+    order, lcp = deep_shallow(right)
     run = np.cumsum(lcp < GRAM)
-    size = np.bincount(run) if len(run) else np.zeros(0, np.int64)
+    size = np.bincount(run)
     out = []
     small = size[run] <= PAIRWISE
     reach = lcp.copy()
-    for d in range(1, int(min(PAIRWISE, size.max(initial=0)))):
+    for d in range(1, int(min(PAIRWISE, size.max()))):
         if d > 1:
             reach[d:] = np.minimum(reach[d:], lcp[1 : len(lcp) - d + 1])
         j = np.flatnonzero((np.arange(len(lcp)) >= d) & small)
@@ -176,35 +189,35 @@ def resolve(left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> tuple[np.nd
         a, b = order[j - d], order[j]
         later, first = np.where(doc[a] > doc[b], a, b), np.where(doc[a] > doc[b], b, a)
         keep = doc[a] != doc[b]
-        out.append(_covered(left, right, later[keep], first[keep], reach[j][keep]))
+        out.append(_covered(context, before, after, later[keep], first[keep], reach[j][keep]))
     for r in np.flatnonzero(size > PAIRWISE):
         part = order[run == r]
         # One pass for each place of the window around the minimiser: equal windows meet, the smallest document wins.
         for k in range(REACH):
-            window = np.concatenate((left[part][:, :k], right[part][:, : LENGTH - k]), axis=1)
-            fine = (window < 256).all(axis=1)
-            p = part[fine]
+            p = part[(before[part] >= k) & (after[part] >= LENGTH - k)]
             if len(p) < 2:
                 continue
-            at, same = deep_shallow(window[fine].astype(np.uint8))
+            window = context[p[:, None], before[p][:, None] - k + np.arange(LENGTH)]
+            at, same = deep_shallow(window)
             group = np.cumsum(same < LENGTH)
             least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, group, doc[p[at]])
             hit = p[at][doc[p[at]] > least[group]]
             out.append((hit, np.full(len(hit), k), np.full(len(hit), LENGTH - k)))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(3)) if out else none
 
 
-def _covered(left, right, later, first, reach):
-    unequal = left[later] != left[first]
-    before = np.where(unequal.any(axis=1), np.argmax(unequal, axis=1), left.shape[1])
-    # The LCP may run over a row's end: places there differ by number.
-    off = right[later] != right[first]
-    after = np.minimum(reach, np.where(off.any(axis=1), np.argmax(off, axis=1), LENGTH))
-    keep = before + after >= LENGTH
-    return later[keep], before[keep], after[keep]
+def _covered(context, before, after, later, first, reach):
+    """Of pairs whose bytes from the minimiser agree for `reach` (zeros behind a row's end included): those that share a window."""
+    x, y = np.minimum(before[later], before[first]), np.minimum(after[later], after[first])
+    back = np.arange(REACH - 1)
+    a = context[later[:, None], np.maximum(before[later][:, None] - 1 - back, 0)]
+    b = context[first[:, None], np.maximum(before[first][:, None] - 1 - back, 0)]
+    off = (a != b) | (back >= x[:, None])
+    lead = np.where(off.any(axis=1), np.argmax(off, axis=1), REACH - 1)
+    tail = np.minimum(reach, y)
+    keep = lead + tail >= LENGTH
+    return later[keep], lead[keep], tail[keep]
 
 
 def unite(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +274,7 @@ def lister(buckets: int):
             body, offsets, _ = buffers(batch.column("text"))
             hashes, docs = [], []
             for i, j in chunks(offsets):
-                _, row, h, _ = anchors(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                _, row, h, _, _ = anchors(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 hashes.append(h)
                 docs.append(row + i)
             h, doc = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (hashes, docs))
@@ -280,16 +293,19 @@ def lister(buckets: int):
             local = low != high
             # Rows of one doc_id don't share by themselves, so each body of a hash waits for what other batches have.
             other = np.concatenate(([True], (ids[1:] != ids[:-1]) | (bodies[1:] != bodies[:-1])))
+            held = np.diff(np.append(head, len(h))).astype(np.int32)
             for through in (False, True):
                 pick = np.flatnonzero(local[which]) if through else np.flatnonzero(begins | other & ~local[which])
                 seed = int(mix(np.array([int(bodies[0]) + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
                 bucket = np.full(len(pick), buckets + seed) if through else (h[pick] % np.uint64(buckets)).astype(np.int64)
-                name, at, (hs, ids_, bodies_, known) = _split(bucket, h[pick], ids[pick], bodies[pick], local[which[pick]].astype(np.int8))
+                # An entry that stands for a hash's documents of the batch tells their number; the others tell 0.
+                n = np.where(begins[pick], held[which[pick]], 0).astype(np.int32)
+                name, at, (hs, ids_, bodies_, known, n) = _split(bucket, h[pick], ids[pick], bodies[pick], local[which[pick]].astype(np.int8), n)
                 for b, a, z in zip(name.tolist(), at[:-1], at[1:], strict=True):
                     x = np.lexsort((bodies_[a:z], ids_[a:z]))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((b, pa.int32()), *[(_packed(v[a:z][x]), pa.binary()) for v in (hs, ids_, bodies_, known)])], ["bucket", "h", "ids", "bodies", "known"])
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((b, pa.int32()), *[(_packed(v[a:z][x]), pa.binary()) for v in (hs, ids_, bodies_, known, n)])], ["bucket", "h", "ids", "bodies", "known", "n"])
 
-    return run, "bucket int, h binary, ids binary, bodies binary, known binary"
+    return run, "bucket int, h binary, ids binary, bodies binary, known binary, n binary"
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -333,20 +349,26 @@ def intervals_of_rows(table: pa.Table) -> pa.Table:
     return _by_row(*_intervals(ids, bodies, *x.reshape(-1, 2).astype(np.int64).T))
 
 
-def sharer(buckets: int):
-    """The shared minimisers of a bucket, by parts of the rows: a hash is shared if it has entries of two documents."""
+def sharer(buckets: int, hot: int):
+    """The shared minimisers of a bucket, by parts of the rows: a hash is shared if it has entries of two documents. A line of no
+    part holds the hashes of more than `hot` documents."""
 
     def run(table: pa.Table) -> pa.Table:
         h, ids, bodies = (_joined(table, c, k) for c, k in (("h", np.uint64), ("ids", np.int64), ("bodies", np.int32)))
-        if table["bucket"][0].as_py() < buckets:
-            order = np.argsort(h, kind="stable")
-            h, ids, bodies = h[order], ids[order], bodies[order]
-            known = _joined(table, "known", np.int8)[order]
-            head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
-            keep = (np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head))[which] & (known == 0)
-            h, ids, bodies = h[keep], ids[keep], bodies[keep]
-        return _by_part(ids, bodies, h, buckets)
+        if table["bucket"][0].as_py() >= buckets:
+            return _by_part(ids, bodies, h, buckets)
+        order = np.argsort(h, kind="stable")
+        h, ids, bodies = h[order], ids[order], bodies[order]
+        known, n = _joined(table, "known", np.int8)[order], _joined(table, "n", np.int32)[order]
+        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+        many = h[head][np.add.reduceat(n.astype(np.int64), head) > hot]
+        keep = (np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head))[which] & (known == 0)
+        out = _by_part(ids[keep], bodies[keep], h[keep], buckets)
+        if not len(many):
+            return out
+        line = pa.Table.from_arrays([pa.array([None], pa.int32()), *[pa.array([_packed(v)], pa.binary()) for v in (many[:0].view(np.int64), np.zeros(0, np.int32), many)]], out.column_names)
+        return pa.concat_tables([out, line])
 
     return run, PARTS
 
@@ -361,62 +383,92 @@ def _by_row(ids: np.ndarray, bodies: np.ndarray, values: np.ndarray) -> pa.Table
     return pa.Table.from_arrays([pa.array(ids[head]), pa.array(bodies[head]), raw.cast(pa.binary())], ["doc_id", "body", "x"])
 
 
-def looker(buckets: int):
-    """Pass 2: intervals that the batch itself covers, in buckets of their own that the batch chooses, and one entry per
-    distinct surrounding for the minimisers' buckets."""
+def looker(buckets: int, hot: np.ndarray):
+    """Pass 2: intervals that the batch itself covers, in buckets of their own that the batch chooses; one entry per distinct
+    surrounding for the minimisers' buckets; and one entry per distinct window of hot minimisers, for the windows' buckets."""
     span = REACH - 1 + LENGTH
 
+    def picked(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if not len(sorted_):
+            return np.zeros(len(x), bool)
+        at = np.searchsorted(sorted_, x)
+        at[at == len(sorted_)] = 0
+        return sorted_[at] == x
+
+    def lines(bucket: np.ndarray, *arrays: np.ndarray):
+        name, at, got = _split(bucket, *arrays)
+        for b, a, z in zip(name.tolist(), at[:-1], at[1:], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([_packed(v[a:z])], pa.binary()) for v in got]], ["bucket", "ids", "bodies", "rest"])
+
+    def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted keys: where each group begins, and each entry's group."""
+        new = np.zeros(len(keys[0]), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        head = np.flatnonzero(new)
+        return head, np.repeat(np.arange(len(head)), np.diff(np.append(head, len(new))))
+
     def run(batches):
         for number, batch in _portions(batches):
             body, offsets, _ = buffers(batch.column("text"))
             wanted = batch.column("x")
-            parts = []
+            parts, wide = [], []
             for i, j in chunks(offsets):
                 text, at = body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                place, row, h, prefix = anchors(text, at)
+                place, row, h, prefix, least = anchors(text, at)
                 lists = [np.frombuffer(wanted[k].as_buffer(), np.uint64) for k in range(i, j)]
                 if not len(place):
                     continue
                 owner = np.repeat(np.arange(j - i), [len(x) for x in lists])
                 mine = np.unique(mix(np.concatenate(lists)) ^ mix(owner.astype(np.uint64) + common.GOLDEN))
-                if not len(mine):
-                    continue
-                own = mix(h) ^ mix(row.astype(np.uint64) + common.GOLDEN)
-                found = np.searchsorted(mine, own)
-                found[found == len(mine)] = 0
-                keep = mine[found] == own
+                keep = picked(mine, mix(h) ^ mix(row.astype(np.uint64) + common.GOLDEN)) & ~picked(hot, h)
                 place, row, h = place[keep], row[keep], h[keep]
                 low, high = np.maximum(place - REACH + 1, at[row]), np.minimum(place + LENGTH, at[row + 1])
                 before, after = place - low, high - place
                 f = span_hash(prefix, low, high) ^ mix((before * 256 + after).astype(np.uint64))
                 parts.append((h, f, row + i, place - at[row], before, after))
-            if not parts:
-                continue
-            h, f, row, place, before, after = (np.concatenate([p[k] for p in parts]) for k in range(6))
+                spot = np.flatnonzero(picked(hot, least)) if len(hot) else np.zeros(0, np.int64)
+                row = np.searchsorted(at, spot, side="right") - 1
+                wide.append((least[spot], span_hash(prefix, spot, spot + LENGTH), row + i, spot - at[row]))
+            ours = []
+            h, f, row, place, before, after = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(6))
             ids, bodies = _rows(batch, row)
             order = np.lexsort((place, bodies, ids, f, h))
             h, f, row, place, before, after, ids, bodies = (a[order] for a in (h, f, row, place, before, after, ids, bodies))
-            head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (f[1:] != f[:-1]))))
-            which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+            head, which = firsts(h, f)
             done = ids > ids[head][which]
-            lines = ["bucket", "ids", "bodies", "rest"]
-            if done.any():
-                got = _intervals(ids[done], bodies[done], place[done] - before[done], place[done] + after[done])
-                seed = int(mix(np.array([int(bodies[0]) + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
-                yield pa.RecordBatch.from_arrays([pa.array([buckets + seed], pa.int32()), *[pa.array([_packed(v)], pa.binary()) for v in got]], lines)
+            ours.append((ids[done], bodies[done], place[done] - before[done], place[done] + after[done]))
             left = np.flatnonzero(~done)
             bucket = (h[left] % np.uint64(buckets)).astype(np.int64)
-            # Only entries carry their surroundings; places past a row's end are 0 here and get a number of their own later.
-            context = np.zeros((len(left), span), np.uint8)
-            for i in range(0, len(left), 20_000):
-                some = left[i : i + 20_000]
+            left, bucket = left[order := np.argsort(bucket, kind="stable")], bucket[order]
+            # Only entries carry their surroundings, with zeros behind a row's end; some buckets' lines at a time.
+            i = 0
+            while i < len(left):
+                j = int(np.searchsorted(bucket, bucket[min(i + SLICE, len(left)) - 1], side="right"))
+                some = left[i:j]
+                context = np.zeros((len(some), span), np.uint8)
                 spot = (offsets[row[some]] + place[some] - before[some])[:, None] + np.arange(span)
                 inside = np.arange(span) < (before + after)[some][:, None]
-                context[i : i + 20_000][inside] = body[spot[inside]]
-            rest = np.concatenate((place[left].astype(np.int32)[:, None].view(np.uint8), np.stack((before, after), 1)[left].astype(np.uint8), context), axis=1)
-            name, at, (ids_, bodies_, rest) = _split(bucket, ids[left], bodies[left], rest)
-            for b, a, z in zip(name.tolist(), at[:-1], at[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([_packed(v[a:z])], pa.binary()) for v in (ids_, bodies_, rest)]], lines)
+                context[inside] = body[spot[inside]]
+                rest = np.concatenate((place[some].astype(np.int32)[:, None].view(np.uint8), np.stack((before, after), 1)[some].astype(np.uint8), context), axis=1)
+                yield from lines(bucket[i:j], ids[some], bodies[some], rest)
+                i = j
+            h, f, row, place = (np.concatenate([p[k] for p in wide]) if wide else np.zeros(0, np.int64) for k in range(4))
+            ids, bodies = _rows(batch, row)
+            order = np.lexsort((place, bodies, ids, f, h))
+            h, f, place, ids, bodies = (a[order] for a in (h, f, place, ids, bodies))
+            head, which = firsts(h, f)
+            done = ids > ids[head][which]
+            ours.append((ids[done], bodies[done], place[done], place[done] + LENGTH))
+            left = np.flatnonzero(~done)
+            rest = np.ascontiguousarray(np.stack((h[left], f[left], place[left].astype(np.uint64)), 1)) if len(left) else np.zeros((0, 3), np.uint64)
+            yield from lines((2 * buckets + f[left].astype(np.uint64) % np.uint64(buckets)).astype(np.int64), ids[left], bodies[left], rest)
+            ids, bodies, start, end = (np.concatenate([x[k] for x in ours]) for k in range(4))
+            if len(ids):
+                got = _intervals(ids, bodies, start, end)
+                seed = int(mix(np.array([int(bodies[0]) + number], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+                yield from lines(np.full(len(got[0]), buckets + seed), *got)
 
     return run, "bucket int, ids binary, bodies binary, rest binary"
 
@@ -441,47 +493,56 @@ def _hashes(context: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple
     return h, f
 
 
+def _settled(h: np.ndarray, f: np.ndarray, ids: np.ndarray, bodies: np.ndarray, place: np.ndarray, before: np.ndarray, after: np.ndarray, context: np.ndarray):
+    """Covered intervals of entries that are sorted by hash and surroundings, then document."""
+    new_h = np.concatenate(([True], h[1:] != h[:-1]))
+    head = np.flatnonzero(new_h | np.concatenate(([True], f[1:] != f[:-1])))
+    which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+    done = ids > ids[head][which]
+    group = np.cumsum(new_h)[head]
+    open_ = head[np.bincount(group)[group] > 1]
+    entry, a, z = resolve(context[open_], before[open_], after[open_], ids[open_])
+    # What is found for an entry holds for every place of its document with the same surroundings.
+    entry = which[open_[entry]]
+    size = np.diff(np.append(head, len(h)))[entry]
+    at = np.repeat(head[entry], size) + ranges(size)
+    a, z = np.repeat(a, size), np.repeat(z, size)
+    mine = ~done[at]
+    at, a, z = at[mine], a[mine], z[mine]
+    return np.concatenate((ids[done], ids[at])), np.concatenate((bodies[done], bodies[at])), np.concatenate(((place - before)[done], place[at] - a)), np.concatenate(((place + after)[done], place[at] + z))
+
+
 def resolver(buckets: int):
-    """A bucket's entries to intervals by row; intervals that came as such pass through."""
-    span = REACH - 1 + LENGTH
+    """A bucket's entries to intervals by row, hash by hash in slices; windows of hot hashes by their least document; intervals that
+    came as such pass through."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() >= buckets:
-            ids, bodies = _joined(table, "ids", np.int64), _joined(table, "bodies", np.int32)
-            return _by_part(ids, bodies, _joined(table, "rest", np.int32).reshape(-1, 2), buckets)
+        kind = table["bucket"][0].as_py() // buckets
         ids, bodies = _joined(table, "ids", np.int64), _joined(table, "bodies", np.int32)
+        if kind == 1:
+            return _by_part(ids, bodies, _joined(table, "rest", np.int32).reshape(-1, 2), buckets)
+        if kind == 2:
+            h, f, place = _joined(table, "rest", np.uint64).reshape(-1, 3).T
+            order = np.lexsort((ids, f, h))
+            h, f, place, ids, bodies = h[order], f[order], place[order].astype(np.int64), ids[order], bodies[order]
+            head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (f[1:] != f[:-1]))))
+            done = ids > np.repeat(ids[head], np.diff(np.append(head, len(h))))
+            return _by_part(*_intervals(ids[done], bodies[done], place[done], place[done] + LENGTH), buckets)
         rest = _joined(table, "rest", np.uint8).reshape(len(ids), -1)
-        place, (before, after) = np.ascontiguousarray(rest[:, :4]).view(np.int32).astype(np.int64)[:, 0], rest[:, 4:6].astype(np.int64).T
-        context = np.ascontiguousarray(rest[:, 6:])
-        h, f = _hashes(context, before, after)
-        order = np.lexsort((place, bodies, ids, f, h))
-        h, f, ids, bodies, place, before, after, context = (a[order] for a in (h, f, ids, bodies, place, before, after, context))
-        new_h = np.concatenate(([True], h[1:] != h[:-1]))
-        head = np.flatnonzero(new_h | np.concatenate(([True], f[1:] != f[:-1])))
-        which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
-        done = ids > ids[head][which]
-        group = np.cumsum(new_h)[head]
-        open_ = head[np.bincount(group)[group] > 1]
-        # Bytes as numbers, with a number of its own for each place past a row's ends.
-        ahead = before[open_].astype(np.int32)[:, None]
-        spot = ahead - 1 - np.arange(REACH - 1, dtype=np.int32)
-        own = (256 + np.arange(len(open_), dtype=np.int32))[:, None]
-        rows = np.arange(len(open_))[:, None]
-        inner = context[open_]
-        left = np.where(spot >= 0, inner[rows, np.maximum(spot, 0)], own)
-        spot = ahead + np.arange(LENGTH, dtype=np.int32)
-        right_ok = np.arange(LENGTH) < after[open_][:, None]
-        right = np.where(right_ok, inner[rows, np.minimum(spot, span - 1)], own)
-        entry, a, z = resolve(left, right, ids[open_])
-        # What is found for an entry holds for every place of its document with the same surroundings.
-        entry = which[open_[entry]]
-        size = np.diff(np.append(head, len(h)))[entry]
-        at = np.repeat(head[entry], size) + ranges(size)
-        a, z = np.repeat(a, size), np.repeat(z, size)
-        mine = ~done[at]
-        at, a, z = at[mine], a[mine], z[mine]
-        got = _intervals(np.concatenate((ids[done], ids[at])), np.concatenate((bodies[done], bodies[at])), np.concatenate(((place - before)[done], place[at] - a)), np.concatenate(((place + after)[done], place[at] + z)))
-        return _by_part(*got, buckets)
+        h, f = np.empty(len(ids), np.uint64), np.empty(len(ids), np.uint64)
+        for i in range(0, len(ids), SLICE):
+            some = rest[i : i + SLICE]
+            h[i : i + SLICE], f[i : i + SLICE] = _hashes(some[:, 6:], some[:, 4].astype(np.int64), some[:, 5].astype(np.int64))
+        order = np.lexsort((bodies, ids, f, h))
+        h, f, ids, bodies = h[order], f[order], ids[order], bodies[order]
+        out, i = [], 0
+        while i < len(h):
+            j = int(np.searchsorted(h, h[min(i + SLICE, len(h)) - 1], side="right"))
+            some = rest[order[i:j]]
+            place, (before, after) = np.ascontiguousarray(some[:, :4]).view(np.int32).astype(np.int64)[:, 0], some[:, 4:6].astype(np.int64).T
+            out.append(_intervals(*_settled(h[i:j], f[i:j], ids[i:j], bodies[i:j], place, before, after, some[:, 6:])))
+            i = j
+        return _by_part(*[np.concatenate([x[k] for x in out]) for k in range(3)], buckets)
 
     return run, PARTS
 
@@ -501,19 +562,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     buckets = max(common.partitions(spark), int(total // BUCKET_BYTES) + 1)
     run, kind = lister(buckets)
     listed = rows.mapInArrow(run, kind).repartition(buckets, "bucket")
-    run, kind = sharer(buckets)
-    # A row per document; what was listed can go once this is written.
-    shared = cut(listed.groupBy("bucket").applyInArrow(run, kind).repartition(buckets, "part").groupBy("part").applyInArrow(hashes_of_rows, ROWS))
-    del listed
-    tidy(spark)
-    run, kind = looker(buckets)
+    # A text has about two minimisers for REACH bytes, so hashes of more than `most` documents are under 2 ** HOT_BITS.
+    most = max(HOT, int(2 * total // REACH >> HOT_BITS))
+    run, kind = sharer(buckets, most)
+    parts = cut(listed.groupBy("bucket").applyInArrow(run, kind))
+    hot = [np.frombuffer(pa.decompress(r.x[8:], int.from_bytes(r.x[:8], "little"), codec="zstd", asbytes=True), np.uint64) for r in parts.where("part is null").select("x").collect()]
+    hot = np.sort(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
+    # A row per document.
+    shared = parts.where("part is not null").repartition(buckets, "part").groupBy("part").applyInArrow(hashes_of_rows, ROWS)
+    run, kind = looker(buckets, hot)
     looked = rows.join(shared, ["doc_id", "body"]).select("doc_id", "body", "text", "x").mapInArrow(run, kind)
     run, kind = resolver(buckets)
-    covered = looked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, kind)
-    found = cut(covered.repartition(buckets, "part").groupBy("part").applyInArrow(intervals_of_rows, ROWS))
-    del shared, looked, covered
-    tidy(spark)
-    return found
+    covered = cut(looked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, kind))
+    return cut(covered.repartition(buckets, "part").groupBy("part").applyInArrow(intervals_of_rows, ROWS))
 
 
 def remover():

@@ -260,9 +260,9 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("pairwise", [2, 24])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, pairwise):
-    monkeypatch.setattr(suffixes, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("hot", [0, 6, 4096])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     rng = random.Random(11)
     shared = [words(rng, 14) for _ in range(6)]
     texts = []
@@ -285,6 +285,47 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, pairwise):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_one_line_in_thousands_of_documents(spark):
+    """Its minimisers are hot, so its windows are told apart one by one; so are those that run over its edges."""
+    rng = random.Random(12)
+    line = words(rng, 25)
+    tails = [words(rng, 6) for _ in range(40)]
+    rows = [(i, words(rng, 3) + rng.choice([" ", "\n"]) + line[rng.choice([0, 0, 0, 7]) :] + rng.choice([" ", ". "]) + rng.choice(tails) + words(rng, 3)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert len(line) > 60
+    got = defaultdict(list)
+    for r in suffixes.removed(df).collect():
+        got[r.doc_id].append((r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256))
+    assert got == brute_removed(rows)
+
+
+@pytest.mark.parametrize("pairwise", [2, 24])
+def test_resolved_entries_equal_brute_force(monkeypatch, pairwise):
+    monkeypatch.setattr(suffixes, "PAIRWISE", pairwise)
+    rng, gram = random.Random(14), b"minimiser, sixte"
+    pool = [bytes(rng.choice(b"ab\0") for _ in range(40)) for _ in range(3)]
+    around = []
+    for _ in range(60):
+        left, right = rng.choice(pool)[: rng.randint(0, 34)], rng.choice(pool)[: rng.randint(0, 34)]
+        around.append((bytes([120]) * rng.randint(0, 2) + left, gram + right))
+    around = [(a[-34:], z) for a, z in around]
+    docs = np.array([rng.randint(0, 30) for _ in around])
+    context = np.zeros((60, 84), np.uint8)
+    for i, (a, z) in enumerate(around):
+        context[i, : len(a + z)] = np.frombuffer(a + z, np.uint8)
+    sizes = [np.array([len(x[k]) for x in around]) for k in (0, 1)]
+    got, want = [set() for _ in around], [set() for _ in around]
+    for e, a, z in zip(*suffixes.resolve(context, *sizes, docs), strict=True):
+        got[e] |= set(range(-a, z))
+    for i, (a, z) in enumerate(around):
+        for j, (b, y) in enumerate(around):
+            for k in range(35):
+                w = lambda p, q, k=k: (p[len(p) - k :] + q[: 50 - k]) if len(p) >= k and len(q) >= 50 - k else None
+                if docs[j] < docs[i] and w(a, z) is not None and w(a, z) == w(b, y):
+                    want[i] |= set(range(-k, 50 - k))
+    assert got == want and any(want)
+
+
 def test_rows_of_one_id_in_one_batch_are_all_told(spark):
     rng = random.Random(13)
     shared = words(rng, 30)
