@@ -6,10 +6,11 @@ importance weight p_target / p_raw; documents are drawn without replacement by G
 Features are single tokens and pairs of neighbouring tokens (maximal runs of word bytes, or of punctuation bytes,
 case kept), hashed into BUCKETS. The raw model counts every feature of every document. The target model counts those of
 a bounded sample of rows labelled good (SAMPLE rows, the smallest by hash). Each model is mixed with SMOOTH of the uniform one,
-so rare buckets are neutral. The log weight is divided by its mean and by the square root of its length: less its
-expectation under the target model, over sqrt(features), so that length neither helps nor harms.
+so rare buckets are neutral. The log weight of a document is the sum of its features' log ratios, normalised for length: less its
+expectation under the target model, over sqrt(features), so that target text has weights about 0 with one spread at any length.
 k is the number of documents whose weight is at least a cut that parts the sample's good rows from the others best, each
-half of the sample being scored by a model of the other half; Gumbel noise of scale NOISE then decides close calls.
+half of the sample being scored by a model of the other half. The k documents with the largest log weight + Gumbel noise of scale 1
+are drawn: a sample without replacement by exp(log weight), in which documents near the cut come in and go out by chance.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from .common import buffers, chunks, cut, fresh, mix, power_table, prefix_hash,
 BUCKETS = 1 << 16
 SAMPLE = 20_000
 SMOOTH = 0.05
-NOISE = 0.02
 
 #: 0: white space and control bytes, 1: word bytes, 2: punctuation.
 CLASS = np.full(256, 2, np.uint8)
@@ -87,8 +87,8 @@ def weights(target: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, float]:
     return ratio, float((p * ratio).sum())
 
 
-def scorer(ratio: np.ndarray, mean: float, noise: float):
-    """An Arrow UDF (key, text) -> struct<n, weight, draw>."""
+def scorer(ratio: np.ndarray, mean: float):
+    """An Arrow UDF (key, text) -> struct<n, weight, draw>; draw is the weight and the Gumbel noise of the key."""
 
     @F.arrow_udf("struct<n: int, weight: double, draw: double>")
     def score(key: pa.Array, text: pa.Array) -> pa.Array:
@@ -100,7 +100,7 @@ def scorer(ratio: np.ndarray, mean: float, noise: float):
             total[i:j] = np.bincount(row, weights=ratio[bucket], minlength=j - i)
         weight = (total - n * mean) / np.sqrt(np.maximum(n, 1))
         u = ((mix(np.asarray(key.fill_null(0)).astype(np.int64).view(np.uint64) ^ common.GOLDEN) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
-        draw = weight - noise * np.log(-np.log(u))
+        draw = weight - np.log(-np.log(u))
         return pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.array(weight), pa.array(draw)], ["n", "weight", "draw"])
 
     return score
@@ -148,7 +148,7 @@ class Resampler:
         good, bad = [], []
         for own, other in ((half, parts[1]), (~half, parts[0])):
             if other.sum():
-                held = known.where(own).select("good", scorer(*weights(other, raw), 0.0)("doc_id", "text").alias("s")).select("good", "s.weight").toPandas()
+                held = known.where(own).select("good", scorer(*weights(other, raw))("doc_id", "text").alias("s")).select("good", "s.weight").toPandas()
                 good.append(held.weight[held.good].to_numpy())
                 bad.append(held.weight[~held.good].to_numpy())
         ratio, mean = weights(target, raw)
@@ -157,7 +157,7 @@ class Resampler:
 
     def scored(self, docs: DataFrame, column: str = "_s") -> DataFrame:
         key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-        return docs.withColumn(column, scorer(self.ratio, self.mean, NOISE)(key, F.col("text").cast("string")))
+        return docs.withColumn(column, scorer(self.ratio, self.mean)(key, F.col("text").cast("string")))
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, slack: float = 0.5) -> float:
@@ -173,8 +173,8 @@ def best_cut(good: np.ndarray, bad: np.ndarray, slack: float = 0.5) -> float:
 def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that the draw keeps, with _features, _log_weight and _draw (names that docs has get more underscores).
 
-    Null, empty and token-free texts have no features, weight 0 and are kept like any neutral text. Equal doc_ids share
-    their noise, so repeated rows stand or fall together; ties at the threshold are all kept. Without a good labelled row
+    Null, empty and token-free texts have no features and weight 0, that of typical target text, and are drawn by the same rule as
+    others. Equal doc_ids share their noise, so repeated rows stand or fall together; ties at the threshold are all kept. Without a good labelled row
     everything is kept with weight 0. An empty table gives an empty result. Extra columns are carried along.
     """
     small_batches(docs.sparkSession)
@@ -194,6 +194,7 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def threshold(model: Resampler, docs: DataFrame) -> float | None:
     """The k-th largest draw, where k is the number of documents that weigh at least the cut."""
+    # Texts are scored here and once more for the result: that costs less than a join of the scores with whole texts.
     draws = cut(model.scored(docs.select("doc_id", "text"), "s").select("s.weight", "s.draw"))
     k = draws.where(F.col("weight") >= model.least).count()
     return kth_largest(draws, "draw", k)
