@@ -6,17 +6,21 @@ and diagonal band; bands are 2 (e + 1) wide and overlap by half, so one of them
 that meet the bound are verified by a banded alignment with free ends, all bands of a chunk side by side.
 
 Texts are compared as lower-case letters (A-Z only), digits and bytes over 127, everything else being one space.
-The benchmark is the query side: it goes to the workers in blocks of at most BLOCK_BYTES, one pass of the rows a block.
+The benchmark is the query side: it goes to the workers in blocks of about BLOCK_BYTES, one pass of the rows a block; with several blocks,
+a pass is written before the next block is read, so one block is held at a time. An item's edit budget is RATE of its n
+characters, rounded down, and (n - Q) / Q at most, so that at least one q-gram has to be shared.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, buffers, chunks, fresh, ranges, small_batches
+from .common import GOLDEN, buffers, chunks, cut, fresh, ranges, small_batches
 
 Q = 8
 #: Edits allowed per character of an item.
@@ -179,11 +183,11 @@ class Items:
             for j in np.flatnonzero((edits <= self.edits[t]) & (end > start)):
                 out.append((int(r[j]), self.ids[t[j]], int(start[j]), int(end[j]), int(edits[j])))
         for i, flat in self.tiny:
-            padded = b" " + flat + b" "
+            # A byte string finds its occurrences from left to right; the spaces around a word belong to its neighbours too.
+            word = re.compile(rb"(?<= )" + re.escape(flat) + rb"(?= )")
             for r in range(len(at) - 1):
-                here = b" " + text[at[r] : at[r + 1]].tobytes().strip() + b" "
-                if padded in here:
-                    s = here.index(padded) + int(at[r])
+                for m in word.finditer(b" " + text[at[r] : at[r + 1]].tobytes() + b" "):
+                    s = m.start() - 1 + int(at[r])
                     out.append((r, i, s, s + len(flat), 0))
         # Bands overlap: of matches of an item that share text, the best one stays.
         kept: dict[tuple[int, int], list] = {}
@@ -219,29 +223,34 @@ def matcher(items: Items):
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
-    """The benchmark in blocks of about `most` bytes; one block at a time is on the driver."""
+    """(number of blocks, the blocks of about `most` bytes, each read when it is asked for)."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = total // most + 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        got = part.orderBy("item_id", "text").toPandas()
-        yield Items(got.item_id.tolist(), got.text.tolist())
+    n = int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most) + 1
+
+    def read():
+        for k in range(n):
+            part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+            got = part.orderBy("item_id", "text").toPandas()
+            yield Items(got.item_id.tolist(), got.text.tolist())
+
+    return n, read()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataFrame:
     """docs(text, ...) with an array<struct<item_id, start, end, edits>> of benchmark passages (as the last column).
 
     Positions count code points of the whole text. A null, empty or letterless text, an empty benchmark, and items that
-    fold to nothing give no match. Items shorter than Q characters match as whole words, without edits. Each row is
-    judged on its own, so repeated rows get equal matches; equal items are all reported. Extra columns are carried; a
+    fold to nothing give no match. Items shorter than Q characters match as whole words, without edits. Every occurrence is told, of
+    an item's overlapping ones that with the fewest edits. Each row is judged on its own, so repeated rows get equal matches; equal items are all reported. Extra columns are carried; a
     clashing name gets more underscores.
     """
     small_batches(docs.sparkSession)
     own = fresh(docs, column)
-    found: Column = F.array().cast(RESULT)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    for items in blocks(benchmark):
+    out = docs.withColumn(own, F.array().cast(RESULT))
+    n, parts = blocks(benchmark, BLOCK_BYTES)
+    for items in parts:
         if items.ids or items.tiny:
-            found = F.concat(found, matcher(items)(text))
-    return docs.withColumn(own, found)
+            found = matcher(items)(F.coalesce(F.col("text").cast("string"), F.lit("")))
+            out = out.withColumn(own, found if n == 1 else F.concat(own, found))
+            out = out if n == 1 else cut(out)
+    return out
