@@ -1,40 +1,38 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton is built from a bounded sample of labelled text per language. A text is parsed against each automaton
+A suffix automaton is built from a bounded sample of labelled rows per language. A text is parsed against each automaton
 from left to right into the longest phrases that occur in that language's sample; fewer phrases mean that the language
 explains the text better. Phrases are normalised as code lengths: phrases * log2(sample length) / characters.
 
-The sample of a language is PIECES lines' worth of text from its labelled rows with the smallest hashes, SAMPLE characters at
-most. Automata are flat transition tables over the samples' most frequent characters; a miss is stored as the complement of the
-state that follows from the root, so one lookup advances a parse. Transitions by all other characters are few (at most three a
-character of sample) and stand in a sorted list of (state, character). Phrases don't cross the bounds of BLOCK characters, which lets all
-blocks of all rows advance side by side.
+The sample of a language is whole rows, those with the smallest hashes: each of the first ROWS that are not longer than what is
+left of SAMPLE characters (if all rows are longer than SAMPLE, the shortest one). Most states of an automaton have one way on, which
+stands beside the state; states with several have a row of the flat table, over the samples' SYMBOLS most frequent characters. A miss
+is stored as the complement of the state that follows from the root, so a step needs no second look. Transitions by all other
+characters are few and stand in a sorted list of (state, character).
+
+A text is parsed in blocks side by side, each as if a phrase began with it; then each block's true parse comes in from the block
+before, and from the first place where both begin a phrase they are one. So the result is that of one parse of the whole text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, chunks, fresh, small_batches
 from .pieces import code_points
 
-#: Characters of sample per language, rows that a sample is drawn from, and characters taken of one row.
-SAMPLE, ROWS, PER_ROW = 40_000, 400, 400
-BLOCK = 256
+#: Characters of sample per language, and rows that a sample is drawn from.
+SAMPLE, ROWS = 40_000, 100
+BLOCK = 512
 #: Symbols with a column in the flat tables; rarer ones are looked up in the sorted lists. This bounds memory, not the alphabet.
 SYMBOLS = 96
 
 
-def build(codes: np.ndarray, symbols: int, size: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The suffix automaton of a sequence of symbols below `size`: a flat table of those below `symbols`, and the others' list.
-
-    The table has the next state, or ~(state after the root) on a miss. The list has sorted keys state * size + symbol, their next
-    states, and the state after the root by symbol. States are multiplied by `symbols`. The last state is where a parse starts and
-    where an unseen symbol leads: every symbol starts a phrase there.
-    """
+def automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """The moves of each state of a sequence's suffix automaton; state 0 is the root."""
     link, longest, moves = [-1], [0], [{}]
     last = 0
     for c in codes.tolist():
@@ -60,21 +58,62 @@ def build(codes: np.ndarray, symbols: int, size: int) -> tuple[np.ndarray, tuple
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    table = np.empty((len(link) + 1, symbols), np.int32)
-    root = moves[0]
-    for c in range(symbols):
-        table[:, c] = ~root.get(c, len(link))
-    rare = []
-    for s, m in enumerate(moves):
-        for c, t in m.items():
-            if c < symbols:
-                table[s, c] = t
-            else:
-                rare.append((s * symbols * size + c, t * symbols))
-    rare.sort()
-    after = np.array([root.get(c, len(link)) * symbols for c in range(size)], np.int32)
-    keys, to = np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32)
-    return table.reshape(-1) * symbols + np.where(table.reshape(-1) < 0, symbols - 1, 0).astype(np.int32), (keys, to, after)
+    return moves
+
+
+class Table:
+    """An automaton in flat arrays over `size` symbols, of which those below `symbols` have columns.
+
+    States are numbered with those of a table row first; row `dense` stands for all others and misses. The last state is where a
+    parse starts and where an unseen symbol leads: every symbol starts a phrase there.
+    """
+
+    def __init__(self, codes: np.ndarray, symbols: int, size: int) -> None:
+        moves = automaton(codes)
+        own = [[(c, t) for c, t in m.items() if c < symbols] for m in moves]
+        order = sorted(range(len(moves)), key=lambda s: len(own[s]) < 2)
+        name = np.empty(len(moves) + 1, np.int64)
+        name[order] = np.arange(len(moves))
+        self.start = name[-1] = len(moves)
+        self.symbols, self.size, self.dense = symbols, size, sum(len(x) > 1 for x in own)
+        #: The state after the root, by symbol.
+        self.after = np.full(size, self.start, np.int32)
+        for c, t in moves[0].items():
+            self.after[c] = name[t]
+        table = np.tile(~self.after[:symbols], (self.dense + 1, 1))
+        self.only, self.to = np.full(len(moves) + 1, -1, np.int16), np.zeros(len(moves) + 1, np.int32)
+        rare = []
+        for s, m in enumerate(moves):
+            if len(own[s]) > 1:
+                for c, t in own[s]:
+                    table[name[s], c] = name[t]
+            elif own[s]:
+                self.only[name[s]], self.to[name[s]] = own[s][0][0], name[own[s][0][1]]
+            rare += [(int(name[s]) * size + c, int(name[t])) for c, t in m.items() if c >= symbols]
+        rare.sort()
+        self.keys, self.next = np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32)
+        self.flat = table.reshape(-1)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next state, or ~(state after the root) where a new phrase begins."""
+        far = np.flatnonzero(c >= self.symbols) if self.size > self.symbols else ()
+        near = np.where(c < self.symbols, c, 0) if len(far) else c
+        got = self.flat[np.minimum(state, self.dense) * self.symbols + near]
+        got = np.where(self.only[state] == near, self.to[state], got)
+        if len(far):
+            got[far] = self._rare(state[far], c[far])
+        return got
+
+    def _rare(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        got = ~self.after[c]
+        # A symbol of the sample follows from the root; any other one misses everywhere.
+        held = np.flatnonzero(self.after[c] != self.start)
+        if len(held):
+            key = state[held].astype(np.int64) * self.size + c[held]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[at] == key
+            got[held[found]] = self.next[at[found]]
+        return got
 
 
 class Parser:
@@ -91,61 +130,79 @@ class Parser:
         self.symbols, self.size = min(len(alphabet) + 1, SYMBOLS), len(alphabet) + 1
         self.points = np.array([ord(c) for c in alphabet], np.uint32)
         code = {c: i for i, c in enumerate(alphabet, 1)}
-        self.tables, self.rare, self.bits = [], [], []
-        for lang in self.langs:
-            # Every character of a sample has a code, so nothing is cut out of it.
-            table, rare = build(np.array([code[c] for c in samples[lang]], np.int64), self.symbols, self.size)
-            self.tables.append(table)
-            self.rare.append(rare)
-            self.bits.append(np.log2(max(len(samples[lang]), 2)))
+        self.tables = [Table(np.array([code[c] for c in samples[lang]], np.int64), self.symbols, self.size) for lang in self.langs]
+        self.bits = [np.log2(max(len(samples[lang]), 2)) for lang in self.langs]
 
     def code(self) -> np.ndarray:
         lookup = np.zeros(0x110000, np.uint8 if self.size <= 256 else np.int32)
         lookup[self.points] = np.arange(1, self.size)
         return lookup
 
-    def _moved(self, k: int, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """What the table would have for symbols that have no column."""
-        keys, to, after = self.rare[k]
-        got = ~after[c]
-        # A symbol of the sample follows from the root; any other one misses everywhere.
-        held = np.flatnonzero(after[c] != len(self.tables[k]) - self.symbols)
-        if len(held):
-            key = state[held].astype(np.int64) * self.size + c[held]
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            found = keys[at] == key
-            got[held[found]] = to[at[found]]
-        return got
-
     def phrases(self, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """languages x blocks: phrases of each block (first, length into codes)."""
-        order = np.argsort(-length, kind="stable")
-        first, length = first[order], length[order]
-        out = np.zeros((len(self.langs), len(first)), np.int32)
-        most = int(length[0]) if len(length) else 0
-        live = np.searchsorted(-length, -np.arange(most), side="left")  # blocks longer than t
-        padded = np.zeros((most, len(first)), codes.dtype)
+        """languages x rows: phrases of each row (first, length into codes)."""
+        blocks = -(-length // BLOCK)
+        row = np.repeat(np.arange(len(first)), blocks)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        size = np.minimum(BLOCK, length[row] - nth * BLOCK)
+        # Lanes are blocks, longer ones first; `behind` is the lane of the next block of the row.
+        order = np.argsort(-size, kind="stable")
+        lane = np.empty(len(order), np.int64)
+        lane[order] = np.arange(len(order))
+        behind = np.full(len(order), -1)
+        inner = np.flatnonzero(nth[1:] > 0)
+        behind[lane[inner]] = lane[inner + 1]
+        size, row = size[order], row[order]
+        most = int(size[0]) if len(size) else 0
+        live = np.searchsorted(-size, -np.arange(most), side="left")  # lanes longer than t
+        spot = first[row] + nth[order] * BLOCK
+        text = np.zeros((most, len(size)), codes.dtype)
         for t in range(most):
-            padded[t, : live[t]] = codes[first[: live[t]] + t]
-        far = [np.flatnonzero(x >= self.symbols) for x in padded] if self.size > self.symbols else []
-        rare = [x[at] for x, at in zip(padded, far, strict=False)]
-        for x, at in zip(padded, far, strict=False):
-            x[at] = 0
+            text[t, : live[t]] = codes[spot[: live[t]] + t]
+        out = np.zeros((len(self.tables), len(first)), np.int64)
         for k, table in enumerate(self.tables):
-            state = np.full(len(first), len(table) - self.symbols, np.int32)
-            count = np.zeros(len(first), np.int32)
+            state = np.full(len(size), table.start, np.int32)
+            begins = np.zeros((most, len(size)), bool)
             for t in range(most):
                 n = live[t]
-                # States are kept multiplied by the number of symbols.
-                got = table[state[:n] + padded[t, :n]]
-                if far and len(far[t]):
-                    got[far[t]] = self._moved(k, state[far[t]], rare[t])
+                got = table.step(state[:n], text[t, :n])
                 sign = got >> 31
-                count[:n] -= sign
+                begins[t, :n] = sign
                 state[:n] = got ^ sign
-            out[k, order] = count
+            count = begins.sum(axis=0)
+            self._joined(table, text, size, begins, state, count, behind)
+            out[k] = np.bincount(row, weights=count, minlength=len(first))
         return out
 
+    @staticmethod
+    def _joined(table: Table, text: np.ndarray, size: np.ndarray, begins: np.ndarray, state: np.ndarray, count: np.ndarray, behind: np.ndarray) -> None:
+        """Put into count the phrases that begin in each lane when the parse comes in from the lane before."""
+        source = np.flatnonzero(behind >= 0)
+        while len(source):
+            to, now = behind[source], state[source]
+            came, again = np.zeros(len(to), np.int64), []
+            open_ = np.arange(len(to))
+            for t in range(len(text)):
+                ended = size[to[open_]] <= t
+                if ended.any():
+                    again.append(open_[ended])
+                    open_ = open_[~ended]
+                if not len(open_):
+                    break
+                got = table.step(now[open_], text[t, to[open_]])
+                new = got < 0
+                now[open_] = np.where(new, ~got, got)
+                met = new & begins[t, to[open_]]
+                came[open_] += new & ~met
+                done = open_[met]
+                # From here on the lane's own parse is the true one.
+                count[to[done]] = came[done] + begins[t:, to[done]].sum(axis=0)
+                open_ = open_[~met]
+            again = np.concatenate([*again, open_]) if again or len(open_) else open_
+            # These lanes hold no common place: what they hand on is another state, from which the next lane is parsed again.
+            count[to[again]] = came[again]
+            state[to[again]] = now[again]
+            source = to[again][behind[to[again]] >= 0]
+
 
 def predictor(parser: Parser):
     """An Arrow UDF text -> struct<lang, score>."""
@@ -159,12 +216,7 @@ def predictor(parser: Parser):
             codes = lookup[points]
             ends = np.searchsorted(start, offsets[i : j + 1] - offsets[i])
             size = np.diff(ends)
-            blocks = -(-size // BLOCK)
-            row = np.repeat(np.arange(j - i), blocks)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            first = ends[row] + nth * BLOCK
-            n = parser.phrases(codes, first, np.minimum(BLOCK, ends[row + 1] - first))
-            total = np.stack([np.bincount(row, weights=x, minlength=j - i) for x in n]) if len(row) else np.zeros((len(n), j - i))
+            total = parser.phrases(codes, ends[:-1], size)
             cost = total * np.array(parser.bits)[:, None] / np.maximum(size, 1)
             best = np.argmin(cost, axis=0)
             low = cost[best, np.arange(j - i)]
@@ -178,20 +230,21 @@ def predictor(parser: Parser):
 
 
 def learn(docs: DataFrame, known: Column) -> Parser | None:
-    """A parser from rows where `known` holds; the ROWS rows of each language with the smallest hashes come to the driver,
-    PER_ROW characters of each: a sample for fitting, bounded by the number of languages."""
-    from pyspark.sql import Window
-
-    lower = F.lower(F.col("text").cast("string"))
-    rows = docs.where(known & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").cast("string").rlike(r"\p{L}"))
-    # A cheap hash filter is no cap: ranks are over all labelled rows, by partial top-k before the shuffle.
-    ranked = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), F.substring(lower, 1, PER_ROW).alias("t"))
-    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= ROWS)
+    """A parser from rows where `known` holds; ROWS rows of each language at most come to the driver, each of SAMPLE characters at
+    most: a sample for fitting, bounded by the number of languages."""
+    text = F.col("text").cast("string")
+    rows = docs.where(known & F.col("lang").isNotNull() & F.col("text").isNotNull() & text.rlike(r"\p{L}"))
+    over = F.when(F.length(text) > SAMPLE, F.length(text)).otherwise(0)
+    ranked = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("h"), over.alias("over"), text.alias("t"), F.spark_partition_id().alias("p"))
+    # Ranks are over all labelled rows, in two steps, so that no task gets the least rows of more than the root of all tasks.
+    salt = F.col("p") % F.lit(max(1, int(docs.rdd.getNumPartitions() ** 0.5)))
+    for key in (["lang", salt], ["lang"]):
+        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("over", "h", "t"))).where((F.col("n") <= ROWS) & ((F.col("over") == 0) | (F.col("n") == 1)))
     samples: dict[str, str] = {}
-    for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["n"])):
+    for r in sorted(ranked.select("lang", "n", F.lower("t").alias("t")).collect(), key=lambda r: (r["lang"], r["n"])):
         have = samples.get(r["lang"], "")
-        if len(have) < SAMPLE:
-            samples[r["lang"]] = (have + "\n" + r["t"])[:SAMPLE]
+        if not have or len(have) + 1 + len(r["t"]) <= SAMPLE:
+            samples[r["lang"]] = have + "\n" * bool(have) + r["t"]
     return Parser(samples) if samples else None
 
 
