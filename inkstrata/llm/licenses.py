@@ -1,13 +1,13 @@
 """License scanning by MinHash bands over overlapping text windows, in DataFrame operations only.
 
-Each template has a window length of WIDE times its words (rounded up, so that templates share lengths), and windows start every
-half length, so an occurrence lies in one window whole. A window that holds 0.8 of a template's shingles has a Jaccard
-similarity with it of at least 0.8 t / (w + 0.2 t) for t template and w window shingles; their number is chosen so that
-all one-row bands of that length miss such a window with a probability under MISS. Retrieved templates are verified by the exact share
-of their shingles that the window holds.
-
-Texts and windows that hold no guard word are passed over without loss: of each template, guard words stand in more than a
-fifth of the shingles, so 0.8 of the shingles can't be there without one.
+Each template has a window length of WIDE times its words or a little more (so that templates share lengths), and windows start
+every half length. An occurrence may be stretched by other words up to that length; of two neighbouring windows that hold it together, one
+has half of it. A window that holds 0.4 of a template's shingles has a Jaccard similarity with it of at least 0.4 t / (w + 0.6 t) for t
+template and w window shingles; the number of one-row bands is chosen so that all of them miss such a window with a probability
+under MISS. A retrieved template is verified on the window and one window length to either side, by the exact share of its shingles there.
+
+Texts that hold no guard word, and windows further than a window length from one, are passed over without loss: of each template,
+guard words stand in more than a fifth of the shingles, so 0.8 of the shingles can't be there without one.
 """
 
 from __future__ import annotations
@@ -33,6 +33,18 @@ TEMPLATES = {
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-3-clause-third": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0-1.0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "boost-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
 }
 WORDS = 5
 PERCENT = 80
@@ -45,10 +57,10 @@ def words_of(text: str) -> list[str]:
 
 
 def window_words(n: int) -> int:
-    """The window length of a template of n words: WIDE times n, rounded up on a scale of 1.25 ** k * 10."""
+    """The window length of a template of n words: WIDE times n, rounded up on a scale of 10 * 1.5 ** k."""
     size = 10
     while size < WIDE * n:
-        size = math.ceil(size * 1.25 / 2) * 2
+        size = math.ceil(size * 1.5 / 2) * 2
     return size
 
 
@@ -65,9 +77,9 @@ def guards(words: list[str], size: int = WORDS, percent: int = PERCENT) -> list[
 
 
 def bands(window: int, sizes: list[int]) -> int:
-    """One-row bands needed for the least similar window of `window` words with one of the templates of `sizes` words."""
-    shingles = [max(1, n - WORDS + 1) for n in sizes]
-    least = min(math.ceil(0.8 * t) / (window - WORDS + 1 + t - math.ceil(0.8 * t)) for t in shingles)
+    """One-row bands needed for the least similar window of `window` words with half an occurrence of a template of `sizes` words."""
+    shingles = [(max(1, n - WORDS + 1), math.ceil(0.4 * max(1, n - WORDS + 1))) for n in sizes]
+    least = min(both / (window - WORDS + 1 + t - both) for t, both in shingles)
     return math.ceil(math.log(MISS) / math.log(1 - least))
 
 
@@ -88,10 +100,10 @@ def _rehashed(hashes: Column, i: int) -> Column:
 
 
 def _starts(words: Column, wanted: Column, size: int, step: int) -> Column:
-    """For each wanted word, the starts of the windows that hold it."""
+    """For each wanted word, the starts of the windows within `size` words of it."""
     places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(wanted, w), i)), lambda i: i.isNotNull())
-    first = lambda p: F.greatest(F.lit(0), F.ceil((p - (size - 1)) / step)).cast("int")
-    return F.transform(places, lambda p: F.transform(F.sequence(first(p), F.floor(p / step).cast("int")), lambda k: k * step))
+    first = lambda p: F.greatest(F.lit(0), F.ceil((p - (2 * size - 1)) / step)).cast("int")
+    return F.transform(places, lambda p: F.transform(F.sequence(first(p), F.floor((p + size) / step).cast("int")), lambda k: k * step))
 
 
 def _occurrences(places: Column, total: Column, span: Column) -> Column:
@@ -125,12 +137,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     body is a hash of the text, which tells rows of one doc_id apart; equal rows give one result. Occurrences of one template
     don't overlap; start_word is the place of one's first shared shingle, in words from 0. Null, empty and short texts match nothing; a
-    template of under WORDS words can't match and is refused. An empty table gives an empty result; other columns are ignored.
+    template of under WORDS words can't match and is refused, and no templates find nothing. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     known = {name: words_of(text) for name, text in (TEMPLATES if templates is None else templates).items()}
     if any(len(w) < WORDS for w in known.values()):
         raise ValueError(f"templates need {WORDS} words")
+    if not known:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("body"), F.lit("").alias("license"), F.lit(0).alias("shared"), F.lit(0.0).alias("containment"), F.lit(0).alias("start_word")).where("false")
     window = {name: window_words(len(w)) for name, w in known.items()}
     by_size = {size: sorted(name for name in known if window[name] == size) for size in sorted(set(window.values()))}
     # The templates' own signatures: as many rows as templates, computed by the same expressions.
@@ -155,8 +169,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         n, here = own[size]
         wanted = F.array(*[F.lit(g) for g in sorted({g for x in names for g in guards(known[x])})])
         part = near.select("doc_id", "body", "s", F.explode(F.array_distinct(F.flatten(_starts(F.col("words"), wanted, size, step)))).alias("at"))
-        part = part.where(F.col("at") < F.size("s")).select("doc_id", "body", "at", F.slice("s", F.col("at") + 1, span).alias("w"))
-        part = part.withColumn("m", minima(F.col("w"), n))
+        part = part.where(F.col("at") < F.size("s")).select("doc_id", "body", F.greatest(F.col("at") - size, F.lit(0)).alias("low"), F.slice("s", F.col("at") + 1, span).alias("w"), "s")
+        # The window retrieves; the text around it is what templates are verified on.
+        part = part.select("doc_id", "body", "low", minima(F.col("w"), n).alias("m"), F.slice("s", F.col("low") + 1, span + 2 * size).alias("w"))
         found = []
         for r in here:
             t = F.array(*[F.lit(h) for h in r["h"]])
@@ -164,8 +179,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             runs = [tuple(known[r["license"]][i : i + WORDS]) for i in range(len(known[r["license"]]) - WORDS + 1)]
             lone = F.array(*[F.lit(runs.count(x) == 1) for x in dict.fromkeys(runs)])
             found.append(F.when(hit, F.struct(F.lit(r["license"]).alias("license"), F.size(F.array_intersect(F.col("w"), t)).alias("shared"), F.lit(len(r["h"])).alias("total"), t.alias("t"), lone.alias("lone"))))
-        part = part.select("doc_id", "body", "at", "w", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).where(F.col("x.shared") * 100 >= F.col("x.total") * PERCENT)
-        k = F.transform("w", lambda h, i: F.struct((F.col("at") + i).cast("int").alias("p"), F.array_position(F.col("x.t"), h).cast("int").alias("k")))
+        part = part.select("doc_id", "body", "low", "w", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).where(F.col("x.shared") * 100 >= F.col("x.total") * PERCENT)
+        k = F.transform("w", lambda h, i: F.struct((F.col("low") + i).cast("int").alias("p"), F.array_position(F.col("x.t"), h).cast("int").alias("k")))
         places = F.transform(F.filter(k, lambda y: y["k"] > 0), lambda y: F.struct(y["p"], y["k"], F.element_at(F.col("x.lone"), y["k"]).alias("lone")))
         part = part.select("doc_id", "body", "x.license", "x.total", F.lit(span).alias("span"), places.alias("places"))
         out = part if out is None else out.unionByName(part)

@@ -2,6 +2,7 @@
 repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -118,6 +119,50 @@ def test_resampling_takes_the_k_largest_draws(spark):
     assert {r.doc_id for r in quality.resample(docs, labels).collect()} == want
 
 
+def plain_bucket(token_or_pair):
+    raw = np.frombuffer(" ".join(token_or_pair).encode(), np.uint8)
+    bucket, _ = quality.features(raw, np.array([0, len(raw)]))
+    return int(bucket[-1])
+
+
+def plain_features(text):
+    tokens = re.findall(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]+", text or "")
+    return [plain_bucket([t]) for t in tokens] + [plain_bucket(p) for p in zip(tokens, tokens[1:], strict=False)]
+
+
+def plain_draws(rows, good):
+    """log weight and draw of each row by the definition, with plain counts."""
+    have = {i: plain_features(t) for i, t in rows}
+    target, raw = Counter(b for i in good for b in have[i]), Counter(b for f in have.values() for b in f)
+    p, q = ((lambda b, n=n, t=max(sum(n.values()), 1): 0.95 * n[b] / t + 0.05 / 65536) for n in (target, raw))
+    mean = sum(p(b) * math.log(p(b) / q(b)) for b in raw) + (65536 - len(raw)) * 0  # equal in both models where nothing stands
+    out = {}
+    for i, f in have.items():
+        weight = (sum(math.log(p(b) / q(b)) for b in f) - len(f) * mean) / math.sqrt(max(len(f), 1))
+        x = (i ^ 0x9E3779B97F4A7C15) & (2**64 - 1)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * factor & (2**64 - 1)
+        out[i] = weight, weight - math.log(-math.log(((x >> 11) + 0.5) / 2**53))
+    return out
+
+
+def test_resampling_equals_the_definition(spark):
+    """Weights by plain counts, Gumbel noise by the definition, and the k largest; the noise alone decides some rows."""
+    rng = random.Random(6)
+    texts = [words(rng, rng.randint(1, 30)) for _ in range(150)] + [" ".join(w + rng.choice(["", "", "##"]) for w in words(rng, 20).split()) for _ in range(150)] + [None, ""]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 150), int(i % 50 == 0)) for i in range(0, 300, 3)], "doc_id bigint, quality int, toxic int")
+    want = plain_draws(list(enumerate(texts)), [i for i in range(0, 150, 3) if i % 50])
+    model = quality.Resampler.fit(docs, labels)
+    rows = {r.doc_id: r for r in model.scored(docs, "s").select("doc_id", "s.weight", "s.draw").collect()}
+    for i, (weight, draw) in want.items():
+        assert abs(rows[i].weight - weight) < 1e-9 and abs(rows[i].draw - draw) < 1e-9
+    k = sum(w >= model.least for w, _ in want.values())
+    kept = {r.doc_id for r in quality.resample(docs, labels).collect()}
+    assert kept == set(sorted(want, key=lambda i: -want[i][1])[:k])
+    assert kept != {i for i, (w, _) in want.items() if w >= model.least}
+
+
 def test_feature_counts_match_a_plain_count(spark):
     docs, _ = quality_rows(spark)
     n = sum(2 * len(x) - 1 for (t,) in docs.select("text").collect() if (x := re.findall(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]+", t)))
@@ -397,6 +442,44 @@ def test_leaks_within_the_edit_budget_are_found(spark):
     assert {i for i, _ in found} <= set(range(60))
 
 
+def folded(text):
+    return " ".join(re.findall("[a-z0-9]+", text.lower()))
+
+
+@pytest.mark.parametrize("block", [200, 8 << 20])
+def test_leaks_equal_all_pairs(spark, monkeypatch, block):
+    """Every pair of an item and a text: matches are told just where an alignment within the budget exists."""
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", block)
+    rng = random.Random(47)
+    items = [words(rng, rng.randint(1, 9)) for _ in range(10)] + ["ka", "ka ka"]
+    texts = []
+    for _ in range(30):
+        t = words(rng, rng.randint(0, 6))
+        for _ in range(rng.randint(0, 2)):
+            x = list(rng.choice(items))
+            for _ in range(rng.randint(0, int(len(x) * 0.08) + 2)):
+                q = rng.randrange(len(x))
+                x[q : q + 1] = rng.choice([[], ["q"], [x[q], "q"]])
+            t += rng.choice([" ", ". ", "\n"]) + "".join(x) + " " + words(rng, rng.randint(0, 4))
+        texts.append(t)
+    texts += ["ka ka, ka! kara Ka", items[0] + " | " + items[0].upper()]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.doc_id: [(m.item_id, m.start, m.end, m.edits) for m in r.leaks] for r in leaks.leaks(frame(spark, texts), bench).collect()}
+    for i, text in enumerate(texts):
+        flat = folded(text)
+        for k, item in enumerate(items):
+            n = len(folded(item))
+            mine = [m for m in got[i] if m[0] == k]
+            if n < leaks.Q:
+                assert len(mine) == len(re.findall(rf"(?<!\S){folded(item)}(?!\S)", flat)) and all(folded(text[a:b]) == folded(item) for _, a, b, _ in mine)
+                continue
+            budget = min(int(n * leaks.RATE), max((n - leaks.Q) // leaks.Q, 0))
+            least = distance(folded(item), flat)
+            assert bool(mine) == (least <= budget), (text, item)
+            assert not mine or min(e for *_, e in mine) == least
+    assert len([m for m in got[len(texts) - 1] if m[0] == 0]) == 2
+
+
 def test_leaks_of_odd_tables(spark):
     bench = spark.createDataFrame([(1, "tiny"), (2, "same text here"), (3, "same text here")], "item_id bigint, text string")
     docs = frame(spark, [*ODD, "a Tiny, one", "tinyx"]).withColumn("leaks", F.lit(0))
@@ -462,6 +545,30 @@ def test_phrases_equal_brute_force():
             assert got[:, 0].tolist() == [brute_phrases(text, samples[x]) for x in parser.langs]
 
 
+def test_phrases_of_long_texts_are_those_of_one_parse(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 16)
+    rng = random.Random(31)
+    samples = {"a": words(rng, 200), "b": "ab" * 60 + "".join(rng.choice("ab ") for _ in range(200)), "c": "q"}
+    parser = langid.Parser(samples)
+    code = parser.code()
+    texts = [words(rng, 100), samples["a"][5:400], "ab" * 300, "a" * 17, "ab" * 40 + "?" + samples["b"][120:300] * 3, samples["a"][:333] * 2, "", "k", "b" * 16]
+    codes = code[np.array([ord(c) for x in texts for c in x], np.int64)]
+    size = np.array([len(x) for x in texts])
+    got = parser.phrases(codes, np.cumsum(size) - size, size)
+    assert got.T.tolist() == [[brute_phrases(text, samples[x]) for x in parser.langs] for text in texts]
+
+
+def test_language_samples_are_whole_rows(spark):
+    """A row that doesn't fit is passed over, not cut; of rows that are all too long, the shortest is learned."""
+    long = [words(random.Random(i), 12_000 + 900 * i) for i in range(3)]
+    rows = [(i, x, "long") for i, x in enumerate(long)] + [(10 + i, "Wer schl ung %d" % i, "short") for i in range(30)] + [(50, long[2], "short")]
+    assert all(len(x) > langid.SAMPLE for x in long)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(9)
+    parser = langid.learn(docs, F.lit(True))
+    assert parser.langs == ["long", "short"]
+    assert [round(2**b) for b in parser.bits] == [len(long[0]), sum(len(x) + 1 for _, x, k in rows if k == "short" and len(x) < 99) - 1]
+
+
 def test_phrases_of_large_alphabets_equal_brute_force():
     rng = random.Random(29)
     han, kana = [chr(0x4E00 + i) for i in range(400)], [chr(0x3041 + i) for i in range(80)]
@@ -594,10 +701,38 @@ def test_license_templates_are_found_and_verified(spark):
     assert want | {(50, "mit"), (56, "mit-line"), (None, "mit-line")} <= set(got)
     assert not {51, 52, 53, 54, 55} & {i for i, _ in got}
     assert all(r.containment >= 0.8 for r in got.values()) and got[56, "mit-line"].start_word == 4000
-    assert licenses.scan(df.where("false")).count() == 0
+    assert licenses.scan(df.where("false")).count() == 0 == licenses.scan(df, {}).count()
     assert licenses.scan(df.union(df)).count() == len(got)
 
 
+def test_licenses_equal_the_definition(spark):
+    """Every text and template: an occurrence is told just where 0.8 of a template's shingles lie within a window length."""
+    rng = random.Random(43)
+    names = ["mit-line", "isc", "gpl-header", "mpl-2.0", "cc0-1.0"]
+    chosen = {n: licenses.TEMPLATES[n] for n in names}
+    rows = []
+    for i in range(60):
+        text = words(rng, rng.randint(0, 60)).split()
+        for _ in range(rng.randint(0, 2)):
+            t = licenses.words_of(chosen[rng.choice(names)])
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):  # stretched or changed in places
+                p = rng.randrange(len(t))
+                t[p:p] = words(rng, rng.choice([1, 3, len(t) // 2])).split()
+            text += t[: rng.choice([len(t), len(t), 9 * len(t) // 10, len(t) // 2])] + words(rng, rng.randint(0, 60)).split()
+        rows.append((i, " ".join(text)))
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), chosen).collect()}
+    want = set()
+    for i, text in rows:
+        w = licenses.words_of(text)
+        for name in names:
+            t = licenses.words_of(chosen[name])
+            own, span = {tuple(t[k : k + 5]) for k in range(len(t) - 4)}, licenses.window_words(len(t)) - 4
+            at = [k for k in range(len(w) - 4) if tuple(w[k : k + 5]) in own]
+            if any(100 * len({tuple(w[k : k + 5]) for k in at if a <= k < a + span}) >= 80 * len(own) for a in at):
+                want.add((i, name))
+    assert got == want and len(want) > 20
+
+
 def test_every_occurrence_of_a_license_is_found(spark):
     rng = random.Random(41)
     filler, rows, want = (lambda n: [w + "q" for w in words(rng, n).split()]), [], set()
