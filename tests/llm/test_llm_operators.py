@@ -519,6 +519,14 @@ def test_neighbours_of_few_vectors(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 1, 2.0), (0, 2, 2.0), (0, 7, 0.5)]
 
 
+def test_neighbours_by_length_beside_clashing_columns(spark):
+    rows = [(i, [float(i % 3 + 1)] * (2 + i % 2), 1, "x", 7.0) for i in range(44)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, shard int, v string, score double")
+    got = hnsw.nearest(docs).toPandas()
+    assert set(got.query_id) == {0, 20, 40} and (got.vec_id % 2 == 0).all() and (got.groupby("query_id").size() == 20).all()
+    assert got[(got.query_id == 0) & (got["rank"] == 1)].vec_id.item() == 2
+
+
 # Languages
 
 
