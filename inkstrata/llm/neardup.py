@@ -13,6 +13,10 @@ of a link x, y at least one end, say x, is not linked to c. Let G be what a set
 shingle of G, which an equi-join finds; or they share at most min(|x & c|, |y & c|) shingles, which bounds the sizes of
 y that x can be near to, and an equi-join on sizes finds those. In a group of near copies of c both are few, so every link is
 decided or inside one component already, while the group costs about a star.
+
+A bucket or a centre may have a third of all nodes. Joins by them are dealt to several tasks by hot_keys: of n rows, keys with more than
+DEAL, or n / 2^16, are a bounded table that both sides get; the side of many rows is dealt to PARTS tasks, and the
+other side's row is copied to each.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate, and the largest register value.
 B, A, TOP = 1.001, 20.0, 65535
 PERCENT = 80
+#: Rows of one key that a task may get in a join, and the tasks that a key with more is dealt to.
+DEAL, PARTS = 1024, 64
 #: Margin of the estimate, over five standard errors of REGISTERS registers at 0.8.
 MARGIN = 0.22
 
@@ -210,42 +216,62 @@ def linker(percent: int):
     return linked
 
 
-def _decided(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of nodes whose full sets are near."""
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """The keys of counts(key, c) with more than DEAL rows, 2^16 keys at most; None if there are none."""
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    hot = cut(counts.where(F.col("c") > max(DEAL, total >> 16)).select(key))
+    return hot if hot.take(1) else None
+
+
+def dealt(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, by: str = "node") -> DataFrame:
+    """left join right on key; rows of hot keys are dealt to PARTS tasks by the column `by` of left, and right's are copied there."""
+    if hot is None:
+        return left.join(right, key)
+    own = F.broadcast(hot.withColumnRenamed(hot.columns[0], key))
+    part = F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
+    many = left.join(own, key, "left_semi").withColumn("part", part)
+    copies = right.join(own, key, "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return many.join(copies, [key, "part"]).drop("part").unionByName(left.join(own, key, "left_anti").join(right, key))
+
+
+def _decided(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
+    """The pairs(a, b) of nodes whose full sets are near; `hot` are those that stand in many pairs as a."""
     a = nodes.select(F.col("node").alias("a"), F.col("regs").alias("r1"), F.col("n").alias("n1"))
     b = nodes.select(F.col("node").alias("b"), F.col("regs").alias("r2"), F.col("n").alias("n2"))
     # Sizes alone rule a pair out when the smaller set is under the share of the larger one.
-    sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    sized = dealt(pairs, a, "a", hot, "b").join(b, "b").where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
     # Written in between: else one task could hold the workers of both functions.
     near = cut(sized.where(similarity("r1", "r2", "n1", "n2") >= percent / 100 - MARGIN).select("a", "b"))
-    full = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
+    full = dealt(near, sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), "a", hot, "b").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
     return cut(full.where(linker(percent)("s1", "s2")).select("a", "b").distinct())
 
 
-def _crowd(nodes: DataFrame) -> DataFrame:
-    """(key, node, centre) of buckets with two nodes or more; the centre shares most buckets, ties to the least."""
-    members = nodes.select("node", F.explode(band_keys("regs")).alias("key")).distinct()
+def _crowd(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, node, centre) of buckets with two nodes or more, and the hot keys; the centre shares most buckets, ties to the least."""
+    members = cut(nodes.select("node", F.explode(band_keys("regs")).alias("key")).distinct())
     sizes = cut(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    members = cut(members.join(sizes, "key"))
+    hot = hot_keys(sizes, "key")
+    members = cut(dealt(members, sizes, "key", hot))
     scores = cut(members.groupBy("node").agg(F.sum("c").alias("score")))
     best = F.max(F.struct("score", (-F.col("node")).alias("minus")))
     centres = cut(members.join(scores, "node").groupBy("key").agg(best.alias("x")).select("key", (-F.col("x.minus")).alias("centre"), F.col("x.score").alias("score")))
-    return cut(members.join(centres, "key").select("key", "node", "centre", "score"))
+    return cut(dealt(members, centres, "key", hot).select("key", "node", "centre", "score")), hot
 
 
-def _across(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: int, keys: DataFrame | None, hot: DataFrame | None) -> DataFrame:
     """Pairs(a, b) of different components that can still be near, from buckets that hold several components."""
-    held = crowd.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = cut(crowd.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = cut(held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2").select("key"))
     # A node's home is the best of its centres. Members of a bucket with one home are compared there, once for all buckets;
     # only buckets with several homes are compared around their own centre too.
     homes = crowd.groupBy("node").agg(F.max(F.struct("score", (-F.col("centre")).alias("minus"))).alias("x")).select("node", (-F.col("x.minus")).alias("home"))
-    held = cut(held.join(mixed, "key").join(homes, "node").select("key", "node", "centre", "home", "component"))
+    held = cut(dealt(held, mixed, "key", keys).join(homes, "node").select("key", "node", "centre", "home", "component"))
     several = held.groupBy("key").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x <> y").select("key")
     own = found.select(F.col("node").alias("centre"), F.col("component").alias("of_centre"))
-    around = held.select(F.col("home").alias("centre"), "node", "component").union(held.join(several, "key").select("centre", "node", "component"))
-    spokes = around.distinct().join(own, "centre", "left").withColumn("of_centre", F.coalesce("of_centre", "centre"))
-    both = spokes.join(sets.select(F.col("node").alias("centre"), F.col("s").alias("s1")), "centre").join(sets.select("node", F.col("s").alias("s2")), "node")
+    around = held.select(F.col("home").alias("centre"), "node", "component").union(dealt(held, several, "key", keys).select("centre", "node", "component")).distinct()
+    around = cut(around)
+    centres = cut(around.select("centre").distinct().join(own, "centre", "left").withColumn("of_centre", F.coalesce("of_centre", "centre")))
+    both = dealt(around, centres.join(sets.select(F.col("node").alias("centre"), F.col("s").alias("s1")), "centre"), "centre", hot).join(sets.select("node", F.col("s").alias("s2")), "node")
     both = both.withColumn("d", difference("s1", "s2")).withColumn("n", F.floor(F.length("s2") / 8))
     # most: the largest set that this one can be near to when they share nothing outside the centre.
     most = F.floor(F.col("d.common") * (100 + percent) / percent) - F.col("n")
@@ -257,7 +283,7 @@ def _across(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     least = spokes.groupBy("centre").agg(F.min("n").alias("least"))
     low_n = F.greatest(F.ceil(F.col("n") * percent / 100), F.col("least"))
     need = F.ceil((F.col("n") + low_n) * percent / (100 + percent)) - F.col("common")
-    grams = spokes.join(least, "centre").select("centre", "node", (F.size("outside") + 1 - F.greatest(need, F.lit(1))).alias("prefix"), F.explode("outside").alias("g"))
+    grams = dealt(spokes, least, "centre", hot).select("centre", "node", (F.size("outside") + 1 - F.greatest(need, F.lit(1))).alias("prefix"), F.explode("outside").alias("g"))
     times = grams.groupBy("centre", "g").agg(F.count("*").alias("times"))
     nth = F.row_number().over(Window.partitionBy("centre", "node").orderBy("times", "g"))
     grams = cut(grams.join(times, ["centre", "g"]).withColumn("nth", nth).where("nth <= prefix and times > 1").select("centre", "node", "g"))
@@ -285,14 +311,16 @@ def groups(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame
     rows = cut(rows.select("doc_id", "s.n", "s.f1", "s.f2", "s.regs"))
     nodes = rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("regs").alias("regs"))
     nodes = cut(nodes)
-    crowd = _crowd(nodes)
+    crowd, keys = _crowd(nodes)
+    # The centres that many nodes share.
+    hot = hot_keys(crowd.groupBy("centre").agg(F.count("*").alias("c")), "centre")
     ids = crowd.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi")
     sets = cut(texts.select("node", setter(words)("text").alias("s")).where(F.length("s") > 0))
-    star = crowd.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    links = _decided(star, nodes, sets, percent)
+    star = cut(crowd.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    links = _decided(star, nodes, sets, percent, hot)
     linked = cut(components(links))
-    more = _decided(_across(crowd, linked, sets, percent), nodes, sets, percent)
+    more = _decided(_across(crowd, linked, sets, percent, keys, hot), nodes, sets, percent, None)
     final = components(links.union(more))
     moved = cut(nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")).where("copies > 1 or component <> node").select("n", "f1", "f2", "component"))
     out = rows.select("doc_id", "n", "f1", "f2").join(moved, ["n", "f1", "f2"], "left")

@@ -645,8 +645,9 @@ def brute_groups(rows, k, percent=80):
     return {i: find(i) for i in root}
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicate_groups_equal_brute_force(spark, k):
+@pytest.mark.parametrize(("k", "deal"), [(4, 1024), (5, 3)])
+def test_near_duplicate_groups_equal_brute_force(spark, monkeypatch, k, deal):
+    monkeypatch.setattr(neardup, "DEAL", deal)
     rng = random.Random(29)
     texts = [words(rng, rng.randint(1, 80)) for _ in range(40)]
     base = words(rng, 120).split()
