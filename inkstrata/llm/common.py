@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 #: A numpy step works on about so many bytes of text at once, so that its arrays stay near the CPU's caches.
@@ -39,13 +40,18 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: no lineage, no recomputation, nothing lost with an executor. What was
-    shuffled for it is removed once it is written."""
+    shuffled for it is removed once it is written.
+
+    A checkpoint keeps the size that its plan was estimated at. These are products over joins, and after some dozens of cuts numbers
+    of megabytes that the driver multiplies for each plan, so the result is a table of unknown size instead.
+    """
     spark = df.sparkSession
     shared(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(True)  # a plan of its own, made under the setting
+        done = df.select("*").checkpoint(True)._jdf  # a plan of its own, made under the setting
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
