@@ -255,15 +255,23 @@ def chapter_context(header: Column, narrator: Column) -> Column:
     return F.concat_ws("\n", first, who)
 
 
-HEADING = r"^\s*((CHAPTER|Chapter|PART|Part|PROLOGUE|Prologue|EPILOGUE|Epilogue|INTERLUDE|BOOK)\b[^\n]{0,110}|\d{1,110}|[IVXLC]{1,110})\s*?\n\s*"
+# Fixed value: what counts as a heading line, with the blank lines around it; and its longest extent.
+HEADING = r"\s*((CHAPTER|Chapter|PART|Part|PROLOGUE|Prologue|EPILOGUE|Epilogue|INTERLUDE|BOOK)\b[^\n]*|\d+|[IVXLC]+)\s*\n"
+HEADING_CHARS = 120
 
 
 def strip_heading(text: Column, header: Column) -> Column:
-    """The text without its header and leading heading lines; null where the header is all there is."""
+    """The text without its header and leading heading lines; null where the header is all there is.
+
+    Headings go one after the other from the start, up to the first that takes more than HEADING_CHARS characters with its blanks.
+    """
     head = F.coalesce(header, F.lit(""))
     named = strip(head) != ""
     rest = F.when(named & F.startswith(text, head), F.substr(text, F.length(head) + 1)).otherwise(text)
-    bare = F.regexp_replace(rest, "^(?:" + HEADING[1:] + ")+", "")
+    # Each match begins where the one before ended; `on` falls at the first long one.
+    ends = F.aggregate(F.regexp_extract_all(rest, F.lit(r"\G" + HEADING), F.lit(0)), F.struct(F.lit(0).alias("at"), F.lit(True).alias("on")),
+                       lambda acc, m: F.struct(F.when(acc["on"] & (F.length(m) <= HEADING_CHARS), acc["at"] + F.length(m)).otherwise(acc["at"]).alias("at"), (acc["on"] & (F.length(m) <= HEADING_CHARS)).alias("on")))
+    bare = F.substr(rest, ends["at"] + 1)
     return F.when(named & (strip(text) == strip(head)), None).otherwise(strip(strip_markup(bare)))
 
 

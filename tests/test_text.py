@@ -118,5 +118,11 @@ def test_small_functions(spark):
     assert [(m.id, m.context) for m in got] == [(1, "a b c d")]
     assert value(spark, "CHAPTER ONE\n12\nText here", lambda c: t.strip_heading(c, F.lit(None))) == "Text here"
     assert value(spark, "Head", lambda c: t.strip_heading(c, F.lit("Head"))) is None
+    # A heading line counts with the blank lines around it, up to 120 characters.
+    for text in ("Part " + "x" * 112 + "\nText", "Part " + "x" * 116 + "\nText", "\n" * 112 + "XIV\nText", "\n" * 118 + "XIV\nText", "12" + "\n" * 118 + "Text", "12" + "\n" * 119 + "Text", "BOOK 1\n7\nPart " + "y" * 120 + "\nV\nText", "Text\n7\n"):
+        rest = text
+        while (m := re.match(t.HEADING, rest)) and len(m[0]) <= 120:
+            rest = rest[m.end() :]
+        assert value(spark, text, lambda c: t.strip_heading(c, F.lit(None))) == rest.strip()
     assert value(spark, " Head  x", lambda c: t.chapter_context(c, F.lit("Kol"))).startswith("Chapter heading: Head x\nThis chapter is narrated")
     assert value(spark, "claim", lambda c: t.tagged(c, [F.lit("a"), F.lit(None), F.lit("")])) == "claim [a]"
