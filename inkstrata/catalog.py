@@ -393,14 +393,11 @@ def majority_share(spark, sf):
     return nm.majority(ad.turns(spark, sf), "book", "label", "chapter_index", 0.5)
 
 
-@query(f"""WITH {ad.CHAPTERS}, w AS (SELECT book, lang AS label, lower(w) AS x FROM (SELECT book, lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM ch)), g AS (SELECT book, label, sum(CASE WHEN x IN ('he','him','his','himself') THEN 1 ELSE 0 END)::BIGINT AS m, sum(CASE WHEN x IN ('she','her','hers','herself','de') THEN 1 ELSE 0 END)::BIGINT AS f FROM w GROUP BY ALL)
+@query(f"""WITH {ad.CHAPTERS}, g AS (SELECT book, lang AS label, coalesce(sum(len(regexp_extract_all(text, '{t.MALE}'))), 0)::BIGINT AS m, coalesce(sum(len(regexp_extract_all(text, '{t.FEMALE}'))), 0)::BIGINT AS f FROM ch GROUP BY ALL)
 SELECT book, label, m, f, CASE WHEN m > 0.65 * (m + f) THEN 'M' WHEN f > 0.65 * (m + f) THEN 'F' ELSE '?' END AS gender FROM g""")
 def gender_vote(spark, sf):
-    """Gender by share of pronouns (here over words, with a stand-in list)."""
-    words = ad.chapters(spark, sf).select("book", F.col("lang").alias("label"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("w")).withColumn("w", F.lower("w"))
-    got = words.groupBy("book", "label").agg(F.sum(F.col("w").isin("he", "him", "his", "himself").cast("long")).alias("m"), F.sum(F.col("w").isin("she", "her", "hers", "herself", "de").cast("long")).alias("f"))
-    both = F.col("m") + F.col("f")
-    return got.withColumn("gender", F.when(F.col("m") > 0.65 * both, "M").when(F.col("f") > 0.65 * both, "F").otherwise("?"))
+    """Gender by share of pronouns."""
+    return nm.genders(ad.chapters(spark, sf).select("book", F.col("lang").alias("label"), F.coalesce("text", F.lit("")).alias("text")))
 
 
 @query(f"""WITH {ad.JOINT}, k AS (SELECT item, target, CASE WHEN (item + target * target) % 4 < 2 THEN 'M' ELSE 'F' END AS gender FROM jh WHERE cond = 0), c AS (SELECT *, count(*) OVER (PARTITION BY item, gender) AS s, count(*) OVER (PARTITION BY item) AS n FROM k)
@@ -521,11 +518,23 @@ def token_counts(spark, sf):
     return ad.table(spark, sf, "documents").select("doc_id", F.size(t.tokens(F.col("text"))).alias("tokens"), t.word_count(F.col("text")).alias("words"))
 
 
-_PAIRS = r"""b AS (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark), bg AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 4 + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM b)),
-dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 4 + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents))),
+def _pairs(n: int = 5) -> str:
+    """_overlaps in SQL: tables bg, dg, n and o(item_id, doc_id, k)."""
+    grams = f"unnest(list_transform(range(1, len(w) - {n - 1} + 1), lambda i: array_to_string(w[i:i+{n - 1}], ' '))) AS g"
+    return rf"""b AS (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark), bg AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, {grams} FROM b)),
+dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, {grams} FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents))),
 n AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id), o AS (SELECT item_id, doc_id, count(*) AS k FROM bg JOIN dg USING (g) GROUP BY ALL)"""
 
 
+def _runs(chosen: str) -> str:
+    """Tables after _pairs: the longest common run of words of each pair of `chosen`, as lr(item_id, doc_id, longest)."""
+    return rf"""c AS ({chosen}), l AS (SELECT item_id, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM c JOIN b USING (item_id)), r AS (SELECT item_id, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS j FROM c JOIN (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents) USING (doc_id)),
+h AS (SELECT item_id, doc_id, i - j AS d, i, i - row_number() OVER (PARTITION BY item_id, doc_id, i - j ORDER BY i) AS s FROM l JOIN r USING (item_id, doc_id, w)), lr AS (SELECT item_id, doc_id, max(n) AS longest FROM (SELECT item_id, doc_id, d, s, count(*) AS n FROM h GROUP BY ALL) GROUP BY ALL)"""
+
+
+_PAIRS = _pairs()
+
+
 def _overlaps(spark, sf, n: int = 5):
     """(item_id, doc_id, k, n): distinct n-grams that a document shares with a benchmark item, by an equi-join on grams."""
     b = ad.table(spark, sf, "benchmark").select("item_id", F.explode(st.grams(t.words(F.col("text")), n)).alias("g"))
@@ -540,21 +549,27 @@ def ngram_overlap(spark, sf):
     return _overlaps(spark, sf).select("item_id", "doc_id", "k", (F.col("k") / F.greatest(F.lit(1), F.col("n"))).alias("overlap"))
 
 
-@query(rf"""WITH {_PAIRS}, c AS (SELECT item_id, doc_id FROM o JOIN n USING (item_id) WHERE k / n > 0.5), l AS (SELECT item_id, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM c JOIN b USING (item_id)), r AS (SELECT item_id, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS j FROM c JOIN (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents) USING (doc_id)),
-h AS (SELECT item_id, doc_id, i - j AS d, i, i - row_number() OVER (PARTITION BY item_id, doc_id, i - j ORDER BY i) AS s FROM l JOIN r USING (item_id, doc_id, w)) SELECT item_id, doc_id, max(n) AS longest FROM (SELECT item_id, doc_id, d, s, count(*) AS n FROM h GROUP BY ALL) GROUP BY ALL""")
-def longest_run(spark, sf):
-    """Longest common run of words of overlapping pairs."""
-    near = _overlaps(spark, sf).where(F.col("k") / F.col("n") > 0.5).select("item_id", "doc_id")
+def _longest(spark, sf, near):
+    """Longest common runs of pairs near(item_id, doc_id)."""
     pairs = near.join(ad.table(spark, sf, "benchmark").select("item_id", t.words(F.col("text")).alias("a")), "item_id").join(ad.table(spark, sf, "documents").select("doc_id", t.words(F.col("text")).alias("b")), "doc_id")
     return st.longest_common_run(pairs, ["item_id", "doc_id"], "a", "b")
 
 
-@query(f"WITH {_PAIRS} SELECT source, sum(CASE WHEN m > 0.05 THEN 1 ELSE 0 END)::BIGINT AS flagged, round(max(m), 6) AS most, count(*) AS docs FROM (SELECT source, doc_id, coalesce(max(k / n), 0) AS m FROM documents LEFT JOIN (o JOIN n USING (item_id)) USING (doc_id) GROUP BY ALL) GROUP BY source")
+@query(f"WITH {_PAIRS}, {_runs('SELECT item_id, doc_id FROM o')} SELECT * FROM lr")
+def longest_run(spark, sf):
+    """Longest common run of words of all pairs that share five words in a row; other pairs have none of five."""
+    return _longest(spark, sf, _overlaps(spark, sf).select("item_id", "doc_id"))
+
+
+@query(f"""WITH {_pairs(13)}, {_runs('SELECT item_id, doc_id FROM o')}, m AS (SELECT doc_id, max(k / greatest(1, n)) AS m, max(longest) AS run FROM o JOIN n USING (item_id) JOIN lr USING (item_id, doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(round(m, 6), 0) AS overlap, coalesce(run, 0) AS run, coalesce(m > 0.05 OR run >= 20, false) AS flag FROM documents LEFT JOIN m USING (doc_id)""")
 def memo_flag(spark, sf):
-    """Documents with much overlap, by source."""
-    best = _overlaps(spark, sf).groupBy("doc_id").agg(F.max(F.col("k") / F.col("n")).alias("m"))
-    rows = ad.table(spark, sf, "documents").select("source", "doc_id").join(best, "doc_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
-    return rows.groupBy("source").agg(F.sum((F.col("m") > 0.05).cast("long")).alias("flagged"), F.max("m").alias("most"), F.count("*").alias("docs"))
+    """Flagged documents: over a twentieth of an item's 13-grams, or a run of 20 words or more. Runs are 0 where no 13 are shared."""
+    near = _overlaps(spark, sf, 13)
+    both = near.join(_longest(spark, sf, near.select("item_id", "doc_id")), ["item_id", "doc_id"])
+    best = both.groupBy("doc_id").agg(F.max(F.col("k") / F.greatest(F.lit(1), F.col("n"))).alias("m"), F.max("longest").alias("run"))
+    rows = ad.table(spark, sf, "documents").select("doc_id").join(best, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("m", F.lit(0.0)).alias("overlap"), F.coalesce("run", F.lit(0)).cast("long").alias("run"), F.coalesce((F.col("m") > 0.05) | (F.col("run") >= 20), F.lit(False)).alias("flag"))
 
 
 @query(r"""WITH tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
@@ -720,10 +735,13 @@ def condition_grid(spark, sf):
     return cd.grid(d.select(F.col("source").alias("condition")), d.select(F.col("lang").alias("condition")))
 
 
-@query("SELECT list_reduce(list_sort(list_distinct(list(lang))), lambda a, b: a || ',' || b) AS langs, source FROM documents GROUP BY source")
+@query("SELECT source, string_agg(lang, ',' ORDER BY first, lang) AS langs FROM (SELECT source, lang, min(doc_id) AS first FROM documents WHERE lang IS NOT NULL GROUP BY ALL) GROUP BY source")
 def distinct_in_order(spark, sf):
-    """Distinct values of each source."""
-    return ad.table(spark, sf, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
+    """Distinct values of each source, in the order in which they first occur."""
+    first = ad.table(spark, sf, "documents").where("lang is not null").groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
+    # One entry for each distinct value, so a list is as long as there are values.
+    listed = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("first", "lang"))).alias("x"))
+    return listed.select("source", F.array_join(F.col("x.lang"), ",").alias("langs"))
 
 
 @query(r"SELECT event_id, regexp_extract(props, '\"([a-z_]+)\":', 1) AS key FROM events")
