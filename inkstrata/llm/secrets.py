@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser as P
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,31 +42,104 @@ BLOCK = 4096
 MOST = 64
 
 
-def _sets(node, fold: bool):
-    """Yield, in order, sets of exact strings (a literal part of the pattern) or None (a part that can be anything)."""
-    for op, arg in node:
-        if op is C.LITERAL:
-            yield {chr(arg).lower() if fold else chr(arg)}
-        elif op is C.IN and len(arg) <= 8 and all(k is C.LITERAL for k, _ in arg):
-            yield {chr(v).lower() if fold else chr(v) for _, v in arg}
-        elif op is C.SUBPATTERN:
-            yield from _sets(arg[3], fold)
-        elif op is C.BRANCH:
-            every: set[str] | None = set()
-            for branch in arg[1]:
-                whole = _whole(branch, fold)
-                every = None if every is None or whole is None else every | whole
-            yield every
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[1] <= 1:
-            whole = _whole(arg[2], fold)
-            yield None if whole is None else whole | ({""} if arg[0] == 0 else set())
+class _Beyond(ValueError):
+    """Syntax outside of the subset that is read here."""
+
+
+#: Escaped letters that stand for a class or a place, not for themselves.
+CLASSES = "dDwWsSbB"
+
+
+def _parts(regex: str, fold: bool) -> list[set[str] | None]:
+    """The pattern as a row of sets of exact strings (a literal part) and None (a part that can be anything).
+
+    Read are literals, escapes, classes, groups, (?i:...), alternatives and quantifiers; other syntax raises _Beyond.
+    """
+    parts, at = _alternatives(regex, 0, fold)
+    if at < len(regex):
+        raise _Beyond(regex)
+    return parts
+
+
+def _alternatives(regex: str, at: int, fold: bool) -> tuple[list[set[str] | None], int]:
+    rows, row = [], []
+    while at < len(regex) and regex[at] != ")":
+        if regex[at] == "|":
+            rows.append(row)
+            row, at = [], at + 1
+            continue
+        atom, at = _atom(regex, at, fold)
+        often = re.compile(r"([*+?]|\{(\d+)(,(\d*))?\})[?+]?").match(regex, at)
+        if often:
+            at = often.end()
+            once = often[1] == "?" or (often[2] and int(often[4] or -1 if often[3] else often[2]) in (0, 1))
+            whole = _whole(atom) if once else None
+            optional = often[1] == "?" or (often[2] and int(often[2]) == 0)
+            atom = [whole | {""} if whole is not None and optional else whole]
+        row += atom
+    if not rows:
+        return row, at
+    every = [_whole(r) for r in [*rows, row]]
+    return [None if None in every else set().union(*every)], at
+
+
+def _atom(regex: str, at: int, fold: bool) -> tuple[list[set[str] | None], int]:
+    c = regex[at]
+    if c == "(":
+        either = regex.startswith("(?i:", at)
+        skip = 4 if either else 3 if regex.startswith("(?:", at) else 1
+        if regex[at + skip : at + skip + 1] == "?":
+            raise _Beyond(regex)
+        parts, end = _alternatives(regex, at + skip, fold)
+        if end >= len(regex):
+            raise _Beyond(regex)
+        return ([None] if either and not fold else parts), end + 1
+    if c == "[":
+        return _class(regex, at + 1, fold)
+    if c in "*+?{":
+        raise _Beyond(regex)
+    if c in ".^$":
+        return [None], at + 1
+    got, at = _character(regex, at)
+    return [None if got is None else {got.lower() if fold else got}], at
+
+
+def _character(regex: str, at: int) -> tuple[str | None, int]:
+    """One character or escape: itself, or None for a class or a place."""
+    if regex[at] != "\\":
+        return regex[at], at + 1
+    code = re.compile(r"\\x([0-9A-Fa-f]{2})").match(regex, at)
+    if code:
+        return chr(int(code[1], 16)), code.end()
+    c = regex[at + 1 : at + 2]
+    if c and c in CLASSES:
+        return None, at + 2
+    if not c or c.isalnum():
+        raise _Beyond(regex)
+    return c, at + 2
+
+
+def _class(regex: str, at: int, fold: bool) -> tuple[list[set[str] | None], int]:
+    """A class, from after its bracket: its characters if they are 8 at most, without ranges."""
+    start, plain, members = at, not regex.startswith("^", at), set()
+    while at < len(regex) and (regex[at] != "]" or at == start):
+        if regex[at] == "[" or regex.startswith("&&", at):
+            raise _Beyond(regex)
+        if regex[at] == "-" and at > start and regex[at + 1 : at + 2] != "]":
+            plain = False
+        got, at = _character(regex, at)
+        if got is None:
+            plain = False
         else:
-            yield None
+            members.add(got.lower() if fold else got)
+    if at >= len(regex):
+        raise _Beyond(regex)
+    return [members if plain and len(members) <= 8 else None], at + 1
 
 
-def _whole(node, fold: bool) -> set[str] | None:
+def _whole(parts: list[set[str] | None]) -> set[str] | None:
     out = {""}
-    for part in _sets(node, fold):
+    for part in parts:
         if part is None or len(out) * len(part) > MOST:
             return None
         out = {a + b for a in out for b in part}
@@ -80,9 +151,14 @@ def trigrams(s: str) -> list[str]:
 
 
 def trigram_query(regex: str, fold: bool) -> list[list[list[str]]]:
-    """A conjunction of clauses, each a disjunction of conjunctions of trigrams; empty if nothing is mandatory."""
+    """A conjunction of clauses, each a disjunction of conjunctions of trigrams; empty if nothing is mandatory, or if the regex has
+    syntax that isn't read: then the rule scans every text."""
     clauses, run = [], {""}
-    for part in [*_sets(P.parse(regex), fold), None]:
+    try:
+        parts = _parts(regex, fold)
+    except _Beyond:
+        return []
+    for part in [*parts, None]:
         if part is not None and len(run) * len(part) <= MOST:
             run = {a + b for a in run for b in part}
             continue

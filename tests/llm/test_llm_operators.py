@@ -224,6 +224,33 @@ def test_secret_scan_of_odd_tables(spark):
     assert secrets.scan(twice).count() == 8
 
 
+@pytest.mark.parametrize(
+    ("regex", "texts"),
+    [
+        (r"ab[cd]ef|xyz1", ["abcef", "abdef", "xyz1"]),
+        (r"abcd(ef)?gh", ["abcdefgh", "abcdgh"]),
+        (r"x{0,1}bcd", ["xbcd", "bcd"]),
+        (r"x{3,}abc", ["xxxxabc"]),
+        (r"abc{2}d", ["abccd"]),
+        (r"foo\dbar\x20z", ["foo1bar z"]),
+        (r"ab[]c]d[x-]e", ["ab]dxe", "abcd-e"]),
+        (r"(?:one|two)?three", ["onethree", "three"]),
+        (r"abc|", ["abc", ""]),
+        (r"abcd|(?i:x)yz", ["abcd", "Xyz"]),
+    ],
+)
+def test_every_match_meets_the_trigram_query(regex, texts):
+    query = secrets.trigram_query(regex, False)
+    for text in texts:
+        assert re.fullmatch(regex, text)
+        assert all(any(all(t in text for t in option) for option in clause) for clause in query)
+
+
+def test_a_regex_that_is_not_read_scans_every_text():
+    for regex in ("abc(?=d)", r"(abc)\1", r"\p{Lu}abcd", "[a-z&&[abc]]defg", "(abcd"):
+        assert secrets.trigram_query(regex, False) == []
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+", False) == []
     assert secrets.trigram_query("AKIA[A-Z0-9]+", False) == [[["AKI", "KIA"]]]
