@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,28 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.set(CLEANUP, before)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: what follows starts from files that every executor reaches."""
+    spark = df.sparkSession
+    shared(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Integer vectors of a squared length under this have products and squared distances that fit a long, with factors up to 100.
+LENGTH_BOUND = float(1 << 56)
+
+
+def cells(column: str, scale: int = 256) -> tuple[Column, Column]:
+    """(integer components, whether they can be had) of a vector column: floor(scale * x), for vectors that are not null, hold
+    neither null nor non-finite components, and stay under LENGTH_BOUND."""
+    x = F.transform(F.col(column).cast("array<double>"), lambda v: v * scale)
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < LENGTH_BOUND))
+    short = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.floor(v).cast("double") * F.floor(v)) < LENGTH_BOUND
+    return F.transform(x, lambda v: F.floor(v).cast("int")), F.col(column).isNotNull() & fine & short
+
+
 #: Rows in a batch that goes to a Python worker, where the session has Spark's default of 10,000: texts are long.
 BATCH_ROWS = "1000"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, leaks, licenses, neardup, pieces, quality, secrets, sharding, sql, suffixes
+from . import ballkmeans, bytebpe, hnsw, langid, leaks, licenses, neardup, pieces, quality, secrets, sharding, sql, suffixes, vafile
 from .common import table
 
 
@@ -62,5 +62,21 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("body")
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_quality_resampling, op3_secret_scan, op4_sentencepiece_sample, op5_suffix_repeats, op6_benchmark_leaks, op7_hnsw_neighbours, op8_language_cross_parsing, op9_near_duplicates, op10_license_windows)}
-SQL: dict[str, str] = {"op3_secret_scan": sql.secret_scan(), "op9_near_duplicates": sql.near_duplicates()}
+def op11_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballkmeans.clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, salt="2:")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return vafile.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), every=100, positives=5, negatives=10, low=30, high=90)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = bytebpe.decode(bytebpe.encode(docs))
+    return got.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("token_bytes.packed", 256).alias("ids_sha256"), F.sha2("token_bytes.body", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shard_minimax, op2_quality_resampling, op3_secret_scan, op4_sentencepiece_sample, op5_suffix_repeats, op6_benchmark_leaks, op7_hnsw_neighbours, op8_language_cross_parsing, op9_near_duplicates, op10_license_windows, op11_ball_clusters, op12_hard_negatives, op13_byte_bpe)}
+SQL: dict[str, str] = {"op3_secret_scan": sql.secret_scan(), "op9_near_duplicates": sql.near_duplicates(),
+                       "op11_ball_clusters": sql.ball_clusters(), "op12_hard_negatives": sql.hard_negatives()}
