@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as t
 from .functions import unicode as u
+from .operators import itemplan as ip
 from .operators import items as it
 from .operators import lexical as lx
 from .operators import names as nm
@@ -435,20 +436,48 @@ def mention_eligibility(spark, sf):
     return it.eligible(named, units.select("book", F.col("chapter_index").alias("boundary")))
 
 
-@query(f"""WITH {ad.ALIASES}, k AS (SELECT doc_id, count(DISTINCT label) AS k FROM named GROUP BY doc_id), e AS (SELECT book, label, chapter_index, row_number() OVER (PARTITION BY book, label ORDER BY chapter_index) AS r FROM named), s AS (SELECT book, max(chapter_index) AS since, count(*) AS n FROM e WHERE r = 2 GROUP BY book),
-f AS (SELECT c.book, CASE WHEN words = 0 THEN 'no_text' WHEN lang <> 'en' THEN 'protected' WHEN coalesce(k.k, 0) < 3 THEN 'not_all_named' WHEN s.since IS NULL OR s.n < 3 OR s.since >= c.chapter_index THEN 'too_early' ELSE 'items' END AS reason FROM ch c LEFT JOIN k USING (doc_id) LEFT JOIN s USING (book))
-SELECT book, count(*) AS units, {", ".join(f"sum(CASE WHEN reason = '{r}' THEN 1 ELSE 0 END)::BIGINT AS {r}" for r in ("no_text", "protected", "not_all_named", "too_early", "items"))} FROM f GROUP BY book""")
+def _item_plan(spark, sf, mode: str = "section", two: bool = False):
+    return ip.plan(ad.examples(spark, sf), ad.alias_files(spark, sf), ad.examples(spark, sf), mode, two, ids=ip.hashed_ids)
+
+
+def _item_columns(rows):
+    """An item's columns as text, as SQL can say them."""
+    pairs = lambda m: F.array_join(F.transform("labels", lambda x: F.concat(x, F.lit("="), F.element_at(m, x).cast("string"))), ",")
+    digest = F.md5(F.col("masked").cast("binary")).alias("masked")
+    return rows.select("item_id", "book", "chapter_index", F.array_join("labels", ",").alias("labels"), pairs("answer").alias("answer"), pairs("mentions").alias("mentions"), digest)
+
+
+ITEM_SQL = "SELECT item_id, book, chapter_index::BIGINT AS chapter_index, labels, answer, mentions, md5(masked) AS masked FROM pl WHERE reason IS NULL"
+
+
+@query(f"WITH {ad.item_plan()} {ITEM_SQL}")
+def items_section(spark, sf):
+    """Sections that name every label, masked."""
+    return _item_columns(ip.items(_item_plan(spark, sf)))
+
+
+@query(f"WITH RECURSIVE {ad.item_plan(window=True)} {ITEM_SQL}")
+def items_window(spark, sf):
+    """Windows of a chapter's sections that name every label, masked."""
+    return _item_columns(ip.items(_item_plan(spark, sf, "window")))
+
+
+@query(f"WITH {ad.item_plan(two=True)} {ITEM_SQL}")
+def items_two(spark, sf):
+    """Sections that name exactly two labels, masked."""
+    return _item_columns(ip.items(_item_plan(spark, sf, two=True)))
+
+
+@query()
+def items_short(spark, sf):
+    """The tightest runs of sentences that name every label, masked."""
+    return _item_columns(ip.items(_item_plan(spark, sf, "short")))
+
+
+@query(f"""WITH {ad.item_plan()} SELECT book, count(*) AS units, {", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in ip.REASONS)}, count(*) FILTER (reason IS NULL) AS items FROM pl GROUP BY book""")
 def funnel(spark, sf):
-    """Units by the first rule that they fail."""
-    units = _units(spark, sf)
-    counts = it.named_counts(units, ad.aliases(spark, sf))
-    k = counts.groupBy("unit").agg(F.countDistinct("label").alias("k"))
-    named = counts.join(units.select("unit", "book", "chapter_index"), "unit")
-    second = F.row_number().over(Window.partitionBy("book", "label").orderBy("chapter_index"))
-    since = named.withColumn("r", second).where("r = 2").groupBy("book").agg(F.max("chapter_index").alias("since"), F.count("*").alias("n"))
-    rows = units.join(k, "unit", "left").join(since, "book", "left")
-    rules = [("no_text", F.col("words") == 0), ("protected", F.col("lang") != "en"), ("not_all_named", F.coalesce("k", F.lit(0)) < 3), ("too_early", F.col("since").isNull() | (F.col("n") < 3) | (F.col("since") >= F.col("chapter_index")))]
-    return it.funnel(rows, rules)
+    """Units by the first rule that they fail."""
+    return ip.counters(_item_plan(spark, sf))
 
 
 @query(r"SELECT doc_id, len(x)::BIGINT AS n FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: lower(w) IN ('the', 'der', 'que') AND w <> lower(w)) AS x FROM documents) WHERE len(x) > 0")

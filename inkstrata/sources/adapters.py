@@ -51,6 +51,28 @@ def aliases(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
     return top.select("book", "label", F.explode(F.array("label", F.initcap("label"))).alias("alias"))
 
 
+#: Ranks of a source's frequent words that stand for an ambiguous and a protected name.
+AMBIGUOUS_RANK, PROTECTED_RANK = 60, 80
+#: Consecutive documents of a source that are one chapter's sections.
+SECTIONS = 4
+
+
+def alias_files(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """(book, kind, label, label_no, alias): the k most frequent words of five letters or more of each source are principals, two rarer ones
+    an ambiguous and a protected name."""
+    words = chapters(spark, sf_dir).select("book", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), 0)).alias("w")).select("book", F.lower("w").alias("label"))
+    rank = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("n"), "label"))
+    top = words.groupBy("book", "label").agg(F.count("*").alias("n")).withColumn("rank", rank).where(F.col("rank") <= max(k, AMBIGUOUS_RANK, PROTECTED_RANK))
+    kind = F.when(F.col("rank") <= k, "principal").when(F.col("rank") == AMBIGUOUS_RANK, "ambiguous").when(F.col("rank") == PROTECTED_RANK, "protected")
+    return top.withColumn("kind", kind).where("kind is not null").select("book", "kind", "label", (F.col("rank") - 1).alias("label_no"), F.explode(F.array("label", F.initcap("label"))).alias("alias"))
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as examples: SECTIONS consecutive documents of a source are the sections of a chapter."""
+    n = F.col("chapter_index")
+    return chapters(spark, sf_dir).select("book", F.floor(n / SECTIONS).cast("int").alias("chapter_index"), (n % SECTIONS).cast("int").alias("chunk_index"), "text", F.lit(None).cast("string").alias("header"))
+
+
 # SQL twins of the adapters, as common table expressions.
 CHAPTERS = r"""ch AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chapter_index, doc_id, lang, text, len(regexp_extract_all(text, '\S+')) AS words FROM documents)"""
 TURNS = "tu AS (SELECT conv_id AS book, role AS label, turn AS chapter_index, text FROM conversations)"
@@ -69,3 +91,35 @@ ALIASES = CHAPTERS + """, aw AS (SELECT book, lower(w) AS label FROM (SELECT boo
  forms AS (SELECT DISTINCT book, label, f FROM (SELECT book, label, unnest([label, upper(label[1:1]) || label[2:], upper(label)]) AS f FROM al)),
  tok AS (SELECT doc_id, book, chapter_index, w, count(*) AS n FROM (SELECT doc_id, book, chapter_index, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM ch) GROUP BY ALL),
  named AS (SELECT t.doc_id, t.book, t.chapter_index, f.label, sum(n) AS n FROM tok t JOIN forms f ON t.book = f.book AND t.w = f.f GROUP BY ALL)"""
+
+
+def item_units(window: bool) -> str:
+    """un: units of documents as examples, with their pieces: words with an apostrophe that precedes them, and single other characters."""
+    made = "SELECT book, c, 'k' || printf('%02d', k) AS unit, k AS chunk, text FROM ex"
+    if window:
+        made = "SELECT book, c, 'w' || printf('%02d', g) AS unit, NULL AS chunk, string_agg(text, chr(10) || chr(10) ORDER BY k) AS text FROM fo GROUP BY book, c, g"
+    fold = """, fo AS (SELECT book, c, k, text, n, 0 AS g, 1 AS m, n AS s FROM ex WHERE k = 0 UNION ALL SELECT ex.book, ex.c, ex.k, ex.text, ex.n, CASE WHEN m >= 3 OR s >= 900 THEN g + 1 ELSE g END,
+ CASE WHEN m >= 3 OR s >= 900 THEN 1 ELSE m + 1 END, CASE WHEN m >= 3 OR s >= 900 THEN ex.n ELSE s + ex.n END FROM fo JOIN ex ON ex.book = fo.book AND ex.c = fo.c AND ex.k = fo.k + 1)"""
+    return f"""{CHAPTERS}, ex AS MATERIALIZED (SELECT book, (chapter_index // {SECTIONS})::INT AS c, (chapter_index % {SECTIONS})::INT AS k, x AS text, len(regexp_extract_all(x, '\\S+')) AS n FROM (SELECT *, trim(coalesce(text, ''), chr(10) || chr(9) || chr(13) || ' ') AS x FROM ch)){fold if window else ""},
+ un AS MATERIALIZED (SELECT *, regexp_extract_all(text, '[’'']?[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]') AS p FROM ({made}))"""
+
+
+def item_plan(window: bool = False, two: bool = False) -> str:
+    """pl: each unit with its reason, labels, answer and masked text."""
+    whole, suffix = "coalesce(k, 0) = 2" if two else "coalesce(k, 0) = ks", "__two" if two else ""
+    return f"""{item_units(window)},
+ rk AS (SELECT book, label, row_number() OVER (PARTITION BY book ORDER BY count(*) DESC, label) AS r FROM (SELECT book, lower(unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}'))) AS label FROM ch) GROUP BY book, label),
+ al AS MATERIALIZED (SELECT *, CASE WHEN r <= 3 THEN 'p' WHEN r = {AMBIGUOUS_RANK} THEN 'a' ELSE 'x' END AS kind FROM rk WHERE r <= 3 OR r IN ({AMBIGUOUS_RANK}, {PROTECTED_RANK})),
+ fm AS (SELECT DISTINCT book, label, kind, r, f FROM (SELECT *, unnest([label, upper(label[1:1]) || label[2:], upper(label)]) AS f FROM al)),
+ tk AS (SELECT book, c, unit, w, count(*) AS n FROM (SELECT book, c, unit, unnest(p) AS w FROM un) GROUP BY ALL),
+ nm AS MATERIALIZED (SELECT t.book, t.c, t.unit, f.label, f.kind, f.r, sum(n) AS n FROM tk t JOIN fm f ON t.book = f.book AND t.w = f.f GROUP BY ALL),
+ si AS (SELECT book, label, c AS since FROM (SELECT *, row_number() OVER (PARTITION BY book, label ORDER BY c) AS o FROM (SELECT DISTINCT book, label, c FROM nm WHERE kind = 'p')) WHERE o = 2),
+ li AS (SELECT nm.*, coalesce(since >= c, true) AS early, row_number() OVER (PARTITION BY book, c, unit ORDER BY md5(printf('%s__c%03d__%s', book, c, unit) || '{suffix}:' || label)) - 1 AS id FROM nm LEFT JOIN si USING (book, label) WHERE kind = 'p'),
+ la AS (SELECT book, c, unit, count(*) AS k, bool_or(early) AS early, string_agg(label, ',' ORDER BY r) AS labels, string_agg(label || '=' || id, ',' ORDER BY r) AS answer, string_agg(label || '=' || n::BIGINT, ',' ORDER BY r) AS mentions FROM li GROUP BY ALL),
+ ma AS (SELECT li.book, li.c, li.unit, map_from_entries(list((f, id))) AS m FROM li JOIN fm USING (book, label) GROUP BY ALL),
+ ot AS (SELECT book, c, unit, bool_or(kind = 'a') AS amb, bool_or(kind = 'x') AS pro FROM nm GROUP BY ALL),
+ bk AS (SELECT book, list(label) AS names, count(*) AS ks FROM al WHERE kind = 'p' GROUP BY book),
+ pl AS (SELECT printf('%s__c%03d__%s', book, c, unit) || '{suffix}' AS item_id, book, c AS chapter_index, labels, answer, mentions, array_to_string(list_transform(p, lambda w: coalesce('[CHAR ' || m[w] || ']', w)), '') AS masked,
+  CASE WHEN text = '' THEN 'no_text' WHEN pro THEN 'protected' WHEN NOT {whole} THEN 'not_all_named' WHEN early THEN 'too_early' WHEN amb THEN 'ambiguous'
+  WHEN len(list_filter(p, lambda w: m[w] IS NULL AND list_contains(names, lower(ltrim(w, '’'''))) AND w <> lower(w))) > 0 THEN 'leftover' END AS reason
+  FROM un JOIN bk USING (book) LEFT JOIN la USING (book, c, unit) LEFT JOIN ma USING (book, c, unit) LEFT JOIN ot USING (book, c, unit))"""
