@@ -2,13 +2,13 @@
 
 Nearness is the largest inner product. Vectors get one more component, sqrt(longest^2 - norm^2), after which all are equally
 long and inner products with (query, 0) order them as before; graphs are built on these. Equal vectors are one graph node
-with its smallest ids. A shard holds SHARD nodes at most; its graph is stored as flat neighbour arrays, one per layer. Layers are
+with its smallest ids. A shard's vectors take about SHARD bytes, whatever their length; its graph is stored as flat neighbour arrays, one per layer. Layers are
 drawn by a hash of the vector. Nodes are inserted in batches: a batch searches the graph so far from the top layer down, and in each of
 its nodes' layers it links them, by the usual diversity rule, to what was found and to each other. Links are two-way; a full list
 keeps the nearest. A search starts from the top layer and keeps a beam of EF nodes a layer.
 
 A shard's graph goes to its tasks once, followed by the queries in blocks; queries are split among several tasks only while
-there are fewer shards than tasks.
+there are fewer shards than tasks, and never into more parts than there are blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, ranges
 
-SHARD = 16_384
+#: Bytes of a shard's vectors, as doubles.
+SHARD = 8 << 20
 M = 32
 #: Candidates for a node's links, from the beam of an insertion.
 WIDE = 64
@@ -260,15 +261,16 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, ef: int = EF, shard:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kinds, base = [], 0
     for r in lengths:
-        shards = -(-r["n"] // shard)
+        shards = -(-r["n"] * r["d"] * 8 // shard)
         kinds.append((r["d"], r["longest"], base, shards))
         base += shards
     kinds = F.broadcast(spark.createDataFrame(kinds, "d int, longest double, base int, shards int"))
     placed = unique.join(kinds, "d").withColumn("shard", (F.col("base") + F.pmod("key", "shards")).cast("int"))
     index = cut(placed.select("shard", "longest", "key", "v", "ids").groupBy("shard").applyInArrow(_built, INDEX))
-    splits = max(1, partitions(spark) // base)
     queries = sum(r["n"] for r in lengths) // every
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, queries // BLOCK + 1)))
+    blocks = queries // BLOCK + 1
+    splits = max(1, min(partitions(spark) // base, blocks))  # an index is copied for blocks of queries, not for partitions
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     asked = got.where(F.col("vec_id") % every == 0).groupBy("d", block.alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("x")).join(kinds, "d")
     asked = asked.select(F.explode(F.sequence("base", F.col("base") + F.col("shards") - 1)).alias("shard"), F.pmod("block", F.lit(splits)).cast("int").alias("split"), F.col("x.vec_id").alias("q_ids"), F.col("x.v").alias("qs"))
     copies = index.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))

@@ -525,7 +525,7 @@ def test_neighbours_reach_the_recall(spark):
     v[700:760] = v[3]
     rows = [(i, v[i].tolist()) for i in range(1500)]
     rows += [(5000, None), (5001, [0.0] * 24), (5002, [float("nan")] * 24), (5003, [None] * 24), (5004, [float("inf")] * 24), (5020, [1.0, 2.0]), (None, v[0].tolist()), (3, v[3].tolist())]
-    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), every=20, k=20, shard=600).toPandas()
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), every=20, k=20, shard=600 * 8 * 24).toPandas()
     x, ids, hit = v.astype(float), np.arange(1500), 0
     for q in range(0, 1500, 20):
         s = (x * x[q]).sum(axis=1)
