@@ -5,6 +5,8 @@ run NAME --data DIR [--out DIR]  run a query over a folder of tables; show it or
 prep --documents DIR --out DIR   snippets of about 300 words
 score --rows DIR [--reference C] accuracy tables of score rows on the console
 report --rows DIR --out FILE     the same as a page
+items --data DIR --out DIR       items of the tables examples, aliases and chapters in DIR, and the counters (--mode, --two, --min-mentions, --seed)
+reps --data DIR --out DIR        representations of the tables items, texts, records, aliases (and rated) in DIR, by condition (--conditions, --sheets)
 parse CONDITION                  what a condition's name means
 """
 
@@ -25,6 +27,19 @@ def main(argv: list[str] | None = None) -> int:
     prep.add_argument("--documents", required=True)
     prep.add_argument("--out", required=True)
     prep.add_argument("--words", type=int, default=300)
+    for name in ("items", "reps"):
+        p = sub.add_parser(name)
+        p.add_argument("--data", required=True)
+        p.add_argument("--out", required=True)
+        if name == "items":
+            p.add_argument("--mode", default="section", choices=["section", "window", "short"])
+            p.add_argument("--two", action="store_true")
+            p.add_argument("--min-mentions", type=int, default=1)
+            p.add_argument("--seed", type=int, default=0)
+        else:
+            p.add_argument("--conditions", nargs="*", help="all of the catalogue if left out")
+            p.add_argument("--sheets", nargs="*", default=[])
+            p.add_argument("--generators", nargs="*", default=[])
     for name in ("score", "report"):
         p = sub.add_parser(name)
         p.add_argument("--rows", required=True)
@@ -63,6 +78,20 @@ def main(argv: list[str] | None = None) -> int:
 
         docs = spark.read.parquet(args.documents).select("doc_id", F.posexplode(snippets(F.col("text"), args.words)).alias("idx", "text"))
         docs.withColumn("words", word_count(F.col("text"))).write.mode("overwrite").parquet(args.out)
+    elif args.command == "items":
+        from .operators import itemplan
+
+        rows = itemplan.plan(*(spark.read.parquet(f"{args.data}/{t}") for t in ("examples", "aliases", "chapters")), mode=args.mode, two=args.two, min_mentions=args.min_mentions, seed=args.seed)
+        rows.write.mode("overwrite").parquet(args.out)
+        itemplan.counters(spark.read.parquet(args.out)).orderBy("book").show(1000, False)
+    elif args.command == "reps":
+        from .plans import catalogue
+
+        read = lambda t: spark.read.parquet(f"{args.data}/{t}")
+        keys = read("items").where("reason is null").select("book", F.col("chapter_index").alias("boundary"), F.explode("labels").alias("label"))
+        sheets = any(c.endswith("_fd_flat") for c in args.conditions or ["_fd_flat"])
+        sources = catalogue.Sources(read("texts"), read("records"), read("aliases"), read("rated") if sheets else None)
+        catalogue.write(catalogue.build(keys, sources, args.conditions or catalogue.standard(sheets=args.sheets, generators=args.generators)), args.out)
     else:
         from .plans import report
 

@@ -20,6 +20,7 @@ from .operators import names as nm
 from .operators import reps as rp
 from .operators import scoring as sc
 from .operators import stats as st
+from .plans import catalogue as cg
 from .plans import conditions as cd
 from .plans import generate as gn
 from .plans import likelihood as lh
@@ -822,3 +823,11 @@ def passage_nll(spark, sf):
     work = tu.join(before, ["book", "chapter_index"], "left").withColumn("context", lh.contexts("story", None, F.coalesce("story", F.lit("")), 50))
     good, _ = ml.split(lh.passages(work))
     return good.select("book", "chapter_index", "nll", "tokens")
+
+REPRESENTED = ("v2", "v2_norel", "v2_sec_physical", "second_nest", "combo_short", "chapnotes", "renote", "renote_ent", "renote_ent4", "renote_x", "renote_x_sec1", "ledger_full", "ledger_c2", "sheet_csum_fd_flat", "v2+last1")
+
+@query(ad.representation_sql())
+def representations(spark, sf):
+    """Section 2.14: families of the catalogue at each label's last boundary, as one plan."""
+    keys, sources = ad.representations(spark, sf)
+    return cg.build(keys, sources, REPRESENTED).select("condition", "book", "boundary", "label", F.md5(F.col("text").cast("binary")).alias("text"), "words")

@@ -73,6 +73,37 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters(spark, sf_dir).select("book", F.floor(n / SECTIONS).cast("int").alias("chapter_index"), (n % SECTIONS).cast("int").alias("chunk_index"), "text", F.lit(None).cast("string").alias("header"))
 
 
+#: What the conversations' notes are about.
+NOTE_LAYOUT = ((("First", ("a",)), ("Second", ("b",))), {"a": "What comes first?", "b": "What comes next?"}, ("First", "Second"), "a")
+
+
+def representations(spark: SparkSession, sf_dir: str):
+    """(keys, sources) of the catalogue: a conversation is a book, a role a label, and a role's n-th turn is chapter n; what is known of
+    a label are words of its turns. The boundary is the label's number of turns."""
+    from ..plans.catalogue import Layout, Sources
+
+    n = F.row_number().over(Window.partitionBy("book", "label").orderBy("chapter_index")) - 1
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\f]+"), lambda x: x != "")
+    tu = turns(spark, sf_dir).select(F.col("book").cast("string").alias("book"), "label", n.cast("int").alias("chapter_index"), w.alias("w"))
+    part = lambda a, k: F.array_join(F.slice("w", a, k), " ")
+    row = lambda source, q, q_no, pos, text, rating: F.struct(F.lit(source).alias("source"), q.alias("q"), q_no.cast("int").alias("q_no"), pos.cast("int").alias("pos"), text.alias("text"), rating.cast("int").alias("rating"))
+    none, zero = F.lit(None), F.lit(0)
+    notes = [row(s, F.lit(q), F.lit(i), zero, part(5 * i + 1, 5), none) for s in ("chapnotes", "renote") for i, q in enumerate("ab")]
+    sentences = lambda s: F.transform(F.slice("w", 1, 6), lambda x, i: row(s, F.when(i % 2 == 0, "a").otherwise("b"), i % 2, i, x, 3 + F.length(x) % 3))
+    ledger = F.transform(F.slice("w", 1, 9), lambda x, i: row("ledger", F.concat(F.lit("s"), (i % 3).cast("string")), i % 3, F.floor(i / 3), x, none))
+    every = F.concat(F.array(*notes), sentences("renote_ent"), sentences("renote_x"), ledger)
+    records = tu.select("book", "label", F.col("label").alias("name"), "chapter_index", F.explode(every).alias("x")).select("book", "label", "name", "chapter_index", "x.*")
+    last = tu.groupBy("book", "label").agg((F.max("chapter_index") + 1).alias("boundary"), F.max_by("w", "chapter_index").alias("w"), F.min_by("w", "chapter_index").alias("first"))
+    text = lambda source, x: F.struct(F.lit(source).alias("source"), x.alias("text"))
+    sheet = lambda a, b: F.concat(F.lit("## Physicality And Personality\n"), a, F.lit("\n## Relationships\n"), b)
+    whole = [text("v2", sheet(part(1, 5), part(6, 5))), text("second", sheet(part(3, 4), part(7, 20))), text("summary", F.array_join(F.slice("first", 1, 12), " "))]
+    texts = last.select("book", "boundary", "label", F.explode(F.array(*whole)).alias("x"), F.lit(0).alias("pos")).select("book", "boundary", "label", "x.*", "pos")
+    own = last.select("book", "boundary", "label", F.posexplode(F.slice("w", 1, 8)).alias("pos", "text"))
+    own = own.select(F.lit("csum_f").alias("source"), "book", "boundary", "label", "pos", "text", (4 + F.length("text") % 2).cast("int").alias("rating"))
+    names = spark.createDataFrame([], "book string, kind string, label string, label_no int, alias string")
+    return last.select("book", "boundary", "label"), Sources(texts, records, names, own, Layout(*NOTE_LAYOUT))
+
+
 # SQL twins of the adapters, as common table expressions.
 CHAPTERS = r"""ch AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chapter_index, doc_id, lang, text, len(regexp_extract_all(text, '\S+')) AS words FROM documents)"""
 TURNS = "tu AS (SELECT conv_id AS book, role AS label, turn AS chapter_index, text FROM conversations)"
@@ -123,3 +154,40 @@ def item_plan(window: bool = False, two: bool = False) -> str:
   CASE WHEN text = '' THEN 'no_text' WHEN pro THEN 'protected' WHEN NOT {whole} THEN 'not_all_named' WHEN early THEN 'too_early' WHEN amb THEN 'ambiguous'
   WHEN len(list_filter(p, lambda w: m[w] IS NULL AND list_contains(names, lower(ltrim(w, '’'''))) AND w <> lower(w))) > 0 THEN 'leftover' END AS reason
   FROM un JOIN bk USING (book) LEFT JOIN la USING (book, c, unit) LEFT JOIN ma USING (book, c, unit) LEFT JOIN ot USING (book, c, unit))"""
+
+
+def representation_sql() -> str:
+    """Families of the catalogue over conversations, each by its own rule."""
+    rule = "-" * 100
+    ask = lambda q: f"'Question: {NOTE_LAYOUT[1][q]}' || chr(10) || chr(10) || "
+    nl2 = "chr(10) || chr(10)"
+    snippet = "'<snippet ' || c || '>' || chr(10) || "
+    under = lambda head, q, body: f"'## {head}' || coalesce({nl2} || {ask(q)} {body}, '')"
+    return rf"""WITH {TURNS}, tw AS MATERIALIZED (SELECT book::VARCHAR AS book, label, row_number() OVER (PARTITION BY book, label ORDER BY chapter_index) - 1 AS c, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f]+') AS w FROM tu),
+ k AS (SELECT book, label, (max(c) + 1)::INT AS n, arg_max(w, c) AS w, arg_min(w, c) AS f FROM tw GROUP BY book, label),
+ rt AS (SELECT *, CASE WHEN i % 2 = 0 THEN 'a' ELSE 'b' END AS q, 3 + length(x) % 3 AS r FROM (SELECT book, label, c, unnest(w[1:6]) AS x, unnest(range(least(len(w), 6))) AS i FROM tw)),
+ rc AS (SELECT book, label, c, q, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (r = 5), '') AS t, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (r >= 4), '') AS t4 FROM rt GROUP BY ALL),
+ ok AS (SELECT book, label FROM (SELECT DISTINCT book, label, c FROM rc) JOIN k USING (book, label) GROUP BY book, label, n HAVING count(*) = n),
+ qa AS (SELECT book, label, string_agg({snippet} array_to_string(w[1:5], ' '), chr(10) ORDER BY c) AS a, string_agg({snippet} array_to_string(w[6:10], ' '), chr(10) ORDER BY c) AS b,
+  string_agg({snippet} array_to_string(w[1:5], ' '), chr(10) ORDER BY c) FILTER (len(w) > 0) AS a1, string_agg({snippet} array_to_string(w[6:10], ' '), chr(10) ORDER BY c) FILTER (len(w) > 5) AS b1 FROM tw GROUP BY ALL),
+ en AS (SELECT book, label, string_agg({snippet} t, chr(10) ORDER BY c) FILTER (q = 'a' AND t <> '') AS a, string_agg({snippet} t, chr(10) ORDER BY c) FILTER (q = 'b' AND t <> '') AS b,
+  string_agg({snippet} t4, chr(10) ORDER BY c) FILTER (q = 'a' AND t4 <> '') AS a4, string_agg({snippet} t4, chr(10) ORDER BY c) FILTER (q = 'b' AND t4 <> '') AS b4 FROM rc GROUP BY ALL),
+ ar AS (SELECT tw.book, tw.label, string_agg('<snippet ' || tw.c || '>' || chr(10) || coalesce(x.t, '') || chr(10), '' ORDER BY tw.c) AS a, string_agg('<snippet ' || tw.c || '>' || chr(10) || coalesce(y.t, '') || chr(10), '' ORDER BY tw.c) AS b
+  FROM tw LEFT JOIN rc x ON x.q = 'a' AND x.book = tw.book AND x.label = tw.label AND x.c = tw.c LEFT JOIN rc y ON y.q = 'b' AND y.book = tw.book AND y.label = tw.label AND y.c = tw.c GROUP BY ALL),
+ le AS (SELECT book, label, c, list(x ORDER BY i // 3, i % 3) AS l FROM (SELECT book, label, c, unnest(w[1:9]) AS x, unnest(range(least(len(w), 9))) AS i FROM tw) GROUP BY ALL),
+ lt AS (SELECT book, label, string_agg('Chapter ' || (c + 1) || ':' || chr(10) || array_to_string(list_transform(l, lambda x: '- ' || x), chr(10)), {nl2} ORDER BY c) AS f, string_agg('Chapter ' || (c + 1) || ':' || chr(10) || array_to_string(list_transform(l[1:2], lambda x: '- ' || x), chr(10)), {nl2} ORDER BY c) AS c2 FROM le GROUP BY ALL),
+ sh AS (SELECT *, '## Physicality And Personality' || chr(10) || array_to_string(w[1:5], ' ') AS ph, '## Physicality And Personality' || chr(10) || array_to_string(w[1:5], ' ') || chr(10) || '## Relationships' || chr(10) || array_to_string(w[6:10], ' ') AS v2,
+  '## Physicality And Personality' || chr(10) || array_to_string(w[3:6], ' ') || chr(10) || '## Relationships' || chr(10) || array_to_string(w[7:26], ' ') AS s2, array_to_string(f[1:12], ' ') AS su FROM k),
+ al AS (SELECT 'v2' AS condition, book, n, label, v2 AS t FROM sh UNION ALL SELECT 'v2_norel', book, n, label, ph FROM sh UNION ALL SELECT 'v2_sec_physical', book, n, label, ph FROM sh
+  UNION ALL SELECT 'second_nest', book, n, label, regexp_replace(s2, '(^|\n)(#+) ', '\1#\2 ', 'g') FROM sh
+  UNION ALL SELECT 'combo_short', book, n, label, '#### Sheet' || chr(10) || v2 || {nl2} || '#### Second sheet' || chr(10) || s2 || {nl2} || '#### Summary' || chr(10) || su FROM sh WHERE su <> ''
+  UNION ALL SELECT 'chapnotes', book, n, label, {under('First', 'a', 'a1')} || {nl2} || {under('Second', 'b', 'b1')} FROM qa JOIN k USING (book, label)
+  UNION ALL SELECT 'renote', book, n, label, {under('First', 'a', 'a')} || {nl2} || {under('Second', 'b', 'b')} FROM qa JOIN k USING (book, label)
+  UNION ALL SELECT 'renote_ent', book, n, label, {under('First', 'a', 'a')} || {nl2} || {under('Second', 'b', 'b')} FROM en JOIN k USING (book, label) JOIN ok USING (book, label)
+  UNION ALL SELECT 'renote_ent4', book, n, label, {under('First', 'a', 'a4')} || {nl2} || {under('Second', 'b', 'b4')} FROM en JOIN k USING (book, label) JOIN ok USING (book, label)
+  UNION ALL SELECT 'renote_x', book, n, label, trim('## First' || {nl2} || {ask('a')} a || '{rule}' || chr(10) || '## Second' || {nl2} || {ask('b')} b, chr(10) || ' ') FROM ar JOIN k USING (book, label) JOIN ok USING (book, label)
+  UNION ALL SELECT 'renote_x_sec1', book, n, label, trim('## Second' || {nl2} || {ask('b')} b, chr(10) || ' ') FROM ar JOIN k USING (book, label) JOIN ok USING (book, label)
+  UNION ALL SELECT 'ledger_full', book, n, label, f FROM (SELECT book, label, f FROM lt) JOIN (SELECT book, label, n FROM k) USING (book, label) UNION ALL SELECT 'ledger_c2', book, n, label, c2 FROM lt JOIN k USING (book, label)
+  UNION ALL SELECT 'sheet_csum_fd_flat', book, n, label, coalesce((SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(w[1:8]) AS x, unnest(range(least(len(w), 8))) AS i) WHERE 4 + length(x) % 2 = 5 GROUP BY x)), '') FROM k WHERE len(w) > 0
+  UNION ALL SELECT 'v2+last1', book, n, label, rtrim(v2, ' ' || chr(10)) || {nl2} || '### Latest chapters' || chr(10) || 'Chapter ' || n || ': ' || CASE WHEN len(w) = 0 THEN 'Not in this chapter.' ELSE array_to_string(w[1:10], ' ') END FROM sh)
+SELECT condition, book, n::BIGINT AS boundary, label, md5(t) AS text, len(regexp_extract_all(t, '[^ \t\n\r\f]+'))::BIGINT AS words FROM al"""
