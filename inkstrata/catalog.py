@@ -23,9 +23,11 @@ from .operators import stats as st
 from .plans import catalogue as cg
 from .plans import conditions as cd
 from .plans import generate as gn
+from .plans import ledger as lg
 from .plans import likelihood as lh
 from .plans import model as ml
 from .sources import adapters as ad
+from .sources import files as fl
 from .streaming import jobs as sj
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -831,3 +833,21 @@ def representations(spark, sf):
     """Section 2.14: families of the catalogue at each label's last boundary, as one plan."""
     keys, sources = ad.representations(spark, sf)
     return cg.build(keys, sources, REPRESENTED).select("condition", "book", "boundary", "label", F.md5(F.col("text").cast("binary")).alias("text"), "words")
+
+
+@query(f"""WITH {ad.TURNS}, w AS (SELECT book, chapter_index, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f]+') AS w FROM tu), c AS (SELECT book, chapter_index, i, array_to_string(w[5 * i + 1:5 * i + 5], ' ') AS claim FROM (SELECT *, unnest(range((len(w) + 4) // 5)) AS i FROM w)),
+b AS (SELECT *, i // 8 AS k, length(claim) AS n, count(*) OVER g AS s, bool_or(length(claim) % 7 = 0) OVER g AS odd FROM c WINDOW g AS (PARTITION BY book, chapter_index, i // 8)),
+v AS (SELECT *, s > 1 AND odd AS split, (s = 1 OR odd) AND n % 35 = 0 AS lost, n % 15 = 0 AS lying FROM b), r AS (SELECT book, chapter_index, k, bool_or(split) AS split, CASE WHEN bool_or(split) OR max(s) = 1 THEN count(*) FILTER (lying AND NOT lost) ELSE max(CASE WHEN lying THEN 1 ELSE 0 END) END AS repaired FROM v GROUP BY ALL),
+q AS (SELECT book, chapter_index, count(*) FILTER (split) AS batches_split, sum(repaired)::BIGINT AS repaired FROM r GROUP BY ALL)
+SELECT book, chapter_index::BIGINT AS chapter_index, count(*) AS candidates, count(*) FILTER (NOT lost AND n % 3 <> 0) AS kept, count(*) FILTER (lost OR n % 3 = 0) AS removed, count(*) FILTER (lost) AS removed_unverified, any_value(batches_split) AS batches_split, any_value(repaired) AS repaired,
+md5(coalesce(string_agg(claim, chr(10) ORDER BY i) FILTER (NOT lost AND n % 3 <> 0), '')) AS digest FROM v JOIN q USING (book, chapter_index) GROUP BY book, chapter_index""")
+def verified_ledger(spark, sf):
+    """Claims judged in batches, then one by one, then removed, in written rounds."""
+    tu = ad.turns(spark, sf).withColumn("chapter_index", F.col("chapter_index").cast("int"))
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\f]+"), lambda x: x != "")
+    fives = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") + 4) / 5).cast("int") - 1), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", 5 * i + 1, 5), " ").alias("claim")))
+    candidates = tu.withColumn("w", w).where(F.size("w") > 0).select("book", "chapter_index", "label", F.lit(lg.SECTIONS[0]).alias("section"), F.explode(fives).alias("x")).select("book", "chapter_index", "label", "section", "x.*")
+    claims, counts = lg.verify(candidates, tu, fl.scratch(spark), lg.critic)
+    kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("verdict") == "keep", F.struct("pos", "claim")))), lambda x: x["claim"])
+    digest = claims.groupBy("book", "chapter_index").agg(F.md5(F.array_join(kept, "\n").cast("binary")).alias("digest"))
+    return counts.join(digest, ["book", "chapter_index"]).select("book", "chapter_index", "candidates", "kept", "removed", "removed_unverified", "batches_split", "repaired", "digest")

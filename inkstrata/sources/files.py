@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,3 +133,14 @@ def report(tables: dict[str, DataFrame], path: str, title: str = "Report") -> No
         data = json.dumps(rows, default=str, ensure_ascii=False).replace("<", "\\u003c")
         parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table><script type=application/json id=\"{html.escape(name)}\">{data}</script>")
     Path(path).write_text("\n".join(parts))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for what a job writes on its way: under the folder that spark.checkpoint.dir names, which all executors share. Only a session in one
+    process may leave that unset."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="inkstrata-")
+    return f"{root}/{uuid.uuid4().hex}"
