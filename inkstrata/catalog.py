@@ -698,7 +698,7 @@ g AS (SELECT job, max(CASE WHEN kind = 'click' THEN 1 ELSE 0 END) AS ready, arg_
 def stale_jobs(spark, sf):
     """ST3, S12: jobs with work that have been silent for ten minutes."""
     e = ad.table(spark, sf, "events")
-    now = e.agg(F.max("ts")).first()[0]
+    now = e.agg(F.max("ts")).scalar()
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "view", "load").otherwise(F.col("event_type"))
     lines = e.select(F.col("user_id").alias("job"), "ts", kind.alias("kind"), F.floor("value").cast("long").alias("running"), F.lit(0).alias("waiting"))
     return sj.stale(lines, now).select("job", "work")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,14 +22,14 @@ def append_new(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
 
 
 def rolling(stream: DataFrame, key: str, order: str, value: str, step) -> DataFrame:
-    """(key, n, state): per-key state = step(state, value) over a stream's rows, in order within each batch."""
+    """(key, n, state): per-key state = step(state, value) over a stream's rows, in order within each batch; `in_order` orders across batches."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def update(k, pdfs, state):
         text, n = state.get if state.exists else ("", 0)
-        for pdf in pdfs:
-            for v in pdf.sort_values(order)[value].tolist():
-                text, n = step(text, v), n + 1
+        # A key's rows come in several pieces, each in any order.
+        for v in pd.concat(list(pdfs)).sort_values(order, kind="stable")[value].tolist():
+            text, n = step(text, v), n + 1
         state.update((text, n))
         yield pd.DataFrame({key: [k[0]], "n": [n], "state": [text]})
 
@@ -40,13 +40,14 @@ def rolling(stream: DataFrame, key: str, order: str, value: str, step) -> DataFr
 def stale(lines: DataFrame, now, job: str = "job", at: str = "ts", minutes: int = 10) -> DataFrame:
     """Jobs that are ready and had work at their last throughput line, but have been silent for `minutes`.
 
-    lines(job, ts, kind in 'start' | 'ready' | 'load' | other, running, waiting); lines before the latest start don't count.
+    lines(job, ts, kind in 'start' | 'ready' | 'load' | other, running, waiting); lines before the latest start don't count. `now` is a time or a
+    Column, such as a scalar subquery.
     """
     start = F.max(F.when(F.col("kind") == "start", F.col(at))).over(Window.partitionBy(job))
     live = lines.withColumn("_start", start).where(F.col("_start").isNull() | (F.col(at) >= F.col("_start")))
     load = F.when(F.col("kind") == "load", F.struct(at, (F.col("running") + F.col("waiting")).alias("work")))
     got = live.groupBy(job).agg(F.max((F.col("kind") == "ready").cast("int")).alias("ready"), F.max(load).alias("load"), F.max(at).alias("last"))
-    idle = F.col("last") < F.lit(now) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    idle = F.col("last") < (now if isinstance(now, Column) else F.lit(now)) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
     return got.where((F.col("ready") == 1) & (F.col("load.work") > 0) & idle).select(job, "last", F.col("load.work").alias("work"))
 
 
