@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import tables as tb
 from .functions import text as t
 from .functions import unicode as u
 from .operators import itemplan as ip
@@ -851,3 +852,12 @@ def verified_ledger(spark, sf):
     kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("verdict") == "keep", F.struct("pos", "claim")))), lambda x: x["claim"])
     digest = claims.groupBy("book", "chapter_index").agg(F.md5(F.array_join(kept, "\n").cast("binary")).alias("digest"))
     return counts.join(digest, ["book", "chapter_index"]).select("book", "chapter_index", "candidates", "kept", "removed", "removed_unverified", "batches_split", "repaired", "digest")
+
+@query(f"""WITH {ad.TURNS}, h AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY chapter_index, label) - 1 AS n FROM tu)
+SELECT book, n AS head_no, '## ' || label AS head, NULL::BIGINT AS chapter, NULL AS digest FROM h UNION ALL SELECT book, n, '## ' || label, chapter_index::BIGINT, md5(coalesce(text, '') || chr(10)) FROM h""")
+def archive_rows(spark, sf):
+    """Conversations written as archives and read back by a table function in SQL."""
+    tb.register(spark)
+    part = F.concat(F.lit("## "), "label", F.lit("\n<snippet "), F.col("chapter_index").cast("string"), F.lit(">\n"), F.coalesce("text", F.lit("")))
+    archives = rp.ordered_text(ad.turns(spark, sf).withColumn("text", part), ["book"], ["chapter_index", "label"], "text", "\n")
+    return spark.sql("SELECT a.book, b.head_no, b.head, b.chapter, md5(CAST(b.text AS BINARY)) AS digest FROM {archives} a, LATERAL archive_blocks(a.text) b", archives=archives)
