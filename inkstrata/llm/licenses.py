@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, written
 
 # Public license notices, by name.
 TEMPLATES = {
@@ -162,7 +162,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     near = docs.select(F.col("doc_id"), F.xxhash64(text).alias("body"), F.lower(text).alias(low)).where(held)
     split = F.array_remove(F.split(F.col(low), "[^a-z0-9]+"), "")
     near = near.select("doc_id", "body", split.alias("words")).where(F.size("words") >= WORDS).dropDuplicates(["doc_id", "body"])
-    near = near.withColumn("s", shingle_hashes(F.col("words")))
+    # Written once: each length of windows starts from these rows, not from the documents.
+    near = written(near.withColumn("s", shingle_hashes(F.col("words"))))
     out = None
     for size, names in by_size.items():
         step, span = size // 2, size - WORDS + 1
