@@ -21,6 +21,7 @@ from .operators import names as nm
 from .operators import reps as rp
 from .operators import scoring as sc
 from .operators import stats as st
+from .operators import traces as tr
 from .plans import catalogue as cg
 from .plans import conditions as cd
 from .plans import generate as gn
@@ -173,7 +174,7 @@ def agreed_subsets(spark, sf):
 
 @query(f"WITH {ad.JOINT} SELECT cond, round(avg(CASE WHEN b0 THEN hit END), 6) AS low, round(avg(CASE WHEN NOT b0 THEN hit END), 6) AS high FROM (SELECT *, book < 5 AS b0 FROM jh) GROUP BY cond")
 def grid_pivot(spark, sf):
-    """Conditions against book groups, as a pivot."""
+    """Conditions against book groups, as a pivot."""
     j = _joint(spark, sf).withColumn("g", F.when(F.col("book") < 5, "low").otherwise("high"))
     return j.groupBy("cond").pivot("g", ["low", "high"]).agg(F.avg("hit"))
 
@@ -244,7 +245,7 @@ def skyline_antijoin(spark, sf):
 
 @query(f"WITH {ad.LIKELIHOODS} SELECT book, round(quantile_cont(CAST(tokens AS DOUBLE), 0.5), 6) AS median, round(avg(CASE WHEN cond = 'R' THEN nll END), 6) AS returned, round(avg(CASE WHEN cond <> 'R' THEN nll END), 6) AS other FROM lk GROUP BY book")
 def trace_medians(spark, sf):
-    """Interpolated medians and conditional means."""
+    """Interpolated medians and conditional means by book."""
     return ad.likelihoods(spark, sf).groupBy("book").agg(F.percentile(F.col("tokens").cast("double"), 0.5).alias("median"), F.avg(F.when(F.col("cond") == "R", F.col("nll"))).alias("returned"), F.avg(F.when(F.col("cond") != "R", F.col("nll"))).alias("other"))
 
 
@@ -359,13 +360,6 @@ def matched_cut(spark, sf):
     return rp.matched_cut(ch, ch.withColumn("chapter_index", F.col("chapter_index") - 1), ["book", "chapter_index"])
 
 
-@query(f"WITH {ad.TURNS}, m AS (SELECT book, max(CASE WHEN label = 'user' THEN text END) AS a, max(CASE WHEN label = 'assistant' THEN text END) AS b FROM (SELECT * FROM tu WHERE chapter_index <= 1) GROUP BY book) SELECT 'combo' AS condition, book, a || chr(10) || chr(10) || b AS text FROM m WHERE a IS NOT NULL AND b IS NOT NULL")
-def combo(spark, sf):
-    """The first exchange of each conversation only; combo_exchanges is U5 and J15 over all of them."""
-    reps = ad.turns(spark, sf).where("chapter_index <= 1").select(F.col("label").alias("condition"), "book", "text")
-    return rp.combine(reps, ["user", "assistant"], "combo", ["book"])
-
-
 @query(f"""WITH {ad.TURNS}, e AS (SELECT book, label, text, row_number() OVER (PARTITION BY book, label ORDER BY chapter_index, text) - 1 AS exchange FROM tu), m AS (SELECT book, exchange, max(CASE WHEN label = 'user' THEN text END) AS a, max(CASE WHEN label = 'assistant' THEN text END) AS b FROM e GROUP BY ALL)
 SELECT 'combo' AS condition, book, exchange, a || chr(10) || chr(10) || b AS text FROM m WHERE a IS NOT NULL AND b IS NOT NULL""")
 def combo_exchanges(spark, sf):
@@ -607,12 +601,14 @@ def memo_flag(spark, sf):
 
 @query(r"""WITH tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n), nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY doc_id), v AS (SELECT doc_id, term, w / z AS w FROM w JOIN nrm USING (doc_id))
-SELECT a.doc_id AS x, b.doc_id AS y, round(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b ON a.term = b.term AND b.doc_id = a.doc_id + 1 GROUP BY ALL""")
+SELECT a.doc_id AS x, b.doc_id AS y, round(sum(a.w * b.w), 6) AS cosine FROM (SELECT doc_id AS x, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS y FROM documents) JOIN v a ON a.doc_id = x JOIN v b ON b.doc_id = y AND a.term = b.term GROUP BY ALL""")
 def tfidf_cosine(spark, sf):
-    """Cosines of neighbouring documents' term weights."""
+    """Cosines of the term weights of each document and the next one of its source."""
     v = rp.tfidf(ad.table(spark, sf, "documents"), [], ["doc_id"], "text").select("doc_id", F.explode("v").alias("term", "w"))
     x, y = v.select(F.col("doc_id").alias("x"), "term", F.col("w").alias("a")), v.select(F.col("doc_id").alias("y"), "term", F.col("w").alias("b"))
-    near = x.join(y.withColumn("x", F.col("y") - 1), ["x", "term"])
+    after = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    pairs = ad.table(spark, sf, "documents").select(F.col("doc_id").alias("x"), after.alias("y")).where("y is not null")
+    near = x.join(pairs, "x").join(y, ["y", "term"])
     return near.groupBy("x", "y").agg(F.sum(F.col("a") * F.col("b")).alias("cosine"))
 
 
@@ -785,10 +781,16 @@ def log_fields(spark, sf):
 
 @query()
 def lexical_matcher(spark, sf):
-    """Masks matched to texts by the words around them; each three documents of a source in a row are an item."""
-    ch = ad.chapters(spark, sf).withColumn("item", F.concat_ws("-", "book", F.floor(F.col("chapter_index") / 3).cast("string"))).withColumn("target", (F.col("chapter_index") % 3).cast("int")).withColumn("text", F.coalesce("text", F.lit("")))
+    """Masks matched to texts by the words around them; each three documents of a source in a row are an item, and so are its last three where some
+    would be left over. A source of under three documents has no item."""
+    ch = ad.chapters(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
+    i, n = F.col("chapter_index"), F.col("n")
+    full = F.when(F.floor(i / 3) < F.floor(n / 3), F.struct(F.floor(i / 3).cast("string").alias("k"), (i % 3).cast("int").alias("target")))
+    left = F.when((n % 3 != 0) & (n >= 3) & (i >= n - 3), F.struct(F.lit("last").alias("k"), (i - n + 3).cast("int").alias("target")))
+    ch = ch.join(ch.groupBy("book").agg(F.count("*").alias("n")), "book").withColumn("_x", F.explode(F.filter(F.array(full, left), lambda x: x.isNotNull())))
+    ch = ch.withColumns({"item": F.concat_ws("-", "book", "_x.k"), "target": F.col("_x.target")})
     masked = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "text"))), lambda x: F.concat(F.lit("[CHAR "), x["target"].cast("string"), F.lit("] "), x["text"])), " " + "x " * 40)
-    items = ch.groupBy("item").agg(masked.alias("masked"), F.array_sort(F.collect_list(F.struct("target", F.col("doc_id").cast("string").alias("label")))).alias("l")).where(F.size("l") == 3)
+    items = ch.groupBy("item").agg(masked.alias("masked"), F.array_sort(F.collect_list(F.struct("target", F.col("doc_id").cast("string").alias("label")))).alias("l"))
     items = items.select("item", "masked", F.col("l.label").alias("labels"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("answer"))
     return lx.match_masks(items, ch.select("item", F.col("doc_id").cast("string").alias("label"), "text"), near=8)
 
@@ -861,3 +863,46 @@ def archive_rows(spark, sf):
     part = F.concat(F.lit("## "), "label", F.lit("\n<snippet "), F.col("chapter_index").cast("string"), F.lit(">\n"), F.coalesce("text", F.lit("")))
     archives = rp.ordered_text(ad.turns(spark, sf).withColumn("text", part), ["book"], ["chapter_index", "label"], "text", "\n")
     return spark.sql("SELECT a.book, b.head_no, b.head, b.chapter, md5(CAST(b.text AS BINARY)) AS digest FROM {archives} a, LATERAL archive_blocks(a.text) b", archives=archives)
+
+@query(f"""WITH {ad.HITS}, u AS (SELECT item, target, avg(hit) AS m FROM hits GROUP BY ALL), k AS (SELECT DISTINCT item, target, CASE WHEN (item + target * target) % 4 < 2 THEN 'M' ELSE 'F' END AS gender FROM hits),
+c AS (SELECT *, count(*) OVER (PARTITION BY item, gender) AS s, count(*) OVER (PARTITION BY item) AS n FROM k) SELECT CASE WHEN s = n THEN 'all same' WHEN s = 1 THEN 'unique' ELSE 'shared' END AS "group", round(avg(m), 6) AS accuracy, count(*) AS n FROM c JOIN u USING (item, target) GROUP BY 1""")
+def gender_accuracy(spark, sf):
+    """The mean over targets of their mean hit, by whether their gender tells them from the item's others."""
+    rows = _argmax(spark, sf).select("item", "target", "hit")
+    units = rows.select("item", F.col("item").alias("book"), F.col("target").alias("label")).distinct()
+    known = units.select("book", "label", F.when((F.col("book") + F.col("label") * F.col("label")) % 4 < 2, "M").otherwise("F").alias("gender"))
+    groups = nm.gender_groups(units, known).select("item", F.col("label").alias("target"), "group")
+    return sc.mean_of_means(rows, groups, ["item", "target"], ["group"])
+
+
+def _grams(text: str) -> str:
+    words = f"regexp_extract_all(lower({text}), '[a-z'']+')"
+    return f"CASE WHEN len({words}) < 4 THEN [] ELSE list_distinct(list_transform(range(1, len({words}) - 2), lambda i: array_to_string({words}[i:i+3], ' '))) END"
+
+
+@query(f"""WITH {ad.TURNS}, tx AS (SELECT book AS item, label, chapter_index AS c, chapter_index % 3 AS cond, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '\\S+') AS w FROM tu), pa AS (SELECT item, {_grams("t")} AS p FROM (SELECT item, string_agg(array_to_string(w[1:10], ' '), ' ' ORDER BY c, label) AS t FROM tx GROUP BY item)),
+kn AS (SELECT cond, item, list_distinct(flatten(list({_grams("array_to_string(w[1:3 * (c % 7)::INT + 9], ' ')")}))) AS k FROM tx GROUP BY ALL), g AS (SELECT tx.*, {_grams("t")} AS g FROM tx WHERE c >= 1),
+s AS (SELECT g.cond, length(t) % 2 AS correct, len(w) AS n, len(list_intersect(g, k)) / len(g) AS ns, len(list_intersect(g, p)) / len(g) AS ps FROM g JOIN kn USING (cond, item) JOIN pa USING (item) WHERE len(g) > 0), m AS (SELECT cond, quantile_cont(ns, 0.5) AS mn FROM s GROUP BY cond)
+SELECT cond, count(*) AS traces, round(avg(correct), 6) AS accuracy, round(quantile_cont(CAST(n AS DOUBLE), 0.5), 6) AS median_words, round(any_value(mn), 6) AS median_notes, round(quantile_cont(ps, 0.5), 6) AS median_passage, round(avg(correct) FILTER (ns >= mn), 6) AS accuracy_above, round(avg(correct) FILTER (ns < mn), 6) AS accuracy_below FROM s JOIN m USING (cond) GROUP BY cond""")
+def trace_split(spark, sf):
+    """Traces met with their notes and passages; shares, medians, and accuracy on both sides of the median share."""
+    tu = ad.turns(spark, sf).select(F.col("book").alias("item"), "label", F.col("chapter_index").alias("c"), (F.col("chapter_index") % 3).alias("cond"), F.coalesce("text", F.lit("")).alias("text"))
+    head = lambda n: F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), F.lit(1), n), " ")
+    notes = tu.select("cond", "item", head((3 * (F.col("c") % 7) + 9).cast("int")).alias("text"))
+    passages = rp.ordered_text(tu.withColumn("text", head(F.lit(10))), ["item"], ["c", "label"], "text", " ").withColumnRenamed("text", "masked")
+    traces = tu.where("c >= 1").select("cond", "item", F.col("text").alias("trace"), (F.length("text") % 2).alias("correct"))
+    return tr.split(tr.shares(traces, notes, passages, ["cond"]))
+
+
+@query("""SELECT event_type, round(median(CAST(floor(value) AS DOUBLE)), 6) AS median, count(*) AS generations FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY event_type HAVING count(*) >= 50""")
+def effort_medians(spark, sf):
+    """The median of each unit's last value, of keys with 50 units."""
+    rows = ad.table(spark, sf, "events").withColumn("value", F.floor("value"))
+    return tr.effort(rows, ["event_type"], ["user_id"], ["ts", "event_id"], "value")
+
+
+@query(f"""WITH {ad.TURNS} SELECT book, count(*) AS n, min(chapter_index)::BIGINT AS first FROM (SELECT *, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY book ORDER BY chapter_index DESC ROWS UNBOUNDED PRECEDING) AS s FROM tu) WHERE s <= 600 GROUP BY book""")
+def oldest_out(spark, sf):
+    """The newest turns of a conversation within 600 characters."""
+    tu = ad.turns(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
+    return tr.oldest_out(tu, ["book"], ["chapter_index"], "text", 600).groupBy("book").agg(F.count("*").alias("n"), F.min("chapter_index").alias("first"))

@@ -108,3 +108,9 @@ def agreed(rows: DataFrame, conds: list) -> DataFrame:
     every = wide.select("answer", F.explode(parts).alias("x")).select("answer", "x.*").where("lp is not null")
     hits = every.withColumn("hit", (F.array_position("lp", F.array_max("lp")) - 1 == F.col("answer")).cast("int"))
     return accuracy(hits, ["subset"])
+
+
+def mean_of_means(rows: DataFrame, groups: DataFrame, unit: list[str], group: list[str], value: str = "hit") -> DataFrame:
+    """(group, accuracy, n): each unit's mean first, then the mean of the units of a group; groups(unit, group) leaves out units that it doesn't hold."""
+    units = rows.groupBy(*unit).agg(F.avg(value).alias("_m"))
+    return units.join(groups, unit).groupBy(*group).agg(F.avg("_m").alias("accuracy"), F.count("*").alias("n"))

@@ -28,7 +28,7 @@ def documents(texts):
 def test_every_triple_of_a_source_is_matched(spark, tables):
     texts = [("a", " ".join(f"word{i}x{k}" for k in range(3 + i))) for i in range(32)] + [("b", ""), ("b", "one two"), ("b", "red blue")]
     got = catalog.QUERIES["lexical_matcher"](spark, tables(documents=documents(texts))).collect()
-    assert sorted((r.item, r.target) for r in got) == sorted([(f"a-{i}", t) for i in range(10) for t in range(3)] + [("b-0", t) for t in range(3)])
+    assert sorted((r.item, r.target) for r in got) == sorted([(f"a-{i}", t) for i in [*range(10), "last"] for t in range(3)] + [("b-0", t) for t in range(3)])
     assert all(r.hit == 1 for r in got)
 
 
@@ -79,7 +79,7 @@ def test_similar_pairs_equal_the_loop(spark):
     pool = [f"t{min(rng.randrange(60), rng.randrange(60))}" for _ in range(300)]
     docs = [(k, i, " ".join(rng.choice(pool) for _ in range(rng.randint(3, 25)))) for k in "xy" for i in range(0, 180, 3)]
     docs += [(k, i + 1, t + " t0 t1" * (i % 3)) for k, i, t in docs[::4]]
-    v = reps.tfidf(spark.createDataFrame(docs, "k string, i int, text string"), ["k"], ["i"], "text").localCheckpoint()
+    v = reps.tfidf(spark.createDataFrame(docs, "k string, i int, text string"), ["k"], ["i"], "text").cache()
     vec = {(r.k, r.i): r.v for r in v.collect()}
     for threshold in (0.3, 0.6, 0.9):
         got = {(r.k, r.x, r.y): r.cosine for r in reps.similar_pairs(v, ["k"], "i", "v", threshold).collect()}
