@@ -4,8 +4,8 @@ Examples have `book`, `chapter_index`, `chunk_index`, `text`, `header`. Alias ro
 protected), `label` and `label_no` (null for the other kinds) and `alias`. Chapters have `book`, `chapter_index`, `text`; a chapter may have several rows.
 
 All names of a book are one automaton (functions.matcher). It reads each unit once; counts, rules and masks are expressions over what it
-found, and only units that are still in the running are read again, masked. A book's names are one row that is joined to its units:
-Spark broadcasts these rows when they are small and joins by book when they aren't.
+found, and only units that are still in the running are read again, masked. A book's names are one row, written before its units meet
+it: Spark broadcasts these rows where their size allows it and joins by book where it doesn't.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import matcher
 from ..functions.text import SENTENCE_END, item_id, strip, strip_heading
 from ..functions.unicode import clean_text, nfc, shuffled_ids
+from ..sources.files import kept
 from .items import MIN_PRIOR, tightest_spans, windows
 
 # Capitalised words of aliases that identify nobody; how units of the other two modes are cut.
@@ -139,8 +140,8 @@ def plan(examples: DataFrame, aliases: DataFrame, chapters: DataFrame, mode: str
     ambiguous: an ambiguous name is in the masked text; leftover: a name word is in the masked text, in any capitals but all lower case (`left`).
     `ids` gives map<label, id> from item_id and labels; by default ids are shuffled by a generator seeded with '<seed>:<item_id>'. Books without alias rows have no units.
     """
-    known = books(aliases)
-    rows = units(examples, known, mode).join(eligible_since(chapters, known), "book", "left")
+    known = kept(books(aliases))
+    rows = units(examples, known, mode).join(kept(eligible_since(chapters, known)), "book", "left")
     name = item_id(F.col("book"), F.col("chapter_index"), F.col("unit"))
     rows = rows.withColumns({"item_id": F.concat(name, F.lit("__two")) if two else name, "hits": matcher.find(F.col("text"), F.col("key"), F.col("forms"))})
     every = F.transform("labels", lambda _, i: i)

@@ -85,3 +85,14 @@ def test_similar_pairs_equal_the_loop(spark):
         got = {(r.k, r.x, r.y): r.cosine for r in reps.similar_pairs(v, ["k"], "i", "v", threshold).collect()}
         want = {(k, i, j): s for k, i in vec for kk, j in vec if k == kk and i < j and (s := sum(w * vec[k, j].get(t, 0) for t, w in vec[k, i].items())) >= threshold}
         assert len(want) > 10 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_chapters_are_numbered_across_blocks(spark, tables, monkeypatch):
+    from inkstrata.sources import adapters
+
+    monkeypatch.setattr(adapters, "BLOCK", 7)
+    rng = random.Random(5)
+    rows = [(i, f"t {i}", "en", rng.choice("aaab")) for i in rng.sample(range(-20, 400), 150)]
+    sf = tables(documents=(rows, "doc_id long, text string, lang string, source string"))
+    got = {(r.book, r.doc_id): r.chapter_index for r in adapters.chapters(spark, sf).collect()}
+    assert got == {(s, d): k for s in "ab" for k, d in enumerate(sorted(r[0] for r in rows if r[3] == s))}
