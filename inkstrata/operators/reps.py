@@ -139,18 +139,11 @@ def combine(reps: DataFrame, conds: list[str], name: str, keys: list[str]) -> Da
 def greedy_distinct(rows: DataFrame, keys: list[str], order: str, vector: str, threshold: float = 0.9) -> DataFrame:
     """Rows of each key that no kept earlier row resembles, in order; vector is a map<term, weight> of length 1.
 
-    Similar pairs come from a join on terms; the fold over a key's rows then asks for kept earlier ones only, so a dropped row
+    Similar pairs come from `similar_pairs`; the fold over a key's rows then asks for kept earlier ones only, so a dropped row
     drops no other. A key is one label's statements in one category.
     """
     kind = dict(rows.dtypes)[order]
-    terms = rows.select(*keys, order, F.explode(vector).alias("term", "w"))
-    left, right = terms.withColumnsRenamed({order: "x", "w": "wx"}), terms.withColumnsRenamed({order: "y", "w": "wy"})
-    # What is left of a vector after its heaviest terms is shorter than the threshold, so a similar pair shares one of these.
-    before = F.coalesce(F.sum(F.col("wx") * F.col("wx")).over(Window.partitionBy(*keys, "x").orderBy(F.desc("wx"), "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    heavy = left.withColumn("_before", before).where(1 - F.col("_before") >= threshold * threshold - 1e-9).select(*keys, "x", "term")
-    pairs = heavy.join(right.select(*keys, "y", "term"), [*keys, "term"]).where("x > y").select(*keys, "x", "y").distinct()
-    sims = pairs.join(left, [*keys, "x"]).join(right, [*keys, "y", "term"]).groupBy(*keys, "x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("s")).where(F.col("s") >= threshold)
-    near = sims.groupBy(*keys, F.col("x").alias(order)).agg(F.collect_list("y").alias("_near"))
+    near = similar_pairs(rows, keys, order, vector, threshold).groupBy(*keys, F.col("y").alias(order)).agg(F.collect_list("x").alias("_near"))
     empty = F.array().cast(f"array<{kind}>")
     lists = rows.select(*keys, order).join(near, [*keys, order], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("_near", empty).alias("n")))).alias("r"))
     kept = F.aggregate("r", empty, lambda acc, x: F.when(F.arrays_overlap(acc, x["n"]), acc).otherwise(F.concat(acc, F.array(x["o"]))))
