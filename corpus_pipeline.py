@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage
 works on all rows that its predecessor kept, and a stage that rejects documents leaves them out.
+
+Every stage takes empty tables, null ids and texts, empty and very long texts, and further columns, whatever their names. A null text counts as an empty one; rows
+without id are never near duplicates. Repeated rows are judged alike, so they stay or go together.
 """
 
 from __future__ import annotations

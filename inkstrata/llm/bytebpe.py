@@ -30,7 +30,7 @@ NONE = np.int32(2**31 - 1)
 #: Cells of a matrix, characters that are matched at once, and the bytes from which a match is cut into independent parts.
 CELLS, SLICE, LONG = 1 << 20, 1 << 20, 64
 #: Words that are met together, and words that a worker keeps with their ids.
-GROUP, MEMO = 1 << 18, 1 << 18
+GROUP, MEMO = 1 << 19, 1 << 18
 
 
 class Ranks:
@@ -255,17 +255,18 @@ class Memo:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of words."""
-        new = dict.fromkeys(words)
-        if self.index:
-            new = [w for w in new if w not in self.index]
-            if len(self.index) + len(new) > MEMO:
-                self.clear()
-                new = dict.fromkeys(words)
+        # Arrow tells the distinct words, so that Python's dictionary is asked once for each.
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.index]
+        if len(self.index) + len(new) > MEMO:
+            self.clear()
+            new = distinct
         if new:
             ids, counts = encode_words(self.v, [w.encode() for w in new])
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        which = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
         first, times = np.cumsum(self.counts) - self.counts, self.counts[which]
         return self.ids[np.repeat(first[which], times) + ranges(times)], times
 
@@ -320,7 +321,7 @@ def encoder(path: str | None = None, pattern: str | None = None):
         lengths = np.asarray(pa.compute.binary_length(text).fill_null(0)).astype(np.int64)
         ends = np.cumsum(lengths)
         while i < len(text):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] - lengths[i] + CHUNK_BYTES, side="right")))
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - lengths[i] + 2 * CHUNK_BYTES, side="right")))
             ids, sizes[i:j] = encode_texts(v, cutter, [t or "" for t in text[i:j].to_pylist()])
             parts.append(ids)
             i = j
