@@ -514,7 +514,10 @@ def sentence_split(spark, sf):
     return ad.table(spark, sf, "documents").select("doc_id", F.size(t.sentences(F.col("text"))).alias("sentences"), F.try_element_at(t.sentences(F.col("text")), F.lit(1)).alias("first"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {ad.CHAPTERS}, w AS MATERIALIZED (SELECT *, len(regexp_extract_all(s, '\S+')) AS n FROM (SELECT book, chapter_index, unnest(s) AS s, unnest(range(len(s))) AS i FROM (SELECT book, chapter_index, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?…])["”’)\]]*\s+(["“‘(\[]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM ch))),
+f AS (SELECT book, chapter_index, i, s, n, 0 AS k, n AS c FROM w WHERE i = 0 UNION ALL SELECT w.book, w.chapter_index, w.i, w.s, w.n, CASE WHEN c >= 300 THEN k + 1 ELSE k END, CASE WHEN c >= 300 THEN w.n ELSE c + w.n END FROM f JOIN w ON w.book = f.book AND w.chapter_index = f.chapter_index AND w.i = f.i + 1),
+z AS (SELECT book, chapter_index, k, CASE WHEN k > 0 AND sum(n) < 100 AND k = max(k) OVER (PARTITION BY book, chapter_index) THEN k - 1 ELSE k END AS idx FROM f GROUP BY book, chapter_index, k)
+SELECT printf('%s__c%03d__s%03d', book, chapter_index, idx) AS snippet_id, book, chapter_index, idx::BIGINT AS idx, sum(n)::BIGINT AS words, string_agg(s, ' ' ORDER BY i) AS text FROM f JOIN z USING (book, chapter_index, k) GROUP BY book, chapter_index, idx""")
 def snippets(spark, sf):
     """Texts packed into chunks of about 300 words."""
     ch = ad.chapters(spark, sf).select("book", "chapter_index", F.posexplode(t.snippets(F.col("text"))).alias("idx", "text"))
@@ -654,7 +657,7 @@ def masked_items(spark, sf):
     """Labels masked under ids shuffled per item."""
     units = _units(spark, sf).withColumn("item_id", t.item_id(F.col("book"), F.col("chapter_index"), F.lit("k00")))
     names = ad.aliases(spark, sf).groupBy("book", "label").agg(F.array_sort(F.collect_set("alias")).alias("a")).groupBy("book").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "a")))).alias("aliases"))
-    rows = units.join(F.broadcast(names), "book").withColumn("ids", u.shuffled_ids(F.col("item_id"), F.map_keys("aliases")))
+    rows = units.join(names, "book").withColumn("ids", u.shuffled_ids(F.col("item_id"), F.map_keys("aliases")))
     got = rows.select("item_id", "ids", u.mask(F.col("text"), F.col("aliases"), F.col("ids")).alias("m"))
     return got.select("item_id", F.md5(F.col("m.text").cast("binary")).alias("digest"), F.aggregate(F.map_values("m.mentions"), F.lit(0), lambda a, x: a + x).alias("mentions"))
 

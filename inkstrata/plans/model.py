@@ -1,7 +1,8 @@
 """Model calls as a batch operator: a pluggable client, validation in the loop, errors as rows, and sequential chains.
 
 A client is a function of (messages, temperature, max_tokens) to a dict with `text`, `logprobs` (token to log-probability),
-`prompt_tokens`, `completion_tokens` and `finish_reason`. `stub` is deterministic and needs no network.
+`prompt_tokens`, `completion_tokens` and `finish_reason`. `stub` is deterministic and needs no network. A conversation that ends with an
+assistant's message asks for its continuation; one message of the role RAW is a bare text to go on with.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ ATTEMPTS = 3
 RETRY_HEAT = 0.6
 #: Characters of a reply, and of its fault, that the model is shown again.
 SHOWN, SHOWN_FAULT = 16_000, 600
+RAW = "raw"
+# What a reply is begun with, how a bare prompt ends; the tokens for reasoning at most and at least, those that are spared, and the
+# characters of a prompt under which all of them fit.
+ANSWER, BARE = "[CHAR ", "\n\nAnswer: [CHAR "
+REASONING, LEAST_REASONING, SPARED, SURE_CHARS = 32_768, 256, 64, 60_000
+# End of fixed values.
 
 
 def stub(messages: list[dict], temperature: float = 0.0, max_tokens: int = 0) -> dict:
@@ -40,11 +47,19 @@ def http(base: str, model: str, tries: int = 6, timeout: float = 3600, wait: Cal
     def call(messages: list[dict], temperature: float, max_tokens: int) -> dict:
         from urllib import request
 
-        body = json.dumps({"model": model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens, "logprobs": True, "top_logprobs": 20}).encode()
+        raw = messages[0]["role"] == RAW
+        asked: dict = {"model": model, "temperature": temperature, "max_tokens": max_tokens}
+        if raw:
+            asked |= {"prompt": messages[0]["content"], "logprobs": 20}
+        else:
+            asked |= {"messages": messages, "logprobs": True, "top_logprobs": 20}
+            if messages[-1]["role"] == "assistant":
+                asked |= {"continue_final_message": True, "add_generation_prompt": False}
+        body = json.dumps(asked).encode()
         error: Exception | None = None
         for k in range(tries):
             try:
-                with request.urlopen(request.Request(f"{base}/chat/completions", body, {"Content-Type": "application/json"}), timeout=timeout) as got:
+                with request.urlopen(request.Request(f"{base}/{'completions' if raw else 'chat/completions'}", body, {"Content-Type": "application/json"}), timeout=timeout) as got:
                     reply = json.loads(got.read())
                 break
             except OSError as e:
@@ -53,6 +68,9 @@ def http(base: str, model: str, tries: int = 6, timeout: float = 3600, wait: Cal
         else:
             raise RuntimeError(f"no reply after {tries} tries: {error}")
         choice, usage = reply["choices"][0], reply.get("usage") or {}
+        if raw:
+            top = ((choice.get("logprobs") or {}).get("top_logprobs") or [{}])[0]
+            return {"text": (choice.get("text") or "").strip(), "logprobs": top, "prompt_tokens": usage.get("prompt_tokens") or 0, "completion_tokens": usage.get("completion_tokens") or 0, "finish_reason": choice.get("finish_reason")}
         first = ((choice.get("logprobs") or {}).get("content") or [{}])[0].get("top_logprobs") or []
         return {"text": (choice["message"].get("content") or "").strip(), "logprobs": {t["token"]: t["logprob"] for t in first}, "prompt_tokens": usage.get("prompt_tokens") or 0, "completion_tokens": usage.get("completion_tokens") or 0, "finish_reason": choice.get("finish_reason")}
 
@@ -133,18 +151,37 @@ def run(work: DataFrame, make: Callable[[], Client], call: Callable[[Client, dic
     return work.mapInPandas(each, schema)
 
 
-def score(prompts: DataFrame, make: Callable[[], Client] = lambda: stub, n: int = 3) -> DataFrame:
-    """Digit scoring of prompts: prompts with ok struct<logprobs, top_token, prompt_tokens> and error."""
+def scored_as(prompt: str, mode: str = "chat") -> list[dict]:
+    """The messages that ask for an id's digit: chat asks for a reply, prefix for what follows ANSWER in the reply, base for what follows a bare text."""
+    if mode == "base":
+        return [{"role": RAW, "content": prompt + BARE}]
+    if mode not in ("chat", "prefix"):
+        raise ValueError(f"no mode {mode}")
+    return [{"role": "user", "content": prompt}, *([{"role": "assistant", "content": ANSWER}] if mode == "prefix" else [])]
+
+
+def score(prompts: DataFrame, make: Callable[[], Client] = lambda: stub, n: int = 3, mode: str = "chat") -> DataFrame:
+    """Digit scoring of prompts: prompts with ok struct<logprobs, top_token, prompt_tokens> and error; modes are those of `scored_as`."""
+    scored_as("", mode)  # an unknown mode fails here, not in a task
 
     def call(client: Client, row: dict) -> dict:
-        got = client([{"role": "user", "content": row["prompt"]}], 0.0, 1)
+        got = client(scored_as(row["prompt"], mode), 0.0, 1)
         top = max(got["logprobs"], key=got["logprobs"].get) if got["logprobs"] else ""
         return {"logprobs": digit_logprobs(got["logprobs"], n), "top_token": top, "prompt_tokens": got["prompt_tokens"]}
 
     return run(prompts, make, call, "logprobs map<string, double>, top_token string, prompt_tokens int")
 
 
-def reasoned(prompts: DataFrame, make: Callable[[], Client] = lambda: stub, n: int = 3) -> DataFrame:
+def reasoning_budget(messages: list[dict], count: Callable[[list[dict]], tuple[int, int]] | None = None) -> int:
+    """Tokens for reasoning and reply: REASONING, or what the served context leaves after a long prompt. count gives a conversation's tokens and
+    the context's length; it is asked only for prompts of SURE_CHARS and more."""
+    if count is None or sum(len(m["content"]) for m in messages) < SURE_CHARS:
+        return REASONING
+    used, context = count(messages)
+    return max(LEAST_REASONING, min(REASONING, context - used - SPARED))
+
+
+def reasoned(prompts: DataFrame, make: Callable[[], Client] = lambda: stub, n: int = 3, count: Callable[[list[dict]], tuple[int, int]] | None = None) -> DataFrame:
     """Reasoning scoring: the last JSON object of a reply maps labels to distinct ids; one retry, then the row is invalid.
 
     A valid reply gives the target's id log-probability 0 and the others -1e9.
@@ -152,7 +189,8 @@ def reasoned(prompts: DataFrame, make: Callable[[], Client] = lambda: stub, n: i
 
     def call(client: Client, row: dict) -> dict:
         for attempt in (1, 2):
-            got = client([{"role": "user", "content": row["prompt"]}], RETRY_HEAT if attempt > 1 else 0.0, 4096)
+            messages = [{"role": "user", "content": row["prompt"]}]
+            got = client(messages, RETRY_HEAT if attempt > 1 else 0.0, reasoning_budget(messages, count))
             objects = re.findall(r"\{[^{}]*\}", got["text"])
             try:
                 answer = json.loads(objects[-1]) if objects else {}

@@ -92,7 +92,7 @@ def _next(done: DataFrame, columns: list[str]) -> DataFrame:
 def progress(spark: SparkSession, path: str) -> int:
     """The number of rounds that are finished."""
     try:
-        return spark.read.schema("round int, pending long").parquet(f"{path}/progress").agg(F.coalesce(F.max("round") + 1, F.lit(0))).first()[0]
+        return spark.read.schema("round int").parquet(f"{path}/progress").agg(F.coalesce(F.max("round") + 1, F.lit(0))).first()[0]
     except AnalysisException:
         return 0
 
@@ -113,7 +113,7 @@ def run(requests: DataFrame, work: Work, path: str, make: Callable[[], model.Cli
         if k > 0 and pending.isEmpty():
             break
         _answers(pending, work, make, context, on or []).write.mode("overwrite").parquet(f"{path}/rounds/{k}")
-        spark.createDataFrame([(k, 0)], "round int, pending long").coalesce(1).write.mode("append").parquet(f"{path}/progress")
+        spark.createDataFrame([(k,)], "round int").coalesce(1).write.mode("append").parquet(f"{path}/progress")
         k, made = k + 1, made + 1
     rounds = [written(i).withColumn("round", F.lit(i)) for i in range(k)]
     out = rounds[0]
