@@ -468,8 +468,9 @@ def items_two(spark, sf):
 
 @query()
 def items_short(spark, sf):
-    """The tightest runs of sentences that name every label, masked."""
-    return _item_columns(ip.items(_item_plan(spark, sf, "short")))
+    """The tightest runs of sentences that name both of two labels, masked, or the rule that they fail."""
+    rows = ip.plan(ad.examples(spark, sf), ad.alias_files(spark, sf, 2), ad.examples(spark, sf), "short", ids=ip.hashed_ids)
+    return rows.select("item_id", "book", "chapter_index", F.array_join("labels", ",").alias("labels"), F.md5(F.col("masked").cast("binary")).alias("masked"), F.md5(F.col("original").cast("binary")).alias("original"), "reason")
 
 
 @query(f"""WITH {ad.item_plan()} SELECT book, count(*) AS units, {", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in ip.REASONS)}, count(*) FILTER (reason IS NULL) AS items FROM pl GROUP BY book""")
