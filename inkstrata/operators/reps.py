@@ -139,37 +139,20 @@ def combine(reps: DataFrame, conds: list[str], name: str, keys: list[str]) -> Da
 def greedy_distinct(rows: DataFrame, keys: list[str], order: str, vector: str, threshold: float = 0.9) -> DataFrame:
     """Rows of each key that no kept earlier row resembles, in order; vector is a map<term, weight> of length 1.
 
-    Similar pairs come from `similar_pairs`; the fold over a key's rows then asks for kept earlier ones only, so a dropped row
+    Similar pairs come from `similar.pairs`; the fold over a key's pairs then asks for kept earlier ones only, so a dropped row
     drops no other. A key is one label's statements in one category.
     """
-    kind = dict(rows.dtypes)[order]
-    near = similar_pairs(rows, keys, order, vector, threshold).groupBy(*keys, F.col("y").alias(order)).agg(F.collect_list("x").alias("_near"))
-    empty = F.array().cast(f"array<{kind}>")
-    lists = rows.select(*keys, order).join(near, [*keys, order], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("_near", empty).alias("n")))).alias("r"))
-    kept = F.aggregate("r", empty, lambda acc, x: F.when(F.arrays_overlap(acc, x["n"]), acc).otherwise(F.concat(acc, F.array(x["o"]))))
-    return rows.join(lists.select(*keys, F.explode(kept).alias(order)), [*keys, order], "left_semi")
+    from . import similar
+
+    near = similar.pairs(similar.map_vectors(rows, keys, order, vector, threshold), keys, order, threshold)
+    return rows.where(F.size(vector) > 0).join(similar.later_ones(near, keys, order), [*keys, order], "left_anti")
 
 
 def similar_pairs(rows: DataFrame, keys: list[str], order: str, vector: str, threshold: float = 0.9) -> DataFrame:
-    """(keys, x, y, cosine): all pairs x < y of a key with a cosine of at least the threshold; vector is a map<term, weight> of length 1.
+    """(keys, x, y, cosine): all pairs x < y of a key with a cosine of at least the threshold; vector is a map<term, weight> of length 1."""
+    from . import similar
 
-    Terms are taken in one order, rare ones first. A vector's head ends where what is left is shorter than the threshold: a
-    similar pair shares a term of both heads. What a pair has besides its heads' shared terms is no longer than one's tail
-    times what the other has besides these terms, so most candidates go before their vectors are compared.
-    """
-    terms = rows.select(*keys, order, F.explode(vector).alias("term", "w"))
-    df = terms.groupBy(*keys, "term").agg(F.count("*").alias("_df"))
-    upto = Window.partitionBy(*keys, order).orderBy("_df", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heads = terms.join(df, [*keys, "term"]).withColumn("_mass", F.sum(F.col("w") * F.col("w")).over(upto))
-    heads = heads.where(1 - F.col("_mass") + F.col("w") * F.col("w") >= threshold * threshold - 1e-9)
-    heads = heads.withColumn("_tail", F.sqrt(F.greatest(F.lit(0.0), 1 - F.max("_mass").over(Window.partitionBy(*keys, order)))))
-    side = lambda df, key: df.select(*keys, F.col(order).alias(key), "term", F.col("w").alias(f"w{key}"), *[F.col(c).alias(f"{c}{key}") for c in df.columns if c == "_tail"])
-    met = side(heads, "x").join(side(heads, "y"), [*keys, "term"]).where("x < y").groupBy(*keys, "x", "y").agg(
-        F.sum(F.col("wx") * F.col("wy")).alias("s"), F.sum(F.col("wx") * F.col("wx")).alias("a"), F.sum(F.col("wy") * F.col("wy")).alias("b"), F.max("_tailx").alias("p"), F.max("_taily").alias("q"))
-    rest = F.greatest(F.col("p") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("b"))), F.col("q") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("a"))))
-    pairs = met.where(F.col("s") + rest >= threshold - 1e-6).select(*keys, "x", "y")
-    both = pairs.join(side(terms, "x"), [*keys, "x"]).join(side(terms, "y"), [*keys, "y", "term"])
-    return both.groupBy(*keys, "x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("cosine")).where(F.col("cosine") >= threshold)
+    return similar.pairs(similar.map_vectors(rows, keys, order, vector, threshold), keys, order, threshold)
 
 
 def tfidf(rows: DataFrame, corpus: list[str], doc: list[str], text: str, pattern: str = r"(?U)\b\w\w+\b") -> DataFrame:

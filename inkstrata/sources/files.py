@@ -146,8 +146,21 @@ def scratch(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
+#: Spark's own switch: a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df, written under the shared folder and read back: computed once, and of a size that Spark knows when it picks a join."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written under the shared folder and read back: computed once, and of a size that Spark knows when it picks a join. What was shuffled for it
+    is removed once it is written."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
