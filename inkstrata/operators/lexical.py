@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, drop_tags, mask_windows, words
-from .reps import cosine, tfidf
+from ..session import small_batches
 from .scoring import joint_hits
+from .similar import WORD
 
 
 def match_masks(items: DataFrame, reps: DataFrame, n: int = 3, near: int = 30) -> DataFrame:
@@ -15,18 +18,57 @@ def match_masks(items: DataFrame, reps: DataFrame, n: int = 3, near: int = 30) -
 
     items(item, masked, labels in target order, answer array<int>), reps(item, label, text). Weights come from each item's own texts.
     """
-    masks = items.select("item", F.explode(mask_windows(F.col("masked"), near)).alias("m")).groupBy("item", "m.id").agg(F.array_join(F.array_sort(F.collect_list("m.context")), " ").alias("text"))
-    texts = masks.select("item", F.concat(F.lit("m"), F.col("id").cast("string")).alias("doc"), "text")
-    labels = items.select("item", F.posexplode("labels").alias("target", "label"), "answer")
-    texts = texts.union(labels.join(reps, ["item", "label"]).select("item", F.concat(F.lit("t"), F.col("target").cast("string")).alias("doc"), drop_tags(F.col("text"))))
-    v = tfidf(texts, ["item"], ["doc"], "text")
-    side = lambda kind, key: v.where(F.col("doc").startswith(kind)).select("item", F.substring("doc", 2, 9).cast("int").alias(key), F.col("v").alias(f"v_{key}"))
-    pairs = side("t", "target").join(side("m", "id"), "item").select("item", "target", "id", cosine(F.col("v_target"), F.col("v_id")).alias("s"))
-    by = pairs.groupBy("item", "target").agg(F.map_from_entries(F.collect_list(F.struct("id", "s"))).alias("s"))
-    lp = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("s", i), F.lit(0.0)))
-    # A text or mask without terms has no vector: its similarities are 0, and its item stays.
-    rows = labels.select("item", "target", F.get("answer", F.col("target")).alias("answer")).join(by, ["item", "target"], "left").select("item", "target", lp.alias("lp"), "answer")
-    return joint_hits(rows, ["item"], n)
+    found = reps.groupBy("item").agg(F.collect_list(F.struct("label", "text")).alias("_reps"))
+    of = lambda label: F.transform(F.filter("_reps", lambda r: r["label"] == label), lambda r: r["text"])
+    empty = F.array().cast("array<array<string>>")
+    return match_rows(items.join(found, "item", "left").select("item", "masked", "labels", "answer", F.coalesce(F.transform("labels", of), empty).alias("texts")), n, near)
+
+
+def match_rows(items: DataFrame, n: int = 3, near: int = 30) -> DataFrame:
+    """match_masks of items(item, masked, labels, answer, texts array<array<string>>: the texts of each label): all that an item needs is in its row."""
+    small_batches(items.sparkSession)
+    hashed = lambda text: F.coalesce(F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
+    doc = lambda mask, key, words: F.struct(mask.alias("mask"), key.cast("int").alias("key"), words.alias("words"))
+
+    def masks(marks: Column) -> Column:
+        around = lambda i: F.array_join(F.array_sort(F.transform(F.filter(marks, lambda m: m["id"] == i), lambda m: m["context"])), " ")
+        return F.transform(F.array_distinct(F.transform(marks, lambda m: m["id"])), lambda i: doc(F.lit(True), i, hashed(around(i))))
+
+    texts = F.filter(F.transform("texts", lambda t, i: doc(F.lit(False), F.when(F.size(t) > 0, i), F.flatten(F.transform(t, lambda x: hashed(drop_tags(x)))))), lambda d: d["key"].isNotNull())
+    own = F.coalesce(bound(mask_windows(F.col("masked"), near), masks), F.array().cast("array<struct<mask: boolean, key: int, words: array<bigint>>>"))
+    rows = items.select("item", "answer", F.size("labels").alias("_k"), F.concat(own, texts).alias("_docs"))
+    met = rows.mapInArrow(_similarities(n), f"item {dict(items.dtypes)['item']}, answer {dict(items.dtypes)['answer']}, lps array<array<double>>")
+    return joint_hits(met.select("item", "answer", F.posexplode("lps").alias("target", "lp")).select("item", "target", "lp", F.get("answer", F.col("target")).alias("answer")), ["item"], n)
+
+
+def _similarities(n: int):
+    """(item, answer, lps): for each of an item's _k labels its text's cosine with the masks 0 to n - 1, by weights from the item's own
+    _docs(mask, key, words) alone. A text or mask without terms has no vector: its similarities are 0, and its item stays."""
+
+    def one(k: int, mask: np.ndarray, key: np.ndarray, size: np.ndarray, words: np.ndarray) -> list[list[float]]:
+        terms, t = np.unique(words, return_inverse=True)
+        tf = np.bincount(np.repeat(np.arange(len(size)), size) * len(terms) + t, minlength=len(size) * len(terms)).reshape(len(size), len(terms))
+        w = tf * (np.log((1 + len(size)) / (1 + (tf > 0).sum(0))) + 1)
+        w = w / np.maximum(np.sqrt((w * w).sum(1)), 1e-300)[:, None]
+        out = [[0.0] * n for _ in range(k)]
+        for x in np.flatnonzero(~mask):
+            for y in np.flatnonzero(mask & (key < n)):
+                out[key[x]][key[y]] = float((w[x] * w[y]).sum())
+        return out
+
+    def each(batches):
+        for b in batches:
+            docs = b.column("_docs")
+            ends = np.concatenate(([0], np.cumsum(np.asarray(docs.value_lengths()).astype(np.int64))))
+            flat = docs.flatten()
+            mask, key = (np.asarray(pa.array(flat.field(c).to_pylist(), kind), dtype) for c, kind, dtype in (("mask", pa.bool_(), bool), ("key", pa.int32(), np.int64)))
+            words = flat.field("words")
+            size = np.asarray(words.value_lengths()).astype(np.int64)
+            stops, words = np.concatenate(([0], np.cumsum(size))), np.asarray(words.flatten())
+            lps = [one(k or 0, mask[i:j], key[i:j], size[i:j], words[stops[i] : stops[j]]) for k, i, j in zip(b.column("_k").to_pylist(), ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("answer"), pa.array(lps, pa.list_(pa.list_(pa.float64())))], ["item", "answer", "lps"])
+
+    return each
 
 
 def quotes(sentences: DataFrame, keys: list[str], n: int = 2) -> DataFrame:

@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BLOCK = 4096
 
 
-def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as chapters: a source is a book, its documents are chapters in order of doc_id.
+def chapters(spark: SparkSession, sf_dir: str, total: bool = False) -> DataFrame:
+    """documents as chapters: a source is a book, its documents are chapters in order of doc_id. `total` adds n, the number of the book's chapters.
 
     A chapter's number is its place in a block of BLOCK ids and what the source has in earlier blocks, so a source of a third of all rows is dealt to many tasks
     and only its blocks' counts meet in one.
@@ -25,10 +25,11 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("_block", F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 62))))
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = docs.groupBy("source", "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    blocks = blocks.withColumn("_total", F.sum("_n").over(Window.partitionBy("source"))) if total else blocks
     nth = F.row_number().over(Window.partitionBy("source", "_block").orderBy("doc_id"))
     placed = docs.withColumn("_nth", nth).join(blocks, ["source", "_block"])
     n = (F.col("_before") + F.col("_nth") - 1).cast("int")
-    return placed.select(F.col("source").alias("book"), n.alias("chapter_index"), "doc_id", "lang", "text").withColumn("words", word_count(F.col("text")))
+    return placed.select(F.col("source").alias("book"), n.alias("chapter_index"), "doc_id", "lang", "text", *([F.col("_total").alias("n")] if total else [])).withColumn("words", word_count(F.col("text")))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
