@@ -6,9 +6,11 @@ its forms, the longest first: from left to right, at each place the longest form
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,8 +87,15 @@ def find(text: Column, key: Column, forms: Column) -> Column:
 
     @F.arrow_udf(HITS)
     def found(text: pa.Array, key: pa.Array, forms: pa.Array) -> pa.Array:
-        out = [None if t is None or k is None else [dict(zip(("group", "start", "end"), h, strict=True)) for h in matcher(k, forms[i]).find(t)] for i, (t, k) in enumerate(zip(text.to_pylist(), key.to_pylist(), strict=True))]
-        return pa.array(out, pa.list_(pa.struct([("group", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
+        at, parts = [], [array("i"), array("i"), array("i")]
+        for i in range(len(text)):  # one text at a time, and numbers in packed arrays
+            t, k = text[i].as_py(), key[i].as_py()
+            at.append(None if t is None or k is None else len(parts[0]))
+            for hit in matcher(k, forms[i]).find(t) if at[-1] is not None else ():
+                for part, x in zip(parts, hit, strict=True):
+                    part.append(x)
+        hits = pa.StructArray.from_arrays([pa.array(np.frombuffer(p, np.int32) if p else np.zeros(0, np.int32)) for p in parts], ["group", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array([*at, len(parts[0])], pa.int32()), hits)
 
     return found.asNondeterministic()(text, key, forms)  # or a filter on what follows would run it again below
 
@@ -98,7 +107,8 @@ def leaks(text: Column, key: Column, forms: Column, group: int, names: Column) -
     @F.arrow_udf("struct<named: boolean, left: array<string>>")
     def leak(text: pa.Array, key: pa.Array, forms: pa.Array, names: pa.Array) -> pa.Array:
         named, left = [], []
-        for i, (t, k) in enumerate(zip(text.to_pylist(), key.to_pylist(), strict=True)):
+        for i in range(len(text)):
+            t, k = text[i].as_py(), key[i].as_py()
             none = t is None or k is None
             named.append(None if none else any(g == group for g, _, _ in matcher(k, forms[i]).find(t)))
             left.append(None if none else [w for w in (t[a:b] for _, a, b in matcher(k, names[i], True).find(t)) if not w.islower()])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import matcher
 from ..functions.text import SENTENCE_END, item_id, strip, strip_heading
 from ..functions.unicode import clean_text, nfc, shuffled_ids
+from ..session import small_batches
 from ..sources.files import kept
 from .items import MIN_PRIOR, tightest_spans, windows
 
@@ -140,6 +141,7 @@ def plan(examples: DataFrame, aliases: DataFrame, chapters: DataFrame, mode: str
     ambiguous: an ambiguous name is in the masked text; leftover: a name word is in the masked text, in any capitals but all lower case (`left`).
     `ids` gives map<label, id> from item_id and labels; by default ids are shuffled by a generator seeded with '<seed>:<item_id>'. Books without alias rows have no units.
     """
+    small_batches(examples.sparkSession)
     known = kept(books(aliases))
     rows = units(examples, known, mode).join(kept(eligible_since(chapters, known)), "book", "left")
     name = item_id(F.col("book"), F.col("chapter_index"), F.col("unit"))
