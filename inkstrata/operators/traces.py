@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .reps import last_wins
 
 N = 4
@@ -16,9 +17,13 @@ N = 4
 
 def gram_set(text: Column, n: int = N) -> Column:
     """array<bigint>: hashes of the distinct n-grams of a text; a null text has none."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z']+"), F.lit(0))
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))))
+
+    def grams(words: Column) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))))
+
+    # Bound, or the words would be found anew for each gram.
+    return bound(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z']+"), F.lit(0)), grams)
 
 
 def shares(traces: DataFrame, notes: DataFrame, items: DataFrame, key: list[str]) -> DataFrame:
