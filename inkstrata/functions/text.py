@@ -66,9 +66,10 @@ def snippets(text: Column, target: int = 300) -> Column:
     """Sentences packed greedily into chunks of at least `target` words; a tail under a third of that joins the last chunk."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
 
-    def add(acc: Column, s: Column) -> Column:
+    def add(acc: Column, x: Column) -> Column:
+        s = x["s"]
         now = F.when(acc["n"] == 0, s).otherwise(F.concat(acc["now"], F.lit(" "), s))
-        n = acc["n"] + word_count(s)
+        n = acc["n"] + x["words"]
         full = n >= target
         return F.struct(F.when(full, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"), F.when(full, "").otherwise(now).alias("now"), F.when(full, 0).otherwise(n).alias("n"))
 
@@ -78,7 +79,9 @@ def snippets(text: Column, target: int = 300) -> Column:
         tail = F.concat(F.slice(done, 1, F.greatest(size - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), F.lit(" "), acc["now"])))
         return F.when(acc["n"] == 0, done).when(short, tail).otherwise(F.concat(done, F.array(acc["now"])))
 
-    return F.aggregate(sentences(text), start, add, finish)
+    # Words are counted once for each sentence, not wherever the fold needs their number.
+    counted = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), word_count(s).alias("words")))
+    return F.aggregate(counted, start, add, finish)
 
 
 def strip_markup(text: Column) -> Column:

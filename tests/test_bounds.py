@@ -1,7 +1,5 @@
 """Work and memory that grow no faster than the input."""
 
-import inspect
-
 from pyspark.sql import functions as F
 
 from inkstrata.functions import matcher, text
@@ -27,3 +25,14 @@ def test_matches_of_null_and_empty_texts(spark):
     forms = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(f).alias("form")) for g, f in ((0, "Ann"), (1, "ANN"))])
     got = {r.i: None if r.h is None else [tuple(h) for h in r.h] for r in df.select("i", matcher.find(F.col("t"), F.col("k"), forms).alias("h")).collect()}
     assert got == {0: [(0, 0, 3), (1, 8, 11)], 1: None, 2: [], 3: None, 4: [(0, 3, 6)]}
+
+
+def test_words_of_a_trace_are_found_once(spark):
+    df = spark.createDataFrame([("a b c d e",)], "t string").select(traces.gram_set(F.col("t")).alias("g"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1 and len(df.first().g) == 2
+
+
+def test_words_of_a_sentence_are_counted_once(spark):
+    one = "A b c d. " * 3
+    df = spark.createDataFrame([(one,)], "t string").select(text.snippets(F.col("t"), 8).alias("s"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_count") == 1 and df.first().s == ["A b c d. A b c d.", "A b c d."]
