@@ -140,6 +140,16 @@ def grams(words: Column, n: int) -> Column:
     return bound(words, runs)
 
 
+def gram_hashes(words: Column, n: int) -> Column:
+    """64-bit hashes of the distinct word n-grams of an array of words."""
+    def runs(h: Column) -> Column:
+        last = F.size(h) - (n - 1)
+        at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(h, i, n))))
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), runs)
+
+
 def longest_common_run(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Length of the longest run of words that two word arrays share: equal words meet in an equi-join, and runs are
     islands on the diagonals (a place less b place)."""

@@ -36,3 +36,12 @@ def test_words_of_a_sentence_are_counted_once(spark):
     one = "A b c d. " * 3
     df = spark.createDataFrame([(one,)], "t string").select(text.snippets(F.col("t"), 8).alias("s"))
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_count") == 1 and df.first().s == ["A b c d. A b c d.", "A b c d."]
+
+
+def test_hashes_stand_for_grams(spark):
+    from inkstrata.operators import stats
+
+    df = spark.createDataFrame([("a b a b a b c",), ("ab c",), ("",), (None,)], "t string")
+    w = text.words(F.col("t"))
+    got = df.select(F.size(stats.grams(w, 2)).alias("x"), F.size(stats.gram_hashes(w, 2)).alias("y"), F.size(F.array_intersect(stats.gram_hashes(w, 2), F.array(F.xxhash64(F.array(F.xxhash64(F.lit("a")), F.xxhash64(F.lit("b"))))))).alias("z")).collect()
+    assert [(r.x, r.y) for r in got][:3] == [(3, 3), (1, 1), (0, 0)] and [r.z for r in got][:3] == [1, 0, 0] and got[3].x == got[3].y
