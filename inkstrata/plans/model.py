@@ -24,6 +24,7 @@ RETRY_HEAT = 0.6
 #: Characters of a reply, and of its fault, that the model is shown again.
 SHOWN, SHOWN_FAULT = 16_000, 600
 RAW = "raw"
+DECODER = json.JSONDecoder()
 # What a reply is begun with, how a bare prompt ends; the tokens for reasoning at most and at least, those that are spared, and the
 # characters of a prompt under which all of them fit.
 ANSWER, BARE = "[CHAR ", "\n\nAnswer: [CHAR "
@@ -79,10 +80,9 @@ def http(base: str, model: str, tries: int = 6, timeout: float = 3600, wait: Cal
 
 def parse_json(text: str):
     """The first JSON object or list of a reply, whatever stands around it."""
-    decoder = json.JSONDecoder()
     for opening in re.finditer(r"[\[{]", text):
         try:
-            return decoder.raw_decode(text, opening.start())[0]
+            return DECODER.raw_decode(text, opening.start())[0]
         except json.JSONDecodeError:
             continue
     raise ValueError("the reply holds no JSON")

@@ -14,12 +14,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import small_batches
 from . import model
 
 DONE, RETRY, SPLIT, FAILED = "done", "retry", "split", "failed"
@@ -45,15 +48,31 @@ def queue(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"parent": none, "attempt": F.lit(1), "shown": none, "fault": none})
 
 
+def _plain(column: pa.Array) -> list:
+    """column.to_pylist(), with the values of nested rows taken by column and not one by one."""
+    kind, whole = column.type, column.null_count == 0
+    if pa.types.is_struct(kind) and kind.num_fields:
+        names = [f.name for f in kind]
+        out = [dict(zip(names, v, strict=True)) for v in zip(*map(_plain, column.flatten()), strict=True)]
+    elif pa.types.is_list(kind):
+        flat, ends = _plain(column.flatten()), np.cumsum(column.value_lengths().fill_null(0)).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    elif pa.types.is_string(kind) or whole and (pa.types.is_integer(kind) or pa.types.is_boolean(kind)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    else:
+        return column.to_pylist()
+    return out if whole else [v if there else None for v, there in zip(out, column.is_valid().to_pylist(), strict=True)]
+
+
 def _answers(pending: DataFrame, work: Work, make: Callable[[], model.Client], context: DataFrame | None, on: list[str]) -> DataFrame:
-    """pending with status, result, repaired, shown and fault after one call each."""
-    own = pending.columns
+    """pending with status, result, repaired, shown and fault after one call each. Requests are dealt out before, as few and short rows may be much work."""
+    pending = pending.repartition(int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(on or ["request_id"]))
     rows = pending if context is None else pending.join(context, on, "left")
     extra = [T.StructField("status", T.StringType()), T.StructField("repaired", T.BooleanType()), T.StructField("result", T.StructType.fromDDL(work.result))]
     schema = T.StructType([*pending.schema.fields, *extra])
+    kinds = to_arrow_schema(schema)
 
     def one(client: model.Client, row: dict) -> dict:
-        row["items"] = [dict(x) for x in row["items"]]
         messages = [{"role": "user", "content": work.prompt(row)}]
         if row["attempt"] > 1:
             messages += [{"role": "assistant", "content": (row["shown"] or "")[: model.SHOWN]}, {"role": "user", "content": f"That reply is not valid ({(row['fault'] or '')[: model.SHOWN_FAULT]}). Give the whole reply again in the required format."}]
@@ -73,11 +92,13 @@ def _answers(pending: DataFrame, work: Work, make: Callable[[], model.Client], c
 
     def each(batches):
         client = make()
-        for pdf in batches:
-            out = [one(client, row) for row in pdf.to_dict("records")]
-            yield pdf[own].assign(**{c: pd.Series([o[c] for o in out], index=pdf.index, dtype=object) for c in ("status", "repaired", "result", "shown", "fault")})
+        for batch in batches:
+            rows = zip(*map(_plain, batch.columns), strict=True)
+            out = [one(client, dict(zip(batch.schema.names, row, strict=True))) for row in rows]
+            made = {c: pa.array([o[c] for o in out], kinds.field(c).type) for c in ("status", "repaired", "result", "shown", "fault")}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in kinds.names], kinds.names)
 
-    return rows.mapInPandas(each, schema)
+    return rows.mapInArrow(each, schema)
 
 
 def _next(done: DataFrame, columns: list[str]) -> DataFrame:
@@ -104,6 +125,7 @@ def run(requests: DataFrame, work: Work, path: str, make: Callable[[], model.Cli
     call; a later run with the same path goes on. An empty queue gives an empty result.
     """
     spark, first = requests.sparkSession, queue(requests)
+    small_batches(spark)
     columns = first.columns
     k = progress(spark, path)
     written = lambda i: spark.read.parquet(f"{path}/rounds/{i}")

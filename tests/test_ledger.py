@@ -163,3 +163,34 @@ def test_a_failing_client_is_a_fault(spark, claims, tmp_path):
     rows, counts = lg.verify(*frames(spark, few), str(tmp_path / "v"), make)
     assert rows.select("verdict", "reason").distinct().collect() == [("remove", lg.UNVERIFIED)]
     assert rows.where(F.col("round") < 2).count() == 0 and counts.first().removed_unverified == len(few)
+
+
+def test_claims_are_numbered_and_joined_once(spark, claims, tmp_path):
+    """Claims and counts are read from what was written: nothing is numbered or joined with its decisions again for each use."""
+    rows, counts = lg.verify(*frames(spark, claims), str(tmp_path / "v"), lg.critic)
+    for df, joins in ((rows, 0), (counts, 1)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and plan.count("Join ") == joins
+
+
+def test_requests_are_dealt_to_all_tasks(spark, claims, tmp_path):
+    some, chapters = frames(spark, [c for c in claims for _ in range(2)])
+    lg.verify(some.coalesce(1), chapters.coalesce(1), str(tmp_path / "v"), lg.critic, most=1)
+    assert len({r[0] for r in spark.read.parquet(f"{tmp_path}/v/rounds/0").selectExpr("input_file_name()").collect()}) > 1
+
+
+def test_a_claim_with_quotes_and_braces_stays_on_its_line():
+    odd = ['ends }, {"id": "x"', "line\nbreak", '"}, {"', "é "]
+    row = {"text": None, "items": [{"nth": i, "id": f"i{i}", "label": "L", "section": "s", "claim": c} for i, c in enumerate(odd)]}
+    body = lg._verify_prompt(row).split("one JSON object a line:\n")[1].split("\n\n")[0]
+    assert body.split("\n") == [json.dumps({k: x[k] for k in ("id", "label", "section", "claim")}, ensure_ascii=False) for x in row["items"]]
+
+
+def test_rows_are_taken_by_column():
+    import pyarrow as pa
+
+    item = pa.struct([("n", pa.int32()), ("s", pa.string()), ("b", pa.bool_()), ("l", pa.list_(pa.string()))])
+    items = [[{"n": 1, "s": "a", "b": True, "l": ["x", None]}, None], [], None, [{"n": None, "s": None, "b": None, "l": None}], [{"n": 3, "s": "", "b": False, "l": []}]]
+    for column in (pa.array(items, pa.list_(item)), pa.array([1, None, 3]), pa.array([1.5, None]), pa.array([], pa.list_(item)), pa.array([True, False]), pa.array(["a", None]), pa.array([None, {"n": 2, "s": "z", "b": True, "l": ["q"]}, None], item)):
+        for part in (column, column.slice(1), column.slice(0, 2), column.slice(3)):
+            assert rounds._plain(part) == part.to_pylist()
