@@ -93,8 +93,8 @@ def _answers(pending: DataFrame, work: Work, make: Callable[[], model.Client], c
     def each(batches):
         client = make()
         for batch in batches:
-            rows = zip(*map(_plain, batch.columns), strict=True)
-            out = [one(client, dict(zip(batch.schema.names, row, strict=True))) for row in rows]
+            names = batch.schema.names
+            out = [one(client, dict(zip(names, row, strict=True))) for row in zip(*map(_plain, batch.columns), strict=True)]
             made = {c: pa.array([o[c] for o in out], kinds.field(c).type) for c in ("status", "repaired", "result", "shown", "fault")}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in kinds.names], kinds.names)
 
